@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from placelens.llm import sentencepiece_bpe, token_counts
+from placelens.llm import jaccard_join, sentencepiece_bpe, token_counts
 
 MODEL = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
@@ -27,6 +27,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = sentencepiece_bpe.read_model(public_tokenizers.path(MODEL))
     return token_counts.with_limit(token_counts.count_tokens(table(spark, sf_dir, "documents"), model), TOKEN_LIMIT)
@@ -34,6 +38,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_jaccard_join": op3_jaccard_join,
     "op8_token_counts": op8_token_counts,
 }
 
