@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -29,11 +30,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it again.
 
     The result's lineage starts at files that survive the loss of any executor.
+    Shuffle files that nothing refers to any more are let go of.
     """
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._placelens_path = path
+    del df
+    gc.collect()
+    out.sparkSession.sparkContext._jvm.System.gc()  # Spark's cleaner follows the driver's garbage collection
     return out
 
 
