@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from placelens.llm import jaccard_join, sentencepiece_bpe, token_counts
+from placelens.llm import jaccard_join, sentencepiece_bpe, suffix_dedup, token_counts
 
 MODEL = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
@@ -31,6 +31,11 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = sentencepiece_bpe.read_model(public_tokenizers.path(MODEL))
     return token_counts.with_limit(token_counts.count_tokens(table(spark, sf_dir, "documents"), model), TOKEN_LIMIT)
@@ -39,6 +44,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_jaccard_join": op3_jaccard_join,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op8_token_counts": op8_token_counts,
 }
 
