@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from placelens.llm import jaccard_join, sentencepiece_bpe, suffix_dedup, token_counts
+from placelens.llm import jaccard_join, secret_scan, sentencepiece_bpe, suffix_dedup, token_counts, url_filter
 
 MODEL = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
@@ -36,6 +36,17 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = secret_scan.report(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    joined = secret_scan.joined_spans(F.col("spans"))
+    return spans.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined, 256).alias("base_sha256"), joined.alias("spans"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages")).drop("source")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = sentencepiece_bpe.read_model(public_tokenizers.path(MODEL))
     return token_counts.with_limit(token_counts.count_tokens(table(spark, sf_dir, "documents"), model), TOKEN_LIMIT)
@@ -45,7 +56,23 @@ QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_jaccard_join": op3_jaccard_join,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op7_secret_scan": op7_secret_scan,
     "op8_token_counts": op8_token_counts,
+    "op10_url_filter": op10_url_filter,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    # no page of the given tables has aliases, so that the rules alone decide; tests cover the aliases
+    "op10_url_filter": r"""
+with p as (
+  select page_id,
+         translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') as path
+  from pages),
+rules(h, s, v) as (values ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+best as (
+  select page_id, arg_max(h || s, length(h || s)) as rule, arg_max(v, length(h || s)) as verdict
+  from p join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, s) group by page_id)
+select p.page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from p left join best using (page_id)
+""",
+}
