@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from placelens.llm import decontamination, jaccard_join, quality_classifier, secret_scan, sentencepiece_bpe, suffix_dedup, token_counts, url_filter
+from placelens.llm import decontamination, jaccard_join, lm_scoring, quality_classifier, secret_scan, sentencepiece_bpe, suffix_dedup, token_counts, url_filter
 
 MODEL = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
@@ -35,6 +35,11 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_scoring.score(table(spark, sf_dir, "documents"))
+    return scored.withColumn("held_out", lm_scoring.is_held_out(F.col("doc_id"))).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -65,6 +70,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op8_token_counts": op8_token_counts,
