@@ -10,6 +10,11 @@ of each there is one in common (pigeonhole). Documents meet in buckets of equal
 blocks and are verified on their whole sets. The few sets whose shingles crowd into
 D blocks or fewer meet in a bucket of their own.
 
+Candidates are tried on parity sketches first: each shingle flips one bit, and the
+Hamming distance of two sketches is at most the symmetric difference. A sketch has
+four bits or more for each shingle, in a power of two, so that the longer of two
+sketches folds to the other's length. What passes is verified on the whole sets.
+
 Sizes. A set meets sets of its own band and, as the smaller side, of the next one;
 bands grow by the reciprocal of the similarity, which reaches every possible
 partner.
@@ -39,7 +44,7 @@ from placelens.scratch import discard, materialize, partitions
 SHINGLE = 5
 PERCENT = 75
 #: Members up to which a bucket is used by all its members.
-SMALL = 48
+SMALL = 8
 #: Documents up to which a list of ids (8 bytes each) is broadcast instead of shuffling texts.
 BROADCAST_IDS = 2_000_000
 #: Stands for the block of crowded sets.
@@ -94,16 +99,48 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def parity(s: np.ndarray) -> bytes:
+    """The parity sketch of a set."""
+    bits = max(64, 1 << (4 * len(s) - 1).bit_length())
+    odd = np.bincount((s & U(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd).tobytes()
+
+
+def distance(x: np.ndarray, y: np.ndarray) -> int:
+    """Hamming distance of two parity sketches; the longer one is folded."""
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def sets(documents: DataFrame, length: int) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2): size and 128-bit fingerprint of each row's set."""
+    """(doc_id, n_shingles, f1, f2, sketch): size, 128-bit fingerprint and parity sketch of each row's set."""
 
     def run(batches):
         for batch in batches:
             for ids, texts in sliced(batch):
-                found = [(len(s), *map(signed, fingerprint(s))) for s in (shingles(t, length) for t in texts)]
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array([x[k] for x in found], pa.int64()) for k in range(3))], ["doc_id", "n_shingles", "f1", "f2"])
+                found = [(len(s), *map(signed, fingerprint(s)), parity(s)) for s in (shingles(t, length) for t in texts)]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array([x[k] for x in found], t) for k, t in enumerate(kinds))], ["doc_id", "n_shingles", "f1", "f2", "sketch"])
+
+    return byte_texts(documents).mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sketch binary")
 
-    return byte_texts(documents).mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long")
+
+def plausible(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow a link."""
+    of = own.select("doc_id", "n_shingles", "sketch")
+    sized = pairs.join(of.toDF("a", "na", "sa"), "a").join(of.toDF("b", "nb", "sb"), "b")
+    sized = sized.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)).select("a", "b", "na", "nb", "sa", "sb")
+
+    def run(batches):
+        for batch in batches:
+            na, nb, sa, sb = (batch.column(k).to_pylist() for k in range(2, 6))
+            keep = [distance(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) <= (m + n) * (100 - percent) // (100 + percent) for m, n, x, y in zip(na, nb, sa, sb)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return sized.mapInArrow(run, "a long, b long")
 
 
 def sketch_blocks(s: np.ndarray, band: int, count: int) -> np.ndarray:
@@ -250,18 +287,10 @@ def verify(pairs: DataFrame, sets_of: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-PARITY_BITS = 2048
-
-
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Whether 100 * intersection >= percent * union; the parity bits' distance is tried first."""
-    total = len(x) + len(y)
-    most = total * (100 - percent) // (100 + percent)
-    bits = np.bincount((np.concatenate([x, y]) % U(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
-    if int(bits.sum()) > most:
-        return False
+    """Whether 100 * intersection >= percent * union."""
     common = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * common >= percent * (total - common)
+    return 100 * common >= percent * (len(x) + len(y) - common)
 
 
 def whole_sets(documents: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -277,6 +306,15 @@ def whole_sets(documents: DataFrame, wanted: DataFrame, length: int) -> DataFram
     return texts.join(side, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles binary")
 
 
+def checked(documents: DataFrame, own: DataFrame, pairs: DataFrame, percent: int, length: int) -> DataFrame:
+    """The links among the pairs: by sketches, then by whole sets."""
+    near = materialize(plausible(pairs, own, percent).distinct(), "near")
+    wanted = materialize(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+    if wanted.isEmpty():
+        return near
+    return materialize(verify(near, materialize(whole_sets(documents, wanted, length), "shingles"), percent), "links")
+
+
 def similar_documents(documents: DataFrame, percent: int = PERCENT, length: int = SHINGLE, parts: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row per input row.
 
@@ -293,8 +331,7 @@ def similar_documents(documents: DataFrame, percent: int = PERCENT, length: int
     discard(found)
     stars = members.groupBy("key").agg(F.min("doc_id").alias("a"))
     pairs = materialize(members.join(stars, "key").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), "pairs")
-    shingle_sets = materialize(whole_sets(documents, members.select("doc_id").distinct(), length), "shingles")
-    links = materialize(verify(pairs, shingle_sets, percent), "links")
+    links = checked(documents, own, pairs, percent, length)
     label = materialize(components(links, "a", "b"), "labels")
     # what shares a bucket but not yet a component
     placed = members.join(label, members.doc_id == label.node, "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
@@ -303,7 +340,7 @@ def similar_documents(documents: DataFrame, percent: int = PERCENT, length: int
     left, right = rest.alias("l"), rest.alias("r")
     cross = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.doc_id") < F.col("r.doc_id")) & (F.col("l.component") != F.col("r.component")))
     cross = cross.select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = materialize(verify(cross, shingle_sets, percent), "links")
+    more = checked(documents, own, cross, percent, length)
     if not more.isEmpty():
         label = materialize(components(links.unionByName(more), "a", "b"), "labels")
     alike = own.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
