@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from placelens.llm import decontamination, jaccard_join, lm_scoring, quality_classifier, secret_scan, sentencepiece_bpe, suffix_dedup, token_counts, url_filter
+from placelens.llm import decontamination, embedding_dedup, jaccard_join, lm_scoring, quality_classifier, secret_scan, sentencepiece_bpe, suffix_dedup, token_counts, url_filter
 
 MODEL = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
@@ -45,6 +45,10 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = secret_scan.report(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -72,6 +76,7 @@ QUERIES = {
     "op3_jaccard_join": op3_jaccard_join,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op8_token_counts": op8_token_counts,
     "op9_quality_classifier": op9_quality_classifier,
