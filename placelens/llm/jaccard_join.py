@@ -348,3 +348,21 @@ def similar_documents(documents: DataFrame, percent: int = PERCENT, length: int
     # a doc_id with several texts joins their groups
     out = own.join(nodes, ["n_shingles", "f1", "f2"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+
+
+def without(documents: DataFrame, removed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``documents`` less the ids in ``removed`` (doc_id); a list of ids is broadcast up to BROADCAST_IDS."""
+    removed = materialize(removed.select(F.col("doc_id").alias("__removed")).where("__removed is not null").distinct(), "removed")
+    side = F.broadcast(removed) if removed.count() <= BROADCAST_IDS else removed
+    return documents.join(side, documents[id_col] == F.col("__removed"), "left_anti")
+
+
+def first_of_each(documents: DataFrame, percent: int = PERCENT, length: int = SHINGLE) -> DataFrame:
+    """One document of each group of similar ones stays, that of smallest doc_id; all columns stay."""
+    groups = similar_documents(documents, percent, length)
+    kept = without(documents, groups.where("component_id <> doc_id"))
+    repeated = materialize(documents.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, "doc_id", "left_anti").select(*documents.columns)
+    return once.unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*documents.columns))

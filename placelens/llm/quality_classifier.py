@@ -151,3 +151,18 @@ def classify(documents: DataFrame, model: Model, threshold: float = THRESHOLD, f
 
     scored = byte_texts(documents).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id"), folds).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+
+
+def accepted(documents: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``documents``, with all of their columns, that reach the threshold."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    at = documents.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            texts = [(t or "").encode() for t in batch.column(at).to_pylist()]
+            for a in range(0, len(texts), 2000):
+                keep = shared.value.score(texts[a : a + 2000]) >= threshold
+                yield batch.slice(a, len(keep)).filter(pa.array(keep, pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -73,21 +73,16 @@ def _finding(rule: Rule, place: int):
     return made
 
 
-def rule_table(rules: tuple[Rule, ...]) -> list[tuple[str, int]]:
-    return [(r.kind, r.version) for r in rules]
-
-
 def scan(documents: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """New findings (FINDINGS) and new ledger rows (blob, kind, version) of the blobs of ``documents``.
 
     ``ledger`` holds the pairs scanned before; findings of those are already known.
     """
-    spark = documents.sparkSession
     every = blobs(documents, id_col, text_col)
-    kinds = spark.createDataFrame(rule_table(rules), "kind string, version int")
+    kinds = F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules))
     # the smallest id stands for a blob's paths
     holder = every.groupBy("blob").agg(F.min("doc_id").alias("holder"))
-    due = holder.crossJoin(F.broadcast(kinds))
+    due = holder.select("blob", "holder", F.inline(kinds))
     if ledger is not None:
         due = due.join(ledger.select("blob", "kind", "version").distinct(), ["blob", "kind", "version"], "left_anti")
     due = materialize(due, "ledger")
@@ -118,6 +113,27 @@ def report(documents: DataFrame, ledger: DataFrame | None = None, known: DataFra
     return joined_back(documents, found)
 
 
+#: Blobs with findings up to which they are broadcast to the texts (about 100 bytes each).
+BROADCAST_BLOBS = 200_000
+
+
+def redact(documents: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """``documents`` with each secret replaced by its kind in brackets; the length column follows."""
+    found = materialize(scan(documents, ledger, id_col=id_col, text_col=text_col)[0], "findings")
+    per_blob = found.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "place", "end", "kind"))).alias("spans"))
+    per_blob = per_blob.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
+    if per_blob.count() <= BROADCAST_BLOBS:
+        per_blob = F.broadcast(per_blob)
+    blob = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+    joined = documents.join(per_blob, blob == F.col("__blob"), "left")
+    hit = F.col("__spans").isNotNull()
+    text = F.when(hit, redacted(F.col(text_col), F.col("__spans"))).otherwise(F.col(text_col))
+    changed = {text_col: text}
+    if length_col in documents.columns:
+        changed[length_col] = F.when(hit, F.length(text).cast(documents.schema[length_col].dataType)).otherwise(F.col(length_col))
+    return joined.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in documents.columns))
+
+
 def joined_spans(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
