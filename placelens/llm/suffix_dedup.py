@@ -8,16 +8,16 @@ only sorts and groups. Three rounds reach the threshold:
 1. SEED bytes, at sampled suffixes: in every string of ``length`` bytes the place
    whose SEED bytes have the smallest hash, the leftmost of equals, is its anchor.
    Equal strings have equal anchors, so suffixes with a unique anchor are done.
-2. The stretch of text that all strings of one anchor cover (100 to 168 bytes).
+2. The stretch of text that all strings of one anchor cover (100 to 160 bytes).
    Where a stretch repeats, all strings of the later ones start earlier too.
 3. Exactly ``length`` bytes, for the first of each stretch where an anchor has
    several different ones: these are the ends of repeated passages.
 
 The first occurrence of a string always lies in the first one of its stretch, so
-nothing is lost; the names of rounds 2 and 3 have 128 bits in all.
+nothing is lost. Names count only among equal anchors, so they have 128 bits.
 
 Hot groups: names are dealt by hash; the members of one anchor are sorted as
-packed numbers (25 bytes each), never expanded into pairs.
+packed numbers (25 bytes each, 8 for each place in round 3), never expanded into pairs.
 
 Defined results: a null text is empty; texts shorter than the string keep all
 bytes; rows of equal doc_id and equal text are one document, their results are
@@ -36,7 +36,7 @@ from placelens.llm.packed import U, by_part, byte_texts, deal, mix, runs, sliced
 from placelens.scratch import materialize, partitions
 
 LENGTH = 100
-SEED = 32
+SEED = 40
 LEAST = -(1 << 63)
 
 _random = np.random.default_rng(20240229)
@@ -109,7 +109,7 @@ def packed_rows(docs: np.ndarray, owner: np.ndarray, places: np.ndarray, names:
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[k] for x in out], pa.binary()) for k in range(1, 5))], ["part", "docs", "counts", "places", "names"])
 
 
-def unpacked(batches):
+def unpacked(batches, width: int = 2):
     """All of a part: docs, the doc of each place, places (start, count), names."""
     docs, counts, places, names = [], [], [], []
     for batch in batches:
@@ -117,7 +117,7 @@ def unpacked(batches):
             docs.append(np.frombuffer(d, np.int64).reshape(-1, 2))
             counts.append(np.frombuffer(c, np.int32))
             places.append(np.frombuffer(p, PLACE))
-            names.append(np.frombuffer(n, U).reshape(-1, 2))
+            names.append(np.frombuffer(n, U).reshape(-1, width))
     if not docs:
         return None
     docs = np.concatenate(docs)
@@ -126,17 +126,17 @@ def unpacked(batches):
 
 #: A start, and how many starts more belong to it.
 PLACE = np.dtype([("start", "<i4"), ("more", "u1")])
-SPANS = "doc long, text_key long, kind int, starts array<int>, ends array<int>"
+SPANS = "doc long, text_key long, kind int, starts array<int>, ends array<int>, anchors array<long>"
 
 
-def span_rows(kind: int, docs: np.ndarray, owner: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+def span_rows(kind: int, docs: np.ndarray, owner: np.ndarray, starts: np.ndarray, ends: np.ndarray, names: np.ndarray | None = None) -> pa.RecordBatch:
     """Rows of SPANS; owner must be sorted."""
     at = runs(owner)
     offsets = pa.array(np.append(at, len(owner)).astype(np.int32))
     d = docs[owner[at]] if len(at) else docs[:0]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(np.full(len(at), kind, np.int32)), *(pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (starts, ends))], ["doc", "text_key", "kind", "starts", "ends"]
-    )
+    arrays = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (starts, ends)]
+    arrays.append(pa.nulls(len(at), pa.list_(pa.int64())) if names is None else pa.ListArray.from_arrays(offsets, pa.array(names.view(np.int64))))
+    return pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(np.full(len(at), kind, np.int32)), *arrays], ["doc", "text_key", "kind", "starts", "ends", "anchors"])
 
 
 def sampled(documents: DataFrame, length: int, seed: int, parts: int) -> DataFrame:
@@ -168,10 +168,10 @@ def sampled(documents: DataFrame, length: int, seed: int, parts: int) -> DataFra
 
 
 def repeated(packed: DataFrame, length: int) -> DataFrame:
-    """Spans (kind 0) of the places whose two names both repeat earlier ones.
+    """Spans (kind 0) of the stretches that repeat earlier ones.
 
-    The places that are first of several second names under one first name are
-    told as well (kind 1: first and last start).
+    The stretches that are first of several under one anchor are told as well
+    (kind 1: first and last start, and the anchor's name).
     """
 
     def run(batches):
@@ -202,34 +202,75 @@ def repeated(packed: DataFrame, length: int) -> DataFrame:
             count = np.add.reduceat(several, anchor)
             by = np.flatnonzero(~later & (np.repeat(count, np.diff(np.append(anchor, len(order)))) > 1))
             by = by[np.lexsort((start[by], owner[order[by]]))]
-            yield span_rows(1, docs, owner[order[by]], start[by], end[by] - length)
+            yield span_rows(1, docs, owner[order[by]], start[by], end[by] - length, names[order[by], 0].copy())
 
     return packed.mapInArrow(run, SPANS)
 
 
 def exact(texts: DataFrame, length: int, parts: int) -> DataFrame:
-    """Round 3: names of the strings that start in each wanted range; (doc, text, starts, ends) come in."""
+    """Round 3: names of the strings that start in each wanted range; (doc, text, starts, ends, anchors) come in."""
 
     def run(batches):
         for batch in batches:
             sizes = pa.compute.binary_length(batch.column(1)).to_pylist()
             for a, b in _ranges(sizes, 2_000_000):
-                docs, owner, places, names = [], [], [], []
-                for doc, text, starts, ends in zip(*(batch.column(i).slice(a, b - a).to_pylist() for i in range(4))):
-                    raw = np.frombuffer(text, np.uint8)
+                docs, owner, places, names, grams = [], [], [], [], []
+                for doc, text, starts, ends, anchor in zip(*(batch.column(i).slice(a, b - a).to_pylist() for i in range(5))):
                     lo, hi = np.array(starts, np.int64), np.array(ends, np.int64)
-                    n = hi - lo + 1
-                    q = np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-                    p = np.zeros(len(q), PLACE)
-                    p["start"] = q
-                    names.append(np.stack([Prefixes(raw, k).of(q, q + length) for k in (0, 1)], axis=1))
+                    q = spread(lo, hi - lo + 1)
+                    p = np.empty(len(lo), PLACE)
+                    p["start"], p["more"] = lo, hi - lo
+                    grams.append(Prefixes(np.frombuffer(text, np.uint8), 1).of(q, q + length))
+                    names.append(np.array(anchor, np.int64).view(U))
                     places.append(p)
-                    owner.append(np.full(len(q), len(docs), np.int32))
+                    owner.append(np.full(len(lo), len(docs), np.int32))
                     docs.append((doc, text_key(text)))
-                if docs:
-                    yield packed_rows(np.array(docs, np.int64), np.concatenate(owner), np.concatenate(places), np.concatenate(names), parts)
+                if not docs:
+                    continue
+                docs, owner, places, names, grams = np.array(docs, np.int64), *(np.concatenate(x) for x in (owner, places, names, grams))
+                first = np.append(0, np.cumsum(places["more"].astype(np.int64) + 1))
+                order, bounds = deal((names % U(parts)).astype(np.int64), parts)
+                out = []
+                for k in np.flatnonzero(np.diff(bounds)):
+                    at = order[bounds[k] : bounds[k + 1]]
+                    used, counts = np.unique(owner[at], return_counts=True)
+                    own = grams[spread(first[at], first[at + 1] - first[at])]
+                    out.append((int(k), docs[used].tobytes(), counts.astype(np.int32).tobytes(), places[at].tobytes(), names[at].tobytes(), own.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[k] for x in out], pa.binary()) for k in range(1, 6))], ["part", "docs", "counts", "places", "names", "grams"])
+
+    def first_of_all(batches):
+        grams = []
+
+        def noted():
+            for batch in batches:
+                grams.extend(np.frombuffer(x, U) for x in batch.column(5).to_pylist())
+                yield batch
+
+        found = unpacked(noted(), 1)
+        if found is None:
+            return
+        docs, owner, places, names = found
+        n = places["more"].astype(np.int64) + 1
+        start, of = spread(places["start"].astype(np.int64), n), np.repeat(np.arange(len(n)), n)
+        name, gram, doc = names[of, 0], np.concatenate(grams), docs[owner[of], 0]
+        order = np.lexsort((start, doc, gram, name))
+        group = runs(name[order], gram[order])
+        head = order[np.repeat(group, np.diff(np.append(group, len(order))))]
+        by = order[(doc[order] != doc[head]) | (start[order] != start[head])]
+        by = by[np.lexsort((start[by], owner[of[by]]))]
+        # neighbouring starts make one span
+        mine = owner[of[by]]
+        new = runs(mine, start[by] - np.arange(len(by)))
+        last = np.append(new[1:], len(by)) - 1 if len(by) else new
+        yield span_rows(0, docs, mine[new], start[by[new]], start[by[last]] + length)
+
+    packed = by_part(texts.mapInArrow(run, PACKED + ", grams binary"), parts)
+    return packed.mapInArrow(first_of_all, SPANS)
+
 
-    return by_part(texts.mapInArrow(run, PACKED), parts)
+def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... n of each."""
+    return np.repeat(first - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
 
 
 def _ranges(sizes: list[int], most: int):
@@ -258,27 +299,27 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, seed: int = SEED,
     parts = parts or partitions(documents.sparkSession)
     rough = materialize(repeated(sampled(documents, length, seed, parts), length), "stretches")
     wanted = gathered(rough.where("kind = 1"))
-    fine = materialize(repeated(exact(_with_text(documents, wanted), length, parts), length).where("kind = 0"), "strings")
+    fine = materialize(exact(_with_text(documents, wanted), length, parts), "strings")
     return gathered(rough.where("kind = 0").unionByName(fine))
 
 
 def gathered(spans: DataFrame) -> DataFrame:
     """One row per doc and text: its spans, which a text's length bounds."""
     flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
-    return spans.groupBy("doc", "text_key").agg(flat("starts"), flat("ends"))
+    return spans.groupBy("doc", "text_key").agg(flat("starts"), flat("ends"), flat("anchors"))
 
 
 def _with_text(documents: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc, text, starts, ends) of the rows that spans tell of, each distinct row once."""
+    """(doc, text, starts, ends, anchors) of the rows that spans tell of, each distinct row once."""
 
     def run(batches):
         for batch in batches:
             keep = [text_key(t) == k for t, k in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             part = batch.filter(pa.array(keep, pa.bool_()))
-            yield part.select(["doc", "text", "starts", "ends"])
+            yield part.select(["doc", "text", "starts", "ends", "anchors"])
 
-    joined = keyed(documents).select("doc", "text").join(spans, "doc").select("doc", "text", "text_key", "starts", "ends")
-    return joined.mapInArrow(run, "doc long, text binary, starts array<int>, ends array<int>")
+    joined = keyed(documents).select("doc", "text").join(spans, "doc").select("doc", "text", "text_key", "starts", "ends", "anchors")
+    return joined.mapInArrow(run, "doc long, text binary, starts array<int>, ends array<int>, anchors array<long>")
 
 
 def remove_repeats(documents: DataFrame, length: int = LENGTH, seed: int = SEED, parts: int | None = None) -> DataFrame:
