@@ -1,6 +1,6 @@
-"""Registered queries of the observation engine."""
+"""All registered queries of the observation engine."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from placelens.plans import projections  # noqa: F401
+from placelens.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
