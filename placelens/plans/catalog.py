@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from placelens.plans import projections  # noqa: F401
+from placelens.plans import joins, projections  # noqa: F401
 from placelens.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
