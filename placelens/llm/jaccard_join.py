@@ -19,11 +19,13 @@ Sizes. A set meets sets of its own band and, as the smaller side, of the next on
 bands grow by the reciprocal of the similarity, which reaches every possible
 partner.
 
-Hot groups. Documents with equal sets are one member of a bucket. A bucket of more
-than SMALL members is used only by documents that need it among their D + 1
-rarest. In a bucket every member is compared with the smallest one; what is left in
-different components afterwards is compared in a second round. No other pairs are
-made, and no link between components is lost.
+Hot groups. Documents with equal sets are one member of a bucket. A document whose
+blocks are its own but for a few (passages that many documents share) has D + 1
+blocks of its own and leaves; others meet in their rarest blocks only. In a bucket
+every member is compared with the smallest one; what is left in different
+components afterwards is compared by sketches in a second round, large buckets in a
+grid of blocks, and only pairs within the bound are handed on. No link between
+components is lost.
 
 Defined results: null or empty texts have an empty set and no links; fewer words
 than the shingle's length make the whole sequence one shingle; rows of one doc_id
@@ -43,8 +45,8 @@ from placelens.scratch import discard, materialize, partitions
 
 SHINGLE = 5
 PERCENT = 75
-#: Members up to which a bucket is used by all its members.
-SMALL = 8
+#: Members of a bucket in one row, and in one block of a grid.
+CHUNK, BLOCK = 4096, 1024
 #: Documents up to which a list of ids (8 bytes each) is broadcast instead of shuffling texts.
 BROADCAST_IDS = 2_000_000
 #: Stands for the block of crowded sets.
@@ -194,8 +196,8 @@ def lists(values: np.ndarray, starts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def buckets_of(keys: DataFrame) -> DataFrame:
-    """What meets in each part: members of small buckets, and large buckets by document."""
+def shared_blocks(keys: DataFrame) -> DataFrame:
+    """(doc_id, band, filled, prefix, keys, sizes): the blocks that a document shares with others, by part."""
 
     def run(batches):
         entries, counts, keys = [], [], []
@@ -221,45 +223,152 @@ def buckets_of(keys: DataFrame) -> DataFrame:
         key, entry = key[order], entry[order]
         first = runs(key, table[entry, 1])
         key, entry = key[first], entry[first]
-        order = np.lexsort((table[entry, 0], key))
-        key, entry = key[order], entry[order]
         starts = runs(key)
         size = np.diff(np.append(starts, len(key)))
         of = np.repeat(size, size)
-        doc = table[entry, 0]
-        small = (of > 1) & (of <= SMALL)
-        if small.any():
-            d, k = doc[small], key[small]
-            at = runs(k)
-            _, once = np.unique(np.add.reduceat(mix(d.astype(U)), at), return_index=True)  # equal member lists count once
-            ends = np.append(at[1:], len(d))
-            picked = np.concatenate([d[at[i] : ends[i]] for i in once])
-            lengths = (ends - at)[once]
-            docs = lists(picked, np.append(0, np.cumsum(lengths)[:-1]))
-            none = pa.nulls(len(docs), pa.int64())
-            yield pa.RecordBatch.from_arrays([docs, none, none, none, none, pa.nulls(len(docs), pa.list_(pa.int64())), pa.nulls(len(docs), pa.list_(pa.int64()))], NAMES)
-        large = of > SMALL
-        if large.any():
-            e, k, f = entry[large], key[large], of[large]
-            order = np.argsort(e, kind="stable")
-            e, k, f = e[order], k[order], f[order]
-            at = runs(e)
-            t = table[e[at]]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.list_(pa.int64())), pa.array(t[:, 0]), pa.array(t[:, 2]), pa.array(t[:, 3]), pa.array(t[:, 4]), lists(k.view(np.int64), at), lists(f.astype(np.int64), at)], NAMES)
-
-    return keys.mapInArrow(run, "docs array<long>, doc_id long, band long, filled long, prefix long, keys array<long>, sizes array<long>")
-
-
-NAMES = ["docs", "doc_id", "band", "filled", "prefix", "keys", "sizes"]
-
-
-def needed_large(found: DataFrame) -> DataFrame:
-    """(key, doc_id) of large buckets that a document needs among its rarest blocks."""
-    large = found.where("doc_id is not null").groupBy("doc_id", "band").agg(
-        F.max("filled").alias("filled"), F.max("prefix").alias("prefix"), F.sum(F.size("keys")).alias("n"), F.flatten(F.collect_list(F.arrays_zip(F.col("sizes"), F.col("keys")))).alias("blocks")
-    )
-    large = large.withColumn("take", F.col("prefix") - (F.col("filled") - F.col("n"))).where("take > 0")
-    return large.select("doc_id", F.explode(F.slice(F.array_sort("blocks"), F.lit(1), F.col("take").cast("int"))).alias("b")).select(F.col("b.keys").alias("key"), "doc_id")
+        key, entry, of = key[of > 1], entry[of > 1], of[of > 1]
+        order = np.argsort(entry, kind="stable")
+        entry, key, of = entry[order], key[order], of[order]
+        at = runs(entry)
+        t = table[entry[at]]
+        yield pa.RecordBatch.from_arrays([*(pa.array(t[:, k]) for k in (0, 2, 3, 4)), lists(key.view(np.int64), at), lists(of.astype(np.int32), at)], ["doc_id", "band", "filled", "prefix", "keys", "sizes"])
+
+    return keys.mapInArrow(run, "doc_id long, band long, filled long, prefix long, keys array<long>, sizes array<int>")
+
+
+def lists(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    offsets = np.append(starts, len(values)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+
+
+def groups(batches, keys: int):
+    """Runs of rows that agree in the first ``keys`` columns, from batches of sorted rows."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
+        if not table.num_rows:
+            continue
+        at = runs(*(table.column(k).to_numpy() for k in range(keys)))
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+            yield table.slice(a, b - a)
+        rest = table.slice(int(at[-1]))
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def needed_blocks(found: DataFrame, parts: int) -> DataFrame:
+    """(part, docs, keys): the rarest blocks of each document, as many as are not its own among D + 1."""
+    ordered = found.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "band")
+
+    def run(batches):
+        docs, chosen, total = [], [], 0
+        for rows in groups(batches, 2):
+            key = rows.column(4).combine_chunks().flatten().to_numpy()
+            take = int(rows.column(3)[0].as_py()) - (int(rows.column(2)[0].as_py()) - len(key))
+            if take <= 0:
+                continue
+            size = rows.column(5).combine_chunks().flatten().to_numpy()
+            key = key[np.lexsort((key, size))[:take]]
+            chosen.append(key.view(U))
+            docs.append(np.full(len(key), rows.column(0)[0].as_py(), np.int64))
+            total += len(key)
+            if total > 500_000:
+                yield _dealt(docs, chosen, parts)
+                docs, chosen, total = [], [], 0
+        if docs:
+            yield _dealt(docs, chosen, parts)
+
+    return by_part(ordered.mapInArrow(run, "part int, docs binary, keys binary"), parts)
+
+
+def _dealt(docs: list, keys: list, parts: int) -> pa.RecordBatch:
+    docs, keys = np.concatenate(docs), np.concatenate(keys)
+    order, bounds = deal((keys % U(parts)).astype(np.int64), parts)
+    full = np.flatnonzero(np.diff(bounds))
+    cut = lambda x: pa.array([x[order[bounds[p] : bounds[p + 1]]].tobytes() for p in full], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), cut(docs), cut(keys)], ["part", "docs", "keys"])
+
+
+def buckets(needed: DataFrame) -> DataFrame:
+    """(key, pivot, docs): members of each bucket of two or more, equal buckets once, in rows of CHUNK."""
+
+    def run(batches):
+        docs, keys = [], []
+        for batch in batches:
+            docs += [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+            keys += [np.frombuffer(x, U) for x in batch.column(2).to_pylist()]
+        if not docs:
+            return
+        doc, key = np.concatenate(docs), np.concatenate(keys)
+        order = np.lexsort((doc, key))
+        doc, key = doc[order], key[order]
+        at = runs(key, doc)
+        doc, key = doc[at], key[at]
+        at = runs(key)
+        ends = np.append(at[1:], len(key))
+        more = ends - at > 1
+        at, ends = at[more], ends[more]
+        if not len(at):
+            return
+        name = _sums(mix(doc.astype(U)), at, ends)
+        name, once = np.unique(name, return_index=True)
+        rows = [(n, doc[at[i]], doc[k : min(k + CHUNK, ends[i])]) for n, i in zip(name.view(np.int64).tolist(), once) for k in range(int(at[i]), int(ends[i]), CHUNK)]
+        for k in range(0, len(rows), 20_000):
+            some = rows[k : k + 20_000]
+            starts = np.append(0, np.cumsum([len(r[2]) for r in some])[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int64()), pa.array([r[1] for r in some], pa.int64()), lists(np.concatenate([r[2] for r in some]), starts)], ["key", "pivot", "docs"])
+
+    return needed.mapInArrow(run, "key long, pivot long, docs array<long>").distinct()
+
+
+def _sums(x: np.ndarray, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    total = np.append(U(0), np.cumsum(x, dtype=U))
+    return total[ends] - total[at]
+
+
+def crossing(members: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a bucket's different components whose sizes and sketches allow a link.
+
+    ``members`` has key, doc_id and component. Buckets of more than BLOCK members
+    are compared in a grid of blocks, each cell for itself.
+    """
+    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    cells = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "component")
+    full = cells.join(own.select("doc_id", "n_shingles", "sketch"), "doc_id").select("key", "i", "j", "block", "doc_id", "component", "n_shingles", "sketch")
+    ordered = full.repartition(partitions(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def run(batches):
+        found: set = set()
+        for rows in groups(batches, 3):
+            found.update(_near(rows, percent))
+            if len(found) > 200_000:
+                yield _pairs(found)
+                found = set()
+        yield _pairs(found)
+
+    return ordered.mapInArrow(run, "a long, b long").distinct()
+
+
+def _pairs(found: set) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+
+def _near(rows: pa.Table, percent: int):
+    """Pairs of different components in one cell within the bound of their sizes and sketches."""
+    i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+    block, doc, part, n = (rows.column(k).to_numpy() for k in ("block", "doc_id", "component", "n_shingles"))
+    sketch = [np.frombuffer(x, np.uint64) for x in rows.column("sketch").to_pylist()]
+    for k in range(len(doc) - 1):
+        rest = np.arange(k + 1, len(doc))
+        ok = (part[rest] != part[k]) & (doc[rest] != doc[k]) & (np.minimum(n[rest], n[k]) * 100 >= np.maximum(n[rest], n[k]) * percent)
+        if i != j:
+            ok &= block[rest] != block[k]
+        for m in rest[ok].tolist():
+            if distance(sketch[k], sketch[m]) <= int(n[k] + n[m]) * (100 - percent) // (100 + percent):
+                yield (int(min(doc[k], doc[m])), int(max(doc[k], doc[m])))
 
 
 def verify(pairs: DataFrame, sets_of: DataFrame, percent: int) -> DataFrame:
@@ -306,9 +415,9 @@ def whole_sets(documents: DataFrame, wanted: DataFrame, length: int) -> DataFram
     return texts.join(side, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles binary")
 
 
-def checked(documents: DataFrame, own: DataFrame, pairs: DataFrame, percent: int, length: int) -> DataFrame:
-    """The links among the pairs: by sketches, then by whole sets."""
-    near = materialize(plausible(pairs, own, percent).distinct(), "near")
+def checked(documents: DataFrame, own: DataFrame, near: DataFrame, percent: int, length: int) -> DataFrame:
+    """The links among the pairs (a, b), by whole sets."""
+    near = materialize(near.distinct(), "near")
     wanted = materialize(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
     if wanted.isEmpty():
         return near
@@ -325,22 +434,18 @@ def similar_documents(documents: DataFrame, percent: int = PERCENT, length: int
     bands = Bands(percent)
     parts = parts or partitions(spark)
     own = materialize(sets(documents, length), "sets")
-    found = materialize(buckets_of(keys_of(documents, length, bands, parts)), "buckets")
-    small = found.where("docs is not null").select("docs").distinct().select(F.xxhash64("docs").alias("key"), F.explode("docs").alias("doc_id"))
-    members = materialize(small.unionByName(needed_large(found)).distinct(), "members")
-    discard(found)
-    stars = members.groupBy("key").agg(F.min("doc_id").alias("a"))
-    pairs = materialize(members.join(stars, "key").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), "pairs")
-    links = checked(documents, own, pairs, percent, length)
+    shared = materialize(shared_blocks(keys_of(documents, length, bands, parts)), "blocks")
+    found = materialize(buckets(needed_blocks(shared, parts)), "buckets")
+    discard(shared)
+    pairs = found.select(F.col("pivot").alias("a"), F.explode("docs").alias("b")).where("a <> b").distinct()
+    links = checked(documents, own, plausible(pairs, own, percent), percent, length)
     label = materialize(components(links, "a", "b"), "labels")
     # what shares a bucket but not yet a component
+    members = found.select("key", F.explode("docs").alias("doc_id"))
     placed = members.join(label, members.doc_id == label.node, "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     rest = materialize(placed.join(mixed, "key", "left_semi"), "rest")
-    left, right = rest.alias("l"), rest.alias("r")
-    cross = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.doc_id") < F.col("r.doc_id")) & (F.col("l.component") != F.col("r.component")))
-    cross = cross.select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = checked(documents, own, cross, percent, length)
+    more = checked(documents, own, crossing(rest, own, percent), percent, length)
     if not more.isEmpty():
         label = materialize(components(links.unionByName(more), "a", "b"), "labels")
     alike = own.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
