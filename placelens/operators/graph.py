@@ -43,3 +43,87 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def largest_component(edges: DataFrame, by: list[str], src: str = "src", dst: str = "dst") -> DataFrame:
+    """(by, node): the nodes of each group's largest component, ties by the smallest node."""
+    keyed = edges.select(F.struct(*by, F.col(src).alias("n")).alias("a"), F.struct(*by, F.col(dst).alias("n")).alias("b"))
+    label = components(keyed, "a", "b").select(*(F.col(f"node.{k}").alias(k) for k in by), F.col("node.n").alias("node"), F.col("component.n").alias("component"))
+    size = label.groupBy(*by, "component").agg(F.count("*").alias("size"))
+    best = size.groupBy(*by).agg(F.min_by("component", F.struct(-F.col("size"), "component")).alias("component"))
+    return label.join(best, [*by, "component"], "left_semi").select(*by, "node")
+
+
+def merged_graph(edges: DataFrame, label: DataFrame, by: list[str]) -> DataFrame:
+    """(by, src, dst, w, links): edges between the groups that ``label`` (by, node, component) merges nodes to."""
+    a = label.select(*by, F.col("node").alias("src"), F.col("component").alias("ca"))
+    b = label.select(*by, F.col("node").alias("dst"), F.col("component").alias("cb"))
+    both = edges.join(a, [*by, "src"], "left").join(b, [*by, "dst"], "left")
+    ends = both.select(*by, F.coalesce("ca", "src").alias("s"), F.coalesce("cb", "dst").alias("t"), "w", *(["links"] if "links" in edges.columns else [F.lit(1).cast("long").alias("links")])).where("s <> t")
+    return ends.groupBy(*by, F.least("s", "t").alias("src"), F.greatest("s", "t").alias("dst")).agg(F.sum("w").alias("w"), F.sum("links").alias("links"))
+
+
+def contract_edges(edges: DataFrame, by: list[str], threshold: float, least: float = 1.5) -> DataFrame:
+    """(by, node, component): groups joined by more than ``least`` links of mean weight over the threshold, until none is left.
+
+    Rounds are set-based: all such pairs of a round are merged together.
+    """
+    now, label = materialize(merged_graph(edges, edges.select(*by, F.col("src").alias("node"), F.col("src").alias("component")).limit(0), by), "merged"), None
+    for _ in range(MOST_ROUNDS):
+        strong = now.where((F.col("links") > least) & (F.col("w") / F.col("links") > threshold))
+        keyed = strong.select(F.struct(*by, F.col("src").alias("n")).alias("a"), F.struct(*by, F.col("dst").alias("n")).alias("b"))
+        if keyed.isEmpty():
+            break
+        one = components(keyed, "a", "b").select(*(F.col(f"node.{k}").alias(k) for k in by), F.col("node.n").alias("node"), F.col("component.n").alias("component"))
+        if label is None:
+            label = materialize(one, "labels")
+        else:
+            # nodes follow the group that they were merged to; groups new to the labels come in
+            step = one.withColumnsRenamed({"node": "component", "component": "next"})
+            followed = label.join(step, [*by, "component"], "left").select(*by, "node", F.coalesce("next", "component").alias("component"))
+            label = materialize(followed.unionByName(one.join(label, [*by, "node"], "left_anti")), "labels")
+        last, now = now, materialize(merged_graph(now, one, by), "merged")
+        discard(last)
+    if label is None:
+        return edges.select(*by, F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    return label
+
+
+def euclidean_clusters(points: DataFrame, tolerance: float, least: int, most: int, by: list[str]) -> DataFrame:
+    """(by, pt_idx, cluster): components of the radius graph with their number of points in limits.
+
+    Points in one cell whose diagonal is within the tolerance belong together, so
+    they stand as one node; only pairs of cells are linked, each by its first
+    pair of points in reach.
+    """
+    from placelens.functions.geometry import cell
+    from placelens.operators.spatial import pairs_within
+
+    edge = tolerance / 3**0.5 * 0.999
+    fine = {f"f{k}": cell(k, edge) for k in "xyz"}
+    placed = points.select(*by, "pt_idx", "x", "y", "z").withColumns(fine)
+    node = placed.groupBy(*by, "fx", "fy", "fz").agg(F.min("pt_idx").alias("node"))
+    placed = materialize(placed.join(node, [*by, "fx", "fy", "fz"]).select(*by, "pt_idx", "x", "y", "z", "node"), "placed")
+    links = pairs_within(placed, placed, tolerance, by).where("node < b_node").select(*by, "node", F.col("b_node").alias("other")).distinct()
+    keyed = links.select(F.struct(*by, F.col("node").alias("n")).alias("a"), F.struct(*by, F.col("other").alias("n")).alias("b"))
+    label = components(keyed, "a", "b").select(*(F.col(f"node.{k}").alias(k) for k in by), F.col("node.n").alias("node"), F.col("component.n").alias("c"))
+    out = placed.join(label, [*by, "node"], "left").select(*by, "pt_idx", F.coalesce("c", "node").alias("cluster"))
+    size = out.groupBy(*by, "cluster").agg(F.count("*").alias("size")).where(F.col("size").between(least, most))
+    return out.join(size, [*by, "cluster"]).select(*by, "pt_idx", "cluster", "size")
+
+
+def reject_planar(clusters: DataFrame, by: list[str], distance: float, share: float, hypotheses: int) -> DataFrame:
+    """(by): clusters (by, pt_idx, x, y, z) of which no plane through three of their points holds more than ``share``.
+
+    The three points of each hypothesis are those of smallest hash, so that runs repeat.
+    """
+    seed = clusters.select(*by, "pt_idx", "x", "y", "z", F.explode(F.sequence(F.lit(0), F.lit(hypotheses - 1))).alias("h"))
+    three = seed.groupBy(*by, "h").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("pt_idx", "h").alias("o"), "x", "y", "z"))), 1, 3).alias("p")).where(F.size("p") == 3)
+    p = F.col("p")
+    u = {k: p[1][k] - p[0][k] for k in "xyz"}
+    v = {k: p[2][k] - p[0][k] for k in "xyz"}
+    n = {"a": u["y"] * v["z"] - u["z"] * v["y"], "b": u["z"] * v["x"] - u["x"] * v["z"], "c": u["x"] * v["y"] - u["y"] * v["x"]}
+    plane = three.select(*by, "h", *(e.alias(k) for k, e in n.items()), *(p[0][k].alias(f"o{k}") for k in "xyz")).withColumn("l", F.sqrt(F.expr("a * a + b * b + c * c"))).where("l > 0")
+    off = F.abs((F.col("x") - F.col("ox")) * F.col("a") + (F.col("y") - F.col("oy")) * F.col("b") + (F.col("z") - F.col("oz")) * F.col("c")) / F.col("l")
+    best = clusters.join(plane, by).groupBy(*by, "h").agg(F.avg((off <= distance).cast("int")).alias("s")).groupBy(*by).agg(F.max("s").alias("s"))
+    return clusters.select(*by).distinct().join(best, by, "left").where(F.coalesce("s", F.lit(0.0)) <= share).select(*by)
