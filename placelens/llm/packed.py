@@ -8,7 +8,7 @@ import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-MEMO = 400_000
+MEMO = 200_000
 U = np.uint64
 
 
@@ -46,7 +46,7 @@ def byte_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
 
 
-def sliced(batch: pa.RecordBatch, most: int = 8_000_000):
+def sliced(batch: pa.RecordBatch, most: int = 4_000_000):
     """Parts of a batch of (id, text binary), of about ``most`` bytes each: ids (null: None) and texts."""
     sizes = pa.compute.binary_length(batch.column(1)).to_pylist()
     start = total = 0

@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 BLANK = "▁"
 #: Chunks whose encoding a worker remembers, and pairs of tokens: the first it meets.
-MEMO = 600_000
+MEMO = 300_000
 NEVER = 1 << 40
 #: Bytes of text that a worker turns into arrays at once.
-SLICE = 4_000_000
+SLICE = 2_000_000
 
 
 def read_model(path: str) -> bytes:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from placelens.llm.sentencepiece_bpe import Vocabulary, byte_sizes, slices, texts_of
 
 #: Pre-tokens whose count a worker remembers: the first it meets.
-MEMO = 600_000
+MEMO = 300_000
 NEVER = 1 << 40
 
 
