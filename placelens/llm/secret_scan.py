@@ -127,11 +127,12 @@ def redact(documents: DataFrame, ledger: DataFrame | None = None, id_col: str =
     blob = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
     joined = documents.join(per_blob, blob == F.col("__blob"), "left")
     hit = F.col("__spans").isNotNull()
-    text = F.when(hit, redacted(F.col(text_col), F.col("__spans"))).otherwise(F.col(text_col))
-    changed = {text_col: text}
+    # the length is that of the finished text, in a projection of its own
+    changed = joined.withColumn(text_col, F.when(hit, redacted(F.col(text_col), F.col("__spans"))).otherwise(F.col(text_col)))
     if length_col in documents.columns:
-        changed[length_col] = F.when(hit, F.length(text).cast(documents.schema[length_col].dataType)).otherwise(F.col(length_col))
-    return joined.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in documents.columns))
+        length = F.length(text_col).cast(documents.schema[length_col].dataType)
+        changed = changed.withColumn(length_col, F.when(hit, length).otherwise(F.col(length_col)))
+    return changed.select(*documents.columns)
 
 
 def joined_spans(spans: Column) -> Column:
