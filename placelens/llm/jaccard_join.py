@@ -191,13 +191,8 @@ def keys_of(documents: DataFrame, length: int, bands: Bands, parts: int) -> Data
     return by_part(byte_texts(documents).mapInArrow(run, "part int, entries binary, counts binary, keys binary"), parts)
 
 
-def lists(values: np.ndarray, starts: np.ndarray) -> pa.Array:
-    offsets = np.append(starts, len(values)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-
-
-def shared_blocks(keys: DataFrame) -> DataFrame:
-    """(doc_id, band, filled, prefix, keys, sizes): the blocks that a document shares with others, by part."""
+def shared_blocks(keys: DataFrame, parts: int) -> DataFrame:
+    """The blocks that documents share with others, packed as in ``keys_of`` with buckets' sizes, dealt by document."""
 
     def run(batches):
         entries, counts, keys = [], [], []
@@ -227,13 +222,16 @@ def shared_blocks(keys: DataFrame) -> DataFrame:
         size = np.diff(np.append(starts, len(key)))
         of = np.repeat(size, size)
         key, entry, of = key[of > 1], entry[of > 1], of[of > 1]
-        order = np.argsort(entry, kind="stable")
-        entry, key, of = entry[order], key[order], of[order]
-        at = runs(entry)
-        t = table[entry[at]]
-        yield pa.RecordBatch.from_arrays([*(pa.array(t[:, k]) for k in (0, 2, 3, 4)), lists(key.view(np.int64), at), lists(of.astype(np.int32), at)], ["doc_id", "band", "filled", "prefix", "keys", "sizes"])
+        order, bounds = deal((mix(table[entry, 0].astype(U)) % U(parts)).astype(np.int64), parts)
+        out = []
+        for p in np.flatnonzero(np.diff(bounds)):
+            at = order[bounds[p] : bounds[p + 1]]
+            at = at[np.argsort(entry[at], kind="stable")]
+            used, counts = np.unique(entry[at], return_counts=True)
+            out.append((int(p), table[used][:, [0, 2, 3, 4]].tobytes(), counts.astype(np.int32).tobytes(), key[at].tobytes(), of[at].astype(np.int32).tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[k] for x in out], pa.binary()) for k in range(1, 5))], ["part", "entries", "counts", "keys", "sizes"])
 
-    return keys.mapInArrow(run, "doc_id long, band long, filled long, prefix long, keys array<long>, sizes array<int>")
+    return keys.mapInArrow(run, "part int, entries binary, counts binary, keys binary, sizes binary")
 
 
 def lists(values: np.ndarray, starts: np.ndarray) -> pa.Array:
@@ -259,31 +257,34 @@ def groups(batches, keys: int):
 
 def needed_blocks(found: DataFrame, parts: int) -> DataFrame:
     """(part, docs, keys): the rarest blocks of each document, as many as are not its own among D + 1."""
-    ordered = found.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "band")
 
     def run(batches):
-        docs, chosen, total = [], [], 0
-        for rows in groups(batches, 2):
-            key = rows.column(4).combine_chunks().flatten().to_numpy()
-            take = int(rows.column(3)[0].as_py()) - (int(rows.column(2)[0].as_py()) - len(key))
-            if take <= 0:
-                continue
-            size = rows.column(5).combine_chunks().flatten().to_numpy()
-            key = key[np.lexsort((key, size))[:take]]
-            chosen.append(key.view(U))
-            docs.append(np.full(len(key), rows.column(0)[0].as_py(), np.int64))
-            total += len(key)
-            if total > 500_000:
-                yield _dealt(docs, chosen, parts)
-                docs, chosen, total = [], [], 0
-        if docs:
-            yield _dealt(docs, chosen, parts)
-
-    return by_part(ordered.mapInArrow(run, "part int, docs binary, keys binary"), parts)
-
-
-def _dealt(docs: list, keys: list, parts: int) -> pa.RecordBatch:
-    docs, keys = np.concatenate(docs), np.concatenate(keys)
+        tables, counts, keys, sizes = [], [], [], []
+        for batch in batches:
+            for e, c, k, n in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
+                tables.append(np.frombuffer(e, np.int64).reshape(-1, 4))
+                counts.append(np.frombuffer(c, np.int32))
+                keys.append(np.frombuffer(k, U))
+                sizes.append(np.frombuffer(n, np.int32))
+        if not keys:
+            return
+        table, key, size = np.concatenate(tables), np.concatenate(keys), np.concatenate(sizes)
+        entry = np.repeat(np.arange(len(table)), np.concatenate(counts))
+        doc, band = table[entry, 0], table[entry, 1]
+        order = np.lexsort((key, size, band, doc))
+        entry, key, doc, band = entry[order], key[order], doc[order], band[order]
+        at = runs(doc, band)
+        n = np.diff(np.append(at, len(key)))
+        head = table[entry[at]]
+        take = head[:, 3] - (head[:, 2] - n)
+        keep = np.arange(len(key)) - np.repeat(at, n) < np.repeat(take, n)
+        if keep.any():
+            yield _dealt(doc[keep], key[keep], parts)
+
+    return by_part(by_part(found, parts).mapInArrow(run, "part int, docs binary, keys binary"), parts)
+
+
+def _dealt(docs: np.ndarray, keys: np.ndarray, parts: int) -> pa.RecordBatch:
     order, bounds = deal((keys % U(parts)).astype(np.int64), parts)
     full = np.flatnonzero(np.diff(bounds))
     cut = lambda x: pa.array([x[order[bounds[p] : bounds[p + 1]]].tobytes() for p in full], pa.binary())
@@ -434,7 +435,7 @@ def similar_documents(documents: DataFrame, percent: int = PERCENT, length: int
     bands = Bands(percent)
     parts = parts or partitions(spark)
     own = materialize(sets(documents, length), "sets")
-    shared = materialize(shared_blocks(keys_of(documents, length, bands, parts)), "blocks")
+    shared = materialize(shared_blocks(keys_of(documents, length, bands, parts), parts), "blocks")
     found = materialize(buckets(needed_blocks(shared, parts)), "buckets")
     discard(shared)
     pairs = found.select(F.col("pivot").alias("a"), F.explode("docs").alias("b")).where("a <> b").distinct()
