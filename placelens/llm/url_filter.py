@@ -63,25 +63,80 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> tupl
     return name, verdict
 
 
-# The target of a canonical link, with rel on either side of href, and of a meta refresh.
-LINKS = (
-    r"""(?is)<link\b[^>]*?\brel\s*=\s*["']?canonical\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)""",
-    r"""(?is)<link\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)[^>]*?\brel\s*=\s*["']?canonical\b""",
-    r"""(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*["']?refresh\b[^>]*?\burl\s*=\s*["']?([^"'\s>]+)""",
+# The rest of a tag: quotes count behind an equals sign only. Possessive, so that long tags are read in a loop.
+ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
+# Comments, elements of plain text and all other tags are read over; group 2 is a tag that may hold a link.
+TAGS = (
+    r"(?is)<!---?>|<!--.*?(?:--!?>|\z)"
+    rf"|<(script|style|title|textarea|xmp|iframe|noembed|noframes)(?=[\s/>]){ATTRIBUTES}>.*?(?:</\1(?=[\s/>])|\z)"
+    rf"|(<(?:link|meta|base)(?=[\s/]){ATTRIBUTES}(?:>|\z))"
+    rf"|</?[a-z]{ATTRIBUTES}(?:>|\z)"
 )
+ATTRIBUTE = r"""(?s)(?<=[\s"'/])([^\s"'<>/=]++)\s*+=\s*+("[^"]*"|'[^']*'|[^\s>]++)"""
+REFRESH = r"""(?is)^\s*(?:[\d.]+(?:\s*[;,]\s*|\s+)|(?=url\s*=))(?:url\s*=\s*)?(?:"([^"]*)|'([^']*)|(.*))"""
 
 
 def node(host: Column, path: Column) -> Column:
     return F.concat(host, F.when(path == "", "/").otherwise(path))
 
 
+def attribute(tag: Column, name: str) -> Column:
+    """The first value of an attribute without its quotes; else null."""
+    names, values = (F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(k)) for k in (1, 2))
+    value = F.get(values, F.array_position(F.transform(names, F.lower), name).cast("int") - 1)
+    return F.regexp_replace(value, r"""(?s)^(["'])(.*)\1$""", "$2")
+
+
+def target_of(tag: Column) -> Column:
+    """Where a canonical link or a meta refresh leads; else null."""
+    rel = F.split(F.lower(attribute(tag, "rel")), r"\s+")
+    content = attribute(tag, "content")
+    refresh = F.concat(*(F.regexp_extract(content, REFRESH, k) for k in (1, 2, 3)))
+    canonical = F.lower(tag).startswith("<link") & F.array_contains(rel, "canonical")
+    refreshes = F.lower(tag).startswith("<meta") & (F.lower(F.trim(attribute(tag, "http-equiv"))) == "refresh")
+    return F.when(canonical, attribute(tag, "href")).when(refreshes, refresh)
+
+
+def without_dots(path: Column) -> Column:
+    """A path without the segments . and .."""
+    steps = F.split(F.regexp_replace(path, "^/", ""), "/")
+    back = lambda done: F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+    walked = F.aggregate(steps, F.array().cast("array<string>"), lambda done, s: F.when(s == ".", done).when(s == "..", back(done)).otherwise(F.concat(done, F.array(s))))
+    joined = F.concat(F.lit("/"), F.array_join(walked, "/"))
+    open_end = path.rlike(r"/\.\.?$") & (F.size(walked) > 0)
+    return F.when(path.contains("/."), F.concat(joined, F.when(open_end, "/").otherwise(""))).otherwise(path)
+
+
+def resolve(target: Column, host: Column, path: Column) -> tuple[Column, Column]:
+    """Host and path of a target as seen from a page (RFC 3986); null where it is not a place of some host."""
+    t = F.trim(F.regexp_replace(target, r"[\t\r\n]", ""))
+    plain = F.regexp_extract(t, r"(?s)^([^?#]*)", 1)
+    whole, network = t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), t.startswith("//")
+    other = t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")
+    url = F.when(whole, t).when(network, F.concat(F.lit("http:"), t))
+    beside = F.concat(F.when(path == "", "/").otherwise(F.regexp_extract(path, r"(?s)^(.*/)", 1)), plain)
+    there = F.when(plain == "", path).when(plain.startswith("/"), plain).otherwise(beside)
+    far = whole | network
+    return F.when(far, host_of(url)).when(~other, host), without_dots(F.when(far, path_of(url)).when(~other, there))
+
+
 def links(pages: DataFrame) -> DataFrame:
-    """(src, dst) nodes of canonical links and redirects; relative targets are on the page's host."""
-    html = F.substring_index(F.coalesce(F.col("html").cast("string"), F.lit("")), "<body", 1)
-    targets = F.concat(*(F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in LINKS))
-    found = pages.where("host <> ''").where(F.lower(html).rlike("canonical|refresh")).select("host", "src", F.explode(targets).alias("target"))
-    absolute = F.when(F.col("target").contains("://"), F.col("target")).when(F.col("target").startswith("//"), F.concat(F.lit("http:"), "target")).when(F.col("target").startswith("/"), F.concat(F.lit("http://"), "host", "target"))
-    return found.select("src", absolute.alias("url")).where("url is not null").select("src", node(host_of(F.col("url")), path_of(F.col("url"))).alias("dst"))
+    """(src, dst) nodes of canonical links and redirects anywhere in a page.
+
+    Relative targets are resolved against the first base element that has a href, or
+    else the page's url.
+    """
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    found = pages.where("host <> ''").where(html.rlike("(?i)canonical|refresh"))
+    tags = found.select("host", "path", "src", F.filter(F.regexp_extract_all(html, F.lit(TAGS), F.lit(2)), lambda t: t != "").alias("tags"))
+    base = F.get(F.filter(F.transform(F.filter("tags", lambda t: F.lower(t).startswith("<base")), lambda t: attribute(t, "href")), lambda h: h.isNotNull()), F.lit(0))
+    targets = F.filter(F.transform("tags", target_of), lambda t: t.isNotNull())
+    seen = tags.select("host", "path", "src", base.alias("base"), F.explode(targets).alias("target"))
+    at = [F.coalesce(b, F.col(c)) for b, c in zip(resolve(F.col("base"), F.col("host"), F.col("path")), ("host", "path"))]
+    seen = seen.select("src", "target", at[0].alias("host"), at[1].alias("path"))
+    host, path = resolve(F.col("target"), F.col("host"), F.col("path"))
+    ends = seen.select("src", "target", host.alias("host"), path.alias("path")).where("target <> '' and host <> ''")
+    return ends.select("src", node(F.col("host"), F.col("path")).alias("dst"))
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, redirects: DataFrame | None = None) -> DataFrame:

@@ -155,6 +155,25 @@ def test_url_verdicts(spark):
     assert U.judge(pages.limit(0)).count() == 0
 
 
+def test_url_links_of_whole_pages(spark):
+    to = "http://com/en/x"
+    pages = [
+        ("/a/b", f"<body><p>x</p><meta http-equiv=refresh content='0; url={to}'>", "com/en/x"),
+        ("/a/b", f"<HEAD><BODY class='x'><LINK REL=canonical HREF={to}>", "com/en/x"),
+        ("/a/b", f"<script>if (a<b) s='<body>'</script><!-- <body --><title><body></title><link rel=canonical href='{to}'>", "com/en/x"),
+        ("/a/b", f"<link href='{to}' rel='nofollow Canonical'>", "com/en/x"), ("/a/b", f"<meta content=\"3;URL='{to}'\" http-equiv='Refresh'>", "com/en/x"), ("/a/b", f"<meta name=x content='a>b' http-equiv=refresh content='1;url={to}'>", None),
+        ("/a/b", "<link rel=canonical href=next.html>", "h.info/a/next.html"), ("/a/b/", "<link rel=canonical href='../x/./y?z#u'>", "h.info/a/x/y"), ("/a/b", "<link rel=canonical href='../../../c/..'>", "h.info/"), ("", "<link rel=canonical href=next>", "h.info/next"),
+        ("/a/b", "<link rel=canonical href='?p=2'>", "h.info/a/b"), ("/a/b?q", "<link rel=canonical href='#top'>", "h.info/a/b"), ("/a/b", "<meta http-equiv=refresh content='5'>", None), ("/a/b", "<meta http-equiv=refresh content='5; /z'>", "h.info/z"),
+        ("/a/b", "<link rel=canonical href='/go?u=http://com/en/'>", "h.info/go"), ("/a/b", "<link rel=canonical href='//COM/en/../de/'>", "com/de/"), ("/a/b", "<link rel=canonical href='mailto:x@com'>", None), ("/a/b", "<base href='/c/d/'><link rel=canonical href=e>", "h.info/c/d/e"),
+        ("/a/b", f"<!-- <link rel=canonical href='{to}'> --><script>'<link rel=canonical href={to}>'</script><p title='<link rel=canonical href={to}>'>", None), ("/a/b", f"<link title='rel=canonical' href='{to}'>canonical", None), ("/a/b", "<link rel=canonical " + "a=b " * 20000 + f"href='{to}'>", "com/en/x"),
+    ]
+    df = spark.createDataFrame([(k, f"http://h.info{path}", html) for k, (path, html, _) in enumerate(pages)], "page_id long, url string, html string")
+    base = df.select(F.col("page_id").cast("string").alias("src"), U.host_of(F.col("url")).alias("host"), U.path_of(F.col("url")).alias("path"), "html")
+    got = {int(r.src): r.dst for r in U.links(base).collect()}
+    assert {k: got.get(k) for k in range(len(pages))} == {k: want for k, (_, _, want) in enumerate(pages)}
+    assert {r.page_id for r in U.judge(df.withColumn("url", F.concat(F.lit("http://h"), "page_id", F.lit(".info/a")))).where("verdict = 'block' and source = 'alias'").collect()} == {0, 1, 2, 3, 4, 20}
+
+
 def test_url_oracle(spark, sf):
     con = duckdb.connect()
     con.sql(f"create view pages as select * from '{sf}/pages.parquet'")
