@@ -12,10 +12,11 @@ is a text's score.
 The filter consists of one part for each shuffle partition, each as large as its
 entries ask for (BITS bits an entry), and is made in the same task that sums the
 part's counts. It follows the corpus; up to BROADCAST_BYTES in all it is broadcast.
-Beyond that, ``joined_scores`` does the same work by joins with the count tables,
-quantised alike, without the filter's false positives.
+Beyond that the parts stay where they are: ``parted_scores`` sends the words and
+bigrams of each slice of texts to the parts that own them and scores from the
+answers. The scores are the same at every size, false positives included.
 
-Words are named by 64-bit hashes in the broadcast form and by themselves in joins.
+Words are named by 64-bit hashes.
 
 Defined results: a null text is empty, its only token is the end; rows are kept one
 to one and each counts; a row with a null id is not learnt from and not held out;
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from placelens.llm.packed import U, by_part, byte_texts, deal, mix, sliced, word_hashes
@@ -35,6 +37,7 @@ from placelens.scratch import materialize, partitions
 BITS, PROBES = 8, 4
 STRENGTH, SHARE = 10.0, 1.0
 BROADCAST_BYTES = 320_000_000
+SLICE = 8_000_000
 END, START = 0x7FB5D329728EA185, 0x81DADEF4BC2DD44D
 OUT = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -107,7 +110,7 @@ def count_parts(training: DataFrame, parts: int) -> DataFrame:
 
     def gather(batches):
         for batch in batches:
-            for _, texts in sliced(batch, 8_000_000):
+            for _, texts in sliced(batch, SLICE):
                 flat, before, _ = tokens(texts)
                 out: dict[int, list] = {}
                 for kind, names in enumerate((flat, bigram(before, flat))):
@@ -189,20 +192,31 @@ class Model:
         return level
 
     def score(self, texts: list[bytes]) -> list[np.ndarray]:
-        """n_tokens, n_known, base score and score of each text."""
-        flat, before, bounds = tokens(texts)
-        names, inverse = np.unique(flat, return_inverse=True)
-        count = self.word_counts(names)
-        base = (count + 1) / (self.tokens + self.distinct + 1)
-        c, p = count[inverse], base[inverse]
-        of_before = np.append(0.0, c[:-1])
-        of_before[bounds[:-1]] = self.documents
-        q = level_value(self.quantised(bigram(before, flat)))
-        q = np.minimum(q, of_before)
-        own = self.strength + SHARE * of_before
-        smoothed = (q + own * p) / (of_before + own)
-        add = lambda x: np.add.reduceat(x, bounds[:-1])
-        return [np.diff(bounds), add((c > 0).astype(np.int64)), add(np.log10(p)), add(np.log10(smoothed))]
+        return scored(texts, lambda names, pairs: (self.word_counts(names), self.quantised(pairs)), self.tokens, self.distinct, self.documents, self.strength)
+
+
+def scored(texts: list[bytes], look, tokens_: int, distinct: int, documents: int, strength: float) -> list[np.ndarray]:
+    """n_tokens, n_known, base score and score of each text.
+
+    ``look`` has the counts of distinct words and the levels of bigrams.
+    """
+    flat, before, bounds = tokens(texts)
+    names, inverse = np.unique(flat, return_inverse=True)
+    count, level = look(names, bigram(before, flat))
+    base = (count + 1) / (tokens_ + distinct + 1)
+    c, p = count[inverse], base[inverse]
+    of_before = np.append(0.0, c[:-1])
+    of_before[bounds[:-1]] = documents
+    q = np.minimum(level_value(level), of_before)
+    own = strength + SHARE * of_before
+    smoothed = (q + own * p) / (of_before + own)
+    add = lambda x: np.add.reduceat(x, bounds[:-1])
+    return [np.diff(bounds), add((c > 0).astype(np.int64)), add(np.log10(p)), add(np.log10(smoothed))]
+
+
+def as_rows(ids: pa.Array, found: list[np.ndarray], n: int) -> pa.RecordBatch:
+    cols = [pa.array(x, t) for x, t in zip(found, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
+    return pa.RecordBatch.from_arrays([ids, cols[0], cols[1], pa.array(np.full(len(ids), n), pa.int64()), cols[2], cols[3]], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
 def score(documents: DataFrame, parts: int | None = None, strength: float = STRENGTH, broadcast_bytes: int = BROADCAST_BYTES, training: Column | None = None) -> DataFrame:
@@ -214,7 +228,7 @@ def score(documents: DataFrame, parts: int | None = None, strength: float = STRE
     made = materialize(count_parts(learnt, parts), "counts")
     size = made.agg(F.sum(F.length("words") + F.length("counts") + F.length("bits"))).first()[0] or 0
     if size > broadcast_bytes:
-        return joined_scores(texts, learnt, strength)
+        return parted_scores(texts, made, parts, learnt.count(), strength)
     model = Model(made.collect(), parts, learnt.count(), strength)
     shared = spark.sparkContext.broadcast(model)
     n = model.tokens
@@ -223,38 +237,90 @@ def score(documents: DataFrame, parts: int | None = None, strength: float = STRE
     def run(batches):
         for batch in batches:
             for ids, part in sliced(batch):
-                found = shared.value.score(part)
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
-                cols = [pa.array(x, t) for x, t in zip(found, kinds)]
-                yield pa.RecordBatch.from_arrays([ids, cols[0], cols[1], pa.array(np.full(len(ids), n), pa.int64()), cols[2], cols[3]], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                yield as_rows(ids, shared.value.score(part), n)
 
     return texts.mapInArrow(run, OUT)
 
 
-def joined_scores(texts: DataFrame, learnt: DataFrame, strength: float) -> DataFrame:
-    """The same scores by joins with tables of exact counts, for models beyond the broadcast's bound."""
-
-    def words(df: DataFrame) -> DataFrame:
-        lower = F.translate(F.col("text").cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-        parts = F.filter(F.split(lower, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-        # words hold no blanks, so that the marks of start and end cannot be words
-        return df.withColumn("w", F.concat(parts, F.array(F.lit(" end")))).withColumn("u", F.concat(F.array(F.lit(" start")), parts)).drop("text")
-
-    pairs = lambda df: df.select("*", F.explode(F.arrays_zip("u", "w")).alias("t")).select(*[c for c in df.columns if c not in ("u", "w")], "t.u", "t.w")
-    train = pairs(words(learnt))
-    bigrams = materialize(train.groupBy("u", "w").agg(F.count("*").alias("n")), "bigrams")
-    unigrams = materialize(bigrams.groupBy("w").agg(F.sum("n").alias("c")), "words")
-    total = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    starts = F.lit(bigrams.where("u = ' start'").agg(F.sum("n")).first()[0] or 0)
-    rows = pairs(words(texts.withColumn("row", F.monotonically_increasing_id())))
-    rows = materialize(rows.groupBy("row", "doc_id", "u", "w").agg(F.count("*").alias("k")), "pairs")
-    before = unigrams.withColumnsRenamed({"w": "u", "c": "cu"})
-    full = rows.join(unigrams, "w", "left").join(before, "u", "left").join(bigrams, ["u", "w"], "left").na.fill(0, ["c", "cu", "n"])
-    cu = F.when(F.col("u") == " start", starts).otherwise(F.col("cu"))
-    level = F.floor(F.log2(F.col("n"))) + 1
-    q = F.least(F.when(F.col("n") > 0, (F.lit(1.5) * F.pow(F.lit(2.0), level) - 1) / 2).otherwise(0.0), cu)
-    p = (F.col("c") + 1) / F.lit(total["n"] + total["v"] + 1)
-    own = F.lit(strength) + F.lit(SHARE) * cu
-    smoothed = (q + own * p) / (cu + own)
-    out = full.groupBy("row", "doc_id").agg(F.sum("k").alias("n_tokens"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("n_known"), F.sum(F.col("k") * F.log10(p)).alias("base_score"), F.sum(F.col("k") * F.log10(smoothed)).alias("score"))
-    return out.select("doc_id", "n_tokens", "n_known", F.lit(total["n"]).cast("long").alias("train_tokens"), "base_score", "score")
+def parted_scores(texts: DataFrame, made: DataFrame, parts: int, documents: int, strength: float) -> DataFrame:
+    """The same scores for models beyond the broadcast's bound: each part answers what the slices of texts ask of it."""
+    total = made.agg(F.sum("tokens"), F.sum("distinct")).first()
+    n, distinct = total[0] or 0, total[1] or 0
+
+    def pack(batches):
+        name = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for ids, part in sliced(batch, SLICE):
+                sizes, packed = pa.array([list(map(len, part))], pa.list_(pa.int64())), pa.compress(b"".join(part), "zstd", asbytes=True)
+                yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([ids.to_pylist()], pa.list_(pa.int64())), sizes, pa.array([packed], pa.binary())], ["slice", "ids", "sizes", "texts"])
+                name += 1
+
+    def unpack(sizes: list[int], packed: bytes) -> list[bytes]:
+        flat = pa.decompress(packed, sum(sizes), "zstd", asbytes=True) if any(sizes) else b""
+        ends = np.cumsum(sizes).tolist()
+        return [flat[end - size : end] for size, end in zip(sizes, ends)]
+
+    slices = materialize(texts.mapInArrow(pack, "slice long, ids array<long>, sizes array<long>, texts binary"), "slices")
+    every = np.sort(np.array([r[0] for r in slices.select("slice").collect()], np.int64))
+
+    def ask(batches):
+        for batch in batches:
+            for name, sizes, packed in zip(*batch.columns):
+                name = name.as_py()
+                flat, before, _ = tokens(unpack(sizes.as_py(), packed.as_py()))
+                out: dict[int, list] = {}
+                for kind, names in enumerate((np.unique(flat), np.unique(bigram(before, flat)))):
+                    order, bounds = deal((names % U(parts)).astype(np.int64), parts)
+                    for p in np.flatnonzero(np.diff(bounds)).tolist():
+                        out.setdefault(p, [b"", b""])[kind] = names[order[bounds[p] : bounds[p + 1]]].tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([name] * len(out), pa.int64()), *(pa.array([r[k] for r in out.values()], pa.binary()) for k in range(2)), pa.array([None] * len(out), pa.binary())], ["part", "slice", "a", "b", "c"])
+
+    def answer(batches):
+        rows = [r for batch in batches for r in zip(*(batch.column(k).to_pylist() for k in range(5)))]
+        model = Model([{"part": p, "words": a, "bits": b, "counts": c} for p, name, a, b, c in rows if name < 0], parts, documents, strength)
+        for p, name, a, b, _ in rows:
+            if name >= 0:
+                counts, level = model.word_counts(np.frombuffer(a, U)), model.quantised(np.frombuffer(b, U))
+                home = int(np.searchsorted(every, name)) % parts
+                yield pa.RecordBatch.from_arrays([pa.array([home], pa.int32()), pa.array([name], pa.int64()), pa.array([p], pa.int32()), pa.array([counts.astype(np.int64).tobytes()], pa.binary()), pa.array([level.astype(np.uint8).tobytes()], pa.binary())], ["home", "slice", "part", "counts", "levels"])
+
+    asked = slices.select("slice", "sizes", "texts").mapInArrow(ask, "part int, slice long, a binary, b binary, c binary")
+    owned = made.select("part", F.lit(-1).cast("long").alias("slice"), F.col("words").alias("a"), F.col("bits").alias("b"), F.col("counts").alias("c"))
+    answers = materialize(by_part(owned.unionByName(asked), parts).mapInArrow(answer, "home int, slice long, part int, counts binary, levels binary"), "answers")
+
+    def send(batches):
+        for batch in batches:
+            home = np.searchsorted(every, batch.column(0).to_numpy()) % parts
+            k = len(home)
+            yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), batch.column(0), pa.array([-1] * k, pa.int32()), *[pa.array([None] * k, pa.binary())] * 2, *batch.columns[1:]], ["home", "slice", "part", "counts", "levels", "ids", "sizes", "texts"])
+
+    def finish(ids: list, part: list[bytes], got: dict[int, tuple[bytes, bytes]]):
+        def look(names, pairs):
+            pairs, inverse = np.unique(pairs, return_inverse=True)
+            out = []
+            for k, (asked_, kind) in enumerate(((names, np.int64), (pairs, np.uint8))):
+                order, bounds = deal((asked_ % U(parts)).astype(np.int64), parts)
+                values = np.zeros(len(asked_), kind)
+                for p in np.flatnonzero(np.diff(bounds)).tolist():
+                    values[order[bounds[p] : bounds[p + 1]]] = np.frombuffer(got[p][k], kind)
+                out.append(values)
+            return out[0].astype(float), out[1].astype(np.int64)[inverse]
+
+        return as_rows(pa.array(ids, pa.int64()), scored(part, look, n, distinct, documents, strength), n)
+
+    def run(batches):
+        name, ids, part, got = None, [], [], {}
+        for batch in batches:
+            for at, p, counts, levels_, i, sizes, packed in zip(*batch.columns[1:]):
+                if p.as_py() < 0:  # a slice's texts come before its answers
+                    if name is not None:
+                        yield finish(ids, part, got)
+                    name, ids, part, got = at.as_py(), i.as_py(), unpack(sizes.as_py(), packed.as_py()), {}
+                else:
+                    got[p.as_py()] = counts.as_py(), levels_.as_py()
+        if name is not None:
+            yield finish(ids, part, got)
+
+    columns = "home int, slice long, part int, counts binary, levels binary, ids array<long>, sizes array<long>, texts binary"
+    sent = slices.mapInArrow(send, columns).unionByName(answers, allowMissingColumns=True)
+    return sent.repartitionById(parts, F.col("home")).sortWithinPartitions("slice", "part").mapInArrow(run, OUT)

@@ -70,6 +70,16 @@ def test_lm_counts_and_base(spark):
     assert L.score(docs.limit(0)).count() == 0
 
 
+def test_lm_scores_are_the_same_on_either_side_of_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(L, "SLICE", 20_000)
+    docs = documents(spark, odd_rows() + [(800 + k, " ".join(words(20 + k, 400, 3000))) for k in range(60)])
+    for parts in (1, 7, 40):
+        near, far = (sorted((tuple(r) for r in L.score(docs.repartition(3), parts=parts, broadcast_bytes=b).collect()), key=repr) for b in (L.BROADCAST_BYTES, 0))
+        assert len(near) == docs.count() and near == far
+    tiny = docs.where("doc_id = 7")
+    assert L.score(tiny, parts=50, broadcast_bytes=0).collect() == L.score(tiny, parts=50).collect()
+
+
 def test_lm_beats_its_base_on_held_out_text(spark, sf):
     held = queries.op4_lm_scoring(spark, sf).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert held[0] > held[1]
