@@ -11,6 +11,8 @@ from placelens.scratch import materialize
 from placelens.sources import views as V
 
 K, DEPTH = 4, 2
+#: Descriptors to train a vocabulary on.
+TRAINING = 400_000
 
 
 def given_tree(spark, d) -> DataFrame:
@@ -166,20 +168,24 @@ def v18(spark, d):
     return B.split_keypoints(V.points(spark, d), ["obs_id"], 30).groupBy("obs_id", "part").agg(F.count("*").alias("n"))
 
 
-@query("v19_build_vocabulary")
-def v19(spark, d):
-    """Train on the first sweeps up to a number of descriptors, then append the rest."""
+def build_vocabulary(e: DataFrame, most: int = TRAINING) -> DataFrame:
+    """Train on the first sweeps up to ``most`` descriptors, the very first in any case, then append the rest."""
     from pyspark.sql import Window
 
-    e = V.descriptors(spark, d)
     upto = e.groupBy("source_id").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy("source_id")))
-    train = e.join(upto.where("upto <= 200").select("source_id"), "source_id", "left_semi")
-    rest = e.join(upto.where("upto > 200").select("source_id"), "source_id", "left_semi")
+    first = F.col("upto") == F.col("n")
+    train = e.join(upto.where((F.col("upto") <= most) | first).select("source_id"), "source_id", "left_semi")
+    rest = e.join(upto.where((F.col("upto") > most) & ~first).select("source_id"), "source_id", "left_semi")
     tree = materialize(B.train_tree(train, K, DEPTH), "tree")
     posts = B.append(B.postings(B.assign_paths(train, tree, DEPTH)), B.postings(B.assign_paths(rest, tree, DEPTH)))
     return posts.select("node_id", "source_id", "tf")
 
 
+@query("v19_build_vocabulary")
+def v19(spark, d):
+    return build_vocabulary(V.descriptors(spark, d))
+
+
 @query("v20_subsegment_search", voc(f"select query_id, source_id, {q4('score')} as score from scores where query_id = 3 and source_id % 7 <> 2 and source_id <> 3"))
 def v20(spark, d):
     """One stored source among the live others."""

@@ -124,6 +124,28 @@ def test_tree_covers_all_descriptors(spark):
     assert self_score and all(abs(r.score) < 1e-9 for r in self_score)
 
 
+def test_vocabulary_of_a_first_sweep_beyond_the_bound(spark):
+    from placelens.plans import retrieval
+
+    rnd = random.Random(7)
+    e = spark.createDataFrame([(k, k % 3, [rnd.gauss(k % 4, 0.1) for _ in range(4)]) for k in range(90)], "vec_id long, source_id int, vec array<double>")
+    for most in (20, 30, 60, retrieval.TRAINING):  # a sweep has 30
+        posts = retrieval.build_vocabulary(e, most).collect()
+        for level in (range(1), range(1, 5), range(5, 21)):
+            tf = {s: sum(r.tf for r in posts if r.node_id in level and r.source_id == s) for s in range(3)}
+            assert tf == {0: 30, 1: 30, 2: 30}
+
+
+def test_the_vocabulary_is_not_lost_as_the_embeddings_grow(spark, tmp_path):
+    from placelens.plans import catalog
+
+    rnd = random.Random(8)
+    rows = [(k, [rnd.gauss(k % 4, 0.1) for _ in range(4)], 0) for k in range(201 * 50)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    tf = {r.depth: r.n for r in catalog.QUERIES["v19_build_vocabulary"](spark, str(tmp_path)).groupBy(F.when(F.col("node_id") == 0, 0).when(F.col("node_id") < 5, 1).otherwise(2).alias("depth")).agg(F.sum("tf").alias("n")).collect()}
+    assert tf == {0: 201 * 50, 1: 201 * 50, 2: 201 * 50}
+
+
 def test_as_of_takes_the_latest_before(spark):
     t = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
     left = spark.createDataFrame([("a", t(5), 1), ("a", t(1), 2), ("b", t(9), 3)], "k string, stamp timestamp, id int")
