@@ -8,8 +8,9 @@ a bitfield and the last token is taken back and shortened. The result is the
 merge-order encoding, in time linear in the chunk.
 
 Texts are cut into chunks before the automaton sees them, only where no piece of
-the vocabulary can reach across (before a run of blanks, around line ends), so
-the cuts never change the ids. This is checked when a model is loaded.
+the vocabulary can reach across (before a run of blanks, around line ends, between
+a letter and the marks that no piece has behind one), so the cuts never change the
+ids. This is checked when a model is loaded.
 
 Defined results: a null text is encoded as the empty text (no ids); rows are kept
 one to one, repeated rows included; an empty table gives an empty table. Only the
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 BLANK = "▁"
 #: Chunks whose encoding a worker remembers, and pairs of tokens: the first it meets.
-MEMO = 300_000
+MEMO, PAIRS = 500_000, 300_000
 NEVER = 1 << 40
 #: Bytes of text that a worker turns into arrays at once.
 SLICE = 2_000_000
@@ -65,21 +66,26 @@ class Vocabulary:
         level = {s: k for k, s in enumerate(order)}
         #: Merge rank of each piece; equal scores have equal ranks, where the leftmost goes first.
         self.rank = {self.texts[i]: level[scores[i]] for i in normal}
+        #: Pairs of characters that stand beside each other in some piece.
+        self.beside = {a + b for t in self.ids for a, b in zip(t, t[1:])}
         self.splitter = re.compile(self._pattern(level[order[-1]]))
-        #: Bytes that each id decodes to; control pieces decode to nothing.
-        self.surface = [b"" if sp.is_control(i) else self.texts[i].replace(BLANK, " ").encode() for i in range(n)]
+        # bytes that each id decodes to, control pieces to nothing; then the same as first of a text
+        surface = [b"" if sp.is_control(i) else self.texts[i].replace(BLANK, " ").encode() for i in range(n)]
         for b, i in enumerate(self.byte_ids):
-            self.surface[i] = bytes([b])
+            surface[i] = bytes([b])
         for i in range(n):
             if sp.is_unknown(i):
-                self.surface[i] = " ⁇ ".encode()
-        self.starts_blank = [t.startswith(BLANK) for t in self.texts]
+                surface[i] = " ⁇ ".encode()
+        surface += [x[1:] if t.startswith(BLANK) else x for x, t in zip(surface, self.texts)]
+        self.surface = np.frombuffer(b"".join(surface), np.uint8)
+        self.surface_size = np.array([len(x) for x in surface], np.int64)
+        self.surface_at = np.cumsum(self.surface_size) - self.surface_size
         for text in ("", " ", "  two  blanks ", "line\nend", "é́ ﬁ"):
             if sp.encode(text) != encode_slowly(self, text):
                 raise ValueError("the model's normalisation is not the identity with a leading blank")
 
     def _pattern(self, last: int) -> str:
-        """Where chunks are cut, as a regular expression of one chunk."""
+        """Where chunks are cut, as a regular expression of one chunk; blanks are spaces."""
         if any(a != BLANK and b == BLANK for t in self.ids for a, b in zip(t, t[1:])):
             return r"(?s).+"
         line = "\n" if not any("\n" in t and len(t) > 1 for t in self.ids) else ""
@@ -87,12 +93,20 @@ class Vocabulary:
         pattern = f"{line}|" if line else ""
         if runs and sorted(runs) == list(range(2, max(runs) + 1)) and all(self.rank[BLANK * k] == last for k in runs):
             # such merges come last and from the left, so a longer run starts with the longest of them
-            pattern += f"{BLANK}{{{max(runs)}}}(?={BLANK})|"
-        return f"(?s){pattern}{BLANK}+[^{BLANK}{line}]*|[^{BLANK}{line}]+"
+            pattern += f" {{{max(runs)}}}(?= )|"
+        # marks that follow nothing but marks and blanks in any piece
+        marks, size = {c for t in self.ids for c in t if not (c.isalpha() or c in BLANK + "\n")}, 0
+        while len(marks) != size:
+            size = len(marks)
+            marks -= {p[1] for p in self.beside if p[0] != BLANK and p[0] not in marks}
+        marks = "".join(map(re.escape, sorted(marks)))
+        if not marks:
+            return f"(?s){pattern} +[^ {line}]*|[^ {line}]+"
+        return f"(?s){pattern} *[^ {line}{marks}]+| *[{marks}]+[^ {line}{marks}]*| +"
 
     def chunks(self, text: str) -> list[str]:
-        """The chunks of a text, in order."""
-        return self.splitter.findall(BLANK + text.replace(" ", BLANK)) if text else []
+        """The chunks of a text, in order, with spaces for blanks."""
+        return self.splitter.findall(" " + text.replace(BLANK, " ")) if text else []
 
 
 def merge(vocabulary: Vocabulary, text: str) -> list[str]:
@@ -127,63 +141,52 @@ class Encoder:
             if len(t) == 1 or merge(v, t) == [t]:
                 self.automaton.add_word(t, len(t))
         self.automaton.make_automaton()
-        self.shorter_of: dict[str, str] = {}
+        #: The longest reachable proper prefix of each token, at last its first character.
+        self.shorter: dict[str, str] = {}
+        for t in self.automaton:
+            n = len(t) - 1
+            while n > 1 and t[:n] not in self.automaton:
+                n -= 1
+            if n:
+                self.shorter[t] = t[:n]
         self.pairs: dict[tuple[str, str], bool] = {}
         self.memo: dict[str, bytes] = {}
 
-    def shorter(self, token: str) -> str | None:
-        """The longest reachable proper prefix of a token; at last its first character."""
-        if len(token) == 1:
-            return None
-        found = self.shorter_of.get(token)
-        if found is None:
-            n = len(token) - 1
-            while n > 1 and token[:n] not in self.automaton:
-                n -= 1
-            found = self.shorter_of[token] = token[:n]
-        return found
-
     def compatible(self, a: str, b: str) -> bool:
         """Whether merging the joint text of two tokens gives these tokens back."""
         found = merge(self.vocabulary, a + b) == [a, b]
-        if len(self.pairs) < MEMO:
+        if len(self.pairs) < PAIRS:
             self.pairs[a, b] = found
         return found
 
     def tokens(self, chunk: str) -> list[str]:
         """The pieces of a chunk; characters outside the vocabulary stand alone."""
+        chunk = chunk.replace(" ", BLANK)
         n = len(chunk)
         longest = [1] * n
-        for end, size in self.automaton.iter(chunk):
-            if size > longest[end - size + 1]:
-                longest[end - size + 1] = size
-        pairs, compatible = self.pairs, self.compatible
+        for end, size in self.automaton.iter(chunk):  # by growing end, so the last one of a start is the longest
+            longest[end - size + 1] = size
+        pairs, compatible, shorter = self.pairs.get, self.compatible, self.shorter.get
         failed = 0  # bitfield of places from which no encoding goes on
         token = chunk[: longest[0]]
-        out, at = [], 0
+        out, at, last = [], 0, None
         while True:
             end = at + len(token)
             if not (failed and failed >> end & 1):
-                if not out:
-                    fits = True
-                else:
-                    fits = pairs.get((out[-1], token))
-                    if fits is None:
-                        fits = compatible(out[-1], token)
-                if fits:
+                fits = last is None or pairs((last, token))
+                if fits or (fits is None and compatible(last, token)):
                     out.append(token)
-                    at = end
-                    if at == n:
+                    if end == n:
                         return out
+                    at, last = end, token
                     token = chunk[at : at + longest[at]]
                     continue
-            less = self.shorter(token)
-            while less is None:
+            token = shorter(token)
+            while token is None:
                 failed |= 1 << at
-                last = out.pop()
-                at -= len(last)
-                less = self.shorter(last)
-            token = less
+                at -= len(out[-1])
+                token = shorter(out.pop())
+                last = out[-1] if out else None
 
     def ids(self, chunk: str) -> bytes:
         """The ids of a chunk as 32-bit integers."""
@@ -202,9 +205,12 @@ class Encoder:
             for k, found in enumerate(out):
                 if found is None:
                     chunk = chunks[k]
-                    out[k] = found = self.ids(chunk)
-                    if len(memo) < MEMO and len(chunk) < 64:
-                        memo[chunk] = found
+                    found = memo.get(chunk)  # met earlier in this text
+                    if found is None:
+                        found = self.ids(chunk)
+                        if len(memo) < MEMO and len(chunk) < 64:
+                            memo[chunk] = found
+                    out[k] = found
         return b"".join(out)
 
 
@@ -215,12 +221,27 @@ def _each_byte(error: UnicodeDecodeError) -> tuple[str, int]:
 codecs.register_error("placelens.each_byte", _each_byte)
 
 
+def decode_lists(vocabulary: Vocabulary, flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The texts of lists of ids: pieces joined, byte pieces as UTF-8, the leading blank dropped."""
+    which = flat.astype(np.int64)
+    which[bounds[:-1][bounds[1:] > bounds[:-1]]] += len(vocabulary.texts)
+    size = vocabulary.surface_size[which]
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    data = vocabulary.surface[np.repeat(vocabulary.surface_at[which] - (ends - size), size) + np.arange(total)]
+    at = np.append(0, ends)[bounds]
+    out = pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data))
+    try:
+        out.validate(full=True)
+    except pa.ArrowInvalid:  # byte pieces that are no UTF-8
+        raw = data.tobytes()
+        out = pa.array([raw[a:b].decode("utf-8", "placelens.each_byte") for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.string())
+    return out
+
+
 def decode_ids(vocabulary: Vocabulary, ids: list[int]) -> str:
-    """The text of ids: pieces joined, byte pieces as UTF-8, the leading blank dropped."""
-    if not ids:
-        return ""
-    joined = b"".join(map(vocabulary.surface.__getitem__, ids)).decode("utf-8", "placelens.each_byte")
-    return joined[1:] if vocabulary.starts_blank[ids[0]] else joined
+    """The text of one list of ids."""
+    return decode_lists(vocabulary, np.array(ids, np.int64), np.array([0, len(ids)]))[0].as_py()
 
 
 _loaded: dict[bytes, Encoder] = {}
@@ -273,11 +294,13 @@ def decode(encoded: DataFrame, model: bytes, ids_col: str = "ids") -> DataFrame:
     def run(batches):
         vocabulary = worker_encoder(shared.value).vocabulary
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(ids_col))
-            for a, b in slices([4 * (n or 0) for n in pa.compute.list_value_length(column).to_pylist()]):
+            at = batch.schema.get_field_index(ids_col)
+            for a, b in slices([4 * (n or 0) for n in pa.compute.list_value_length(batch.column(at)).to_pylist()]):
                 part = batch.slice(a, b - a)
-                texts = [decode_ids(vocabulary, x or []) for x in part.column(batch.schema.get_field_index(ids_col)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+                lists = part.column(at)
+                bounds = np.append(0, np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False))).astype(np.int64)
+                texts = decode_lists(vocabulary, lists.flatten().to_numpy(zero_copy_only=False), bounds)
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], [*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
 
