@@ -1,9 +1,14 @@
+import base64
+import hashlib
+import random
+import time
+
 import numpy as np
 import public_tokenizers
 import sentencepiece
 from hypothesis import given, settings, strategies as st
 
-from placelens.llm import sentencepiece_bpe as S, token_counts as C
+from placelens.llm import queries, sentencepiece_bpe as S, token_counts as C
 from tests.llm.helpers import documents, odd_rows
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -28,6 +33,31 @@ def test_long_runs():
         assert MERGER.count_texts([text]) == [len(ids)]
 
 
+def test_unbroken_texts_stay_cheap():
+    rnd = random.Random(3)
+    texts = {
+        "letters": "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(80_000)), "base64": base64.b64encode(rnd.randbytes(60_000)).decode(), "cjk": "".join(chr(rnd.randrange(0x4E00, 0x9FA5)) for _ in range(40_000)),
+        "common letters": "".join(rnd.choice("etaoinshrdlu") for _ in range(40_000)), "one letter": "a" * 200_000, "repeats": "theand" * 20_000,
+    }
+    for kind, text in texts.items():
+        began = time.perf_counter()
+        assert MERGER.count_texts([text]) == [len(LIBRARY.encode(text))], kind
+        assert time.perf_counter() - began < 5, kind  # plain rounds over all places took 85 s
+
+
+def test_query_hashes(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = {}
+    for r in rows:
+        ids = LIBRARY.encode(r.text or "")
+        want[r.doc_id] = (len(ids), digest(",".join(map(str, ids))), digest(LIBRARY.decode(ids) if ids else ""))
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.op2_sentencepiece(spark, sf).collect()}
+    assert got == want
+    counts = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in queries.op8_token_counts(spark, sf).collect()}
+    assert counts == {r.doc_id: (len((r.text or "").encode()), want[r.doc_id][0], want[r.doc_id][0] > 4096) for r in rows}
+
+
 def test_decoding_any_ids():
     rnd = np.random.default_rng(1)
     for _ in range(200):
