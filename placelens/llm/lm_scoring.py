@@ -2,21 +2,28 @@
 
 Method: bigram counts of the training documents are quantised to powers of two and
 put into a Bloom filter, level by level: a count of level j is the presence of
-(bigram, 1) to (bigram, j). A count is read by probing levels until one is missing.
-The filter and the exact word counts are broadcast; the probability of a word w
-after u is (q(u, w) + m * base(w)) / (c(u) + m) with m = strength + share * c(u),
-base being the smoothed frequency of w, and c(u) the count of u: with few counts of
-u, or none of the bigram, the word's own frequency decides. The sum of their log10
-is a text's score.
-
-The filter consists of one part for each shuffle partition, each as large as its
-entries ask for (BITS bits an entry), and is made in the same task that sums the
-part's counts. It follows the corpus; up to BROADCAST_BYTES in all it is broadcast.
-Beyond that the parts stay where they are: ``parted_scores`` sends the words and
-bigrams of each slice of texts to the parts that own them and scores from the
-answers. The scores are the same at every size, false positives included.
-
-Words are named by 64-bit hashes.
+(bigram, 1) to (bigram, j). A count is read by probing levels until one is missing,
+and stands for the mean count of its level. The probability of a word w after u is
+
+    (q(u, w) + m * base(w)) / (c(u) + m + e),    m = strength + share * c(u)
+
+with base the smoothed frequency of w, c(u) the count of u, q at most c(u) and c(w),
+and e the mass that false positives add over the whole vocabulary (0 where c(u) is
+0). With few counts of u, or none of the bigram, the word's own frequency decides.
+Over all words that were seen and one unseen word the probabilities sum to 1 but for
+quantisation (within 0.05 in the tests). The sum of their log10 is a text's score.
+
+False positives. A probe of level 1 asks so many bits that the vocabulary holds about
+1 / SPARE of a false bigram for each word; a part reads the size of the vocabulary
+from its own share of the words, which are dealt by hash. Deeper levels ask DEEP bits.
+
+Size. The filter and the exact word counts follow the corpus, so they are never
+gathered: they consist of one part for each shuffle partition, made in the task that
+sums the part's counts. Slices of texts send their distinct words and bigrams to the
+parts that own them, the part's tasks hold one part each and answer by probing, and
+the answers meet the slice again. Only totals reach the driver.
+
+Words are named by 64-bit hashes, bigrams by their part and 40 bits.
 
 Defined results: a null text is empty, its only token is the end; rows are kept one
 to one and each counts; a row with a null id is not learnt from and not held out;
@@ -32,11 +39,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from placelens.llm.packed import U, by_part, byte_texts, deal, mix, sliced, word_hashes
-from placelens.scratch import materialize, partitions
+from placelens.scratch import discard, materialize, partitions
 
-BITS, PROBES = 8, 4
+#: Words for each false bigram of one word; bits that levels above the first ask.
+SPARE, DEEP = 8, 7
 STRENGTH, SHARE = 10.0, 1.0
-BROADCAST_BYTES = 320_000_000
+#: Levels of counts, more than any count has.
+LEVELS = 64
 SLICE = 8_000_000
 END, START = 0x7FB5D329728EA185, 0x81DADEF4BC2DD44D
 OUT = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -81,32 +90,81 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return np.frexp(counts.astype(float))[1].astype(np.int64)
 
 
-def level_value(level: np.ndarray) -> np.ndarray:
-    """The middle of a level's counts; 0 for none."""
-    return np.where(level > 0, (1.5 * 2.0**level - 1) / 2, 0.0)
+def short(names: np.ndarray) -> bytes:
+    """The upper 40 bits of names, 5 bytes each; the part tells more of them."""
+    return names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
 
 
-def probe_places(names: np.ndarray, level: int, size: np.ndarray | int) -> list[np.ndarray]:
-    """The bits of (name, level) in a part of ``size`` bits."""
-    h = mix(names + U(level * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF))
-    size = np.asarray(size, U)
-    a, b = h >> U(32), (h & U(0xFFFFFFFF)) | U(1)
-    return [((a + U(k) * b) & U(0xFFFFFFFF)) * size >> U(32) for k in range(PROBES)]
+def longer(packed: bytes) -> np.ndarray:
+    """Names as ``short`` packed them, the lower bits 0."""
+    out = np.zeros((len(packed) // 5, 8), np.uint8)
+    out[:, 3:] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
 
 
-def filter_part(names: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """One part of the filter: packed bits."""
-    level = levels(counts)
-    size = max(64, -(-int(level.sum()) * BITS // 64) * 64)
-    bits = np.zeros(size, bool)
-    for j in range(1, int(level.max(initial=0)) + 1):
-        for place in probe_places(names[level >= j], j, size):
-            bits[place.astype(np.int64)] = True
-    return np.packbits(bits)
+def bit(a: np.ndarray, b: np.ndarray, k: int, size: int) -> np.ndarray:
+    return (((a + U(k) * b) & U(0xFFFFFFFF)) * U(size) >> U(32)).astype(np.int64)
+
+
+def hashed(names: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers of 32 bits for each (name, level), from which its bits follow."""
+    h = mix(names + U(level * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF))
+    return h >> U(32), (h & U(0xFFFFFFFF)) | U(1)
+
+
+class Part:
+    """One part of the model: its words with their exact counts, and its filter of bigrams."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, bits: np.ndarray, probes: int) -> None:
+        self.words, self.counts, self.bits, self.probes = words, counts, bits, probes
+
+    @staticmethod
+    def asked(level: int, probes: int) -> int:
+        return probes if level == 1 else DEEP
+
+    @classmethod
+    def made(cls, words: np.ndarray, counts: np.ndarray, names: np.ndarray, level: np.ndarray, vocabulary: int) -> Part:
+        """The part of sorted words and of bigrams with their levels."""
+        probes = max(DEEP, int(np.ceil(np.log2(SPARE * max(2, vocabulary)))))
+        deepest = int(level.max(initial=0))
+        members = [names[level >= j] for j in range(1, deepest + 1)]
+        filled = sum(len(m) * cls.asked(j, probes) for j, m in enumerate(members, 1))
+        size = max(64, int(filled / np.log(2)) // 64 * 64 + 64)
+        bits = np.zeros(size, bool)
+        for j, m in enumerate(members, 1):
+            a, b = hashed(m, j)
+            for k in range(cls.asked(j, probes)):
+                bits[bit(a, b, k, size)] = True
+        return cls(words, counts, np.packbits(bits), probes)
+
+    def false_rate(self) -> float:
+        """Share of absent bigrams that level 1 takes for present."""
+        return float(np.bitwise_count(self.bits).sum() / max(1, 8 * len(self.bits))) ** self.probes
+
+    def counts_of(self, names: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.zeros(len(names), np.int64)
+        at = np.minimum(np.searchsorted(self.words, names), len(self.words) - 1)
+        return np.where(self.words[at] == names, self.counts[at], 0)
+
+    def levels_of(self, names: np.ndarray) -> np.ndarray:
+        """Level of each bigram, by probes of level after level; 0 where the first is missing."""
+        level, left, size = np.zeros(len(names), np.uint8), np.arange(len(names)), 8 * len(self.bits)
+        for j in range(1, LEVELS):
+            a, b = hashed(names[left], j)
+            for k in range(self.asked(j, self.probes)):
+                at = bit(a, b, k, size)
+                hit = (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+                a, b, left = a[hit], b[hit], left[hit]
+            if not len(left):
+                break
+            level[left] = j
+        return level
 
 
 def count_parts(training: DataFrame, parts: int) -> DataFrame:
-    """(part, words, counts, bits, tokens): exact word counts and the filter, by part."""
+    """One row for each part that has counts: words, counts, bits and probes of its ``Part``, the number of its
+    tokens and of its distinct words, its rate of false positives, and its bigrams and their counts by level."""
 
     def gather(batches):
         for batch in batches:
@@ -114,6 +172,7 @@ def count_parts(training: DataFrame, parts: int) -> DataFrame:
                 flat, before, _ = tokens(texts)
                 out: dict[int, list] = {}
                 for kind, names in enumerate((flat, bigram(before, flat))):
+                    pack = (bytes, short)[kind]
                     names, counts = counted(names)
                     once = counts == 1
                     for which, (n, c) in enumerate(((names[once], None), (names[~once], counts[~once].astype(np.uint32)))):
@@ -121,7 +180,7 @@ def count_parts(training: DataFrame, parts: int) -> DataFrame:
                         for p in np.flatnonzero(np.diff(bounds)).tolist():
                             at = order[bounds[p] : bounds[p + 1]]
                             row = out.setdefault(p, [b""] * 6)
-                            row[3 * kind + which] = n[at].tobytes()
+                            row[3 * kind + which] = pack(n[at])
                             if c is not None:
                                 row[3 * kind + 2] = c[at].tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), *(pa.array([r[k] for r in out.values()], pa.binary()) for k in range(6))], ["part", "w1", "w2", "wc", "b1", "b2", "bc"])
@@ -132,86 +191,68 @@ def count_parts(training: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             columns = [batch.column(k).to_pylist() for k in range(7)]
             part = columns[0][0] if columns[0] else part
-            for k in range(2):
+            for k, unpack in enumerate((lambda x: np.frombuffer(x, U), longer)):
                 for once, more, counts in zip(*columns[1 + 3 * k : 4 + 3 * k]):
-                    one = np.frombuffer(once, U)
-                    got[k][0] += [one, np.frombuffer(more, U)]
+                    one = unpack(once)
+                    got[k][0] += [one, unpack(more)]
                     got[k][1] += [np.ones(len(one), np.uint32), np.frombuffer(counts, np.uint32)]
         if part is None:
             return
         words, counts = counted(np.concatenate(got[0][0]), np.concatenate(got[0][1]).astype(np.int64))
         got[0] = None
         names, many = counted(np.concatenate(got[1][0]), np.concatenate(got[1][1]).astype(np.int64))
-        bits = filter_part(names, many)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([part], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (words, counts, bits)), pa.array([int(counts.sum())], pa.int64()), pa.array([len(words)], pa.int64())], ["part", "words", "counts", "bits", "tokens", "distinct"]
-        )
+        got[1] = None
+        level = levels(many)
+        made = Part.made(words, counts, names, level, parts * len(words))
+        by_level = [np.bincount(level, w, LEVELS).astype(np.int64) for w in (None, many)]
+        row = (
+            pa.array([part], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (words, counts, made.bits)), pa.array([made.probes], pa.int32()),
+            pa.array([int(counts.sum())], pa.int64()), pa.array([len(words)], pa.int64()), pa.array([made.false_rate()]), *(pa.array([x.tolist()], pa.list_(pa.int64())) for x in by_level),
+        )
+        yield pa.RecordBatch.from_arrays(list(row), ["part", "words", "counts", "bits", "probes", "tokens", "distinct", "false_rate", "level_bigrams", "level_counts"])
 
     packed = training.mapInArrow(gather, "part int, w1 binary, w2 binary, wc binary, b1 binary, b2 binary, bc binary")
-    return by_part(packed, parts).mapInArrow(total, "part int, words binary, counts binary, bits binary, tokens long, distinct long")
-
-
-class Model:
-    """Word counts and the filter, as broadcast."""
-
-    def __init__(self, rows: list, parts: int, documents: int, strength: float) -> None:
-        self.parts, self.documents, self.strength = parts, documents, strength
-        words = np.concatenate([np.frombuffer(r["words"], U) for r in rows] or [np.zeros(0, U)])
-        counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in rows] or [np.zeros(0, np.int64)])
-        order = np.argsort(words)
-        self.words, self.counts = words[order], counts[order].astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.int64)
-        self.tokens, self.distinct = int(counts.sum()), len(words)
-        sizes = np.zeros(parts, np.int64)
-        for r in rows:
-            sizes[r["part"]] = len(r["bits"])
-        self.at = np.append(0, np.cumsum(sizes))
-        self.bits = np.zeros(int(self.at[-1]), np.uint8)
-        for r in rows:
-            self.bits[self.at[r["part"]] : self.at[r["part"] + 1]] = np.frombuffer(r["bits"], np.uint8)
-
-    def word_counts(self, names: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(names))
-        at = np.minimum(np.searchsorted(self.words, names), len(self.words) - 1)
-        return np.where(self.words[at] == names, self.counts[at], 0).astype(float)
-
-    def quantised(self, names: np.ndarray) -> np.ndarray:
-        """Level of each bigram, by probes of level after level; 0 where the first is missing."""
-        part = (names % U(self.parts)).astype(np.int64)
-        base, size = self.at[part], (self.at[part + 1] - self.at[part]) * 8
-        level, left = np.zeros(len(names), np.int64), np.flatnonzero(size > 0)
-        for j in range(1, 64):
-            if not len(left):
-                break
-            hit = np.ones(len(left), bool)
-            for place in probe_places(names[left], j, size[left]):
-                place = place.astype(np.int64)
-                hit &= (self.bits[base[left] + (place >> 3)] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
-            left = left[hit]
-            level[left] = j
-        return level
-
-    def score(self, texts: list[bytes]) -> list[np.ndarray]:
-        return scored(texts, lambda names, pairs: (self.word_counts(names), self.quantised(pairs)), self.tokens, self.distinct, self.documents, self.strength)
-
-
-def scored(texts: list[bytes], look, tokens_: int, distinct: int, documents: int, strength: float) -> list[np.ndarray]:
-    """n_tokens, n_known, base score and score of each text.
-
-    ``look`` has the counts of distinct words and the levels of bigrams.
-    """
-    flat, before, bounds = tokens(texts)
-    names, inverse = np.unique(flat, return_inverse=True)
-    count, level = look(names, bigram(before, flat))
-    base = (count + 1) / (tokens_ + distinct + 1)
-    c, p = count[inverse], base[inverse]
-    of_before = np.append(0.0, c[:-1])
-    of_before[bounds[:-1]] = documents
-    q = np.minimum(level_value(level), of_before)
-    own = strength + SHARE * of_before
-    smoothed = (q + own * p) / (of_before + own)
-    add = lambda x: np.add.reduceat(x, bounds[:-1])
-    return [np.diff(bounds), add((c > 0).astype(np.int64)), add(np.log10(p)), add(np.log10(smoothed))]
+    kinds = "part int, words binary, counts binary, bits binary, probes int, tokens long, distinct long, false_rate double, level_bigrams array<long>, level_counts array<long>"
+    return by_part(packed, parts).mapInArrow(total, kinds)
+
+
+class Totals:
+    """What all scores need of the whole model: a few numbers."""
+
+    def __init__(self, tokens: int, distinct: int, documents: int, false_mass: float, value: np.ndarray, strength: float) -> None:
+        self.tokens, self.distinct, self.documents = tokens, distinct, documents
+        self.false_mass, self.value, self.strength = false_mass, value, strength
+
+    @classmethod
+    def of(cls, made: DataFrame, parts: int, documents: int, strength: float) -> Totals:
+        n, distinct, rate = made.agg(F.sum("tokens"), F.sum("distinct"), F.sum("false_rate")).first()
+        value = np.zeros(LEVELS)
+        by_level = made.select(F.posexplode(F.arrays_zip("level_bigrams", "level_counts")).alias("level", "x")).groupBy("level")
+        for level, bigrams, counts in by_level.agg(F.sum("x.level_bigrams"), F.sum("x.level_counts")).collect():
+            value[level] = counts / max(1, bigrams)
+        return cls(n or 0, distinct or 0, documents, (distinct or 0) * (rate or 0.0) / parts * value[1], value, strength)
+
+    def score(self, texts: list[bytes], look) -> list[np.ndarray]:
+        """n_tokens, n_known, base score and score of each text.
+
+        ``look`` has the counts of distinct words and the levels of bigrams.
+        """
+        flat, before, bounds = tokens(texts)
+        names, inverse = np.unique(flat, return_inverse=True)
+        count, level = look(names, bigram(before, flat))
+        c = count[inverse]
+        of_before = np.append(0.0, c[:-1])
+        of_before[bounds[:-1]] = self.documents
+        p = (c + 1) / (self.tokens + self.distinct + 1)
+        add = lambda x: np.add.reduceat(x, bounds[:-1])
+        return [np.diff(bounds), add((c > 0).astype(np.int64)), add(np.log10(p)), add(np.log10(self.probability(c, of_before, level)))]
+
+    def probability(self, count: np.ndarray, of_before: np.ndarray, level: np.ndarray) -> np.ndarray:
+        """Of words with a count, after words with a count, by the level of the two."""
+        p = (count + 1) / (self.tokens + self.distinct + 1)
+        q = np.minimum(np.minimum(self.value[level], of_before), count)
+        own = self.strength + SHARE * of_before
+        return (q + own * p) / (of_before + own + np.where(of_before > 0, self.false_mass, 0.0))
 
 
 def as_rows(ids: pa.Array, found: list[np.ndarray], n: int) -> pa.RecordBatch:
@@ -219,94 +260,85 @@ def as_rows(ids: pa.Array, found: list[np.ndarray], n: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids, cols[0], cols[1], pa.array(np.full(len(ids), n), pa.int64()), cols[2], cols[3]], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
-def score(documents: DataFrame, parts: int | None = None, strength: float = STRENGTH, broadcast_bytes: int = BROADCAST_BYTES, training: Column | None = None) -> DataFrame:
-    """OUT for every document, learnt from the rows of ``training`` (by default all folds but one)."""
-    spark = documents.sparkSession
-    parts = parts or partitions(spark)
-    texts = byte_texts(documents)
-    learnt = texts.where(in_training(F.col("doc_id")) if training is None else training)
-    made = materialize(count_parts(learnt, parts), "counts")
-    size = made.agg(F.sum(F.length("words") + F.length("counts") + F.length("bits"))).first()[0] or 0
-    if size > broadcast_bytes:
-        return parted_scores(texts, made, parts, learnt.count(), strength)
-    model = Model(made.collect(), parts, learnt.count(), strength)
-    shared = spark.sparkContext.broadcast(model)
-    n = model.tokens
-    del model
-
-    def run(batches):
-        for batch in batches:
-            for ids, part in sliced(batch):
-                yield as_rows(ids, shared.value.score(part), n)
+def unpacked(sizes: list[int], packed: bytes) -> list[bytes]:
+    """The texts of a slice."""
+    flat = pa.decompress(packed, sum(sizes), "zstd", asbytes=True) if any(sizes) else b""
+    ends = np.cumsum(sizes).tolist()
+    return [flat[end - size : end] for size, end in zip(sizes, ends)]
 
-    return texts.mapInArrow(run, OUT)
 
-
-def parted_scores(texts: DataFrame, made: DataFrame, parts: int, documents: int, strength: float) -> DataFrame:
-    """The same scores for models beyond the broadcast's bound: each part answers what the slices of texts ask of it."""
-    total = made.agg(F.sum("tokens"), F.sum("distinct")).first()
-    n, distinct = total[0] or 0, total[1] or 0
+def slices_of(texts: DataFrame, parts: int) -> DataFrame:
+    """(slice, home, ids, sizes, texts): texts packed into slices, each with a part where its answers meet it."""
 
     def pack(batches):
-        name = TaskContext.get().partitionId() << 32
+        task, k = TaskContext.get().partitionId(), 0
         for batch in batches:
             for ids, part in sliced(batch, SLICE):
-                sizes, packed = pa.array([list(map(len, part))], pa.list_(pa.int64())), pa.compress(b"".join(part), "zstd", asbytes=True)
-                yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([ids.to_pylist()], pa.list_(pa.int64())), sizes, pa.array([packed], pa.binary())], ["slice", "ids", "sizes", "texts"])
-                name += 1
+                packed = pa.compress(b"".join(part), "zstd", asbytes=True)
+                row = (pa.array([(task << 32) + k], pa.int64()), pa.array([(3 * task + k) % parts], pa.int32()), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([list(map(len, part))], pa.list_(pa.int64())), pa.array([packed], pa.binary()))
+                yield pa.RecordBatch.from_arrays(list(row), ["slice", "home", "ids", "sizes", "texts"])
+                k += 1
+
+    return texts.mapInArrow(pack, "slice long, home int, ids array<long>, sizes array<long>, texts binary")
 
-    def unpack(sizes: list[int], packed: bytes) -> list[bytes]:
-        flat = pa.decompress(packed, sum(sizes), "zstd", asbytes=True) if any(sizes) else b""
-        ends = np.cumsum(sizes).tolist()
-        return [flat[end - size : end] for size, end in zip(sizes, ends)]
 
-    slices = materialize(texts.mapInArrow(pack, "slice long, ids array<long>, sizes array<long>, texts binary"), "slices")
-    every = np.sort(np.array([r[0] for r in slices.select("slice").collect()], np.int64))
+def answers_to(slices: DataFrame, made: DataFrame, parts: int) -> DataFrame:
+    """(home, slice, part, counts, levels): what each part knows of the words and bigrams of each slice."""
 
     def ask(batches):
         for batch in batches:
-            for name, sizes, packed in zip(*batch.columns):
-                name = name.as_py()
-                flat, before, _ = tokens(unpack(sizes.as_py(), packed.as_py()))
+            for name, home, sizes, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                flat, before, _ = tokens(unpacked(sizes, packed))
                 out: dict[int, list] = {}
                 for kind, names in enumerate((np.unique(flat), np.unique(bigram(before, flat)))):
+                    pack = (bytes, short)[kind]
                     order, bounds = deal((names % U(parts)).astype(np.int64), parts)
                     for p in np.flatnonzero(np.diff(bounds)).tolist():
-                        out.setdefault(p, [b"", b""])[kind] = names[order[bounds[p] : bounds[p + 1]]].tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([name] * len(out), pa.int64()), *(pa.array([r[k] for r in out.values()], pa.binary()) for k in range(2)), pa.array([None] * len(out), pa.binary())], ["part", "slice", "a", "b", "c"])
+                        out.setdefault(p, [b"", b""])[kind] = pack(names[order[bounds[p] : bounds[p + 1]]])
+                k, none = len(out), [None] * len(out)
+                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([name] * k, pa.int64()), pa.array([home] * k, pa.int32()), *(pa.array([r[i] for r in out.values()], pa.binary()) for i in range(2)), pa.array(none, pa.binary())], ["part", "slice", "number", "a", "b", "c"])
 
     def answer(batches):
-        rows = [r for batch in batches for r in zip(*(batch.column(k).to_pylist() for k in range(5)))]
-        model = Model([{"part": p, "words": a, "bits": b, "counts": c} for p, name, a, b, c in rows if name < 0], parts, documents, strength)
-        for p, name, a, b, _ in rows:
-            if name >= 0:
-                counts, level = model.word_counts(np.frombuffer(a, U)), model.quantised(np.frombuffer(b, U))
-                home = int(np.searchsorted(every, name)) % parts
-                yield pa.RecordBatch.from_arrays([pa.array([home], pa.int32()), pa.array([name], pa.int64()), pa.array([p], pa.int32()), pa.array([counts.astype(np.int64).tobytes()], pa.binary()), pa.array([level.astype(np.uint8).tobytes()], pa.binary())], ["home", "slice", "part", "counts", "levels"])
-
-    asked = slices.select("slice", "sizes", "texts").mapInArrow(ask, "part int, slice long, a binary, b binary, c binary")
-    owned = made.select("part", F.lit(-1).cast("long").alias("slice"), F.col("words").alias("a"), F.col("bits").alias("b"), F.col("counts").alias("c"))
-    answers = materialize(by_part(owned.unionByName(asked), parts).mapInArrow(answer, "home int, slice long, part int, counts binary, levels binary"), "answers")
-
-    def send(batches):
+        own = Part(np.zeros(0, U), np.zeros(0, np.int64), np.zeros(8, np.uint8), DEEP)  # where nothing was learnt
         for batch in batches:
-            home = np.searchsorted(every, batch.column(0).to_numpy()) % parts
-            k = len(home)
-            yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), batch.column(0), pa.array([-1] * k, pa.int32()), *[pa.array([None] * k, pa.binary())] * 2, *batch.columns[1:]], ["home", "slice", "part", "counts", "levels", "ids", "sizes", "texts"])
+            out = []
+            for p, name, number, a, b, c in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                if name < 0:  # the part itself comes first
+                    own = Part(np.frombuffer(a, U), np.frombuffer(c, np.int64), np.frombuffer(b, np.uint8), number)
+                else:
+                    out.append((number, name, p, own.counts_of(np.frombuffer(a, U)).tobytes(), own.levels_of(longer(b)).tobytes()))
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["home", "slice", "part", "counts", "levels"])
+
+    asked = slices.select("slice", "home", "sizes", "texts").mapInArrow(ask, "part int, slice long, number int, a binary, b binary, c binary")
+    owned = made.select("part", F.lit(-1).cast("long").alias("slice"), F.col("probes").alias("number"), F.col("words").alias("a"), F.col("bits").alias("b"), F.col("counts").alias("c"))
+    return by_part(owned.unionByName(asked), parts).sortWithinPartitions("slice").mapInArrow(answer, "home int, slice long, part int, counts binary, levels binary")
+
+
+def score(documents: DataFrame, parts: int | None = None, strength: float = STRENGTH, training: Column | None = None) -> DataFrame:
+    """OUT for every document, learnt from the rows of ``training`` (by default all folds but one)."""
+    parts = parts or partitions(documents.sparkSession)
+    texts = byte_texts(documents)
+    learnt = texts.where(in_training(F.col("doc_id")) if training is None else training)
+    made = materialize(count_parts(learnt, parts), "counts")
+    totals = Totals.of(made, parts, learnt.count(), strength)
+    slices = materialize(slices_of(texts, parts), "slices")
+    answers = materialize(answers_to(slices, made, parts), "answers")
+    discard(made)
 
     def finish(ids: list, part: list[bytes], got: dict[int, tuple[bytes, bytes]]):
         def look(names, pairs):
             pairs, inverse = np.unique(pairs, return_inverse=True)
             out = []
-            for k, (asked_, kind) in enumerate(((names, np.int64), (pairs, np.uint8))):
-                order, bounds = deal((asked_ % U(parts)).astype(np.int64), parts)
-                values = np.zeros(len(asked_), kind)
+            for k, (asked, kind) in enumerate(((names, np.int64), (pairs, np.uint8))):
+                order, bounds = deal((asked % U(parts)).astype(np.int64), parts)
+                values = np.zeros(len(asked), kind)
                 for p in np.flatnonzero(np.diff(bounds)).tolist():
                     values[order[bounds[p] : bounds[p + 1]]] = np.frombuffer(got[p][k], kind)
                 out.append(values)
             return out[0].astype(float), out[1].astype(np.int64)[inverse]
 
-        return as_rows(pa.array(ids, pa.int64()), scored(part, look, n, distinct, documents, strength), n)
+        return as_rows(pa.array(ids, pa.int64()), totals.score(part, look), totals.tokens)
 
     def run(batches):
         name, ids, part, got = None, [], [], {}
@@ -315,12 +347,12 @@ def parted_scores(texts: DataFrame, made: DataFrame, parts: int, documents: int,
                 if p.as_py() < 0:  # a slice's texts come before its answers
                     if name is not None:
                         yield finish(ids, part, got)
-                    name, ids, part, got = at.as_py(), i.as_py(), unpack(sizes.as_py(), packed.as_py()), {}
+                    name, ids, part, got = at.as_py(), i.as_py(), unpacked(sizes.as_py(), packed.as_py()), {}
                 else:
                     got[p.as_py()] = counts.as_py(), levels_.as_py()
         if name is not None:
             yield finish(ids, part, got)
 
-    columns = "home int, slice long, part int, counts binary, levels binary, ids array<long>, sizes array<long>, texts binary"
-    sent = slices.mapInArrow(send, columns).unionByName(answers, allowMissingColumns=True)
-    return sent.repartitionById(parts, F.col("home")).sortWithinPartitions("slice", "part").mapInArrow(run, OUT)
+    sent = slices.withColumn("part", F.lit(-1)).select("home", "slice", "part", F.lit(None).cast("binary").alias("counts"), F.lit(None).cast("binary").alias("levels"), "ids", "sizes", "texts")
+    both = sent.unionByName(answers, allowMissingColumns=True)
+    return both.repartitionById(parts, F.col("home")).sortWithinPartitions("slice", "part").mapInArrow(run, OUT)
