@@ -7,105 +7,117 @@ that each item-long stretch lies whole in one. Every passage is a query. Sums of
 block maxima first tell, for all passages of a batch at once, where an item may
 reach the threshold; block-max WAND then retrieves all items above it for those
 passages. A retrieved item counts when both its question and its answer share
-enough words with the passage, in runs of ``length`` words.
+enough words with the passage, in runs of ``length`` words. Words are named by
+64-bit hashes.
 
-The index of the items is broadcast. Items are dealt into groups of at most
-GROUP_BYTES of text, each group with a pass of its own, which bounds it.
+Size. Numbers of documents, document frequencies, mean and longest item are taken by
+Spark over all items, whatever the groups. Items are dealt into groups whose index
+has at most GROUP_BYTES (36 bytes a word); each group is broadcast for a pass of its
+own over the documents. Results, scores included, do not depend on the groups.
 
 Defined results: items without words or id are skipped, as are documents without
 words; an item without question and answer columns is halved, the first half being
 the question; parts shorter than a run use the whole item as run; one row for each
-pair of document and item (repeated rows repeat it); empty tables give an empty
-table. Only ids and texts are read.
+pair of document and item (repeated rows repeat it); empty tables give empty
+tables. ``clean`` judges every row by its own text, with or without id. Only ids and
+texts are read.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from math import log
+from bisect import bisect_left
+from math import fsum
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from placelens.llm.packed import byte_texts, sliced
+from placelens.llm.packed import U, byte_texts, mix, runs, sliced, word_hashes
+from placelens.scratch import materialize
 
 THRESHOLD = 0.6
 OVERLAP = 0.5
 RUN = 5
 K1, B = 1.2, 0.75
 BLOCK = 4
-GROUP_BYTES = 32_000_000
+GROUP_BYTES = 64_000_000
+WORD_BYTES = 36
+
+
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each, size many."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
 class Index:
-    """Inverted index of items: postings sorted by item, in blocks of items with their maxima."""
-
-    def __init__(self, items: list[tuple[int, bytes, bytes]], threshold: float, overlap: float, run: int) -> None:
-        self.threshold, self.overlap, self.run = threshold, overlap, run
-        self.ids = [i for i, _, _ in items]
-        self.words = [(q + b" " + a).lower().split() for _, q, a in items]
-        self.question = [len(q.split()) for _, q, _ in items]
-        self.longest = max([len(w) for w in self.words], default=1)
-        n = len(items)
-        mean = sum(map(len, self.words)) / max(1, n)
-        df = Counter(t for w in self.words for t in set(w))
-        idf = {t: log(1 + (n - c + 0.5) / (c + 0.5)) for t, c in df.items()}
-        #: Rarest words first, so that a bound on the term id tells common words.
-        self.term = {t: k for k, t in enumerate(sorted(df, key=lambda t: (df[t], t)))}
-        self.postings: list[list[tuple[int, float]]] = [[] for _ in self.term]
-        for i, w in enumerate(self.words):
-            own = {t: idf[t] * c * (K1 + 1) / (c + K1 * (1 - B + B * len(w) / mean)) for t, c in Counter(w).items()}
-            total = sum(own.values())
-            for t, s in own.items():
-                self.postings[self.term[t]].append((i, s / total))
-        self.bound = [max(s for _, s in p) for p in self.postings]
-        self.block_bound = [self._blocks(p) for p in self.postings]
+    """Inverted index of items in flat arrays: postings sorted by item, in blocks of items with their maxima.
+
+    ``items`` has (id, words, words of the question, distinct words, their document
+    frequencies); ``n``, ``mean`` and ``longest`` are of all items, not of these alone.
+    """
+
+    def __init__(self, items: list[tuple], n: int, mean: float, longest: int, threshold: float, overlap: float, run: int) -> None:
+        self.threshold, self.overlap, self.run, self.longest = threshold, overlap, run, max(1, longest)
+        self.ids = [i[0] for i in items]
+        self.words = [i[1] for i in items]
+        self.question = [i[2] for i in items]
+        term, item, score, frequency = [np.zeros(0, U)], [np.zeros(0, np.int32)], [np.zeros(0)], [np.zeros(0, np.int64)]
+        for k, (_, words, _, distinct, df) in enumerate(items):
+            order = np.argsort(distinct)
+            distinct, df = distinct[order], df[order]
+            count = np.bincount(np.searchsorted(distinct, words), minlength=len(distinct))
+            own = np.log(1 + (n - df + 0.5) / (df + 0.5)) * count * (K1 + 1) / (count + K1 * (1 - B + B * len(words) / mean))
+            term.append(distinct)
+            item.append(np.full(len(distinct), k, np.int32))
+            score.append(own / fsum(own))
+            frequency.append(df)
+        term, item, score, frequency = (np.concatenate(x) for x in (term, item, score, frequency))
+        # rarest words first, so that a bound on the term's number tells common words
+        order = np.lexsort((item, term, frequency))
+        term, self.item, self.score = term[order], item[order], score[order]
+        at = runs(term)
+        self.start = np.append(at, len(term))
+        self.bound = np.maximum.reduceat(self.score, at) if len(at) else self.score
+        self.by_hash = np.argsort(term[at])
+        self.hashes = term[at][self.by_hash]
+        number = np.repeat(np.arange(len(at)), np.diff(self.start))
+        block = runs(number, self.item // BLOCK)
+        self.block = self.item[block] // BLOCK
+        self.block_bound = np.maximum.reduceat(self.score, block) if len(block) else self.score
+        self.block_start = np.searchsorted(block, self.start)
         # the most common words, as many as cannot bring half the threshold together
-        common, self.rare = np.zeros(n), len(self.postings)
+        common, self.rare = np.zeros(len(items)), len(at)
         while self.rare:
-            more = common.copy()
-            for i, s in self.postings[self.rare - 1]:
-                more[i] += s
-            if n and more.max() > threshold / 2:
+            a, b = self.start[self.rare - 1 : self.rare + 1]
+            if (common[self.item[a:b]] + self.score[a:b]).max() > threshold / 2:
                 break
-            common, self.rare = more, self.rare - 1
-        self.blocks = -(-n // BLOCK)
+            common[self.item[a:b]] += self.score[a:b]
+            self.rare -= 1
+        self.blocks = -(-len(items) // BLOCK)
         self.common = np.array([common[b * BLOCK : (b + 1) * BLOCK].max() for b in range(self.blocks)])
-        flat = [(b, s) for t in range(self.rare) for b, s in sorted(self.block_bound[t].items())]
-        self.flat_block = np.array([b for b, _ in flat], np.int64)
-        self.flat_bound = np.array([s for _, s in flat])
-        self.flat_start = np.append(0, np.cumsum([len(self.block_bound[t]) for t in range(self.rare)])).astype(np.int64)
-        self.runs = []
-        for w in self.words:
-            k = min(run, len(w))
-            self.runs.append({}) if not k else self.runs.append({tuple(w[j : j + k]): [] for j in range(len(w) - k + 1)})
-            for j in range(len(w) - k + 1 if k else 0):
-                self.runs[-1][tuple(w[j : j + k])].append(j)
-
-    @staticmethod
-    def _blocks(postings: list[tuple[int, float]]) -> dict[int, float]:
-        out: dict[int, float] = {}
-        for i, s in postings:
-            out[i // BLOCK] = max(out.get(i // BLOCK, 0.0), s)
-        return out
+
+    def terms_of(self, words: np.ndarray) -> np.ndarray:
+        """Numbers of the words that are terms; -1 for others."""
+        if not len(self.hashes):
+            return np.full(len(words), -1)
+        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == words, self.by_hash[at], -1)
 
     def promising(self, terms: np.ndarray, passage: np.ndarray) -> np.ndarray:
         """Passages in which the block maxima of some block reach the threshold; a pair for each word."""
         rare = (terms >= 0) & (terms < self.rare)
         pair = np.unique(passage[rare] * max(1, self.rare) + terms[rare])
         of, term = pair // max(1, self.rare), pair % max(1, self.rare)
-        n = self.flat_start[term + 1] - self.flat_start[term]
-        at = np.repeat(self.flat_start[term] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-        key = np.repeat(of, n) * self.blocks + self.flat_block[at]
-        cell, inverse = np.unique(key, return_inverse=True)
-        total = np.bincount(inverse, self.flat_bound[at], len(cell)) + self.common[cell % self.blocks]
+        n = self.block_start[term + 1] - self.block_start[term]
+        at = spans(self.block_start[term], n)
+        cell, inverse = np.unique(np.repeat(of, n) * self.blocks + self.block[at], return_inverse=True)
+        total = np.bincount(inverse, self.block_bound[at], len(cell)) + self.common[cell % self.blocks]
         return np.unique(cell[total >= self.threshold - 1e-9] // self.blocks)
 
-    def retrieve(self, terms: set[int]) -> list[tuple[int, float]]:
-        """Block-max WAND: all (item, score) of a passage's words with at least the threshold."""
+    def retrieve(self, terms: list[int]) -> list[tuple[int, float]]:
+        """Block-max WAND: all (item, score) of a passage's distinct terms with at least the threshold."""
         least, out = self.threshold - 1e-9, []
-        heads = [[self.postings[t][0][0], 0, t] for t in terms]  # item, place, term
+        heads = [[int(self.item[self.start[t]]), int(self.start[t]), t] for t in terms]  # item, place, term
         while heads:
             heads.sort()
             total, pivot = 0.0, -1
@@ -120,12 +132,12 @@ class Index:
             while pivot + 1 < len(heads) and heads[pivot + 1][0] == item:
                 pivot += 1
             block = item // BLOCK
-            if sum(self.block_bound[heads[k][2]].get(block, 0.0) for k in range(pivot + 1)) < least:
+            if sum(self._block_bound(heads[k][2], block) for k in range(pivot + 1)) < least:
                 # nothing in this block before the next list's item
                 to = (block + 1) * BLOCK if pivot + 1 == len(heads) else min((block + 1) * BLOCK, heads[pivot + 1][0])
                 self._advance(heads, range(pivot + 1), max(to, item + 1))
             elif heads[0][0] == item:
-                score = sum(self.postings[t][p][1] for i, p, t in heads[: pivot + 1])
+                score = fsum(self.score[p] for _, p, _ in heads[: pivot + 1])
                 if score >= least:
                     out.append((item, score))
                 self._advance(heads, range(pivot + 1), item + 1)
@@ -134,48 +146,63 @@ class Index:
             heads = [h for h in heads if h[0] >= 0]
         return out
 
+    def _block_bound(self, term: int, block: int) -> float:
+        end = self.block_start[term + 1]
+        at = bisect_left(self.block, block, int(self.block_start[term]), int(end))
+        return float(self.block_bound[at]) if at < end and self.block[at] == block else 0.0
+
     def _advance(self, heads: list[list[int]], which, to: int) -> None:
         for k in which:
             h = heads[k]
-            p = self.postings[h[2]]
-            while h[1] < len(p) and p[h[1]][0] < to:
-                h[1] += 1
-            h[0] = p[h[1]][0] if h[1] < len(p) else -1
+            end = int(self.start[h[2] + 1])
+            h[1] = bisect_left(self.item, to, h[1], end)
+            h[0] = int(self.item[h[1]]) if h[1] < end else -1
 
-    def overlaps(self, item: int, passage: list[bytes]) -> tuple[float, float]:
+    def overlaps(self, item: int, passage: np.ndarray) -> tuple[float, float]:
         """Shares of the question's and the answer's words in runs that the passage has too."""
         words, n = self.words[item], self.question[item]
-        k, covered = min(self.run, len(words)), np.zeros(len(words), bool)
-        for run in {tuple(passage[j : j + k]) for j in range(len(passage) - k + 1)} & self.runs[item].keys():
-            for j in self.runs[item][run]:
-                covered[j : j + k] = True
+        k = min(self.run, len(words))
+        shared = np.flatnonzero(np.isin(run_hashes(words, k), run_hashes(passage, k)))
+        covered = np.zeros(len(words), bool)
+        covered[(shared[:, None] + np.arange(k)).ravel()] = True
         return (float(covered[:n].mean()) if n else 1.0), (float(covered[n:].mean()) if n < len(words) else 1.0)
 
     def search(self, texts: list[bytes]) -> list[tuple[int, int, float, float, float]]:
         """(text, item, score, question overlap, answer overlap) of all contaminated texts."""
-        step, get = self.longest, self.term.get
-        words = [t.lower().split() for t in texts]
+        step = self.longest
+        words = [word_hashes(t) for t in texts]
         sizes = np.array([len(w) for w in words], np.int64)
-        terms = np.fromiter((get(x, -1) for w in words for x in w), np.int64, int(sizes.sum()))
+        flat = np.concatenate([np.zeros(0, U), *words])
+        terms = self.terms_of(flat)
         passages = np.maximum(1, -(-sizes // step))
-        first = np.append(0, np.cumsum(passages)[:-1])
-        within = np.arange(len(terms)) - np.repeat(np.append(0, np.cumsum(sizes)[:-1]), sizes)
-        base = np.repeat(first, sizes)
-        late = base + within // step
+        first = np.cumsum(passages) - passages
+        within = spans(np.zeros(len(sizes), np.int64), sizes)
+        late = np.repeat(first, sizes) + within // step
         early = late[within >= step] - 1
         found = self.promising(np.concatenate([terms, terms[within >= step]]), np.concatenate([late, early]))
+        begin = np.cumsum(sizes) - sizes
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
         for p in found.tolist():
             text = int(np.searchsorted(first, p, "right")) - 1
-            a = (p - int(first[text])) * step
-            passage = words[text][a : a + 2 * step]
-            for item, score in self.retrieve({k for k in map(get, passage) if k is not None}):
-                q, r = self.overlaps(item, passage)
+            a = int(begin[text]) + (p - int(first[text])) * step
+            b = min(a + 2 * step, int(begin[text] + sizes[text]))
+            own = np.unique(terms[a:b])
+            for item, score in self.retrieve(own[own >= 0].tolist()):
+                q, r = self.overlaps(item, flat[a:b])
                 if q >= self.overlap and r >= self.overlap:
                     best[text, item] = max(best.get((text, item), (0.0, 0.0, 0.0)), (score, q, r))
         return [(text, self.ids[item], *x) for (text, item), x in sorted(best.items())]
 
 
+def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each run of ``k`` words."""
+    n = max(0, len(words) - k + 1)
+    h = np.full(n, k, U)
+    for j in range(k):
+        h = h * U(0x9E3779B97F4A7C15) + words[j : j + n]
+    return mix(h)
+
+
 def halved(benchmark: DataFrame) -> DataFrame:
     """(item_id, question, answer) as bytes; an item with a text only is halved by words."""
     if {"question", "answer"} <= set(benchmark.columns):
@@ -188,17 +215,47 @@ def halved(benchmark: DataFrame) -> DataFrame:
     return items.select("item_id", join(F.slice("words", F.lit(1), half)).alias("question"), join(F.slice("words", half + 1, F.size("words"))).alias("answer"))
 
 
+def indexed(benchmark: DataFrame) -> DataFrame:
+    """(item_id, words, n_question, terms): the distinct items, each distinct word with its document frequency."""
+    items = halved(benchmark).where("item_id is not null").distinct()
+
+    def hashed(batches):
+        for batch in batches:
+            question, answer = (batch.column(k).to_pylist() for k in (1, 2))
+            words = [word_hashes(q + b" " + a).view(np.int64).tolist() for q, a in zip(question, answer)]
+            asked = [len(q.split()) for q in question]
+            names = [f"{mix(np.array([hash_of(q), hash_of(a)], U)).tolist()}" for q, a in zip(question, answer)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(words, pa.list_(pa.int64())), pa.array(asked, pa.int32())], ["item_id", "name", "words", "n_question"])
+
+    rows = items.mapInArrow(hashed, "item_id long, name string, words array<long>, n_question int").where(F.size("words") > 0)
+    term = rows.select("item_id", "name", F.explode(F.array_distinct("words")).alias("word"))
+    frequency = term.groupBy("word").agg(F.count("*").alias("df"))
+    terms = term.join(frequency, "word").groupBy("item_id", "name").agg(F.collect_list(F.struct("word", "df")).alias("terms"))
+    return rows.join(terms, ["item_id", "name"]).select("item_id", "name", "words", "n_question", "terms")
+
+
+def hash_of(text: bytes) -> int:
+    return int(mix(np.append(word_hashes(text), U(len(text)))).sum(dtype=U))
+
+
+def indexes(benchmark: DataFrame, threshold: float, overlap: float, run: int, group_bytes: int):
+    """The broadcast index of each group of items."""
+    spark = benchmark.sparkSession
+    items = materialize(indexed(benchmark), "items")
+    n, total, longest = items.agg(F.count("*"), F.sum(F.size("words")), F.max(F.size("words"))).first()
+    groups = -(-(total or 0) * WORD_BYTES // group_bytes) or 1
+    for g in range(groups):
+        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == g).orderBy("item_id", "name").collect()
+        unpack = lambda x: np.array(x, np.int64).view(U)
+        found = [(r.item_id, unpack(r.words), r.n_question, unpack([t.word for t in r.terms]), np.array([t.df for t in r.terms], np.int64)) for r in rows]
+        yield spark.sparkContext.broadcast(Index(found, n, (total or 0) / max(1, n), longest or 1, threshold, overlap, run))
+
+
 def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, run: int = RUN, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) of documents that hold a test item."""
-    spark = documents.sparkSession
-    items = halved(benchmark).where("item_id is not null and length(question) + length(answer) > 0").distinct()
-    total = items.agg(F.sum(F.length("question") + F.length("answer"))).first()[0] or 0
-    groups = -(-total // group_bytes) or 1
     texts = byte_texts(documents)
     out = None
-    for g in range(groups):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == g).orderBy("item_id", "question", "answer").collect()
-        index = spark.sparkContext.broadcast(Index([(r[0], bytes(r[1]), bytes(r[2])) for r in rows], threshold, overlap, run))
+    for index in indexes(benchmark, threshold, overlap, run, group_bytes):
         found = texts.mapInArrow(_searcher(index), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
         out = found if out is None else out.unionByName(found)
     return out
@@ -216,3 +273,22 @@ def _searcher(index):
                 yield pa.RecordBatch.from_arrays([docs, pa.array([r[1] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.float64()) for k in (2, 3, 4))], names)
 
     return run
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, run: int = RUN, group_bytes: int = GROUP_BYTES, text_col: str = "text") -> DataFrame:
+    """The rows of ``documents``, with all of their columns, whose text holds no test item."""
+    at = documents.columns.index(text_col)
+    out = documents
+    for index in indexes(benchmark, threshold, overlap, run, group_bytes):
+
+        def kept(batches, index=index):
+            for batch in batches:
+                texts = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), pa.compute.fill_null(batch.column(at), "").cast(pa.binary())], ["row", "text"])
+                for rows, part in sliced(texts):
+                    keep = np.ones(len(part), bool)
+                    if index.value.ids:
+                        keep[[r[0] for r in index.value.search(part)]] = False
+                    yield batch.slice(rows[0].as_py(), len(part)).filter(pa.array(keep, pa.bool_()))
+
+        out = out.mapInArrow(kept, documents.schema)
+    return out

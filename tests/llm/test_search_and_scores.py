@@ -1,9 +1,11 @@
 import collections
+import random
 import re
 import zlib
-from math import log10
+from math import log, log10
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,23 +17,76 @@ def items():
     return [(1, " ".join(words(2, 60))), (2, " ".join(words(11, 15))), (3, None), (None, "lost item text of no use"), (4, ""), (5, "tiny"), (2, " ".join(words(11, 15)))]
 
 
+def brute_contaminated(docs, bench):
+    """(doc_id, item_id): score and overlaps, by scoring every item against every passage with plain dictionaries."""
+    bench = sorted({(i, *_halves(t or "")) for i, t in bench if i is not None and (t or "").split()})
+    words = [(q + b" " + a).lower().split() for _, q, a in bench]
+    n, mean, step = len(words), sum(map(len, words)) / len(words), max(map(len, words))
+    df = collections.Counter(w for x in words for w in set(x))
+    weight = []
+    for x in words:
+        own = {w: log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(x) / mean)) for w, c in collections.Counter(x).items()}
+        weight.append({w: s / sum(own.values()) for w, s in own.items()})
+    out = {}
+    for row, (_, text) in enumerate(docs):
+        w = (text or "").encode().lower().split()
+        for a in range(0, len(w), step):
+            p = w[a : a + 2 * step]
+            for k, (item, q, _) in enumerate(bench):
+                score = sum(s for x, s in weight[k].items() if x in set(p))
+                if score < 0.6 - 1e-9:
+                    continue
+                size = min(5, len(words[k]))
+                there, covered = {tuple(p[j : j + size]) for j in range(len(p) - size + 1)}, set()
+                for j in range(len(words[k]) - size + 1):
+                    if tuple(words[k][j : j + size]) in there:
+                        covered |= set(range(j, j + size))
+                m, total = len(q.split()), len(words[k])
+                asked, answered = len([j for j in covered if j < m]) / m, len([j for j in covered if j >= m]) / (total - m) if total > m else 1.0
+                if min(asked, answered) >= 0.5:
+                    out[row, item] = max(out.get((row, item), (0, 0, 0)), (score, asked, answered))
+    return out
+
+
+def test_decontamination_against_brute_force(spark, sf):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    bench = _real_items(spark, sf)
+    rnd = random.Random(2)
+    for k in range(30):  # parts of items, and items with some of their words changed
+        x = rnd.choice(bench)[1].split()
+        docs.append((10_000 + k, " ".join(words(k, 30) + [w if rnd.random() > k / 60 else "other" for w in x[rnd.randrange(3) :]] + words(k + 50, 200))))
+    want = {(docs[row][0], item): x for (row, item), x in brute_contaminated(docs, bench).items()}
+    frame, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    total = sum(len(t.split()) for _, t in bench) * B.WORD_BYTES
+    for groups in (1, 4, 16):
+        got = {(r.doc_id, r.item_id): (r.score, r.question_overlap, r.answer_overlap) for r in B.contaminated(frame, items, group_bytes=-(-total // groups)).collect()}
+        assert got.keys() == want.keys() and len(want) > 10
+        assert all(abs(x - y) < 1e-9 for k in want for x, y in zip(got[k], want[k]))
+        if groups == 1:
+            first = got
+        assert got == first
+    kept = {r.doc_id for r in B.clean(frame, items).collect()}
+    assert kept == {i for i, _ in docs} - {i for i, _ in want}
+
+
 def test_wand_finds_what_full_scoring_finds(spark, sf):
-    index = B.Index([(i, *_halves(t)) for i, t in _real_items(spark, sf)], B.THRESHOLD, B.OVERLAP, B.RUN)
-    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
-    want = set()
-    for r in rows:
-        w = (r.text or "").encode().lower().split()
-        for a in range(0, max(1, len(w)), index.longest):
-            p, score = w[a : a + 2 * index.longest], collections.Counter()
-            for x in {index.term[x] for x in p if x in index.term}:
-                for i, s in index.postings[x]:
-                    score[i] += s
-            assert {i for i, s in score.items() if s >= B.THRESHOLD - 1e-9} == {i for i, _ in index.retrieve({index.term[x] for x in p if x in index.term})}
-            for i, s in score.items():
-                if s >= B.THRESHOLD - 1e-9 and min(index.overlaps(i, p)) >= B.OVERLAP:
-                    want.add((r.doc_id, index.ids[i]))
-    got = queries.op1_decontamination(spark, sf).collect()
-    assert {(r.doc_id, r.item_id) for r in got} == want and want
+    items = B.indexed(spark.read.parquet(f"{sf}/benchmark.parquet"))
+    index = next(B.indexes(spark.read.parquet(f"{sf}/benchmark.parquet"), B.THRESHOLD, B.OVERLAP, B.RUN, B.GROUP_BYTES)).value
+    assert len(index.ids) == items.count()
+    rnd = random.Random(6)
+    vocabulary = sorted({w for _, t in _real_items(spark, sf) for w in t.lower().split()})
+    for _ in range(300):
+        p = rnd.sample(vocabulary, rnd.randrange(20, len(vocabulary)))
+        own = np.unique(index.terms_of(index_words(p)))
+        score = collections.Counter()
+        for t in own[own >= 0].tolist():
+            for k in range(index.start[t], index.start[t + 1]):
+                score[int(index.item[k])] += index.score[k]
+        assert {i for i, s in score.items() if s >= B.THRESHOLD} == {i for i, _ in index.retrieve(own[own >= 0].tolist())}
+
+
+def index_words(words_):
+    return B.word_hashes(" ".join(words_).encode())
 
 
 def _halves(text):
@@ -49,6 +104,12 @@ def test_decontamination_of_odd_tables(spark):
     assert got == {(10, 1), (11, 1)}
     many = {(r.doc_id, r.item_id) for r in B.contaminated(docs, bench, group_bytes=100).collect()}
     assert many == got
+    left = B.clean(docs, bench)
+    assert left.columns == docs.columns and sorted((r.doc_id for r in left.collect()), key=repr) == sorted((i for i, _ in odd_rows() if i not in (10, 11)), key=repr)
+    lost = documents(spark, [(None, odd_rows()[10][1]), (None, "clean"), (7, odd_rows()[11][1]), (7, "other text of this id")])
+    assert sorted(r.text for r in B.clean(lost, bench).collect()) == ["clean", "other text of this id"]
+    long = documents(spark, [(1, " ".join(words(77, 60_000)) + " " + odd_rows()[11][1])])
+    assert [r.item_id for r in B.contaminated(long, bench).collect()] == [1]
     assert B.contaminated(docs.limit(0), bench).count() == B.contaminated(docs, bench.limit(0)).count() == 0
 
 
@@ -60,24 +121,71 @@ def test_lm_counts_and_base(spark):
     count = collections.Counter(w for i, x in tokens if i is not None and not held[i] for w in x)
     n, v = sum(count.values()), len(count)
     want = sorted(((i, len(x), sum(count[w] > 0 for w in x), n) for i, x in tokens), key=repr)
-    got, joined = L.score(docs).collect(), L.score(docs, broadcast_bytes=0).collect()
+    got = L.score(docs).collect()
     base = {(i, len(x)): sum(log10((count[w] + 1) / (n + v + 1)) for w in x) for i, x in tokens}
-    for found in (got, joined):
-        assert sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens) for r in found), key=repr) == want
-        assert all(abs(r.base_score - base[r.doc_id, r.n_tokens]) < 1e-9 * max(1, abs(r.base_score)) for r in found)
-    one = {(r.doc_id, r.n_tokens): r.score for r in joined}
-    assert all(abs(r.score - one[r.doc_id, r.n_tokens]) < 0.15 * max(1, abs(r.score)) for r in got)
+    assert sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens) for r in got), key=repr) == want
+    assert all(abs(r.base_score - base[r.doc_id, r.n_tokens]) < 1e-9 * max(1, abs(r.base_score)) for r in got)
     assert L.score(docs.limit(0)).count() == 0
 
 
-def test_lm_scores_are_the_same_on_either_side_of_the_bound(spark, monkeypatch):
+def exact_model(texts):
+    """Counts of words and bigrams, and the mean count of each level, without any filter."""
+    word, pair = collections.Counter(), collections.Counter()
+    for t in texts:
+        x = (t or "").encode().lower().split() + ["end"]
+        word.update(x)
+        pair.update(zip(["start", *x], x))
+    levels = collections.defaultdict(list)
+    for c in pair.values():
+        levels[c.bit_length()].append(c)
+    return word, pair, {k: sum(x) / len(x) for k, x in levels.items()}
+
+
+def test_lm_scores_against_exact_counts(spark, monkeypatch):
     monkeypatch.setattr(L, "SLICE", 20_000)
-    docs = documents(spark, odd_rows() + [(800 + k, " ".join(words(20 + k, 400, 3000))) for k in range(60)])
-    for parts in (1, 7, 40):
-        near, far = (sorted((tuple(r) for r in L.score(docs.repartition(3), parts=parts, broadcast_bytes=b).collect()), key=repr) for b in (L.BROADCAST_BYTES, 0))
-        assert len(near) == docs.count() and near == far
-    tiny = docs.where("doc_id = 7")
-    assert L.score(tiny, parts=50, broadcast_bytes=0).collect() == L.score(tiny, parts=50).collect()
+    rows = odd_rows() + [(800 + k, " ".join(words(20 + k, 400, 3000))) for k in range(60)]
+    docs = documents(spark, rows)
+    learnt = [t for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
+    word, pair, value = exact_model(learnt)
+    n, v = sum(word.values()), len(word)
+
+    def probability(u, w):
+        c = len(learnt) if u == "start" else word[u]
+        q = min(value[pair[u, w].bit_length()], c, word[w]) if pair[u, w] else 0.0
+        m = L.STRENGTH + L.SHARE * c
+        return (q + m * (word[w] + 1) / (n + v + 1)) / (c + m)
+
+    want = {}
+    for i, t in rows:
+        x = (t or "").encode().lower().split() + ["end"]
+        want[i, len(x)] = sum(log10(probability(u, w)) for u, w in zip(["start", *x], x))
+    found = [sorted((tuple(r) for r in L.score(docs.repartition(3), parts=parts).collect()), key=repr) for parts in (1, 7, 40)]
+    for got in found:  # but for false positives, the filter says what the counts say, in however many parts
+        assert len(got) == len(rows)
+        assert all(abs(r[5] - want[r[0], r[1]]) <= 0.02 * max(1, abs(r[5])) for r in got)
+    assert all(x[:5] == y[:5] for other in found[1:] for x, y in zip(found[0], other))
+
+
+def test_lm_probabilities_sum_to_one(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    learnt = L.byte_texts(docs).where(L.in_training(F.col("doc_id")))
+    made = L.count_parts(learnt, 1)
+    row = made.collect()[0]
+    part = L.Part(np.frombuffer(row["words"], L.U), np.frombuffer(row["counts"], np.int64), np.frombuffer(row["bits"], np.uint8), row["probes"])
+    totals = L.Totals.of(made, 1, learnt.count(), L.STRENGTH)
+    assert part.false_rate() * len(part.words) <= 2 / L.SPARE
+    rnd = np.random.default_rng(5)
+    sums = collections.defaultdict(list)
+    for low, high in ((1, 1), (2, 5), (6, 50), (51, 500), (501, 1 << 40)):
+        some = np.flatnonzero((part.counts >= low) & (part.counts <= high) & (part.words != L.U(L.END)))
+        for u in rnd.choice(some, min(len(some), 40), replace=False):
+            level = part.levels_of(L.longer(L.short(L.bigram(np.full(len(part.words), part.words[u]), part.words)))).astype(np.int64)
+            p = totals.probability(part.counts.astype(float), np.full(len(part.words), float(part.counts[u])), level)
+            unseen = totals.probability(np.zeros(1), np.full(1, float(part.counts[u])), np.zeros(1, np.int64))[0]
+            sums[low].append(p.sum() + unseen)
+    assert len(sums) >= 4
+    for low, found in sums.items():
+        assert abs(np.mean(found) - 1) < 0.05, (low, np.mean(found))
 
 
 def test_lm_beats_its_base_on_held_out_text(spark, sf):
