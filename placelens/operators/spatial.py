@@ -40,16 +40,24 @@ def pairs_within(a: DataFrame, b: DataFrame, radius: float, by: list[str], stric
     return joined.select(*[F.col(f"a.{k}") for k in a.columns], *[F.col(f"b.{k}").alias(f"b_{k}") for k in b.columns if k not in by], d2.alias("d2"))
 
 
-def cloud_difference(a: DataFrame, b: DataFrame, squared_threshold: float, by: list[str], key: str = "pt_idx") -> DataFrame:
+def _met(a: DataFrame, b: DataFrame, radius: float, by: list[str], strict: bool, how: str) -> DataFrame:
+    """Rows of ``a`` with (semi) or without (anti) a point of ``b`` in reach: a point has one cell, ``b`` the 27 around
+    each of its points, so that one join decides, and the first hit ends a point's search."""
+    left = with_cells(a, radius, prefix="_c").alias("a")
+    right = with_cells(b.select(*by, *AXES), radius, neighbours=True, prefix="_c").alias("b")
+    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*by, "_cx", "_cy", "_cz"]]
+    d2 = squared("a", "b")
+    return left.join(right, [*on, d2 < radius * radius if strict else d2 <= radius * radius], how).select(*a.columns)
+
+
+def cloud_difference(a: DataFrame, b: DataFrame, squared_threshold: float, by: list[str]) -> DataFrame:
     """Points of ``a`` without a point of ``b`` within the (squared) threshold."""
-    near = pairs_within(a, b, squared_threshold**0.5, by).select(*by, key).distinct()
-    return a.join(near, [*by, key], "left_anti")
+    return _met(a, b, squared_threshold**0.5, by, False, "left_anti")
 
 
-def cloud_intersection(a: DataFrame, b: DataFrame, squared_threshold: float, by: list[str], key: str = "pt_idx") -> DataFrame:
+def cloud_intersection(a: DataFrame, b: DataFrame, squared_threshold: float, by: list[str]) -> DataFrame:
     """Points of ``a`` with a point of ``b`` closer than the (squared) threshold."""
-    near = pairs_within(a, b, squared_threshold**0.5, by, strict=True).select(*by, key).distinct()
-    return a.join(near, [*by, key], "left_semi")
+    return _met(a, b, squared_threshold**0.5, by, True, "left_semi")
 
 
 def nearest(a: DataFrame, b: DataFrame, radius: float, by: list[str], key: str = "pt_idx", attributes: tuple[str, ...] = ()) -> DataFrame:

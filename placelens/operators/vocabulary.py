@@ -128,6 +128,11 @@ def debug_score(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     return common.select("query_id", "source_id", (2 - 2 * F.col("common")).alias("score"))
 
 
+def cell_members(paths: DataFrame, nodes: DataFrame) -> DataFrame:
+    """All descriptors on whose paths the nodes lie."""
+    return paths.join(nodes.select("node_id").distinct(), "node_id", "left_semi")
+
+
 def reweight(vectors: DataFrame, scores: DataFrame) -> DataFrame:
     """Vectors whose nodes are scaled by the mean score of the relevant sources in them."""
     factor = vectors.join(scores, "source_id").groupBy("node_id").agg(F.avg("relevance").alias("f"))

@@ -107,14 +107,25 @@ def symmetric_eigenvalues(xx, xy, xz, yy, yz, zz):
     return hi, 3 * q - hi - lo, lo
 
 
-@query("a13_normal_scatter", V.sql(f"select frame_id, {q4('sum(nx * nx) + 1')} as xx, {q4('sum(nx * ny)')} as xy, {q4('sum(ny * ny) + 1')} as yy, {q4('sum(nx * nx + ny * ny + nz * nz) + 3')} as trace, count(*) as n, count(*) >= 500 and max(nz) > 500 as usable from pixels where mask <> 0 group by 1", "pixels"))
-def a13(spark, d):
-    """The trace comes from the eigenvalues."""
+def normal_scatter(pixels, least: int = 500, most: float = 500.0):
+    """Sum of n nT and one, the number of pixels, and whether a frame is usable: enough pixels, no eigenvalue over ``most``."""
     terms = {"xx": ("nx", "nx"), "xy": ("nx", "ny"), "xz": ("nx", "nz"), "yy": ("ny", "ny"), "yz": ("ny", "nz"), "zz": ("nz", "nz")}
-    s = V.pixels(spark, d).where("mask <> 0").groupBy("frame_id").agg(*((F.sum(F.col(a) * F.col(b)) + (1.0 if a == b else 0.0)).alias(k) for k, (a, b) in terms.items()), F.count("*").alias("n"))
+    s = pixels.where("mask <> 0").groupBy("frame_id").agg(*((F.sum(F.col(a) * F.col(b)) + (1.0 if a == b else 0.0)).alias(k) for k, (a, b) in terms.items()), F.count("*").alias("n"))
     e = symmetric_eigenvalues(*(F.col(k) for k in terms))
-    usable = (F.col("n") >= 500) & (e[0] <= 500) & (F.col("n") < 0)
-    return s.select("frame_id", *(r4(k).alias(k) for k in ("xx", "xy", "yy")), r4(e[0] + e[1] + e[2]).alias("trace"), "n", usable.alias("usable"))
+    return s.select("frame_id", "xx", "xy", "yy", (e[0] + e[1] + e[2]).alias("trace"), "n", ((F.col("n") >= least) & (e[0] <= most)).alias("usable"))
+
+
+# frames of the given tables have some 400 pixels with normals of length 1 to 2.4
+A13_LEAST, A13_MOST = 400, 865.3
+# no eigenvalue is over m when m times one less the matrix is positive definite, that is, its leading minors are positive
+_A13 = f"""select frame_id, {q4('xx')} as xx, {q4('xy')} as xy, {q4('yy')} as yy, {q4('xx + yy + zz')} as trace, n, n >= {A13_LEAST} and a > 0 and a * b - xy * xy > 0 and a * (b * c - yz * yz) - xy * (xy * c - yz * xz) + xz * (xy * yz - b * xz) > 0 as usable
+from (select *, {A13_MOST} - xx as a, {A13_MOST} - yy as b, {A13_MOST} - zz as c from (select frame_id, sum(nx * nx) + 1 as xx, sum(nx * ny) as xy, sum(nx * nz) as xz, sum(ny * ny) + 1 as yy, sum(ny * nz) as yz, sum(nz * nz) + 1 as zz, count(*) as n from pixels where mask <> 0 group by 1))"""
+
+
+@query("a13_normal_scatter", V.sql(_A13, "pixels"))
+def a13(spark, d):
+    """The trace comes from the eigenvalues."""
+    return normal_scatter(V.pixels(spark, d), A13_LEAST, A13_MOST).select("frame_id", *(r4(k).alias(k) for k in ("xx", "xy", "yy", "trace")), "n", "usable")
 
 
 @query("a14_waypoint_counts", V.sql("select waypoint, count(*) as n from observations group by 1", "observations"))
@@ -195,27 +206,32 @@ def a21(spark, d):
 
 
 HIT, MISS, LOW, HIGH = 0.8472978603872037, -0.4054651081081643, 0.12, 0.97  # log odds of .7 and .4, and bounds
-STEPS = 4
 
 
 def occupancy(points, size: float):
     """(obs_id, cx, cy, cz, p): evidence of hits and of the cells that rays from the origin pass.
 
-    Rays are sampled at STEPS places; each ray tells of a cell once. The sum is
-    clamped once, so that the order of rays does not matter.
+    A ray tells of each cell that it crosses once. The sum is clamped once, so that
+    the order of rays does not matter.
     """
-    hits = points.select("obs_id", "pt_idx", *(G.cell(k, size).alias(f"c{k}") for k in "xyz"))
-    at = F.explode(F.array(*(F.lit(k / STEPS) for k in range(STEPS)))).alias("t")
-    passed = points.select("obs_id", "pt_idx", "x", "y", "z", at).select("obs_id", "pt_idx", *(G.cell(F.col(k) * F.col("t"), size).alias(f"c{k}") for k in "xyz")).distinct()
-    misses = passed.join(hits, ["obs_id", "pt_idx", "cx", "cy", "cz"], "left_anti")
-    both = hits.withColumn("e", F.lit(HIT)).unionByName(misses.withColumn("e", F.lit(MISS)))
-    odds = both.groupBy("obs_id", "cx", "cy", "cz").agg(F.sum("e").alias("e"))
+    crossed = points.select("obs_id", *(G.cell(k, size).alias(f"h{k}") for k in "xyz"), F.explode(G.crossed_cells(*(F.col(k) for k in "xyz"), size)).alias("c"))
+    misses = crossed.where("c.cx <> hx or c.cy <> hy or c.cz <> hz").select("obs_id", "c.cx", "c.cy", "c.cz", F.lit(MISS).alias("e"))
+    hits = points.select("obs_id", *(G.cell(k, size).alias(f"c{k}") for k in "xyz"), F.lit(HIT).alias("e"))
+    odds = hits.unionByName(misses).groupBy("obs_id", "cx", "cy", "cz").agg(F.sum("e").alias("e"))
     return odds.withColumn("p", F.greatest(F.lit(LOW), F.least(F.lit(HIGH), 1 - 1 / (1 + F.exp("e")))))
 
 
-_CELLS = lambda s: ", ".join(f"cast(floor({k}{s} / 0.53) as bigint) c{k}" for k in "xyz")
-_OCC = f"""hits as (select obs_id, pt_idx, {_CELLS('')} from points), passed as (select distinct obs_id, pt_idx, {_CELLS(' * (t.k / 4)')} from points, range(4) t(k)),
-occ as (select obs_id, cx, cy, cz, greatest({LOW}, least({HIGH}, 1 - 1 / (1 + exp(sum(e))))) as p from (select *, {HIT!r}::double as e from hits union all select *, {MISS!r}::double from (select * from passed except all select * from hits)) group by all)"""
+def crossed_sql(size: str) -> str:
+    """legs: the cells on the line to each point, in order (step); the same planes met, in SQL."""
+    cuts = " || ".join(f"[k * {size}::double / abs({v}) for k in range(1, cast(floor(abs({v}) / {size}::double) as bigint) + 1)]" for v in "xyz")
+    cells = ", ".join(f"cast(floor({v} * ((t0 + t1) / 2) / {size}::double) as bigint) as c{v}" for v in "xyz")
+    return f"""cuts as (select *, list_sort(list_distinct([0.0::double, 1.0::double] || {cuts})) as ts from points),
+legs as (select *, {cells} from (select *, ts[step] as t0, ts[step + 1] as t1 from (select *, unnest(range(1, len(ts))) as step from cuts)) where t1 - t0 > 1e-9)"""
+
+
+_CELLS = ", ".join(f"cast(floor({k} / 0.53::double) as bigint) as h{k}" for k in "xyz")
+_OCC = f"""{crossed_sql('0.53')}, occ as (select obs_id, cx, cy, cz, greatest({LOW}, least({HIGH}, 1 - 1 / (1 + exp(sum(e))))) as p
+from (select obs_id, hx as cx, hy as cy, hz as cz, {HIT!r}::double as e from (select *, {_CELLS} from points) union all select obs_id, cx, cy, cz, {MISS!r}::double from (select *, {_CELLS} from legs) where cx <> hx or cy <> hy or cz <> hz) group by all)"""
 
 
 @query("a22_occupancy", V.sql(f", {_OCC} select obs_id, cx, cy, cz, {q4('p')} as p from occ", "points").replace("\n, ", ",\n").replace("", ""))

@@ -79,14 +79,16 @@ _NORMAL = "cast(pt_idx % 3 - 1 as double) as nx, cast(pt_idx % 5 - 2 as double)
 
 @query("g5_edge_convexness", V.sql(f"""select obs_id, i, j, {q4('avg(case when flat then 0.0 else c end)')} as convexness from (select a.obs_id, a.view_no as i, b.view_no as j,
 (a.nx * b.nx + a.ny * b.ny + 1) / sqrt((a.nx * a.nx + a.ny * a.ny + 1) * (b.nx * b.nx + b.ny * b.ny + 1)) > 0.92387953 as flat, -((b.x - a.x) * (b.nx - a.nx) + (b.y - a.y) * (b.ny - a.ny)) as c
-from (select *, {_NORMAL} from points) a join (select *, {_NORMAL} from points) b on a.obs_id = b.obs_id and a.view_no < b.view_no and {distance('a', 'b')} <= {R2}) group by all""", "points"))
+from (select *, {_NORMAL} from points) a join (select *, {_NORMAL} from points) b on a.obs_id = b.obs_id and a.view_no < b.view_no and {distance('a', 'b')} <= {R2}
+qualify row_number() over (partition by a.obs_id, a.view_no, a.pt_idx, b.view_no order by {distance('a', 'b')}, b.pt_idx) = 1) group by all""", "points"))
 def g5(spark, d):
-    """Mean convexity over near pairs of two segments; pairs with almost equal normals are flat."""
+    """Mean convexity over the points of a segment and their nearest ones in another; pairs with almost equal normals are flat."""
     p = V.points(spark, d).select("obs_id", "view_no", "pt_idx", "x", "y", "z", (F.col("pt_idx") % 3 - 1).cast("double").alias("nx"), (F.col("pt_idx") % 5 - 2).cast("double").alias("ny"))
-    pairs = S.pairs_within(p, p, R, BY).where("view_no < b_view_no")
+    near = S.pairs_within(p, p, R, BY).where("view_no < b_view_no").groupBy("obs_id", F.col("view_no").alias("i"), F.col("b_view_no").alias("j"), "pt_idx")
+    pairs = near.agg(F.min(F.struct("d2", "b_pt_idx", "x", "y", "nx", "ny", "b_x", "b_y", "b_nx", "b_ny")).alias("m")).select("obs_id", "i", "j", "m.*")
     cosine = F.expr("(nx * b_nx + ny * b_ny + 1) / sqrt((nx * nx + ny * ny + 1) * (b_nx * b_nx + b_ny * b_ny + 1))")
     c = -((F.col("b_x") - F.col("x")) * (F.col("b_nx") - F.col("nx")) + (F.col("b_y") - F.col("y")) * (F.col("b_ny") - F.col("ny")))
-    return pairs.groupBy("obs_id", F.col("view_no").alias("i"), F.col("b_view_no").alias("j")).agg(r4(F.avg(F.when(cosine > 0.92387953, 0.0).otherwise(c))).alias("convexness"))
+    return pairs.groupBy("obs_id", "i", "j").agg(r4(F.avg(F.when(cosine > 0.92387953, 0.0).otherwise(c))).alias("convexness"))
 
 
 _KL = "0.5 * (ln(({q}.vh * {q}.vs - {q}.cov * {q}.cov) / ({p}.vh * {p}.vs - {p}.cov * {p}.cov)) - 2 + ({q}.vs * {p}.vh - 2 * {q}.cov * {p}.cov + {q}.vh * {p}.vs) / ({q}.vh * {q}.vs - {q}.cov * {q}.cov) + ({q}.vs * (({q}.mh - {p}.mh) * ({q}.mh - {p}.mh)) - 2 * {q}.cov * ({q}.mh - {p}.mh) * ({q}.ms - {p}.ms) + {q}.vh * (({q}.ms - {p}.ms) * ({q}.ms - {p}.ms))) / ({q}.vh * {q}.vs - {q}.cov * {q}.cov))"

@@ -195,7 +195,7 @@ def j19(spark, d):
     return pairs.withColumn("cost", cost).withColumn("f", best("pt_idx", "b_pt_idx")).withColumn("g", best("b_pt_idx", "pt_idx")).where("f = 1 and g = 1").select("obs_id", "pt_idx", "b_pt_idx")
 
 
-@query("j20_bow_candidates", V.sql("select a.obs_id, a.pt_idx, b.pt_idx as b_pt_idx from points a join points b on a.obs_id = b.obs_id and a.view_no = 0 and b.view_no = 1 and a.r // 16 = b.r // 16 and a.g // 16 = b.g // 16 and a.b // 16 = b.b // 16 and abs(a.x - b.x) < 0.403", "points"))
+@query("j20_bow_candidates", V.sql("""select a.obs_id, a.pt_idx, b.pt_idx as b_pt_idx from words a join words b on a.obs_id = b.obs_id and a.word = b.word where a.view_no = 0 and b.view_no = 1 and abs(a.x - b.x) < 0.403""", "points").replace("\nselect", ", words as materialized (select obs_id, view_no, pt_idx, x, r // 16 * 256 + g // 16 * 16 + b // 16 as word from points)\nselect", 1))
 def j20(spark, d):
     """Points that share a word (a coarse colour) and lie close along x."""
     word = [F.floor(F.col(k) / 16).alias(f"w{k}") for k in "rgb"]
@@ -233,14 +233,26 @@ on a.u = b.u and a.v = b.v and b.frame_id - a.frame_id in (1, -1) and a.mask = 1
 _SCORES = f"{_PAIRS}, scores as (select src, dst, sum(case when abs(res) < 0.2003 then w else 0.0 end) as score, sum(case when res > 0.2003 then w else 0.0 end) as occ from pairs group by all)"
 
 
-def frame_scores(spark, d):
-    """Agreement and occlusion of pixels of neighbouring frames that share a place."""
-    p = V.pixels(spark, d).where("depth > 0").withColumn("z", F.col("depth") * 0.001)
+def matched_sql(shift: str, name: str) -> str:
+    """Pixels of neighbouring frames that share a place, frames moved along their view by ``shift``."""
+    moved = f"(select *, depth * 0.001 + {shift} as z from pixels where depth > 0)"
+    return f"""{name} as (select a.frame_id as src, b.frame_id as dst, a.z as za, b.z as zb, (b.z - a.z) / (a.z * a.z + b.z * b.z) as res, 1 - abs(a.nx) / 2 as w from {moved} a join {moved} b
+on a.u = b.u and a.v = b.v and b.frame_id - a.frame_id in (1, -1) and a.mask = 1)"""
+
+
+def frame_pairs(spark, d, shift: str = "0"):
+    """(src, dst, za, zb, w): pixels of neighbouring frames that share a place, frames moved along their view."""
+    p = V.pixels(spark, d).where("depth > 0").withColumn("z", F.col("depth") * 0.001 + F.expr(shift))
     a = p.where("mask = 1").select(F.col("frame_id").alias("src"), "u", "v", F.col("z").alias("za"), (1 - F.abs("nx") / 2).alias("w"))
     # only neighbouring frames are compared: each frame meets the one before and the one after
     b = p.select(F.explode(F.array(F.col("frame_id") - 1, F.col("frame_id") + 1)).alias("src"), F.col("frame_id").alias("dst"), "u", "v", F.col("z").alias("zb"))
+    return a.join(b, ["src", "u", "v"]).select("src", "dst", "za", "zb", "w")
+
+
+def frame_scores(spark, d, shift: str = "0"):
+    """Agreement and occlusion of pixels of neighbouring frames that share a place."""
     res = (F.col("zb") - F.col("za")) / (F.col("za") * F.col("za") + F.col("zb") * F.col("zb"))
-    pairs = a.join(b, ["src", "u", "v"]).withColumn("res", res)
+    pairs = frame_pairs(spark, d, shift).withColumn("res", res)
     return pairs.groupBy("src", "dst").agg(F.sum(F.when(F.abs("res") < 0.2003, F.col("w")).otherwise(0.0)).alias("score"), F.sum(F.when(F.col("res") > 0.2003, F.col("w")).otherwise(0.0)).alias("occ"))
 
 

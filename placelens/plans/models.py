@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from placelens.functions import geometry as G
 from placelens.operators import tables as T
-from placelens.plans.aggregates import _PAIR, pair_scores
-from placelens.plans.joins import _HIST, _SCORES, frame_scores, histograms
+from placelens.plans.aggregates import _PAIR, crossed_sql, pair_scores
+from placelens.plans.joins import _HIST, frame_pairs, frame_scores, histograms, matched_sql
 from placelens.plans.projections import CAM, POLYGON, POSE, _EDGES, inside_polygon
 from placelens.plans.registry import q4, query, r4
+from placelens.scratch import materialize
 from placelens.sources import views as V
 
 
@@ -38,19 +39,42 @@ def m3(spark, d):
     return pair_scores(spark, d).groupBy(F.floor(F.col("i") / 10).alias("model")).agg(r4(F.sum("total")).alias("total"))
 
 
-@query("m4_accept_if_better", V.sql(f", {_SCORES}, t as (select src // 10 as model, sum(score) as before, sum(score - occ) as after from scores group by 1) select model, after >= before as accepted, {q4('greatest(before, after)')} as total from t", "pixels").replace("\n, ", ",\n"))
+#: A second set of poses: each frame is moved along its view.
+MOVED = "(frame_id % 3 - 1) * 0.11"
+_TOTALS = f"{matched_sql('0', 'old')}, {matched_sql(MOVED, 'new')}, " + ", ".join(f"t_{k} as (select src // 10 as model, sum(case when abs(res) < 0.2003 then w when res > 0.2003 then -w else 0.0 end) as total from {k} group by 1)" for k in ("old", "new"))
+
+
+@query("m4_accept_if_better", V.sql(f", {_TOTALS} select model, n.total >= o.total as accepted, {q4('greatest(o.total, n.total)')} as total from t_old o join t_new n using (model)", "pixels").replace("\n, ", ",\n"))
 def m4(spark, d):
-    """Of two sets of poses (with and without penalty) the new one stays when its total is not lower."""
-    t = frame_scores(spark, d).groupBy(F.floor(F.col("src") / 10).alias("model")).agg(F.sum("score").alias("before"), F.sum(F.col("score") - F.col("occ")).alias("after"))
+    """Of two sets of poses of the frames the new one stays when its total is not lower."""
+    total = lambda shift, name: frame_scores(spark, d, shift).groupBy(F.floor(F.col("src") / 10).alias("model")).agg(F.sum(F.col("score") - F.col("occ")).alias(name))
+    t = total("0", "before").join(total(MOVED, "after"), "model")
     return t.select("model", (F.col("after") >= F.col("before")).alias("accepted"), r4(F.greatest("before", "after")).alias("total"))
 
 
-@query("m5_choose_pose", V.sql(f", {_SCORES}, t as (select src, k, sum(round(score * 1000) % (k + 7)) as gain from scores, range(150) r(k) group by all) select src, cast(arg_max(k, {{'g': gain, 'k': -k}}) as bigint) as pose from t group by 1", "pixels").replace("\n, ", ",\n"))
+def choose_pose(pairs, candidates: int, step: float):
+    """(src, pose, gain): of poses that move a frame along its view, the one that improves agreement less occlusion most.
+
+    ``pairs`` has src, za, zb and w of the pixels that meet. Without an improvement
+    the pose is null. Ties go to the first candidate.
+    """
+    move = (F.col("k") - candidates // 2) * F.lit(step)
+    tried = pairs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(candidates - 1)).cast("array<long>"))).withColumn("zk", F.col("za") + move)
+    res = (F.col("zb") - F.col("zk")) / (F.col("zk") * F.col("zk") + F.col("zb") * F.col("zb"))
+    worth = F.when(F.abs(res) < 0.2003, F.col("w")).when(res > 0.2003, -F.col("w")).otherwise(0.0)
+    total = tried.groupBy("src", "k").agg(F.sum(worth).alias("total"))
+    best = total.groupBy("src").agg(F.max(F.struct("total", (-F.col("k")).alias("o"))).alias("m"), F.max(F.when(F.col("k") == candidates // 2, F.col("total"))).alias("before"))
+    better = F.col("m.total") > F.col("before")
+    return best.select("src", F.when(better, -F.col("m.o")).alias("pose"), F.when(better, F.col("m.total") - F.col("before")).otherwise(0.0).alias("gain"))
+
+
+@query("m5_choose_pose", V.sql(f""", {matched_sql('0', 'old')}, tried as (select src, k, za + (k - 75) * 0.004::double as zk, zb, w from old, range(150) r(k)),
+total as (select src, k, sum(case when abs((zb - zk) / (zk * zk + zb * zb)) < 0.2003 then w when (zb - zk) / (zk * zk + zb * zb) > 0.2003 then -w else 0.0 end) as total from tried group by all),
+best as (select src, arg_max(k, {{'t': total, 'k': -k}}) as k, max(total) as most, max(total) filter (k = 75) as before from total group by 1)
+select src, case when most > before then cast(k as bigint) end as pose, {q4('case when most > before then most - before else 0.0 end')} as gain from best""", "pixels").replace("\n, ", ",\n"))
 def m5(spark, d):
-    """The best of 150 candidate poses of each model."""
-    s = frame_scores(spark, d).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(149)).cast("array<long>")))
-    t = s.groupBy("src", "k").agg(F.sum(F.round(F.col("score") * 1000) % (F.col("k") + 7)).alias("gain"))
-    return t.groupBy("src").agg(F.max_by("k", F.struct("gain", (-F.col("k")).alias("o"))).alias("pose"))
+    """The best of 150 candidate poses of each frame against its neighbours."""
+    return choose_pose(frame_pairs(spark, d), 150, 0.004).select("src", "pose", r4("gain").alias("gain"))
 
 
 def ray_clip(o, v, lo, hi):
@@ -80,15 +104,13 @@ def m7(spark, d):
     return o.select("waypoint", "u", "v", r4(F.col("cx") + (F.col("u") - 317.0) / 528.0).alias("x"), r4(F.col("cy") + (F.col("v") - 245.0) / 525.0).alias("y"))
 
 
-def view_gain(rays, voxels, size: float, steps: int):
+def view_gain(rays, voxels, size: float):
     """(obs_id, view_no, gain): entropy that a view's rays can remove.
 
-    A ray (from the origin) visits its voxels in order; a voxel adds its entropy
-    times the chance that all before it are free. Unknown voxels have p = 0.5.
+    A ray (from the origin) visits the voxels it crosses in order; a voxel adds its
+    entropy times the chance that all before it are free. Unknown voxels have p = 0.5.
     """
-    at = F.posexplode(F.array(*(F.lit((k + 0.5) / steps) for k in range(steps)))).alias("step", "t")
-    visited = rays.select("obs_id", "view_no", "pt_idx", "x", "y", "z", at)
-    visited = visited.select("obs_id", "view_no", "pt_idx", "step", *(G.cell(F.col(k) * F.col("t"), size).alias(f"c{k}") for k in "xyz"))
+    visited = rays.select("obs_id", "view_no", "pt_idx", F.posexplode(G.crossed_cells(*(F.col(k) for k in "xyz"), size)).alias("step", "c")).select("obs_id", "view_no", "pt_idx", "step", "c.*")
     seen = visited.join(voxels, ["obs_id", "cx", "cy", "cz"], "left").withColumn("p", F.coalesce("p", F.lit(0.5)))
     line = seen.groupBy("obs_id", "view_no", "pt_idx").agg(F.array_sort(F.collect_list(F.struct("step", "p"))).alias("ps"))
 
@@ -102,7 +124,7 @@ def view_gain(rays, voxels, size: float, steps: int):
 
 
 _VOX_P = "vox as (select obs_id, cast(floor(x / 0.97) as bigint) cx, cast(floor(y / 0.97) as bigint) cy, cast(floor(z / 0.97) as bigint) cz, least(0.97, 0.2 + 0.1 * count(*)) as p from points group by all)"
-_WALK = f"""{_VOX_P}, seen as (select r.obs_id, r.view_no, r.pt_idx, k, coalesce(p, 0.5) as p from (select *, cast(floor(x * ((k + 0.5) / 4) / 0.97) as bigint) cx, cast(floor(y * ((k + 0.5) / 4) / 0.97) as bigint) cy, cast(floor(z * ((k + 0.5) / 4) / 0.97) as bigint) cz from points, range(4) t(k)) r
+_WALK = f"""{_VOX_P}, {crossed_sql('0.97')}, seen as (select r.obs_id, r.view_no, r.pt_idx, step as k, coalesce(p, 0.5) as p from legs r
 left join vox v on v.obs_id = r.obs_id and v.cx = r.cx and v.cy = r.cy and v.cz = r.cz),
 gains as (select obs_id, view_no, sum(-(p * log2(p) + (1 - p) * log2(1 - p)) * coalesce(free, 1.0)) as gain from (select *, product(1 - p) over (partition by obs_id, pt_idx order by k rows between unbounded preceding and 1 preceding) as free from seen) group by all)"""
 
@@ -110,7 +132,7 @@ gains as (select obs_id, view_no, sum(-(p * log2(p) + (1 - p) * log2(1 - p)) * c
 def gains(spark, d):
     p = V.points(spark, d)
     vox = p.groupBy("obs_id", *(G.cell(k, 0.97).alias(f"c{k}") for k in "xyz")).agg(F.least(F.lit(0.97), 0.2 + 0.1 * F.count("*")).alias("p"))
-    return view_gain(p, vox, 0.97, 4)
+    return view_gain(p, vox, 0.97)
 
 
 @query("m8_view_gain", V.sql(f", {_WALK} select obs_id, view_no, {q4('gain')} as gain from gains", "points").replace("\n, ", ",\n"))
@@ -125,24 +147,15 @@ def m9(spark, d):
     return g.groupBy("obs_id").agg(F.max_by("view_no", F.struct(F.round("gain", 6), -F.col("view_no"))).alias("view_no"))
 
 
-@query("m10_ring_views", V.sql(f"""select waypoint, cast(a as int) as angle, min(k) as step from (select waypoint, a, k, mx + (0.3 + k * 0.1) * cos(a * 2 * pi() / 25) as x, my + (0.3 + k * 0.1) * sin(a * 2 * pi() / 25) as y
-from (select waypoint, avg(cx) % 4 + 0.307 as mx, avg(cy) + 1.513 as my from observations group by 1), range(25) t(a), range(20) s(k)) where ({_EDGES}) % 2 = 1 group by all""", "observations"))
-def m10(spark, d):
-    """For each of 25 angles around a target, the first radius that lies in the region."""
-    t = V.observations(spark, d).groupBy("waypoint").agg((F.avg("cx") % 4 + 0.307).alias("mx"), (F.avg("cy") + 1.513).alias("my"))
-    ring = t.withColumn("angle", F.explode(F.sequence(F.lit(0), F.lit(24)))).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(19)).cast("array<long>")))
-    turn = F.col("angle") * 2 * F.pi() / 25
-    at = ring.withColumns({"x": F.col("mx") + (0.3 + F.col("step") * 0.1) * F.cos(turn), "y": F.col("my") + (0.3 + F.col("step") * 0.1) * F.sin(turn)})
-    return at.where(inside_polygon("x", "y")).groupBy("waypoint", "angle").agg(F.min("step").alias("step"))
+_FREE = "g as (select obs_id, cast(floor(x / 0.53) as bigint) cx, cast(floor(y / 0.53) as bigint) cy, case when max(z) > 3.503 then 100 else 0 end as val from points group by all)"
 
 
-_FREE = "g as (select obs_id, cast(floor(x / 0.53) as bigint) cx, cast(floor(y / 0.53) as bigint) cy, case when max(z) > 3.503 then 100 else 0 end as val from points group by all)"
+_FREE_CELLS = "select a.obs_id, a.cx, a.cy from g a join g b on a.obs_id = b.obs_id and abs(a.cx - b.cx) <= 1 and abs(a.cy - b.cy) <= 1 group by all having max(b.val) = 0"
 
 
-@query("m11_footprint_free", V.sql(f", {_FREE} select a.obs_id, a.cx, a.cy from g a join g b on a.obs_id = b.obs_id and abs(a.cx - b.cx) <= 1 and abs(a.cy - b.cy) <= 1 group by all having max(b.val) = 0", "points").replace("\n, ", ",\n"))
-def m11(spark, d):
-    """Cells around which a robot's footprint touches nothing occupied."""
-    g = V.points(spark, d).groupBy("obs_id", G.cell("x", 0.53).alias("cx"), G.cell("y", 0.53).alias("cy")).agg(F.when(F.max("z") > 3.503, 100).otherwise(0).alias("val"))
+def footprint_free(points):
+    """(obs_id, cx, cy): seen cells around which a robot's footprint touches nothing occupied."""
+    g = points.groupBy("obs_id", G.cell("x", 0.53).alias("cx"), G.cell("y", 0.53).alias("cy")).agg(F.when(F.max("z") > 3.503, 100).otherwise(0).alias("val"))
     near = g
     for k in ("cx", "cy"):
         near = near.withColumn(k, F.explode(F.sequence(F.col(k) - 1, F.col(k) + 1)))
@@ -150,6 +163,27 @@ def m11(spark, d):
     return g.join(worst, ["obs_id", "cx", "cy"], "left_semi").select("obs_id", "cx", "cy")
 
 
+@query("m11_footprint_free", V.sql(f", {_FREE} {_FREE_CELLS}", "points").replace("\n, ", ",\n"))
+def m11(spark, d):
+    return footprint_free(V.points(spark, d))
+
+
+_RING = f"""{{free}}, ring as (select obs_id, a, k, mx + (0.3 + k * 0.1) * cos(a * 2 * pi() / 25) as x, my + (0.3 + k * 0.1) * sin(a * 2 * pi() / 25) as y from (select obs_id, avg(x) + 0.0137 as mx, avg(y) + 0.0171 as my from points group by 1), range(25) t(a), range(100) s(k))
+select obs_id, cast(a as int) as angle, min(k) as step from ring where ({_EDGES}) % 2 = 1 and exists (select 1 from free f where f.obs_id = ring.obs_id and f.cx = cast(floor(x / 0.53) as bigint) and f.cy = cast(floor(y / 0.53) as bigint)) group by all"""
+
+
+@query("m10_ring_views", V.sql(", " + _RING.format(free=_FREE + ", free as (" + _FREE_CELLS + ")"), "points").replace("\n, ", ",\n"))
+def m10(spark, d):
+    """For each of 25 angles around a target, the first of 100 radii that lies in the region and where the robot fits."""
+    t = V.points(spark, d).groupBy("obs_id").agg((F.avg("x") + 0.0137).alias("mx"), (F.avg("y") + 0.0171).alias("my"))
+    ring = t.withColumn("angle", F.explode(F.sequence(F.lit(0), F.lit(24)))).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(99)).cast("array<long>")))
+    turn = F.col("angle") * 2 * F.pi() / 25
+    at = ring.withColumns({"x": F.col("mx") + (0.3 + F.col("step") * 0.1) * F.cos(turn), "y": F.col("my") + (0.3 + F.col("step") * 0.1) * F.sin(turn)}).where(inside_polygon("x", "y"))
+    at = at.withColumns({"cx": G.cell("x", 0.53), "cy": G.cell("y", 0.53)}).join(footprint_free(V.points(spark, d)), ["obs_id", "cx", "cy"], "left_semi")
+    return at.groupBy("obs_id", "angle").agg(F.min("step").alias("step"))
+
+
+
 _PART = "select frame_id, frame_id // 4 as pair, frame_id % 4 // 2 as model, (frame_id * 7 + depth) % 5 // 3 as part from pixels"
 
 
@@ -164,9 +198,57 @@ def m12(spark, d):
     return parts.select("pair", F.when(F.col("parts") == 1, "merge").when(F.col("n") == 1, "keep").otherwise("split").alias("outcome"), "parts")
 
 
-@query("m13_fusion_round", V.sql(f", {_HIST}, s as (select a.obs_id, b.obs_id as other, round(sum(least(a.w, b.w)), 6) as score from h a join h b using (bin) where a.obs_id < b.obs_id group by all) select obs_id, arg_max(other, {{'s': score, 'o': -other}}) as other from s where score > 0.3003 group by 1", "points").replace("\n, ", ",\n"))
+NEAREST, LEAST = 150, 0.3003
+
+
+def similar_models(counts, nearest: int, least: float):
+    """(model, other): for each model the best of its ``nearest`` candidates, if their histograms share more than ``least``.
+
+    ``counts`` has model, bin and n. Models meet over equal bins, each model's bin once.
+    """
+    size = counts.groupBy("model").agg(F.sum("n").alias("total"))
+    h = counts.join(size, "model").select("model", "bin", (F.col("n") / F.col("total")).alias("w"))
+    s = h.join(h.select(F.col("model").alias("other"), "bin", F.col("w").alias("v")), "bin").where("model <> other")
+    s = s.groupBy("model", "other").agg(F.round(F.sum(F.least("w", "v")), 6).alias("score"))
+    best = T.top(s, ["model"], nearest, F.desc("score"), F.asc("other")).where(F.col("score") > least)
+    return best.groupBy("model").agg(F.max_by("other", F.struct("score", -F.col("other"))).alias("other"))
+
+
+def fusion_round(counts, nearest: int = NEAREST, least: float = LEAST):
+    """(model, other), model < other: the models that are each other's best candidate merge in this round."""
+    best = similar_models(counts, nearest, least)
+    back = best.select(F.col("other").alias("model"), F.col("model").alias("other"))
+    return best.where("model < other").join(back, ["model", "other"], "left_semi").select("model", "other")
+
+
+def fuse(counts, nearest: int = NEAREST, least: float = LEAST):
+    """(member, model): rounds until no two models are each other's best candidate; changed models are tried again."""
+    label = materialize(counts.select(F.col("model").alias("member"), "model").distinct(), "models")
+    now = materialize(counts, "histograms")
+    while True:
+        step = materialize(fusion_round(now, nearest, least), "merges")
+        if step.isEmpty():
+            return label
+        moved = step.select(F.col("other").alias("model"), F.col("model").alias("into"))
+        follow = lambda df: df.join(moved, "model", "left").withColumn("model", F.coalesce("into", "model")).drop("into")
+        label = materialize(follow(label).select("member", "model"), "models")
+        now = materialize(follow(now).groupBy("model", "bin").agg(F.sum("n").alias("n")), "histograms")
+
+
+def model_counts(spark, d):
+    p = V.points(spark, d)
+    return p.groupBy(F.col("obs_id").alias("model"), G.rgb_bin("r", "g", "b", 8).alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query("m13_fusion_round", V.sql(f""", {_HIST}, s as (select a.obs_id, b.obs_id as other, round(sum(least(a.w, b.w)), 6) as score from h a join h b using (bin) where a.obs_id <> b.obs_id group by all),
+best as (select obs_id, arg_max(other, {{'s': score, 'o': -other}}) as other from s where score > {LEAST} group by 1)
+select a.obs_id as model, a.other from best a join best b on a.other = b.obs_id and b.other = a.obs_id where a.obs_id < a.other""", "points").replace("\n, ", ",\n"))
 def m13(spark, d):
-    """One round: each model's best candidate over the threshold is the change to apply."""
-    h = histograms(spark, d)
-    s = h.join(h.select(F.col("obs_id").alias("other"), "bin", F.col("w").alias("v")), "bin").where("obs_id < other").groupBy("obs_id", "other").agg(F.round(F.sum(F.least("w", "v")), 6).alias("score"))
-    return s.where("score > 0.3003").groupBy("obs_id").agg(F.max_by("other", F.struct("score", -F.col("other"))).alias("other"))
+    """One round over all models: the changes to apply."""
+    return fusion_round(model_counts(spark, d))
+
+
+@query("m13_fuse_models")
+def m13_all(spark, d):
+    """All rounds: the model that each observation ends in."""
+    return fuse(model_counts(spark, d))

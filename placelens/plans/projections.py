@@ -169,11 +169,10 @@ def p18(spark, d):
 _DIGIT = f"substr('{G.DIGITS}', cast(n // {{p}} % 62 as int) + 1, 1)"
 
 
-@query("p19_key_from_number", f"select n, regexp_replace({' || '.join(_DIGIT.format(p=62**k) for k in range(9, -1, -1))}, '^0*(.)', '\\1') as key from (select o_orderkey * 7919 * 104729 as n from orders)")
+@query("p19_key_from_number", f"select n, regexp_replace({' || '.join(_DIGIT.format(p=62**k) for k in range(10, -1, -1))}, '^a+', '') as key from (select o_orderkey * 7919 * 104729 as n from orders)")
 def p19(spark, d):
     n = V.table(spark, d, "orders").select((F.col("o_orderkey") * 7919 * 104729).alias("n"))
-    digit = [F.substring(F.lit(G.DIGITS), ((F.expr(f"n div {62**k}L")) % 62).cast("int") + 1, F.lit(1)) for k in range(9, -1, -1)]
-    return n.select("n", F.regexp_replace(F.concat(*digit), "^0*(.)", "$1").alias("key"))
+    return n.select("n", G.key_from_number("n").alias("key"))
 
 
 @query("p20_view_heading", V.sql(f"select obs_id, {q4('a')} as yaw, {q4('sin(a / 2)')} as qz, {q4('cos(a / 2)')} as qw from (select obs_id, atan2(4.013 - cy, 9.017 - cx) as a from observations)", "observations"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from placelens.operators import tables as T, vocabulary as B
-from placelens.plans.joins import histograms
+from placelens.plans.graphs import _LABEL, labels, rec
+from placelens.plans.joins import _HIST, histograms
 from placelens.plans.registry import q4, query, r4
 from placelens.scratch import materialize
 from placelens.sources import views as V
@@ -82,10 +83,12 @@ def v6(spark, d):
     return B.norms(given_vectors(spark, d)).select("source_id", r4("norm").alias("norm"))
 
 
-@query("v7_query_vector", voc(f"select cast(node_id as bigint) as node_id, {q4('v')} as v, {q4('norm')} as norm from vectors join norms using (source_id) where source_id = 7"))
+@query("v7_query_vector", voc(f"select source_id, cast(node_id as bigint) as node_id, {q4('v')} as v, {q4('norm')} as norm from vectors join norms using (source_id) where v <> 0"))
 def v7(spark, d):
-    v = given_vectors(spark, d).where("source_id = 7")
-    return v.join(B.norms(v), "source_id").select("node_id", r4("v").alias("v"), r4("norm").alias("norm"))
+    """Every source as a query; words without weight, or of none that is a number, are dropped."""
+    v = given_vectors(spark, d)
+    finite = v.where("v <> 0 and not isnan(v) and abs(v) < double('inf')")
+    return finite.join(B.norms(v), "source_id").select("source_id", "node_id", r4("v").alias("v"), r4("norm").alias("norm"))
 
 
 @query("v8_score", voc(f"select query_id, source_id, {q4('score')} as score from scores"))
@@ -123,7 +126,7 @@ def grown(spark, d) -> DataFrame:
     """Groups grown from each query's best subgroup; subgroups of a group are adjacent in a row."""
     v = materialize(given_vectors(spark, d), "vectors")
     parts = v.select((F.col("source_id") % 10).cast("long").alias("group_id"), F.col("source_id").cast("long").alias("subgroup_id"), "node_id", "v")
-    queries = v.where("source_id < 10").withColumn("source_id", F.col("source_id").cast("long"))
+    queries = v.withColumn("source_id", F.col("source_id").cast("long"))
     best = B.score(queries, v).withColumn("group_id", (F.col("source_id") % 10).cast("long"))
     hints = best.groupBy("query_id", "group_id").agg(F.min_by(F.col("source_id").cast("long"), F.struct("score", "source_id")).alias("hint"))
     near = parts.select("group_id", F.col("subgroup_id").alias("i"), (F.col("subgroup_id") + 10).alias("j")).distinct()
@@ -155,12 +158,16 @@ def v16(spark, d):
     return V.descriptors(spark, d).groupBy("group_id", "subgroup_id").agg(F.min("source_id").alias("source_id"), F.count("*").alias("members"))
 
 
-@query("v17_cell_members", voc("select m.vec_id, cast(q.node_id as bigint) as node_id from l1 q join l1 m using (node_id) where q.vec_id = 33"))
+@query("v17_cell_members", voc("select q.vec_id as query_id, cast(q.node_id as bigint) as node_id, n, first, last from l1 q join (select node_id, count(*) as n, min(vec_id) as first, max(vec_id) as last from l1 group by 1) using (node_id) where q.vec_id % 20 = 0"))
 def v17(spark, d):
-    """All descriptors below the node that a descriptor passes at the first level."""
+    """For each query the node that it passes at the first level, and how many descriptors lie below it, from which to which.
+
+    Members are gathered once a node, not once a query.
+    """
     paths = materialize(B.assign_paths(V.descriptors(spark, d), given_tree(spark, d), 1), "paths").where("depth = 1")
-    node = paths.where("vec_id = 33").select("node_id")
-    return paths.join(node, "node_id").select("vec_id", "node_id")
+    asked = paths.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "node_id")
+    members = B.cell_members(paths, asked).groupBy("node_id").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"), F.max("vec_id").alias("last"))
+    return asked.join(members, "node_id").select("query_id", "node_id", "n", "first", "last")
 
 
 @query("v18_split_keypoints", V.sql("select obs_id, part, count(*) as n from (select obs_id, (row_number() over (partition by obs_id order by case when sx >= sy and sx >= sz then x when sy >= sz then y else z end, pt_idx) - 1) // 30 as part from points join (select obs_id, max(x) - min(x) sx, max(y) - min(y) sy, max(z) - min(z) sz from points group by 1) using (obs_id)) group by all", "points"))
@@ -186,11 +193,11 @@ def v19(spark, d):
     return build_vocabulary(V.descriptors(spark, d))
 
 
-@query("v20_subsegment_search", voc(f"select query_id, source_id, {q4('score')} as score from scores where query_id = 3 and source_id % 7 <> 2 and source_id <> 3"))
+@query("v20_subsegment_search", voc(f"select query_id, source_id, {q4('score')} as score from scores where query_id % 20 = 0 and source_id % 7 <> 2 and source_id <> query_id"))
 def v20(spark, d):
-    """One stored source among the live others."""
+    """Stored sources among the live others."""
     v = materialize(given_vectors(spark, d), "vectors")
-    return B.score(v.where("source_id = 3"), v.where("source_id % 7 <> 2 and source_id <> 3")).select("query_id", "source_id", r4("score").alias("score"))
+    return B.score(v.where("source_id % 20 = 0"), v.where("source_id % 7 <> 2")).where("source_id <> query_id").select("query_id", "source_id", r4("score").alias("score"))
 
 
 @query("v21_flat_words")
@@ -199,7 +206,8 @@ def v21(spark, d):
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    e = V.descriptors(spark, d).select(array_to_vector(F.col("vec").cast("array<double>")).alias("features")).cache()
+    e = V.descriptors(spark, d).select(array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
+    e = materialize(e, "features")
     models = [KMeans(k=8, seed=s, maxIter=10).fit(e) for s in (1, 2, 3)]
     best = min(models, key=lambda m: m.summary.trainingCost)
     return best.transform(e).groupBy(F.col("prediction").alias("word")).agg(F.count("*").alias("n"))
@@ -224,46 +232,101 @@ def evaluate(queries: DataFrame, retrieve, truth: str = "label", k: int = 10) ->
     return found.groupBy(F.col("want").alias("label")).agg(r4(F.avg((F.col("label") == F.col("want")).cast("int"))).alias("ratio"))
 
 
-@query("x1_evaluate_retrieval", V.sql(f"select a.label, {q4('avg((b.label = a.label)::int)')} as ratio from descriptors a join descriptors b on b.vec_id between a.vec_id + 1 and a.vec_id + 10 group by 1", "descriptors"))
+def source_labels(spark, d) -> DataFrame:
+    """(source_id, label): the most frequent label of a source, the smallest of equals."""
+    n = V.descriptors(spark, d).groupBy("source_id", "label").agg(F.count("*").alias("n"))
+    return n.groupBy("source_id").agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("label"))
+
+
+_MODE = "mode as (select source_id, arg_min(label, {'n': -n, 'l': label}) as label from (select source_id, label, count(*) as n from descriptors group by all) group by 1)"
+
+
+@query("x1_evaluate_retrieval", voc(f""", {_MODE} select a.label, {q4('avg((b.label = a.label)::int)')} as ratio from (select query_id, source_id, row_number() over (partition by query_id order by round(score, 6), source_id) as rank from scores where query_id <> source_id) r
+join mode a on a.source_id = query_id join mode b on b.source_id = r.source_id where rank <= 10 group by 1""").replace(" , mode", ", mode"))
 def x1(spark, d):
-    """The evaluator with a retrieval by neighbouring ids."""
-    e = V.descriptors(spark, d).select(F.col("vec_id").alias("query_id"), "label")
+    """The evaluator with the vocabulary's search; a hit has the query's label."""
+    label = materialize(source_labels(spark, d), "labels")
+    v = materialize(given_vectors(spark, d), "vectors")
 
-    def by_id(q: DataFrame) -> DataFrame:
-        near = q.select("query_id", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("rank")).withColumn("other", F.col("query_id") + F.col("rank"))
-        return near.join(e.select(F.col("query_id").alias("other"), "label"), "other").select("query_id", "rank", "label")
+    def by_words(q: DataFrame) -> DataFrame:
+        s = B.score(v.join(q.select(F.col("query_id").alias("source_id")), "source_id", "left_semi"), v).where("query_id <> source_id")
+        return T.top(s.withColumn("score", F.round("score", 6)), ["query_id"], 10, F.asc("score"), F.asc("source_id")).join(label, "source_id").select("query_id", "rank", "label")
 
-    return evaluate(e, by_id)
+    return evaluate(label.select(F.col("source_id").alias("query_id"), "label"), by_words)
 
 
-@query("x2_evaluate_segmentation", V.sql(f"select label, {q4('avg(n)')} as mean_size from (select obs_id, label, cast(floor(pt_idx / 50) as bigint) s, count(*) n from label_points group by all) group by 1", "label_points"))
-def x2(spark, d):
-    """The evaluator with a segmentation that cuts by point index."""
-    segment = lambda p: p.withColumn("s", F.floor(F.col("pt_idx") / 50))
-    n = segment(V.label_points(spark, d)).groupBy("obs_id", "label", "s").agg(F.count("*").alias("n"))
+def evaluate_segmentation(objects: DataFrame, segment) -> DataFrame:
+    """Per label the mean size of the pieces that a segmentation function (points -> points with a column segment) cuts objects into."""
+    n = segment(objects).groupBy("obs_id", "label", "segment").agg(F.count("*").alias("n"))
     return n.groupBy("label").agg(r4(F.avg("n")).alias("mean_size"))
 
 
-def search(name: str, spark, d, query_id: int, n: int) -> DataFrame:
-    """(query_id, other, score) of one of the model stores: histogram, vocabulary or first ids."""
+def by_components(spark, d):
+    """A segmentation: runs of points, joined where their centres are near (connected components)."""
+    label = labels(spark, d)
+
+    def segment(points: DataFrame) -> DataFrame:
+        runs = points.withColumn("node", F.floor(F.col("pt_idx") / 20))
+        return runs.join(label, ["obs_id", "node"], "left").withColumn("segment", F.coalesce("component", "node"))
+
+    return segment
+
+
+@query("x2_evaluate_segmentation", rec(f", {_LABEL} select label, {q4('avg(n)')} as mean_size from (select p.obs_id, p.label, coalesce(component, cast(floor(pt_idx / 20) as bigint)) as segment, count(*) as n from label_points p left join label l on l.obs_id = p.obs_id and node = cast(floor(pt_idx / 20) as bigint) group by all) group by 1", "points", "label_points"))
+def x2(spark, d):
+    """The evaluator with the segmentation by components."""
+    return evaluate_segmentation(V.label_points(spark, d), by_components(spark, d))
+
+
+def add(store: DataFrame | None, rows: DataFrame, key: str) -> DataFrame:
+    """A model store with rows added; models of a key that it has already are replaced."""
+    return rows if store is None else T.upsert(store, rows, [key])
+
+
+def remove(store: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """A model store without some models."""
+    return store.join(ids.select(key).distinct(), key, "left_anti")
+
+
+def search(name: str, store: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+    """(query_id, other, rank): the n best models of a store for each query; stores are histogram, vocabulary and first.
+
+    Histograms are rows of obs_id, bin and w, vocabularies of source_id, node_id and
+    v; of the first store the smallest ids win.
+    """
     if name == "histogram":
-        h = histograms(spark, d)
-        s = h.where(F.col("obs_id") == query_id).join(h.select(F.col("obs_id").alias("other"), "bin", F.col("w").alias("v")), "bin")
-        s = s.where("other <> obs_id").groupBy(F.col("obs_id").alias("query_id"), "other").agg((-F.sum(F.least("w", "v"))).alias("score"))
+        h = store.select(F.col("obs_id").alias("other"), "bin", F.col("w").alias("v"))
+        s = queries.select(F.col("obs_id").alias("query_id"), "bin", "w").join(h, "bin").groupBy("query_id", "other").agg((-F.sum(F.least("w", "v"))).alias("score"))
     elif name == "vocabulary":
-        v = materialize(given_vectors(spark, d), "vectors")
-        s = B.score(v.where(F.col("source_id") == query_id), v.where(F.col("source_id") != query_id)).withColumnsRenamed({"source_id": "other"})
+        s = B.score(queries, store).withColumnsRenamed({"source_id": "other"})
     elif name == "first":
-        s = V.descriptors(spark, d).select(F.lit(query_id).alias("query_id"), F.col("source_id").alias("other"), F.col("source_id").cast("double").alias("score")).distinct().where(F.col("other") != query_id)
+        # no more than n + 1 smallest ids can be among the n best of any query
+        least = store.select(F.col("source_id").alias("other")).distinct().orderBy("other").limit(n + 1)
+        s = queries.select(F.col("source_id").alias("query_id")).distinct().join(F.broadcast(least)).withColumn("score", F.col("other").cast("double"))
     else:
         raise ValueError(f"unknown store {name}")
-    return T.top(s.withColumn("score", F.round("score", 6)), ["query_id"], n, F.asc("score"), F.asc("other"))
+    return T.top(s.where("other <> query_id").withColumn("score", F.round("score", 6)), ["query_id"], n, F.asc("score"), F.asc("other")).select("query_id", "other", F.col("rank").cast("long").alias("rank"))
+
+
+_FOUND = "select '{0}' as store, query_id, other, rank from (select *, row_number() over (partition by query_id order by {1}, other) as rank from ({2}) where other <> query_id and other % 7 <> 2) where rank <= 5"
 
 
-@query("x3_model_search", voc("select 'vocabulary' as store, source_id as other, rank from (select source_id, row_number() over (order by round(score, 6), source_id) as rank from scores where query_id = 5 and source_id <> 5) where rank <= 5 union all select 'first', source_id, row_number() over (order by source_id) from (select distinct source_id from descriptors where source_id <> 5 order by 1 limit 5)"))
+@query("x3_model_search", V.sql(f", {_PATHS}, {_HIST} " + " union all ".join(_FOUND.format(*x) for x in (
+    ("histogram", "score desc", "select a.obs_id as query_id, b.obs_id as other, round(sum(least(a.w, b.w)), 6) as score from h a join h b using (bin) where a.obs_id % 20 = 0 group by all"),
+    ("vocabulary", "score", "select query_id, source_id as other, round(score, 6) as score from scores where query_id % 20 = 0"),
+    ("first", "other", "select q.source_id as query_id, s.source_id as other from (select distinct source_id from descriptors where source_id % 20 = 0) q, (select distinct source_id from descriptors) s"),
+)), "descriptors", "points").replace("\n, ", ",\n"))
 def x3(spark, d):
-    both = [search(s, spark, d, 5, 5).select(F.lit(s).alias("store"), "other", F.col("rank").cast("long").alias("rank")) for s in ("vocabulary", "first")]
-    return both[0].unionByName(both[1])
+    """Models are added to each store in two parts, some are removed, the rest is searched."""
+    v, h = materialize(given_vectors(spark, d), "vectors"), materialize(histograms(spark, d), "histograms")
+    ids = v.select("source_id").distinct()
+    out = None
+    for name, rows, key in (("histogram", h, "obs_id"), ("vocabulary", v, "source_id"), ("first", ids, "source_id")):
+        store = add(add(None, rows.where(F.col(key) % 2 == 0), key), rows.where(F.col(key) % 2 == 1), key)
+        store = remove(store, rows.where(F.col(key) % 7 == 2), key)
+        found = search(name, store, rows.where(F.col(key) % 20 == 0), 5).select(F.lit(name).alias("store"), F.col("query_id").cast("long").alias("query_id"), F.col("other").cast("long").alias("other"), "rank")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 @query("x4_query_kind", V.sql("select kind, count(*) as n from (select 'all' as kind, event_id from wobj_obs union all select 'models', event_id from wobj_obs where kind in ('purchase', 'signup') union all select 'rooms', event_id from wobj_obs where kind not in ('purchase', 'signup')) group by 1", "wobj_obs"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 import uuid
 
 from pyspark.sql import functions as F
@@ -47,19 +49,23 @@ def s3(spark, d):
     return spark.read.parquet(root).groupBy(F.col("date").cast("string").alias("date")).agg(F.count("*").alias("n"))
 
 
-@query("s4_read_points", V.sql("select obs_id, count(*) as n from points where obs_id in (3, 5, 8) group by 1", "points"))
+@query("s4_read_points", V.sql("select obs_id, count(*) as n from points group by 1", "points"))
 def s4(spark, d):
-    """Only the partitions of the wanted observations are read."""
+    """Points stored by waypoint, read for each observation."""
     root = folder(spark, "points")
-    V.points(spark, d).withColumn("waypoint", F.col("obs_id") % 20).write.partitionBy("waypoint").parquet(root)
-    return spark.read.parquet(root).where("waypoint in (3, 5, 8) and obs_id in (3, 5, 8)").groupBy("obs_id").agg(F.count("*").alias("n"))
+    V.points(spark, d).withColumn("waypoint", F.col("obs_id") % 20).repartition("waypoint").write.partitionBy("waypoint").parquet(root)
+    wanted = V.points(spark, d).select("obs_id", (F.col("obs_id") % 20).cast("int").alias("waypoint")).distinct()
+    return spark.read.parquet(root).join(wanted, ["waypoint", "obs_id"], "left_semi").groupBy("obs_id").agg(F.count("*").alias("n"))
 
 
-@query("s5_read_views", V.sql(f"select obs_id, view_no, count(*) as n, {q4('sum(x + view_no * 0.5)')} as sx from points group by all", "points"))
+@query("s5_read_views", V.sql(f"""select obs_id, view_no, camera_id, count(*) as n, {q4('sum(p.x + coalesce(tx, 0.0))')} as sx, {q4('sum(case when p.z > 0 then fx * p.x / p.z + c.cx end)')} as su, {q4('sum(case when p.z > 0 then fy * p.y / p.z + c.cy end)')} as sv
+from points p left join transforms t using (obs_id, view_no) join cameras c on camera_id = view_no group by all""", "points", "transforms", "cameras"))
 def s5(spark, d):
-    p = V.points(spark, d)
-    transforms = p.select("obs_id", "view_no").distinct().withColumn("tx", F.col("view_no") * 0.5)
-    return p.join(transforms, ["obs_id", "view_no"]).groupBy("obs_id", "view_no").agg(F.count("*").alias("n"), r4(F.sum(F.col("x") + F.col("tx"))).alias("sx"))
+    """Clouds of each position with the position's pose, moved to the map, and with its camera, as pixels."""
+    p = V.points(spark, d).join(V.transforms(spark, d), ["obs_id", "view_no"], "left").withColumn("camera_id", F.col("view_no"))
+    p = p.join(V.cameras(spark, d), "camera_id")
+    ahead = lambda f, k, c: F.sum(F.when(F.col("z") > 0, F.col(f) * F.col(k) / F.col("z") + F.col(c)))
+    return p.groupBy("obs_id", "view_no", "camera_id").agg(F.count("*").alias("n"), r4(F.sum(F.col("x") + F.coalesce("tx", F.lit(0.0)))).alias("sx"), r4(ahead("fx", "x", "cx")).alias("su"), r4(ahead("fy", "y", "cy")).alias("sv"))
 
 
 @query("s6_read_clusters")
@@ -138,11 +144,12 @@ def s15(spark, d):
     return C.read_json(spark, root, r.schema)
 
 
-@query("s16_ingest_pcd", V.sql(f"select obs_id, count(*) as n, {q4('sum(x)')} as sx, {q4('sum(z)')} as sz from points group by 1", "points"))
+@query("s16_ingest_pcd", V.sql(f"select obs_id, count(*) as n, {q4('sum(x)')} as sx, {q4('sum(z)')} as sz, sum(r)::bigint as sr, sum(g)::bigint as sg, sum(b)::bigint as sb from points group by 1", "points"))
 def s16(spark, d):
     root = folder(spark, "pcd")
     C.write_pcd(V.points(spark, d), root)
-    return C.ingest_pcd(spark, root).groupBy("obs_id").agg(F.count("*").alias("n"), r4(F.sum("x")).alias("sx"), r4(F.sum("z")).alias("sz"))
+    total = [F.sum(k).alias(f"s{k}") for k in "rgb"]
+    return C.ingest_pcd(spark, root).groupBy("obs_id").agg(F.count("*").alias("n"), r4(F.sum("x")).alias("sx"), r4(F.sum("z")).alias("sz"), *total)
 
 
 @query("s17_export_models", V.sql(f"select frame_id, count(*) as n, {q4('avg(x)')} as cx from {_MODEL} group by 1", "pixels"))
@@ -170,8 +177,17 @@ def s19(spark, d):
     return spark.read.parquet(store).select(*(c.alias(k) for k, c in C.parse_log_name().items())).groupBy("run").agg(F.count("*").alias("n"))
 
 
-@query("s20_reload_if_changed", V.sql("select waypoint, count(*) as n from observations group by 1", "observations"))
+@query("s20_reload_if_changed", V.sql("select held, reloaded, case when reloaded then n end as n from (select count(distinct waypoint) as n from observations), (values ('nothing', true), ('present', false), ('older', true)) t(held, reloaded)", "observations"))
 def s20(spark, d):
+    """An index is read anew when the summary's stamp differs from the one held, and only then."""
     o = V.observations(spark, d)
     summary = o.agg(F.max("start_ts").alias("last_updated"))
-    return C.reload_if_changed(spark, summary, None, lambda: o.groupBy("waypoint").agg(F.count("*").alias("n")))
+    present = summary.first()[0]
+    read = lambda: o.agg(F.countDistinct("waypoint").alias("n"))
+    out = None
+    for held, stamp in (("nothing", None), ("present", present), ("older", present - timedelta(seconds=1))):
+        found = C.reload_if_changed(spark, summary, stamp, read)
+        row = summary.select(F.lit(None).cast("long").alias("n")) if found is None else found
+        row = row.select(F.lit(held).alias("held"), F.lit(found is not None).alias("reloaded"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from placelens.functions import geometry as G
-from placelens.operators import spatial as S, tables as T
+from placelens.operators import spatial as S, tables as T, vocabulary as B
 from placelens.plans.aggregates import MEANS, VOXEL
 from placelens.plans.joins import BY, R2, _HIST, _SEGMENTS, cloud, distance, histograms, segment_overlaps
 from placelens.plans.projections import catalog_paths
 from placelens.plans.registry import q4, query, r4
+from placelens.plans.retrieval import _PATHS, given_vectors, voc
+from placelens.scratch import materialize
 from placelens.sources import views as V
 
 
@@ -37,12 +39,13 @@ def w3(spark, d):
     return T.latest(V.observations(spark, d), ["waypoint"], F.asc("start_ts"), F.asc("obs_id"), n=5).select("waypoint", "obs_id")
 
 
-@query("w4_sensor_origin", V.sql(f"select waypoint, {q4('arg_max(cx, {{t: start_ts, o: obs_id}})'.replace('{{', '{').replace('}}', '}'))} as ox, {q4('arg_max(cy, {{t: start_ts, o: obs_id}})'.replace('{{', '{').replace('}}', '}'))} as oy from observations group by 1", "observations"))
+@query("w4_sensor_origin", V.sql(f"""select waypoint, {q4("arg_min(tx, view_no)")} as ox, {q4("arg_min(ty, view_no)")} as oy, {q4("arg_min(tz, view_no)")} as oz
+from (select waypoint, arg_max(obs_id, {{'t': start_ts, 'o': obs_id}}) as obs_id from observations group by 1) left join transforms using (obs_id) group by 1""", "observations", "transforms"))
 def w4(spark, d):
-    """Origin of the first pose of the latest observation."""
+    """Origin of the first pose of the latest observation; null without poses."""
     last = T.latest(V.observations(spark, d), ["waypoint"], *newest()).select("waypoint", "obs_id")
-    pose = V.observations(spark, d).select("obs_id", F.lit(0).alias("view_no"), "cx", "cy").where("view_no = 0")
-    return last.join(pose, "obs_id").select("waypoint", r4("cx").alias("ox"), r4("cy").alias("oy"))
+    pose = last.join(V.transforms(spark, d), "obs_id", "left").groupBy("waypoint").agg(F.min_by(F.struct("tx", "ty", "tz"), "view_no").alias("t"))
+    return pose.select("waypoint", *(r4(F.col(f"t.t{k}")).alias(f"o{k}") for k in "xyz"))
 
 
 @query("w5_retain_newest", V.sql("select waypoint, obs_id, row_number() over (partition by waypoint order by start_ts desc, obs_id desc) <= 5 as kept from observations", "observations"))
@@ -102,12 +105,12 @@ def w9(spark, d):
     return T.top(scored.where(~F.isnan("score")), ["label"], 10, F.asc("score"), F.asc("vec_id")).select("label", "vec_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("w10_exclude_self_then_top", V.sql("select source, vec_id, rank from (select q.s as source, vec_id, row_number() over (partition by q.s order by abs(vec_id % 97 - q.s), vec_id) as rank from (select distinct source_id as s from descriptors) q join descriptors d on d.source_id <> q.s and d.label = q.s % 10) where rank <= 10", "descriptors"))
+@query("w10_exclude_self_then_top", voc("select source, other, rank from (select query_id as source, source_id as other, row_number() over (partition by query_id order by round(score, 6), source_id) as rank from scores where query_id <> source_id) where rank <= 10"))
 def w10(spark, d):
-    e = V.descriptors(spark, d)
-    q = e.select(F.col("source_id").alias("source")).distinct().withColumn("label", (F.col("source") % 10))
-    hits = q.join(e, "label").where("source_id <> source")
-    return T.top(hits, ["source"], 10, F.abs(F.col("vec_id") % 97 - F.col("source")), F.asc("vec_id")).select("source", "vec_id", F.col("rank").cast("long").alias("rank"))
+    """Of the sources that a sweep's search finds, its own is left out, then the ten best stay."""
+    v = materialize(given_vectors(spark, d), "vectors")
+    hits = B.score(v, v).where("query_id <> source_id").withColumn("score", F.round("score", 6))
+    return T.top(hits, ["query_id"], 10, F.asc("score"), F.asc("source_id")).select(F.col("query_id").alias("source"), F.col("source_id").alias("other"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("w11_path_length", V.sql(f"select waypoint, {q4('sum(sqrt(dx * dx + dy * dy))')} as length from (select waypoint, cx - lag(cx) over w as dx, cy - lag(cy) over w as dy from observations window w as (partition by waypoint order by start_ts, obs_id)) group by 1", "observations"))
@@ -152,11 +155,14 @@ def w16(spark, d):
     return V.wobj_obs(spark, d).select("event_id", F.when(F.col("kind").isin("purchase", "signup"), "model").otherwise("room").alias("type"), F.floor(T.seconds("stamp")).alias("epoch"), step.cast("long").alias("step"))
 
 
-@query("w17_start_segment", V.sql(_SEGMENTS + " select obs_id, label, arg_min(view_no, {'s': view_no * 7 % 5, 'v': view_no}) as view_no from ov where overlap > 0.1 group by all", "points", "label_points").replace("\n, ", ",\n"))
+@query("w17_start_segment", V.sql(_SEGMENTS + f""", {_PATHS} select obs_id, label, arg_min(view_no, {{'s': round(score, 6), 'v': view_no}}) as view_no from ov join scores on query_id = obs_id % 50 and source_id = (obs_id * 3 + view_no) % 50
+where overlap > 0.1 group by all""", "points", "label_points", "descriptors").replace("\n, ", ",\n"))
 def w17(spark, d):
-    """Of the segments that overlap an object, the one with the lowest score."""
-    ov = segment_overlaps(spark, d).where("overlap > 0.1")
-    return ov.groupBy("obs_id", "label").agg(F.min_by("view_no", F.struct(F.col("view_no") * 7 % 5, "view_no")).alias("view_no"))
+    """Of the segments that overlap an object, the one with the lowest score against the query's source."""
+    v = materialize(given_vectors(spark, d), "vectors")
+    score = B.score(v, v).withColumn("score", F.round("score", 6))
+    ov = segment_overlaps(spark, d).where("overlap > 0.1").select("obs_id", "label", "view_no", (F.col("obs_id") % 50).cast("int").alias("query_id"), ((F.col("obs_id") * 3 + F.col("view_no")) % 50).cast("int").alias("source_id"))
+    return ov.join(score, ["query_id", "source_id"]).groupBy("obs_id", "label").agg(F.min_by("view_no", F.struct("score", "view_no")).alias("view_no"))
 
 
 # Set operations
@@ -204,10 +210,12 @@ def u5(spark, d):
     return live.unionByName(gone.select("name", F.lit(None).cast("string").alias("parent"), F.lit(True).alias("archived")))
 
 
-@query("u6_merge_catalogs", V.sql("select waypoint, count(*) as n from (select waypoint, obs_id from observations where run_no < 3 union all select waypoint, obs_id from observations where run_no > 4) group by 1", "observations"))
+@query("u6_merge_catalogs", V.sql("select waypoint, count(*) as n from (select waypoint, obs_id from observations where run_no < 5 union select waypoint, obs_id from observations where run_no > 2) group by 1", "observations"))
 def u6(spark, d):
-    o = V.observations(spark, d)
-    return o.where("run_no < 3").unionByName(o.where("run_no > 4")).groupBy("waypoint").agg(F.count("*").alias("n"))
+    """The listings of the disk and of the store, which share some rooms."""
+    o = V.observations(spark, d).select("waypoint", "obs_id", "run_no")
+    both = o.where("run_no < 5").unionByName(o.where("run_no > 2")).select("waypoint", "obs_id").distinct()
+    return both.groupBy("waypoint").agg(F.count("*").alias("n"))
 
 
 @query("u7_common_keys", V.sql(f", {_HIST} select a.obs_id, bin, {q4('a.w')} as a_w, {q4('b.w')} as b_w from h a join h b using (bin) where b.obs_id = a.obs_id + 1", "points").replace("\n, ", ",\n"))

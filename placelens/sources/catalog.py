@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-
 ROOM = "obs_id long, waypoint string, log_name string, run_no int, start_ts string, centroid string"
 
 
@@ -28,33 +29,65 @@ def write_catalog(df: DataFrame, root: str) -> None:
     df.write.partitionBy("date").mode("overwrite").parquet(root)
 
 
-PCD_HEADER = "VERSION .7|FIELDS x y z|SIZE 8 8 8|TYPE F F F|COUNT 1 1 1|WIDTH {n}|HEIGHT 1|VIEWPOINT 0 0 0 1 0 0 0|POINTS {n}|DATA ascii"
+# Fixed value: the header of a cloud file.
+PCD_HEADER = "VERSION .7|FIELDS x y z rgb|SIZE 8 8 8 4|TYPE F F F U|COUNT 1 1 1 1|WIDTH {n}|HEIGHT 1|VIEWPOINT 0 0 0 1 0 0 0|POINTS {n}|DATA ascii"
 
 
 def write_pcd(points: DataFrame, root: str) -> None:
-    """One PCD text file for each observation; a cloud is a file by nature."""
-    line = F.concat_ws(" ", *(F.col(k).cast("string") for k in "xyz"))
+    """One PCD text file for each observation; a cloud is a file by nature. Colours are one number, red first."""
+    colour = F.col("r") * 65536 + F.col("g") * 256 + F.col("b")
+    line = F.concat_ws(" ", *(F.col(k).cast("string") for k in "xyz"), colour.cast("string"))
     cloud = points.groupBy("obs_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pt_idx", line.alias("l")))), lambda e: e["l"]), "\n").alias("body"), F.count("*").alias("n"))
     head = F.replace(F.replace(F.lit(PCD_HEADER), F.lit("{n}"), F.col("n").cast("string")), F.lit("|"), F.lit("\n"))
     cloud.select("obs_id", F.concat(head, F.lit("\n"), "body").alias("value")).write.partitionBy("obs_id").mode("overwrite").text(root)
 
 
-def ingest_pcd(spark: SparkSession, root: str) -> DataFrame:
-    """points(obs_id, pt_idx, x, y, z) of all PCD text files below a folder; one bulk job."""
-    import pandas as pd
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(root).select("path", "content")
+def parse_pcd(content: bytes) -> dict[str, np.ndarray]:
+    """The columns of a PCD file, as its header names them; text and plain binary data."""
+    head, at = {}, 0
+    while "DATA" not in head:
+        end = content.index(b"\n", at)
+        key, *values = content[at:end].decode().split() or ["#"]
+        head[key], at = values, end + 1
+    counts = [int(c) for c in head.get("COUNT", ["1"] * len(head["FIELDS"]))]
+    kinds = [{"F": "f", "I": "i", "U": "u"}[t] + s for t, s in zip(head["TYPE"], head["SIZE"])]
+    row = np.dtype([(f, "<" + k, (c,)) if c > 1 else (f, "<" + k) for f, k, c in zip(head["FIELDS"], kinds, counts)])
+    n = int(head["POINTS"][0])
+    if head["DATA"] == ["binary"]:
+        table = np.frombuffer(content, row, n, at)
+        return {f: table[f] for f in row.names}
+    if head["DATA"] != ["ascii"]:
+        raise ValueError(f"PCD data of kind {head['DATA']} is not supported")
+    flat = np.array(content[at:].split(), "S32").reshape(n, -1)
+    first = np.cumsum([0, *counts])
+    return {f: flat[:, a].astype(row[f].base if c == 1 else "f8") for f, a, c in zip(head["FIELDS"], first, counts)}
+
+
+def colours(columns: dict[str, np.ndarray]) -> np.ndarray | None:
+    """Packed colours of a file, whether stored as a number or in the bits of a float."""
+    packed = columns.get("rgb", columns.get("rgba"))
+    if packed is None:
+        return None
+    return (packed.astype("<f4").view("<u4") if packed.dtype.kind == "f" else packed).astype(np.int64)
+
+
+def ingest_pcd(spark: SparkSession, root: str, pattern: str = "*.{txt,pcd}") -> DataFrame:
+    """points(obs_id, pt_idx, x, y, z, r, g, b) of all PCD files below a folder; one bulk job.
+
+    Files without colours have null ones.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path", "content")
 
     def run(batches):
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                obs = re.search(r"obs_id=(-?\d+)/", path)
-                lines = bytes(content).decode().split("\n")
-                at = lines.index("DATA ascii") + 1
-                rows = [line.split(" ") for line in lines[at:] if line]
-                yield pd.DataFrame({"obs_id": int(obs[1]) if obs else -1, "pt_idx": range(1, len(rows) + 1), **{n: [float(r[k]) for r in rows] for k, n in enumerate("xyz")}})
-
-    return files.mapInPandas(run, "obs_id long, pt_idx long, x double, y double, z double")
+            for path, content in zip(*(c.to_pylist() for c in batch.columns)):
+                obs, columns = re.search(r"obs_id=(-?\d+)/", path), parse_pcd(content)
+                n, packed = len(columns["x"]), colours(columns)
+                rgb = [pa.nulls(n, pa.int32()) if packed is None else pa.array((packed >> k & 255).astype(np.int32)) for k in (16, 8, 0)]
+                xyz = [pa.array(columns[k].astype(np.float64)) for k in "xyz"]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, int(obs[1]) if obs else -1)), pa.array(np.arange(1, n + 1)), *xyz, *rgb], ["obs_id", "pt_idx", *"xyzrgb"])
+
+    return files.mapInArrow(run, "obs_id long, pt_idx long, x double, y double, z double, r int, g int, b int")
 
 
 def write_json(df: DataFrame, path: str) -> None:

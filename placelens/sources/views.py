@@ -49,6 +49,18 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """transforms(obs_id, view_no, tx, ty, tz): one pose for each line of an order, the last one listed."""
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("obs_id"), (F.col("l_linenumber") - 1).alias("view_no"), F.struct((F.col("l_quantity") / 10).alias("tx"), (F.col("l_partkey") % 97 / 10).alias("ty"), (F.col("l_tax") * 20).alias("tz")).alias("t"))
+    return line.groupBy("obs_id", "view_no").agg(F.max("t").alias("t")).select("obs_id", "view_no", "t.*")
+
+
+def cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cameras(camera_id, fx, fy, cx, cy, width, height): one for each region, all of one make."""
+    make = {"fx": 528.0, "fy": 525.0, "cx": 317.0, "cy": 245.0}
+    return table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("int").alias("camera_id"), *((F.lit(v) + F.col("r_regionkey")).alias(k) for k, v in make.items()), F.lit(640).alias("width"), F.lit(480).alias("height"))
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pixels(frame_id, u, v, depth, r, g, b, nx, ny, nz, mask): one row per pixel and frame."""
     raw = table(spark, sf_dir, "lineitem").groupBy(
@@ -109,6 +121,8 @@ SQL = {
   cast(l_orderkey % 256 as int) as r, cast(l_partkey * 7 % 256 as int) as g, cast(l_linenumber * 36 % 256 as int) as b from (select *, {_RANK} as pt_idx from lineitem))""",
     "observations": """observations as (select o_orderkey as obs_id, 'WP' || (o_custkey % 20) as waypoint, o_orderpriority as log_name, cast(o_custkey % 7 as int) as run_no, o_orderdate as start_ts,
   o_orderdate + interval 10 minutes as end_ts, (o_custkey % 20) * 3.0::double + (o_orderkey % 10) / 10 as cx, (o_custkey % 20 % 4) * 2.0::double + (o_orderkey % 7) / 10 as cy, (o_custkey % 3) * 0.5::double as cz from orders)""",
+    "transforms": """transforms as (select obs_id, view_no, t.tx as tx, t.ty as ty, t.tz as tz from (select l_orderkey as obs_id, l_linenumber - 1 as view_no, max({'tx': l_quantity / 10, 'ty': (l_partkey % 97) / 10, 'tz': l_tax * 20}) as t from lineitem group by all))""",
+    "cameras": """cameras as (select cast(r_regionkey as int) as camera_id, 528.0::double + r_regionkey as fx, 525.0::double + r_regionkey as fy, 317.0::double + r_regionkey as cx, 245.0::double + r_regionkey as cy, 640 as width, 480 as height from region)""",
     "pixels": """pixels as (select frame_id, u, v, depth, cast(k % 256 as int) as r, cast(k * 7 % 256 as int) as g, cast(k * 13 % 256 as int) as b, cast(k % 3 - 1 as double) as nx, cast(k % 5 - 2 as double) as ny, 1.0::double as nz,
   case when k % 4 = 0 then 0 else 1 end as mask from (select l_suppkey as frame_id, cast(l_partkey % 64 as int) as u, cast(l_orderkey % 48 as int) as v,
   max(case when l_linenumber = 7 then 0 else cast(trunc(l_quantity * 40) as int) end) as depth, max(l_orderkey) as k from lineitem group by all))""",
