@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from placelens.operators import spatial as S, tables as T, vocabulary as B
-from placelens.plans.joins import BY, R2, cloud
+from placelens.operators import spatial as S, vocabulary as B
+from placelens.plans.joins import _SEEN, BY, R2, cloud
+from placelens.plans.projections import binned
 from placelens.plans.registry import q4, query, r4
 from placelens.plans.retrieval import DEPTH, given_tree, voc
 from placelens.plans.windows import _near
@@ -21,77 +22,128 @@ def t1(spark, d):
 
 @query("t2_assemble_sweep")
 def t2(spark, d):
-    """signup opens a sweep, purchase finishes it."""
-    found = J.run_to(J.assembled(J.events(spark, d), "signup", "purchase", "100 days"))
-    return found.select("name", "sweep", "frames", r4("total").alias("total"))
+    """signup opens a sweep, purchase finishes it; frames at one of three positions become their median."""
+    found = J.run_to(J.assembled(J.events(spark, d), "signup", "purchase", "100 days", 3))
+    return found.select("name", "sweep", "position", "frames", r4("median").alias("median"))
 
 
-@query("t3_update_metaroom_stream", V.sql(f"select obs_id, pt_idx from points a where {_near(0, 1)} or view_no = 2", "points"))
-def t3(spark, d):
-    """Each arriving set of sweeps updates the static map: removed points go, added ones come."""
-    store = J.Versions(spark, "metaroom")
-    p0, p1, p2 = (cloud(spark, d, k).select("obs_id", "pt_idx", "x", "y", "z") for k in (0, 1, 2))
+def updated_map(old, sweep):
+    """A static map after a sweep: points that the sweep sees past go, points that it adds come.
+
+    A map point without a sweep point near it goes only when it stands in front of
+    what the sweep shows in its direction; behind that, or where the sweep shows
+    nothing, it may be hidden and stays. Both have obs_id, pt_idx, x, y, z.
+    """
+    gone = S.cloud_difference(old, sweep, R2, BY)
+    front = S.occlusion(binned(gone), binned(sweep), BY, 61).where("side = 'front'").select("obs_id", "pt_idx")
+    kept = old.join(front, ["obs_id", "pt_idx"], "left_anti")
+    return kept.unionByName(S.cloud_difference(sweep, old, R2, BY))
+
+
+_FAR = f"""seen as ({_SEEN}), far as (select obs_id, tbin, pbin, max(r) as other from seen where view_no = 1 group by all), front as (select obs_id, pt_idx from seen join far using (obs_id, tbin, pbin) where view_no = 0 and r < other),
+updated as (select obs_id, pt_idx, view_no from points a where view_no = 0 and not ({_near(0, 1)} and exists (select 1 from front f where f.obs_id = a.obs_id and f.pt_idx = a.pt_idx)) union all select obs_id, pt_idx, view_no from points a where {_near(1, 0)})"""
+
 
-    def step(batch, _):
+def update_maps(spark, d, store, state=None):
+    """The stream of arriving observations; each is matched with the map of its place (here its own), which it updates."""
+    view = lambda k: cloud(spark, d, k).select("obs_id", "pt_idx", "x", "y", "z")
+
+    def step(batch, number):
         arrived = batch.select(F.col("s_suppkey").alias("obs_id"))
         pick = lambda p: p.join(arrived, "obs_id", "left_semi")
-        new = S.cloud_difference(pick(p0), pick(p1), R2, BY).unionByName(pick(p2))
-        old = store.read()
-        store.write(new if old is None else old.join(arrived, "obs_id", "left_anti").unionByName(new))
+        known = store.newest("obs_id", number)
+        old = pick(view(0)) if known is None else pick(known).unionByName(pick(view(0)).join(known.select("obs_id").distinct(), "obs_id", "left_anti"))
+        store.write(updated_map(old, pick(view(1))), number)
 
-    J.run_batches(J.read_stream(spark, d, "supplier"), step)
-    return store.read().select("obs_id", "pt_idx")
+    J.run_batches(J.read_stream(spark, d, "supplier"), step, state)
+
+
+@query("t3_update_metaroom_stream", V.sql(f", {_FAR} select obs_id, pt_idx from updated", "points").replace("\n, ", ",\n"))
+def t3(spark, d):
+    """Each arriving sweep is matched with its map, compared both ways, tested for occlusion, and updates the map."""
+    store = J.Batches(spark, "metaroom")
+    update_maps(spark, d, store)
+    return store.newest("obs_id").select("obs_id", "pt_idx")
 
 
-@query("t4_newest_clusters_mode", V.sql(f"select obs_id, count(*) as n from points a where {_near(2, 1)} group by 1", "points"))
+@query("t4_newest_clusters_mode", V.sql(f""", {_FAR} select obs_id, count(*) as n, count(*) filter (front) as front from (select obs_id, exists (select 1 from seen s join far using (obs_id, tbin, pbin) where s.view_no = 2 and s.obs_id = a.obs_id and s.pt_idx = a.pt_idx and r < other) as front from points a where {_near(2, 1)}) group by 1""", "points").replace("\n, ", ",\n"))
 def t4(spark, d):
-    """Against the sweep before (view 1) instead of the map."""
-    out = J.Versions(spark, "newest")
+    """Against the sweep before (view 1) instead of the map: what is new, and how much of it stands in front."""
+    store = J.Batches(spark, "newest")
 
-    def step(batch, _):
+    def step(batch, number):
         arrived = batch.select(F.col("s_suppkey").alias("obs_id"))
         pick = lambda k: cloud(spark, d, k).join(arrived, "obs_id", "left_semi")
-        n = S.cloud_difference(pick(2), pick(1), R2, BY).groupBy("obs_id").agg(F.count("*").alias("n"))
-        old = out.read()
-        out.write(n if old is None else old.unionByName(n))
+        new = S.cloud_difference(pick(2), pick(1), R2, BY)
+        front = S.occlusion(binned(new), binned(pick(1)), BY, 61).where("side = 'front'").select("obs_id", "pt_idx", F.lit(True).alias("front"))
+        each = new.join(front, ["obs_id", "pt_idx"], "left")
+        store.write(each.groupBy("obs_id").agg(F.count("*").alias("n"), F.count_if(F.coalesce("front", F.lit(False))).alias("front")), number)
 
     J.run_batches(J.read_stream(spark, d, "supplier"), step)
-    return out.read()
+    return store.newest("obs_id").select("obs_id", "n", "front")
+
+
+def reset_maps(maps, sweeps, ids: list[str], initialize: bool):
+    """Maps (waypoint, since) with those of ``ids`` (empty: all) dropped, and begun anew with the latest sweep if asked."""
+    named = (lambda df: df.where(F.col("waypoint").isin(*ids))) if ids else (lambda df: df)
+    left = maps.join(named(maps).select("waypoint"), "waypoint", "left_anti")
+    if not initialize:
+        return left
+    return left.unionByName(named(sweeps).groupBy("waypoint").agg(F.max("start_ts").alias("since")))
 
 
-@query("t5_reset_metaroom", V.sql("select waypoint, case when waypoint in ('WP1', 'WP2') then max(start_ts) else min(start_ts) end as since from observations group by 1", "observations"))
+@query("t5_reset_metaroom", V.sql("""select kind, waypoint, since from (select 'some' as kind, waypoint, case when waypoint in ('WP1', 'WP2') then max(start_ts) else min(start_ts) end as since from observations group by 2
+union all select 'dropped', waypoint, min(start_ts) from observations where waypoint not in ('WP3', 'WP4') group by 2 union all select 'all', waypoint, max(start_ts) from observations group by 2)""", "observations"))
 def t5(spark, d):
-    """Named maps are dropped and begin again with the latest sweep."""
+    """Two maps begun anew, two dropped, and all (no names given) begun anew."""
     o = V.observations(spark, d)
     maps = o.groupBy("waypoint").agg(F.min("start_ts").alias("since"))
-    reset = o.where("waypoint in ('WP1', 'WP2')").groupBy("waypoint").agg(F.max("start_ts").alias("since"))
-    return T.upsert(maps, reset, ["waypoint"])
+    cases = (("some", ["WP1", "WP2"], True), ("dropped", ["WP3", "WP4"], False), ("all", [], True))
+    out = None
+    for kind, ids, initialize in cases:
+        one = reset_maps(maps, o, ids, initialize).select(F.lit(kind).alias("kind"), "waypoint", "since")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-@query("t6_transform_buffer", V.sql("select name, count(*) as n from (select distinct name, kind, stamp from wobj_obs) group by 1", "wobj_obs"))
+@query("t6_transform_buffer", V.sql("select a.event_id, arg_max(b.event_id, {'s': b.stamp, 'e': b.event_id}) as pose from wobj_obs a join (select distinct name, stamp, event_id from wobj_obs where kind = 'view') b on a.name = b.name and b.stamp between a.stamp - interval 2 hours and a.stamp where a.kind = 'click' group by 1", "wobj_obs"))
 def t6(spark, d):
-    return J.run_to(J.newest_only(J.events(spark, d), "100 days")).groupBy("name").agg(F.count("*").alias("n"))
+    """The latest pose (view) for each query (click) in a buffer of two hours."""
+    e = J.events(spark, d)
+    return J.latest_poses(J.run_to(J.lookups(e.where("kind = 'click'"), J.events(spark, d).where("kind = 'view'"), "2 hours", "100 days")))
 
 
 @query("t7_collect_views")
 def t7(spark, d):
     """Views between a signup (start of viewing) and an error (its end), per selected object."""
-    found = J.run_to(J.assembled(J.events(spark, d).where("kind in ('signup', 'view', 'error')"), "signup", "error", "100 days"))
+    found = J.run_to(J.assembled(J.events(spark, d).where("kind in ('signup', 'view', 'error')"), "signup", "error", "100 days", 1))
     return found.select("name", "sweep", F.col("frames").alias("views"))
 
 
-@query("t8_vocabulary_stream", voc("select cast(node_id as bigint) as node_id, source_id, tf from posts"))
-def t8(spark, d):
-    """Batches are appended to a vocabulary that was trained once."""
-    tree, store = given_tree(spark, d), J.Versions(spark, "postings")
+def vocabulary_stream(spark, d, train, sweeps: int = 20, root: str | None = None):
+    """Postings by batch: descriptors are held until more than ``sweeps`` sweeps are there, a tree is trained once, then batches are appended."""
+    held, tree, posts = (J.Batches(spark, k, root and f"{root}/{k}") for k in ("held", "tree", "postings"))
 
-    def step(batch, _):
+    def step(batch, number):
         e = batch.select("vec_id", (F.col("vec_id") % 50).cast("int").alias("source_id"), F.col("embedding").alias("vec"))
-        new, old = B.postings(B.assign_paths(e, tree, DEPTH)), store.read()
-        store.write(new if old is None else B.append(old, new))
+        nodes = tree.read(number)
+        if nodes is None:
+            held.write(e, number)
+            waiting = held.read(number + 1).drop("batch")
+            if waiting.select("source_id").distinct().count() <= sweeps:
+                return
+            tree.write(train(waiting), number)
+            nodes, e = tree.read(number + 1), waiting
+        posts.write(B.postings(B.assign_paths(e, nodes.drop("batch"), DEPTH)), number)
 
-    J.run_batches(J.read_stream(spark, d, "embeddings"), step)
-    return store.read().select("node_id", "source_id", "tf")
+    J.run_batches(J.read_stream(spark, d, "embeddings"), step, root and f"{root}/state")
+    return posts.read().groupBy("node_id", "depth", "source_id").agg(F.sum("tf").alias("tf"))
+
+
+@query("t8_vocabulary_stream", voc("select cast(node_id as bigint) as node_id, source_id, tf from posts"))
+def t8(spark, d):
+    """Training picks the tree of the retrieval queries, so that the postings can be told in SQL."""
+    return vocabulary_stream(spark, d, lambda waiting: given_tree(spark, d)).select("node_id", "source_id", "tf")
 
 
 @query("t9_skip_indexed", V.sql("select name, count(*) as n from wobj_obs where event_id % 4 <> 0 group by 1", "wobj_obs"))

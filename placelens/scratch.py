@@ -13,14 +13,16 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share.
 
     ``spark.checkpoint.dir`` of the session is used when it is set. Where it is
-    unset (tests on one machine) a new folder is made once and kept in the
-    session's checkpoint setting.
+    unset, a session on one machine (tests) gets a new folder once, kept in its
+    checkpoint setting; on a cluster, whose executors would not see it, that is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
     where = spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="placelens-"))
         where = spark.sparkContext.getCheckpointDir()
     return where.rstrip("/")

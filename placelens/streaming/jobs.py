@@ -44,9 +44,14 @@ def run_to(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_batches(stream: DataFrame, step) -> None:
-    """Hand each micro-batch to ``step``; batches that ran before are not repeated after a restart."""
-    query = stream.writeStream.option("checkpointLocation", folder(stream.sparkSession, "state")).trigger(availableNow=True).foreachBatch(step).start()
+def run_batches(stream: DataFrame, step, state: str | None = None) -> None:
+    """Hand each micro-batch and its number to ``step``.
+
+    With a ``state`` folder of the caller's, batches that ended before a restart are
+    not repeated; one that broke off is, under the same number.
+    """
+    state = state or folder(stream.sparkSession, "state")
+    query = stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(step).start()
     query.awaitTermination()
 
 
@@ -70,56 +75,86 @@ def nearest_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("event_id").agg(F.min_by("b_event_id", F.struct(gap, "b_event_id")).alias("b_event_id"))
 
 
+def lookups(queries: DataFrame, poses: DataFrame, keep: str, watermark: str) -> DataFrame:
+    """Pairs of queries and poses of one name that are at most ``keep`` older: the buffer forgets older poses."""
+    a = queries.withWatermark("stamp", watermark).alias("a")
+    b = poses.select("name", F.col("stamp").alias("b_stamp"), F.col("event_id").alias("b_event_id")).withWatermark("b_stamp", watermark).alias("b")
+    held = F.expr(f"a.name = b.name and b_stamp between stamp - interval {keep} and stamp")
+    return a.join(b, held).select("a.name", "stamp", "event_id", "b_stamp", "b_event_id")
+
+
+def latest_poses(found: DataFrame) -> DataFrame:
+    """Of the poses that a query finds the latest, ties by the larger id."""
+    return found.groupBy("event_id").agg(F.max_by("b_event_id", F.struct("b_stamp", "b_event_id")).alias("pose"))
+
+
 def newest_only(stream: DataFrame, keep: str) -> DataFrame:
     """A buffer that forgets what is older than ``keep``: repeats within it are dropped."""
     return stream.withWatermark("stamp", keep).dropDuplicatesWithinWatermark(["name", "kind", "stamp"])
 
 
-SWEEP = "name string, sweep int, frames int, total double"
+SWEEP = "name string, sweep int, position int, frames int, median double"
+OPEN = "sweep int, opened boolean, positions array<int>, values array<double>"
 
 
-def assembled(stream: DataFrame, start: str, stop: str, watermark: str) -> DataFrame:
-    """One row per finished sweep of a name: frames seen between its start and stop messages.
+def assembled(stream: DataFrame, start: str, stop: str, watermark: str, positions: int) -> DataFrame:
+    """Rows for each position of each finished sweep of a name: its frames between the start and stop messages, and their upper median.
 
-    The state holds numbers of the open sweep only. A start while a sweep is open
-    begins it anew; a stop without a start is ignored. A sweep whose stop is missing
-    for a day after the last message is given up.
+    A message's position is its event_id modulo ``positions``. The state holds the open
+    sweep's frames only, which the sweep's length bounds. A start while a sweep is
+    open begins it anew; a stop without a start is ignored. A sweep whose stop is
+    missing for a day after the last message is given up.
     """
 
     def step(key, frames, state: GroupState):
-        sweep, opened, n, total = state.get if state.exists else (0, False, 0, 0.0)
+        sweep, opened, at, values = state.get if state.exists else (0, False, [], [])
         if state.hasTimedOut:
             state.remove()
             return
         rows = pd.concat(list(frames)).sort_values(["stamp", "event_id"])
-        out = []
-        for kind, value in zip(rows["kind"], rows["value"]):
+        at, values, out = list(at), list(values), []
+        for kind, value, number in zip(rows["kind"], rows["value"], rows["event_id"]):
             if kind == start:
-                opened, n, total = True, 0, 0.0
+                opened, at, values = True, [], []
             elif kind == stop and opened:
-                out.append((key[0], sweep, n, total))
-                sweep, opened, n, total = sweep + 1, False, 0, 0.0
+                seen = pd.DataFrame({"position": at, "value": values}).groupby("position")["value"]
+                out += [(key[0], sweep, int(p), len(v), float(sorted(v)[len(v) // 2])) for p, v in seen]
+                sweep, opened, at, values = sweep + 1, False, [], []
             elif opened:
-                n, total = n + 1, total + float(value)
-        state.update((sweep, opened, n, total))
+                at.append(int(number % positions))
+                values.append(float(value))
+        state.update((sweep, opened, at, values))
         last = max(int(rows["stamp"].max().timestamp() * 1000), state.getCurrentWatermarkMs())
         state.setTimeoutTimestamp(last + 86_400_000)
         if out:
-            yield pd.DataFrame(out, columns=["name", "sweep", "frames", "total"])
+            yield pd.DataFrame(out, columns=["name", "sweep", "position", "frames", "median"])
 
     rows = stream.withWatermark("stamp", watermark)
-    return rows.groupBy("name").applyInPandasWithState(step, SWEEP, "sweep int, opened boolean, n int, total double", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-class Versions:
-    """Versioned tables per key in the shared folder: each batch writes a new version."""
-
-    def __init__(self, spark: SparkSession, tag: str) -> None:
-        self.spark, self.root, self.version = spark, folder(spark, tag), 0
-
-    def read(self) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.root}/v{self.version}") if self.version else None
-
-    def write(self, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/v{self.version + 1}")
-        self.version += 1
+    return rows.groupBy("name").applyInPandasWithState(step, SWEEP, OPEN, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+class Batches:
+    """A table in a folder that each micro-batch adds its own part to; a repeated batch replaces its part."""
+
+    def __init__(self, spark: SparkSession, tag: str, root: str | None = None) -> None:
+        self.spark, self.root = spark, root or folder(spark, tag)
+
+    def write(self, df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.root}/batch={batch}")
+
+    def read(self, before: int | None = None) -> DataFrame | None:
+        """All parts, or those of batches before one; None where there is none."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        found = [n for n in names if n.startswith("batch=") and (before is None or int(n[6:]) < before)]
+        return self.spark.read.option("basePath", self.root).parquet(*(f"{self.root}/{n}" for n in found)) if found else None
+
+    def newest(self, by: str, before: int | None = None) -> DataFrame | None:
+        """Of each key the rows of the latest batch that wrote it."""
+        rows = self.read(before)
+        if rows is None:
+            return None
+        last = rows.groupBy(by).agg(F.max("batch").alias("batch"))
+        return rows.join(last, [by, "batch"], "left_semi").drop("batch")
