@@ -8,14 +8,19 @@ vectors of the labelled texts are broadcast; every document is compared with all
 them by blocked cosine products, and its nearest neighbours vote for their labels
 with their similarity.
 
-The fit uses at most ``sample`` labelled rows, those of smallest hash of the id;
-this bounds the broadcast (sample * rank numbers of 4 bytes, 1.5 MB by default, and the
-projection). Scores, in contrast, cover every whole text.
+The fit uses at most ``sample`` labelled rows, those of smallest hash of the id. Their
+terms are counted in the workers, so that the driver gets sample * 1824 numbers at
+most, whatever the texts' lengths, and broadcasts sample * rank numbers of 8 bytes
+(3 MB by default) and the projection. Scores, in contrast, cover every whole text.
+
+Ties. Cosines are taken in double precision and rounded to nine places; of neighbours
+at the same distance those of smaller doc_id vote.
 
 Defined results: null and empty texts are texts without terms and get the share of
 label 1 among the fitted rows; so does everything when no label is known (then 0.5);
-rows are kept one to one; rows with a null id are never held out and never fitted.
-Only ids, texts and the labels' doc_id and quality are read.
+where a doc_id has several labels the largest counts; rows are kept one to one; rows
+with a null id are never held out and never fitted. Only ids, texts and the labels'
+doc_id and quality are read.
 """
 
 from __future__ import annotations
@@ -89,42 +94,51 @@ def weighted(rows: np.ndarray, idf: np.ndarray) -> np.ndarray:
 class Model:
     """Latent vectors of labelled texts, and the way there."""
 
-    def __init__(self, texts: list[bytes], labels: list[int], rank: int = RANK, neighbours: int = NEIGHBOURS, sharpness: float = SHARPNESS) -> None:
+    def __init__(self, rows: np.ndarray, labels: list[int], rank: int = RANK, neighbours: int = NEIGHBOURS, sharpness: float = SHARPNESS) -> None:
+        """``rows`` are term counts of the labelled texts, by doc_id."""
         self.neighbours, self.sharpness = neighbours, sharpness
         self.labels = np.array(labels, float)
         self.prior = float(self.labels.mean()) if len(labels) else 0.5
-        rows = np.zeros((len(texts), sum(FAMILIES)), np.float32)
-        for k, t in enumerate(texts):
-            rows[k] = counts(t)
-        self.idf = (np.log((1 + len(rows)) / (1 + np.count_nonzero(rows, axis=0))) + 0.2).astype(np.float32)
+        self.idf = np.log((1 + len(rows)) / (1 + np.count_nonzero(rows, axis=0))) + 0.2
         x = weighted(rows, self.idf)
-        del rows
         rank = min(rank, *x.shape)
         # randomised range finder: a few power rounds suffice for the leading directions
-        probe = np.random.default_rng(7).standard_normal((x.shape[1], rank + 16), np.float32)
+        probe = np.random.default_rng(7).standard_normal((x.shape[1], rank + 16))
         for _ in range(4 if rank else 0):
             probe, _ = np.linalg.qr(x.T @ (x @ probe))
         _, _, vt = np.linalg.svd(x @ probe, full_matrices=False) if rank else (0, 0, np.zeros((0, probe.shape[1])))
         self.project = probe @ vt.T[:, :rank]
         self.vectors = unit(x @ self.project)
 
+    def cosines(self, texts: list[bytes]) -> np.ndarray:
+        """Of texts and labelled rows, rounded so that blocks of any size agree."""
+        y = unit(weighted(np.array([counts(t) for t in texts], float), self.idf) @ self.project)
+        return np.round(y @ self.vectors.T, 9)
+
     def score(self, texts: list[bytes]) -> np.ndarray:
         """Share of label 1 among the nearest labelled texts, weighted by similarity."""
         out = np.full(len(texts), self.prior)
         if not len(self.vectors):
             return out
-        for a in range(0, len(texts), 256):
-            y = unit(weighted(np.array([counts(t) for t in texts[a : a + 256]], np.float32), self.idf) @ self.project)
-            cosine = y @ self.vectors.T  # single precision
-            k = min(self.neighbours, cosine.shape[1])
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(float) ** self.sharpness
+        for a in range(0, len(texts), 128):
+            cosine = self.cosines(texts[a : a + 128])
+            near = nearest(cosine, min(self.neighbours, cosine.shape[1]))
+            weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0) ** self.sharpness
             total = weight.sum(axis=1)
             vote = (weight * self.labels[near]).sum(axis=1) / np.maximum(total, 1e-12)
-            out[a : a + 256] = np.where(total > 1e-9, np.minimum(vote, 1.0), self.prior)
+            out[a : a + 128] = np.where(total > 1e-9, np.minimum(vote, 1.0), self.prior)
         return out
 
 
+def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """The columns of the k largest values of each row; of equal values the first columns, all in order of columns."""
+    near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(cosine, near, axis=1).min(axis=1)
+    for row in np.flatnonzero((cosine >= least[:, None]).sum(axis=1) > k):
+        near[row] = np.argsort(-cosine[row], kind="stable")[:k]
+    return np.sort(near, axis=1)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
 
@@ -138,9 +152,20 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: in
     """The model of at most ``sample`` labelled rows outside the held-out fold."""
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
     chosen = marks.where(~held_out(F.col("doc_id"), folds)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = byte_texts(documents).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").collect()
-    rows.sort(key=lambda r: (r[0], r[1]))
-    return Model([bytes(r[1]) for r in rows], [int(r[2]) for r in rows])
+    labelled = byte_texts(documents).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
+
+    def run(batches):
+        for batch in batches:
+            found = [counts(t) for t in batch.column(1).to_pylist()]
+            terms = [np.flatnonzero(x) for x in found]
+            lists = [pa.array([t.tolist() for t in terms], pa.list_(pa.int32())), pa.array([x[t].tolist() for x, t in zip(found, terms)], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), *lists], ["doc_id", "quality", "terms", "counts"])
+
+    rows = sorted(labelled.mapInArrow(run, "doc_id long, quality int, terms array<int>, counts array<double>").collect(), key=lambda r: (r.doc_id, r.terms, r.counts))
+    dense = np.zeros((len(rows), sum(FAMILIES)))
+    for k, r in enumerate(rows):
+        dense[k, r.terms] = r.counts
+    return Model(dense, [r.quality for r in rows])
 
 
 def classify(documents: DataFrame, model: Model, threshold: float = THRESHOLD, folds: int = FOLDS) -> DataFrame:
