@@ -47,6 +47,8 @@ SHINGLE = 5
 PERCENT = 75
 #: Members of a bucket in one row, and in one block of a grid.
 CHUNK, BLOCK = 4096, 1024
+#: Members of a bucket that meet its verdict in one task.
+SPREAD = 256
 #: Documents up to which a list of ids (8 bytes each) is broadcast instead of shuffling texts.
 BROADCAST_IDS = 2_000_000
 #: Stands for the block of crowded sets.
@@ -292,7 +294,7 @@ def _dealt(docs: np.ndarray, keys: np.ndarray, parts: int) -> pa.RecordBatch:
 
 
 def buckets(needed: DataFrame) -> DataFrame:
-    """(key, pivot, docs): members of each bucket of two or more, equal buckets once, in rows of CHUNK."""
+    """(key, pivot, size, docs): members of each bucket of two or more, equal buckets once, in rows of CHUNK."""
 
     def run(batches):
         docs, keys = [], []
@@ -314,13 +316,14 @@ def buckets(needed: DataFrame) -> DataFrame:
             return
         name = _sums(mix(doc.astype(U)), at, ends)
         name, once = np.unique(name, return_index=True)
-        rows = [(n, doc[at[i]], doc[k : min(k + CHUNK, ends[i])]) for n, i in zip(name.view(np.int64).tolist(), once) for k in range(int(at[i]), int(ends[i]), CHUNK)]
+        rows = [(n, doc[at[i]], doc[k : min(k + CHUNK, ends[i])], int(ends[i] - at[i])) for n, i in zip(name.view(np.int64).tolist(), once) for k in range(int(at[i]), int(ends[i]), CHUNK)]
         for k in range(0, len(rows), 20_000):
             some = rows[k : k + 20_000]
             starts = np.append(0, np.cumsum([len(r[2]) for r in some])[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int64()), pa.array([r[1] for r in some], pa.int64()), lists(np.concatenate([r[2] for r in some]), starts)], ["key", "pivot", "docs"])
+            key, pivot, size = (pa.array([r[k] for r in some], pa.int64()) for k in (0, 1, 3))
+            yield pa.RecordBatch.from_arrays([key, pivot, size, lists(np.concatenate([r[2] for r in some]), starts)], ["key", "pivot", "size", "docs"])
 
-    return needed.mapInArrow(run, "key long, pivot long, docs array<long>").distinct()
+    return needed.mapInArrow(run, "key long, pivot long, size long, docs array<long>").distinct()
 
 
 def _sums(x: np.ndarray, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -331,11 +334,10 @@ def _sums(x: np.ndarray, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
 def crossing(members: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of a bucket's different components whose sizes and sketches allow a link.
 
-    ``members`` has key, doc_id and component. Buckets of more than BLOCK members
-    are compared in a grid of blocks, each cell for itself.
+    ``members`` has key, the bucket's size, doc_id and component. Buckets of more than
+    BLOCK members are compared in a grid of blocks, each cell for itself.
     """
-    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    cells = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    cells = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "component")
     full = cells.join(own.select("doc_id", "n_shingles", "sketch"), "doc_id").select("key", "i", "j", "block", "doc_id", "component", "n_shingles", "sketch")
@@ -442,10 +444,14 @@ def similar_documents(documents: DataFrame, percent: int = PERCENT, length: int
     links = checked(documents, own, plausible(pairs, own, percent), percent, length)
     label = materialize(components(links, "a", "b"), "labels")
     # what shares a bucket but not yet a component
-    members = found.select("key", F.explode("docs").alias("doc_id"))
-    placed = members.join(label, members.doc_id == label.node, "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = materialize(placed.join(mixed, "key", "left_semi"), "rest")
+    members = found.select("key", "size", F.explode("docs").alias("doc_id"))
+    placed = members.join(label, members.doc_id == label.node, "left").select("key", "size", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    mixed = placed.groupBy("key", "size").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "size")
+    # a large bucket's members meet its verdict in several tasks
+    salts = F.ceil(F.col("size") / SPREAD).cast("int")
+    verdict = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    dealt = placed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts).cast("int"))
+    rest = materialize(dealt.join(verdict, ["key", "size", "salt"], "left_semi").drop("salt"), "rest")
     more = checked(documents, own, crossing(rest, own, percent), percent, length)
     if not more.isEmpty():
         label = materialize(components(links.unionByName(more), "a", "b"), "labels")
@@ -457,18 +463,31 @@ def similar_documents(documents: DataFrame, percent: int = PERCENT, length: int
 
 
 def without(documents: DataFrame, removed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``documents`` less the ids in ``removed`` (doc_id); a list of ids is broadcast up to BROADCAST_IDS."""
+    """``documents`` less the ids in ``removed`` (doc_id); rows without id stay. A list of ids is broadcast up to BROADCAST_IDS."""
     removed = materialize(removed.select(F.col("doc_id").alias("__removed")).where("__removed is not null").distinct(), "removed")
     side = F.broadcast(removed) if removed.count() <= BROADCAST_IDS else removed
     return documents.join(side, documents[id_col] == F.col("__removed"), "left_anti")
 
 
 def first_of_each(documents: DataFrame, percent: int = PERCENT, length: int = SHINGLE) -> DataFrame:
-    """One document of each group of similar ones stays, that of smallest doc_id; all columns stay."""
-    groups = similar_documents(documents, percent, length)
-    kept = without(documents, groups.where("component_id <> doc_id"))
-    repeated = materialize(documents.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_anti").select(*documents.columns)
-    return once.unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*documents.columns))
+    """One row of each group of similar ones stays, with all columns: that of smallest doc_id.
+
+    Where ids are missing or repeat, every row is judged by its own text: rows are
+    numbered and linked by number, and of a group the row of smallest doc_id (null
+    last), then of smallest hash of the text, then of the whole row, stays. Rows
+    without words link with nothing and stay.
+    """
+    odd = documents.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    if odd.isEmpty():
+        return without(documents, similar_documents(documents, percent, length).where("component_id <> doc_id"))
+    row = "__row"
+    while row in documents.columns:
+        row += "_"
+    numbered = materialize(documents.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = similar_documents(numbered.select(F.col(row).alias("doc_id"), "text"), percent, length).select(F.col("doc_id").alias(row), "component_id")
+    plain = [f.name for f in documents.schema.fields if "map<" not in f.dataType.simpleString()]
+    place = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.xxhash64("text").alias("c"), F.xxhash64(*plain).alias("d"), F.col(row).alias("e"))
+    placed = materialize(numbered.select(row, place.alias("place")).join(groups, row).select(row, "place", "component_id"), "placed")
+    first = placed.groupBy("component_id").agg(F.min("place").alias("first"))
+    later = placed.join(first, "component_id").where("place <> first").select(F.col(row).alias("doc_id"))
+    return without(numbered, later, row).select(*documents.columns)
