@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from placelens.scratch import materialize
 
@@ -49,28 +49,17 @@ def blobs(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return documents.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("blob", F.sha2("text", 256))
 
 
-def matches(text: Column, rule: Rule) -> Column:
-    """Array of (start, end) of a rule's matches, leftmost and not overlapping, failing ones dropped."""
+def lengths(text: Column, rule: Rule, place: int) -> Column:
+    """Of each match of a rule, leftmost and not overlapping: lengths of the text before it, of the match and of what is tested."""
     gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
     found = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.length)
     tested = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), F.length) if rule.group else found
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    zipped = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("found"), tested.alias("tested"))
+    named = (F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"), F.lit(place).alias("place"))
+    return F.transform(zipped, lambda x, i: F.struct(*named, i.alias("i"), x["gap"].alias("gap"), x["found"].alias("found"), (x["tested"] >= rule.least).alias("counts")))
 
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + x["gaps"]
-        b = a + x["found"]
-        more = F.array(F.struct(a.alias("start"), b.alias("end")))
-        return F.struct(b.alias("at"), F.when(x["tested"] >= rule.least, F.concat(acc["out"], more)).otherwise(acc["out"]).alias("out"))
 
-    lengths = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gaps"), found.alias("found"), tested.alias("tested"))
-    return F.aggregate(lengths, start, step, lambda acc: acc["out"])
-
-
-def _finding(rule: Rule, place: int):
-    def made(m: Column) -> Column:
-        return F.struct(F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"), F.lit(place).alias("place"), m["start"].alias("start"), m["end"].alias("end"))
-
-    return made
+LENGTHS = "array<struct<kind:string,version:int,place:int,i:int,gap:int,found:int,counts:boolean>>"
 
 
 def scan(documents: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -90,14 +79,28 @@ def scan(documents: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rul
     one = every.alias("e").join(todo.alias("t"), F.col("e.doc_id").eqNullSafe(F.col("t.holder")) & (F.col("e.blob") == F.col("t.blob"))).select("e.blob", "e.text", "t.kinds")
     hit = None
     for k, r in enumerate(rules):
-        place = F.when(F.array_contains("kinds", r.kind) & F.col("text").rlike(r.pattern), matches(F.col("text"), r))
-        rows = F.transform(place, _finding(r, k))
-        rows = F.coalesce(rows, F.array().cast("array<struct<kind:string,version:int,place:int,start:int,end:int>>"))
+        asked = F.array_contains("kinds", r.kind) & F.col("text").rlike(r.pattern)
+        rows = F.coalesce(F.when(asked, lengths(F.col("text"), r, k)), F.array().cast(LENGTHS))
         hit = rows if hit is None else F.concat(hit, rows)
+    # a blob in several rows of its holder counts once
     found = one.select("blob", F.explode(hit).alias("f")).select("blob", "f.*").distinct()
+    upto = Window.partitionBy("blob", "place").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    found = found.withColumn("end", F.sum(F.col("gap") + F.col("found")).over(upto).cast("int")).where("counts")
+    found = found.select("blob", "kind", "version", "place", (F.col("end") - F.col("found")).alias("start"), "end")
     return found, due.select("blob", "kind", "version")
 
 
+def current(known: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The findings of the rules' present versions."""
+    return known.where(F.struct("kind", "version").isin(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules)))
+
+
+def all_findings(documents: DataFrame, ledger: DataFrame | None, known: DataFrame | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """New findings and, of those that an earlier scan left in ``known`` under ``ledger``, the ones of present rules."""
+    found, _ = scan(documents, ledger, id_col=id_col, text_col=text_col)
+    return materialize(found if known is None else found.unionByName(current(known).select(*found.columns)).distinct(), "findings")
+
+
 def joined_back(documents: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans): for every row the array of (start, place, end, kind) of its blob's findings, in order."""
     per_blob = findings.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "place", "end", "kind"))).alias("spans"))
@@ -108,18 +111,16 @@ def joined_back(documents: DataFrame, findings: DataFrame, id_col: str = "doc_id
 
 def report(documents: DataFrame, ledger: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """Findings per document, with those that an earlier scan left in ``known`` under ``ledger``."""
-    found, _ = scan(documents, ledger)
-    found = materialize(found if known is None else found.unionByName(known.select(*found.columns)).distinct(), "findings")
-    return joined_back(documents, found)
+    return joined_back(documents, all_findings(documents, ledger, known))
 
 
 #: Blobs with findings up to which they are broadcast to the texts (about 100 bytes each).
 BROADCAST_BLOBS = 200_000
 
 
-def redact(documents: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """``documents`` with each secret replaced by its kind in brackets; the length column follows."""
-    found = materialize(scan(documents, ledger, id_col=id_col, text_col=text_col)[0], "findings")
+def redact(documents: DataFrame, ledger: DataFrame | None = None, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """``documents`` with each secret, new or ``known`` under ``ledger``, replaced by its kind in brackets; the length column follows."""
+    found = all_findings(documents, ledger, known, id_col, text_col)
     per_blob = found.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "place", "end", "kind"))).alias("spans"))
     per_blob = per_blob.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
     if per_blob.count() <= BROADCAST_BLOBS:
