@@ -6,7 +6,7 @@ edges hand a block to aliases that no rule fits; an explicit allow on any alias
 takes precedence, and a page's own rule is never overruled. Everything is DataFrame
 expressions.
 
-Pages under one host and path are one node, whatever their query or fragment.
+A page's node is its host, path and query; fragments do not count.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no
 rule, no aliases and is allowed; null html has no links; repeated rows keep their
@@ -53,6 +53,11 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def query_of(url: Column) -> Column:
+    """From the first ? up to # or the end; else empty."""
+    return F.coalesce(F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)", 1), F.lit(""))
+
+
 def rule_of(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> tuple[Column, Column]:
     """The longest rule that fits (null: none), and its verdict."""
     name = verdict = None
@@ -76,15 +81,15 @@ ATTRIBUTE = r"""(?s)(?<=[\s"'/])([^\s"'<>/=]++)\s*+=\s*+("[^"]*"|'[^']*'|[^\s>]+
 REFRESH = r"""(?is)^\s*(?:[\d.]+(?:\s*[;,]\s*|\s+)|(?=url\s*=))(?:url\s*=\s*)?(?:"([^"]*)|'([^']*)|(.*))"""
 
 
-def node(host: Column, path: Column) -> Column:
-    return F.concat(host, F.when(path == "", "/").otherwise(path))
+def node(host: Column, path: Column, query: Column) -> Column:
+    return F.concat(host, F.when(path == "", "/").otherwise(path), query)
 
 
 def attribute(tag: Column, name: str) -> Column:
     """The first value of an attribute without its quotes; else null."""
     names, values = (F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(k)) for k in (1, 2))
     value = F.get(values, F.array_position(F.transform(names, F.lower), name).cast("int") - 1)
-    return F.regexp_replace(value, r"""(?s)^(["'])(.*)\1$""", "$2")
+    return F.regexp_replace(F.regexp_replace(value, r"""(?s)^(["'])(.*)\1$""", "$2"), "&amp;", "&")
 
 
 def target_of(tag: Column) -> Column:
@@ -107,8 +112,8 @@ def without_dots(path: Column) -> Column:
     return F.when(path.contains("/."), F.concat(joined, F.when(open_end, "/").otherwise(""))).otherwise(path)
 
 
-def resolve(target: Column, host: Column, path: Column) -> tuple[Column, Column]:
-    """Host and path of a target as seen from a page (RFC 3986); null where it is not a place of some host."""
+def resolve(target: Column, host: Column, path: Column, query: Column) -> tuple[Column, Column, Column]:
+    """Host, path and query of a target as seen from a page (RFC 3986); null where it is not a place of some host."""
     t = F.trim(F.regexp_replace(target, r"[\t\r\n]", ""))
     plain = F.regexp_extract(t, r"(?s)^([^?#]*)", 1)
     whole, network = t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), t.startswith("//")
@@ -117,7 +122,8 @@ def resolve(target: Column, host: Column, path: Column) -> tuple[Column, Column]
     beside = F.concat(F.when(path == "", "/").otherwise(F.regexp_extract(path, r"(?s)^(.*/)", 1)), plain)
     there = F.when(plain == "", path).when(plain.startswith("/"), plain).otherwise(beside)
     far = whole | network
-    return F.when(far, host_of(url)).when(~other, host), without_dots(F.when(far, path_of(url)).when(~other, there))
+    same = (plain == "") & ~t.startswith("?") & ~far  # only a fragment
+    return F.when(far, host_of(url)).when(~other, host), without_dots(F.when(far, path_of(url)).when(~other, there)), F.when(same, query).otherwise(query_of(t))
 
 
 def links(pages: DataFrame) -> DataFrame:
@@ -128,15 +134,15 @@ def links(pages: DataFrame) -> DataFrame:
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     found = pages.where("host <> ''").where(html.rlike("(?i)canonical|refresh"))
-    tags = found.select("host", "path", "src", F.filter(F.regexp_extract_all(html, F.lit(TAGS), F.lit(2)), lambda t: t != "").alias("tags"))
+    own = ("host", "path", "query")
+    tags = found.select(*own, "src", F.filter(F.regexp_extract_all(html, F.lit(TAGS), F.lit(2)), lambda t: t != "").alias("tags"))
     base = F.get(F.filter(F.transform(F.filter("tags", lambda t: F.lower(t).startswith("<base")), lambda t: attribute(t, "href")), lambda h: h.isNotNull()), F.lit(0))
     targets = F.filter(F.transform("tags", target_of), lambda t: t.isNotNull())
-    seen = tags.select("host", "path", "src", base.alias("base"), F.explode(targets).alias("target"))
-    at = [F.coalesce(b, F.col(c)) for b, c in zip(resolve(F.col("base"), F.col("host"), F.col("path")), ("host", "path"))]
-    seen = seen.select("src", "target", at[0].alias("host"), at[1].alias("path"))
-    host, path = resolve(F.col("target"), F.col("host"), F.col("path"))
-    ends = seen.select("src", "target", host.alias("host"), path.alias("path")).where("target <> '' and host <> ''")
-    return ends.select("src", node(F.col("host"), F.col("path")).alias("dst"))
+    seen = tags.select(*own, "src", base.alias("base"), F.explode(targets).alias("target"))
+    at = [F.coalesce(F.when(F.col("base").isNotNull(), b), F.col(c)).alias(c) for b, c in zip(resolve(F.col("base"), *map(F.col, own)), own)]
+    seen = seen.select("src", "target", *at)
+    ends = seen.select("src", "target", *(c.alias(k) for c, k in zip(resolve(F.col("target"), *map(F.col, own)), own))).where("target <> '' and host <> ''")
+    return ends.select("src", node(*map(F.col, own)).alias("dst"))
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, redirects: DataFrame | None = None) -> DataFrame:
@@ -146,11 +152,11 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, redirects: DataFram
     comes from: rule, alias or default.
     """
     url = F.col("url").cast("string")
-    base = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), "html")
-    base = base.withColumn("src", node(F.col("host"), F.col("path")))
+    base = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), query_of(url).alias("query"), "html")
+    base = base.withColumn("src", node(F.col("host"), F.col("path"), F.col("query")))
     edges = links(base)
     if redirects is not None:
-        ends = [node(host_of(F.col(c).cast("string")), path_of(F.col(c).cast("string"))).alias(c) for c in ("src", "dst")]
+        ends = [node(*(part(F.col(c).cast("string")) for part in (host_of, path_of, query_of))).alias(c) for c in ("src", "dst")]
         edges = edges.unionByName(redirects.select(*ends))
     edges = materialize(edges.where("src <> dst").distinct(), "links")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
@@ -158,7 +164,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, redirects: DataFram
     alias = components(edges).withColumnsRenamed({"node": "src"})
     # nodes that only links name are judged as well: their rules count for their aliases
     at = F.substring_index("src", "/", 1)
-    _, named = rule_of(at, F.expr("substring(src, length(substring_index(src, '/', 1)) + 1)"), rules)
+    _, named = rule_of(at, F.expr("substring_index(substring(src, length(substring_index(src, '/', 1)) + 1), '?', 1)"), rules)
     known = alias.select("component", named.alias("own")).where("own is not null")
     group = known.groupBy("component").agg(F.min("own").alias("group"))  # allow sorts before block
     handed = alias.join(group, "component").select("src", "group")
