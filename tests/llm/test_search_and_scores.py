@@ -201,6 +201,32 @@ def test_quality_on_held_out_rows(spark, sf):
     assert right[0] >= 0.95 and right[1] >= 0.97
 
 
+def test_quality_votes_against_plain_sums(spark, sf):
+    big = sf.replace("sf0.001", "sf0.01")
+    docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    model = Q.fit(docs, labels)
+    label = {r.doc_id: r.quality for r in labels.collect()}
+    text = {r.doc_id: (r.text or "").encode() for r in docs.select("doc_id", "text").collect()}
+    fitted = sorted(i for i in label if zlib.crc32(str(i).encode()) % 5 != 0 and i in text)
+    assert len(model.vectors) == len(fitted) and model.labels.tolist() == [label[i] for i in fitted]
+    some = sorted(text)[::25]
+    got = {r.doc_id: r.score for r in Q.classify(docs.where(F.col("doc_id").isin(some)), model).collect()}
+    vectors = {}
+    for i in {*fitted, *some}:  # a vector for each text by itself
+        x = Q.weighted(Q.counts(text[i])[None].astype(float), model.idf) @ model.project
+        vectors[i] = Q.unit(x)[0]
+    for i in some:
+        near = sorted((-round(float(vectors[i] @ vectors[j]), 9), j) for j in fitted)[:15]
+        weight = [max(-c, 0.0) ** 8 for c, _ in near]
+        want = sum(w * label[j] for w, (_, j) in zip(weight, near)) / sum(weight) if sum(weight) > 1e-9 else sum(label[j] for j in fitted) / len(fitted)
+        assert abs(got[i] - want) < 1e-6
+
+
+def test_equal_neighbours_vote_by_id():
+    cosine = np.array([[0.5, 0.9, 0.5, 0.5, 0.1], [0.2, 0.2, 0.2, 0.2, 0.2]])
+    assert Q.nearest(cosine, 2).tolist() == [[0, 1], [0, 1]] and Q.nearest(cosine, 3).tolist() == [[0, 1, 2], [0, 1, 2]]
+
+
 def test_quality_of_odd_tables(spark):
     docs = documents(spark, odd_rows())
     labels = spark.createDataFrame([(1, 1), (3, 1), (12, 0), (None, 1), (99, 0), (14, None)], "doc_id long, quality int")
@@ -247,6 +273,22 @@ def test_ledger_scans_each_blob_and_rule_version_once(spark):
     assert {r.doc_id: r.n for r in report.collect()} == {15: 3, 950: 1}
 
 
+def test_known_findings_count_and_old_versions_do_not(spark):
+    docs = documents(spark, odd_rows())
+    found, ledger = (x.cache() for x in S.scan(docs))
+    assert S.redact(docs, ledger).where("text like '%abcdefgh12345%'").count() == 1
+    kept = {r.doc_id: r.text for r in S.redact(docs, ledger, found).collect()}
+    assert "abcdefgh12345" not in kept[15] and kept[14] == dict(odd_rows())[14]
+    old = found.withColumn("version", F.lit(0))
+    assert S.report(docs, ledger, old).where(F.size("spans") > 0).count() == 0
+
+
+def test_many_secrets_in_one_text(spark):
+    text = " ".join(f"token=abcdefgh{k:06d}" for k in range(20_000))
+    spans = S.report(documents(spark, [(1, text)])).select(S.joined_spans(F.col("spans")).alias("s")).first().s
+    assert spans == secrets(text)
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "a😀 token = abcdefgh12 b", 24), (2, "clean", 5), (3, None, None)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in S.redact(docs).collect()}
@@ -271,6 +313,8 @@ def test_url_verdicts(spark):
     assert got[10][3] == "allow" and got[11][2:4] == ("com/en/", "block")
     assert got[12][3:] == got[13][3:] == ("block", "alias")
     assert U.judge(pages.limit(0)).count() == 0
+    two = spark.createDataFrame([(1, "http://h.info/p?id=1", "<link rel=canonical href='http://com/en/x'>"), (2, "http://h.info/p?id=2", None), (3, "http://h.info/p?id=1#f", None)], "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in U.judge(two).collect()} == {1: "block", 2: "allow", 3: "block"}
 
 
 def test_url_links_of_whole_pages(spark):
@@ -280,13 +324,13 @@ def test_url_links_of_whole_pages(spark):
         ("/a/b", f"<HEAD><BODY class='x'><LINK REL=canonical HREF={to}>", "com/en/x"),
         ("/a/b", f"<script>if (a<b) s='<body>'</script><!-- <body --><title><body></title><link rel=canonical href='{to}'>", "com/en/x"),
         ("/a/b", f"<link href='{to}' rel='nofollow Canonical'>", "com/en/x"), ("/a/b", f"<meta content=\"3;URL='{to}'\" http-equiv='Refresh'>", "com/en/x"), ("/a/b", f"<meta name=x content='a>b' http-equiv=refresh content='1;url={to}'>", None),
-        ("/a/b", "<link rel=canonical href=next.html>", "h.info/a/next.html"), ("/a/b/", "<link rel=canonical href='../x/./y?z#u'>", "h.info/a/x/y"), ("/a/b", "<link rel=canonical href='../../../c/..'>", "h.info/"), ("", "<link rel=canonical href=next>", "h.info/next"),
-        ("/a/b", "<link rel=canonical href='?p=2'>", "h.info/a/b"), ("/a/b?q", "<link rel=canonical href='#top'>", "h.info/a/b"), ("/a/b", "<meta http-equiv=refresh content='5'>", None), ("/a/b", "<meta http-equiv=refresh content='5; /z'>", "h.info/z"),
-        ("/a/b", "<link rel=canonical href='/go?u=http://com/en/'>", "h.info/go"), ("/a/b", "<link rel=canonical href='//COM/en/../de/'>", "com/de/"), ("/a/b", "<link rel=canonical href='mailto:x@com'>", None), ("/a/b", "<base href='/c/d/'><link rel=canonical href=e>", "h.info/c/d/e"),
+        ("/a/b", "<link rel=canonical href=next.html>", "h.info/a/next.html"), ("/a/b/", "<link rel=canonical href='../x/./y?z#u'>", "h.info/a/x/y?z"), ("/a/b", "<link rel=canonical href='../../../c/..'>", "h.info/"), ("", "<link rel=canonical href=next>", "h.info/next"),
+        ("/a/b", "<link rel=canonical href='?p=2&amp;r'>", "h.info/a/b?p=2&r"), ("/a/b?q", "<link rel=canonical href='#top'>", "h.info/a/b?q"), ("/a/b", "<meta http-equiv=refresh content='5'>", None), ("/a/b", "<meta http-equiv=refresh content='5; /z'>", "h.info/z"),
+        ("/a/b", "<link rel=canonical href='/go?u=http://com/en/'>", "h.info/go?u=http://com/en/"), ("/a/b", "<link rel=canonical href='//COM/en/../de/'>", "com/de/"), ("/a/b", "<link rel=canonical href='mailto:x@com'>", None), ("/a/b", "<base href='/c/d/'><link rel=canonical href=e>", "h.info/c/d/e"),
         ("/a/b", f"<!-- <link rel=canonical href='{to}'> --><script>'<link rel=canonical href={to}>'</script><p title='<link rel=canonical href={to}>'>", None), ("/a/b", f"<link title='rel=canonical' href='{to}'>canonical", None), ("/a/b", "<link rel=canonical " + "a=b " * 20000 + f"href='{to}'>", "com/en/x"),
     ]
     df = spark.createDataFrame([(k, f"http://h.info{path}", html) for k, (path, html, _) in enumerate(pages)], "page_id long, url string, html string")
-    base = df.select(F.col("page_id").cast("string").alias("src"), U.host_of(F.col("url")).alias("host"), U.path_of(F.col("url")).alias("path"), "html")
+    base = df.select(F.col("page_id").cast("string").alias("src"), U.host_of(F.col("url")).alias("host"), U.path_of(F.col("url")).alias("path"), U.query_of(F.col("url")).alias("query"), "html")
     got = {int(r.src): r.dst for r in U.links(base).collect()}
     assert {k: got.get(k) for k in range(len(pages))} == {k: want for k, (_, _, want) in enumerate(pages)}
     assert {r.page_id for r in U.judge(df.withColumn("url", F.concat(F.lit("http://h"), "page_id", F.lit(".info/a")))).where("verdict = 'block' and source = 'alias'").collect()} == {0, 1, 2, 3, 4, 20}
