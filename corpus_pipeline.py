@@ -3,6 +3,11 @@
 Rejected documents go, one of each group of similar documents stays, documents that
 hold a benchmark item go, secrets are replaced by their kind in brackets, and the
 rest is encoded. SQL cannot express the stages; tests hold them against brute force.
+
+Every stage judges a row by its own text, so rows without doc_id and rows that share
+one are defined: a group of similar rows keeps that of smallest doc_id (null last),
+then of smallest hash; null texts count as empty, which the classifier gives its
+prior, which link with nothing, hold no item and no secret, and have no ids.
 """
 
 from __future__ import annotations
@@ -27,8 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
-    hits = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return jaccard_join.without(docs, hits)
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
