@@ -40,7 +40,7 @@ NEIGHBOURS = 15
 SHARPNESS = 8.0
 THRESHOLD = 0.3
 FOLDS = 5
-MEMO = 200_000
+MEMO = 100_000
 #: Buckets of each family of terms: words, shapes, pairs of shapes, repeats and sizes.
 FAMILIES = (1024, 256, 512, 32)
 #: Lengths of the families' parts of a text's vector.

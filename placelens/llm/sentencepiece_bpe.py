@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 BLANK = "▁"
 #: Chunks whose encoding a worker remembers, and pairs of tokens: the first it meets.
-MEMO, PAIRS = 500_000, 300_000
+MEMO, PAIRS = 200_000, 100_000
 NEVER = 1 << 40
 #: Bytes of text that a worker turns into arrays at once.
 SLICE = 2_000_000
