@@ -79,7 +79,7 @@ def contract_edges(edges: DataFrame, by: list[str], threshold: float, least: flo
             label = materialize(one, "labels")
         else:
             # nodes follow the group that they were merged to; groups new to the labels come in
-            step = one.withColumnsRenamed({"node": "component", "component": "next"})
+            step = one.select(*by, F.col("component").alias("next"), F.col("node").alias("component"))
             followed = label.join(step, [*by, "component"], "left").select(*by, "node", F.coalesce("next", "component").alias("component"))
             label = materialize(followed.unionByName(one.join(label, [*by, "node"], "left_anti")), "labels")
         last, now = now, materialize(merged_graph(now, one, by), "merged")
