@@ -9,7 +9,11 @@ The trees' directions and medians are fitted on at most SAMPLE vectors, those of
 smallest hash of the id; every vector is then led through all trees. The margin is
 1.5 standard deviations of the difference that a pair at the threshold has along a
 random direction, which keeps such a pair together in a tree with more than 99 %;
-over TREES trees hardly any pair is lost (measured in the tests).
+over TREES trees hardly any pair is lost (measured in the tests). The sample only
+starts the trees: leaves that hold more than 2 * LEAF vectors of a label are split
+further, at medians that Spark takes over all of their rows, so that leaves do not
+grow with the table. A split that saves less than a quarter of the comparisons
+(vectors too close to part) is undone, and the leaf compared as it is.
 
 Hot groups: equal vectors of a label are one class with a multiplicity, so copies
 are not compared. A leaf of more than BLOCK vectors of a label is compared in a
@@ -40,6 +44,12 @@ LEAF = 2048
 SAMPLE = 20_000
 BLOCK = 1024
 MARGIN = 1.5
+WAYS = 3
+ROUNDS = 9
+
+
+def margin(dim: int, cosine: float) -> float:
+    return float(MARGIN * np.sqrt(2 * (1 - cosine)) / np.sqrt(dim))
 
 
 class Forest:
@@ -47,7 +57,7 @@ class Forest:
 
     def __init__(self, sample: np.ndarray, leaf: float, trees: int, cosine: float, seed: int = 11) -> None:
         d = sample.shape[1]
-        self.margin = MARGIN * np.sqrt(2 * (1 - cosine)) / np.sqrt(d)
+        self.margin = margin(d, cosine)
         self.leaf, self.leaves, self.random = max(16.0, leaf), 0, np.random.default_rng(seed)
         self.roots = [self._grow(sample, 0) for _ in range(trees)]
 
@@ -93,7 +103,10 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def led(classes: DataFrame, forest, dim: int) -> DataFrame:
-    """(label, leaf, rep, mult, embedding, leaves): each class in all of its leaves."""
+    """(label, leaf, rep, mult, embedding, leaves): each class in all of its leaves.
+
+    Leaves are numbered from 2 ** 32, so that the numbers 8 * leaf + 0..7 of their parts are no other leaf's.
+    """
 
     def run(batches):
         for batch in batches:
@@ -101,12 +114,63 @@ def led(classes: DataFrame, forest, dim: int) -> DataFrame:
                 continue
             x = unit(matrix(batch.column(3)))
             row, leaf = forest.value.lead(x)
+            leaf += 1 << 32
             starts = np.searchsorted(row, np.arange(len(x) + 1))
-            every = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(leaf.astype(np.int32)))
+            every = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(leaf))
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(leaf.astype(np.int32)), batch.column(1).take(take), batch.column(2).take(take), batch.column(3).take(take), every.take(take)], ["label", "leaf", "rep", "mult", "embedding", "leaves"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(leaf), batch.column(1).take(take), batch.column(2).take(take), batch.column(3).take(take), every.take(take)], ["label", "leaf", "rep", "mult", "embedding", "leaves"])
+
+    return classes.select("label", "rep", "mult", "embedding").mapInArrow(run, "label long, leaf long, rep long, mult long, embedding array<float>, leaves array<long>")
+
 
-    return classes.select("label", "rep", "mult", "embedding").mapInArrow(run, "label long, leaf int, rep long, mult long, embedding array<float>, leaves array<int>")
+def projected(large: DataFrame, dim: int, seed: int = 12) -> DataFrame:
+    """``large`` with the places of each vector along its leaf's WAYS directions, one of 64 sets by the leaf's number."""
+    pool = np.random.default_rng(seed).standard_normal((64, WAYS, dim))
+    pool /= np.sqrt((pool * pool).sum(axis=2, keepdims=True))
+
+    def run(batches):
+        for batch in batches:
+            x = unit(matrix(batch.column("embedding"))) if batch.num_rows else np.zeros((0, dim))
+            leaf = batch.column("leaf").to_numpy().astype(np.uint64)
+            of = (leaf * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58)).astype(int)
+            places = np.zeros((WAYS, len(x)))
+            for k in np.unique(of):
+                places[:, of == k] = pool[k] @ x[of == k].T
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, places)], [*batch.schema.names, *(f"p{k}" for k in range(WAYS))])
+
+    return large.mapInArrow(run, "label long, leaf long, rep long, mult long, embedding array<float>, n long, " + ", ".join(f"p{k} double" for k in range(WAYS)))
+
+
+def split(placed: DataFrame, dim: int, leaf: int, cosine: float) -> DataFrame:
+    """``placed`` with all leaves of more than 2 * ``leaf`` vectors of a label split, as far as that saves work.
+
+    Each round halves the large leaves along WAYS directions, with spill. Those that gain
+    nothing from it stay whole; `leaves` is gathered anew once any leaf was split.
+    """
+    spill, finished = margin(dim, cosine), []
+    for _ in range(ROUNDS):
+        large = materialize(placed.groupBy("label", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > 2 * leaf), "large")
+        if large.isEmpty():
+            break
+        ways = projected(placed.drop("leaves").join(large, ["label", "leaf"]).select("label", "leaf", "rep", "mult", "embedding", "n"), dim)
+        cuts = ways.groupBy("label", "leaf").agg(*(F.percentile_approx(f"p{k}", 0.5, 1000).alias(f"t{k}") for k in range(WAYS)))
+        parts = ways.join(cuts, ["label", "leaf"]).withColumn("part", F.col("leaf"))
+        for k in range(WAYS):
+            low, high = F.col(f"p{k}") <= F.col(f"t{k}") + spill, F.col(f"p{k}") >= F.col(f"t{k}") - spill
+            sides = F.when(low & high, F.array(F.lit(0), F.lit(1))).when(low, F.array(F.lit(0))).otherwise(F.array(F.lit(1)))
+            parts = parts.withColumn("side", F.explode(sides)).withColumn("part", F.col("part") * 2 + F.col("side"))
+        parts = materialize(parts.select("label", "leaf", "part", "rep", "mult", "embedding", "n"), "parts")
+        work = parts.groupBy("label", "leaf", "part").agg(F.count("*").cast("double").alias("c"), F.first("n").cast("double").alias("n")).groupBy("label", "leaf").agg(F.sum(F.col("c") * F.col("c")).alias("work"), F.first("n").alias("n"))
+        saved = materialize(work.where(F.col("work") <= 0.75 * F.col("n") * F.col("n")).select("label", "leaf"), "saved")
+        finished.append(placed.select("label", "leaf", "rep", "mult", "embedding").join(saved, ["label", "leaf"], "left_anti"))
+        placed = parts.join(saved, ["label", "leaf"], "left_semi").select("label", F.col("part").alias("leaf"), "rep", "mult", "embedding")
+    if not finished:
+        return placed
+    for one in finished:
+        placed = placed.unionByName(one)
+    every = materialize(placed.withColumn("same", F.xxhash64("embedding")), "split")  # a vec_id may have several vectors
+    lists = every.groupBy("label", "rep", "same").agg(F.collect_list("leaf").alias("leaves"))
+    return every.join(lists, ["label", "rep", "same"]).drop("same")
 
 
 def compare(table: pa.Table, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,7 +218,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, trees: int =
         own = classes.where(F.col("dim") == dim)
         picked = own.orderBy(F.xxhash64("rep"), "rep", "label").select("embedding").limit(sample).toArrow().column(0).combine_chunks()
         forest = embeddings.sparkSession.sparkContext.broadcast(Forest(unit(matrix(picked)), leaf * len(picked) / n, trees, cosine))
-        one = _linked(own, forest, dim, cosine, block)
+        one = _linked(own, forest, dim, cosine, leaf, block)
         found = one if found is None else found.unionByName(one)
     if found is None:
         found = embeddings.sparkSession.createDataFrame([], "label long, rep long, links long, root long")
@@ -167,9 +231,9 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, trees: int =
     return out.select("vec_id", F.col("n").cast("long").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("component"), F.lit(False)).alias("kept"))
 
 
-def _linked(classes: DataFrame, forest, dim: int, cosine: float, block: int) -> DataFrame:
+def _linked(classes: DataFrame, forest, dim: int, cosine: float, leaf: int, block: int) -> DataFrame:
     """(label, rep, links, root) from every leaf."""
-    placed = materialize(led(classes, forest, dim), "leaves")
+    placed = split(materialize(led(classes, forest, dim), "leaves"), dim, leaf, cosine)
     sizes = placed.groupBy("label", "leaf").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     cells = placed.join(sizes, ["label", "leaf"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

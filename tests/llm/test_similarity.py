@@ -138,7 +138,7 @@ def brute_links(rows):
     return by
 
 
-@pytest.mark.parametrize("kw", [{}, {"leaf": 64, "block": 16}])
+@pytest.mark.parametrize("kw", [{}, {"leaf": 64, "block": 16}, {"leaf": 16, "sample": 40, "block": 16}])
 def test_embedding_dedup_recall(spark, kw):
     rnd = np.random.default_rng(4)
     rows = []
@@ -163,3 +163,21 @@ def test_embedding_dedup_recall(spark, kw):
         else:
             assert r.kept == (r.vec_id == r.component_id)
     assert E.near_duplicates(vectors(spark, rows).limit(0)).count() == 0
+
+
+def test_large_leaves_are_split_over_all_rows(spark):
+    rnd = np.random.default_rng(5)
+    x = rnd.standard_normal((3000, 32))
+    near = rnd.standard_normal(32) + rnd.standard_normal((300, 32)) * 0.01  # too close to part
+    first, second = 1 << 32, (1 << 32) + 1
+    rows = [(0, first, k, 1, v.tolist(), [first]) for k, v in enumerate(x)] + [(1, second, 9000 + k, 1, v.tolist(), [second]) for k, v in enumerate(near)]
+    placed = spark.createDataFrame(rows, "label long, leaf long, rep long, mult long, embedding array<float>, leaves array<long>")
+    got = E.split(placed, 32, 100, 0.98).select("label", "leaf", "rep", "leaves").collect()
+    of, members = {}, {}
+    for r in got:
+        of.setdefault(r.rep, []).append(r.leaf)
+        members.setdefault((r.label, r.leaf), []).append(r.rep)
+    assert sorted(of) == sorted([*range(3000), *range(9000, 9300)])
+    assert all(sorted(r.leaves) == sorted(of[r.rep]) == sorted(set(of[r.rep])) for r in got)
+    assert sorted(members.pop((1, second))) == list(range(9000, 9300)) and all(k[0] == 0 for k in members)
+    assert max(map(len, members.values())) <= 200
