@@ -44,6 +44,7 @@ LEAF = 2048
 SAMPLE = 20_000
 BLOCK = 1024
 MARGIN = 1.5
+BROADCAST_LEAVES = 100_000
 WAYS = 3
 ROUNDS = 9
 
@@ -235,7 +236,11 @@ def _linked(classes: DataFrame, forest, dim: int, cosine: float, leaf: int, bloc
     """(label, rep, links, root) from every leaf."""
     placed = split(materialize(led(classes, forest, dim), "leaves"), dim, leaf, cosine)
     sizes = placed.groupBy("label", "leaf").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    cells = placed.join(sizes, ["label", "leaf"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    several = materialize(sizes.where(F.col("blocks") > 1), "blocks")
+    if several.count() <= BROADCAST_LEAVES:
+        several = F.broadcast(several)
+    cells = placed.join(several, ["label", "leaf"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cells = cells.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
 
@@ -244,4 +249,5 @@ def _linked(classes: DataFrame, forest, dim: int, cosine: float, leaf: int, bloc
         label = np.full(len(rep), table.column("label")[0].as_py(), np.int64)
         return pa.table({"label": pa.array(label), "rep": pa.array(rep, pa.int64()), "links": pa.array(links, pa.int64()), "root": pa.array(root, pa.int64())})
 
+    cells = cells.repartition("label", "leaf", "i", "j")  # or a join dealt by leaf would keep all blocks of a leaf in one task
     return cells.groupBy("label", "leaf", "i", "j").applyInArrow(run, "label long, rep long, links long, root long")

@@ -139,7 +139,9 @@ def brute_links(rows):
 
 
 @pytest.mark.parametrize("kw", [{}, {"leaf": 64, "block": 16}, {"leaf": 16, "sample": 40, "block": 16}])
-def test_embedding_dedup_recall(spark, kw):
+def test_embedding_dedup_recall(spark, monkeypatch, kw):
+    if "sample" in kw:
+        monkeypatch.setattr(E, "BROADCAST_LEAVES", 0)
     rnd = np.random.default_rng(4)
     rows = []
     for g in range(60):
