@@ -51,6 +51,8 @@ CHUNK, BLOCK = 4096, 1024
 SPREAD = 256
 #: Documents up to which a list of ids (8 bytes each) is broadcast instead of shuffling texts.
 BROADCAST_IDS = 2_000_000
+#: What names a set: its size and fingerprint.
+SET = ("n_shingles", "f1", "f2")
 #: Stands for the block of crowded sets.
 CROWDED = (1 << 40) - 1
 
@@ -453,12 +455,17 @@ def similar_documents(documents: DataFrame, percent: int = PERCENT, length: int
     dealt = placed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts).cast("int"))
     rest = materialize(dealt.join(verdict, ["key", "size", "salt"], "left_semi").drop("salt"), "rest")
     more = checked(documents, own, crossing(rest, own, percent), percent, length)
+    sound = own.where("n_shingles > 0 and doc_id is not null").select("doc_id", *SET)
+    alike = materialize(sound.groupBy(*SET).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "alike")
+    # a doc_id with several texts joins the groups of all of them
+    repeated = materialize(sound.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if not repeated.isEmpty():
+        ties = sound.join(repeated, "doc_id", "left_semi").distinct().join(alike, list(SET)).where("doc_id <> rep")
+        more = materialize(more.unionByName(ties.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))), "ties")
     if not more.isEmpty():
         label = materialize(components(links.unionByName(more), "a", "b"), "labels")
-    alike = own.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
-    nodes = alike.join(label, alike.rep == label.node, "left").select("n_shingles", "f1", "f2", F.coalesce("component", "rep").alias("component"))
-    # a doc_id with several texts joins their groups
-    out = own.join(nodes, ["n_shingles", "f1", "f2"], "left")
+    nodes = alike.join(label, alike.rep == label.node, "left").select(*SET, "n", F.coalesce("component", "rep").alias("component"))
+    out = own.join(nodes.drop("n"), list(SET), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
