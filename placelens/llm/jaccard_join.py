@@ -49,6 +49,8 @@ PERCENT = 75
 CHUNK, BLOCK = 4096, 1024
 #: Members of a bucket that meet its verdict in one task.
 SPREAD = 256
+#: Tasks among which the rows of a set with more than SPREAD rows are dealt.
+SALTS = 64
 #: Documents up to which a list of ids (8 bytes each) is broadcast instead of shuffling texts.
 BROADCAST_IDS = 2_000_000
 #: What names a set: its size and fingerprint.
@@ -465,8 +467,26 @@ def similar_documents(documents: DataFrame, percent: int = PERCENT, length: int
     if not more.isEmpty():
         label = materialize(components(links.unionByName(more), "a", "b"), "labels")
     nodes = alike.join(label, alike.rep == label.node, "left").select(*SET, "n", F.coalesce("component", "rep").alias("component"))
-    out = own.join(nodes.drop("n"), list(SET), "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    return _by_sets(own, materialize(nodes, "nodes"))
+
+
+def _by_sets(own: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row, by its set's component.
+
+    Sets of more than SPREAD rows are few (a SPREAD-th of the rows at most): they are
+    repeated over SALTS tasks, and their rows are dealt among those (in any of them a
+    row finds the same). What is left has at most SPREAD rows a set. Rows without words
+    or id meet nothing.
+    """
+    out = [F.col("doc_id"), F.col("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")]
+    slim = own.select("doc_id", *SET)
+    sound = F.coalesce((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.lit(False))
+    alone = slim.where(~sound).withColumn("component", F.lit(None).cast("long")).select(*out)
+    hot = nodes.where(F.col("n") > SPREAD).drop("n").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = slim.where(sound).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    spread = salted.join(hot, [*SET, "salt"]).select(*out)
+    rest = salted.join(hot, [*SET, "salt"], "left_anti").join(nodes.where(F.col("n") <= SPREAD).drop("n"), list(SET), "left").select(*out)
+    return spread.unionByName(rest).unionByName(alone)
 
 
 def without(documents: DataFrame, removed: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -59,7 +59,7 @@ def test_jaccard_join_hot_sets(spark, monkeypatch):
     """Sets of more than SPREAD rows, some of one doc_id, are dealt among tasks and keep their component."""
     monkeypatch.setattr(J, "SPREAD", 3)
     near = " ".join(words(900, 80))
-    rows = family_rows() + [(700 + k, near) for k in range(20)] + [(650, edited(1, near, 1)), (None, near), (720, near), (720, near), (720, "one two")]
+    rows = family_rows() + [(700 + k, near) for k in range(20)] + [(650, edited(1, near, 1)), (None, near), (720, near), (720, near), (720, "alone in here")]
     out = J.similar_documents(documents(spark, rows)).collect()
     assert sorted((tuple(r) for r in out), key=repr) == brute_jaccard(rows)
     assert {r.component_id for r in out if r.doc_id is not None and 700 <= r.doc_id < 720} == {650}
