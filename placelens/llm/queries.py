@@ -6,7 +6,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from placelens.llm import decontamination, embedding_dedup, jaccard_join, lm_scoring, quality_classifier, secret_scan, sentencepiece_bpe, suffix_dedup, token_counts, url_filter
+from placelens.llm import (
+    decontamination,
+    embedding_dedup,
+    jaccard_join,
+    lm_scoring,
+    quality_classifier,
+    secret_scan,
+    sentencepiece_bpe,
+    spelling_variants,
+    suffix_dedup,
+    token_counts,
+    url_filter,
+)
 
 MODEL = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
@@ -70,6 +82,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_limit(token_counts.count_tokens(table(spark, sf_dir, "documents"), model), TOKEN_LIMIT)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_sentencepiece": op2_sentencepiece,
@@ -81,6 +97,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_url_filter": op10_url_filter,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
