@@ -18,6 +18,7 @@ from placelens.llm import (
     suffix_dedup,
     token_counts,
     url_filter,
+    warc_archive,
 )
 
 MODEL = "piece_bpe_32k.model"
@@ -86,6 +87,11 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc_archive.index_of(spark, warc_archive.archive_pages(table(spark, sf_dir, "pages")))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "position")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_sentencepiece": op2_sentencepiece,
@@ -98,6 +104,7 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_url_filter": op10_url_filter,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_warc": op12_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -113,5 +120,25 @@ best as (
   select page_id, arg_max(h || s, length(h || s)) as rule, arg_max(v, length(h || s)) as verdict
   from p join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, s) group by page_id)
 select p.page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from p left join best using (page_id)
+""",
+    # base32 by groups of five hexadecimal digits, each four characters
+    "op12_warc": r"""
+with p as (
+  select page_id, coalesce(url, '') as url, coalesce(html, '') as html, sha1(coalesce(html, '')) as d from pages),
+host as (
+  select *, translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as h,
+         case when contains(url, '://') then regexp_extract(url, '^(?s:.*?)://[^/?#]*([^#]*)', 1) else '/' || regexp_extract(url, '^[^#]*') end as rest,
+         min(page_id) over (partition by d) as first
+  from p),
+keyed as (
+  select *, array_to_string(list_reverse(string_split(h, '.')), ',') || ')' || rest as url_key,
+         list_transform(range(8), lambda k: ('0x' || substr(d, 5 * k + 1, 5))::bigint) as g
+  from host)
+select page_id, strlen(html)::bigint as payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((g[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31) + 1)::int, 1)), '') as payload_digest,
+       case when first is not distinct from page_id then 'response' else 'revisit' end as record_type,
+       case when first is distinct from page_id then first end as refers_to,
+       url_key, row_number() over (order by url_key, page_id) - 1 as position
+from keyed
 """,
 }
