@@ -11,6 +11,8 @@ from placelens.llm import (
     embedding_dedup,
     jaccard_join,
     lm_scoring,
+    merkle_manifest,
+    oracles,
     quality_classifier,
     secret_scan,
     sentencepiece_bpe,
@@ -92,6 +94,10 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "position")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_sentencepiece": op2_sentencepiece,
@@ -105,6 +111,7 @@ QUERIES = {
     "op10_url_filter": op10_url_filter,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_warc": op12_warc,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -121,6 +128,8 @@ best as (
   from p join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, s) group by page_id)
 select p.page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from p left join best using (page_id)
 """,
+    "op11_spelling_variants": oracles.SPELLING,
+    "op13_merkle_manifest": oracles.merkle(),
     # base32 by groups of five hexadecimal digits, each four characters
     "op12_warc": r"""
 with p as (
