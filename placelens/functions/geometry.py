@@ -163,22 +163,6 @@ def key_from_number(n) -> Column:
     return F.regexp_replace(F.concat(*digit), f"^{DIGITS[0]}+", "")
 
 
-def crossed_cells(x: Column, y: Column, z: Column, size: float) -> Column:
-    """Cells (cx, cy, cz) that the straight line from the origin to a point crosses, in order, the point's own last.
-
-    The line is cut where it meets the cells' planes; the middle of each cut lies in one cell.
-    """
-
-    def met(v: Column) -> Column:
-        planes = F.when(F.abs(v) >= size, F.sequence(F.lit(1), F.floor(F.abs(v) / size).cast("int"))).otherwise(F.array().cast("array<int>"))
-        return F.transform(planes, lambda k: k * F.lit(size) / F.abs(v))
-
-    cuts = [met(v) for v in (x, y, z)]
-    places = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), *cuts)))
-    legs = F.filter(F.zip_with(F.slice(places, F.lit(1), F.size(places) - 1), F.slice(places, F.lit(2), F.size(places) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda g: g["b"] - g["a"] > 1e-9)
-    return F.transform(legs, lambda g: F.struct(*(cell(v * ((g["a"] + g["b"]) / 2), size).alias(f"c{k}") for k, v in zip("xyz", (x, y, z)))))
-
-
 def view_heading(x, y, tx, ty) -> dict[str, Column]:
     """Yaw towards a target and its quaternion."""
     yaw = F.atan2(c(ty) - c(y), c(tx) - c(x))

@@ -7,7 +7,7 @@ from math import exp
 from pyspark.sql import Window, functions as F
 
 from placelens.functions import geometry as G
-from placelens.operators import spatial as S, tables as T
+from placelens.operators import rays, spatial as S, tables as T
 from placelens.plans.joins import _HIST, _NEAREST, _SCORES, _SEGMENTS, BY, R, cloud, frame_scores, histograms, segment_overlaps
 from placelens.plans.projections import _HS
 from placelens.plans.registry import q4, query, r4
@@ -208,35 +208,39 @@ def a21(spark, d):
 HIT, MISS, LOW, HIGH = 0.8472978603872037, -0.4054651081081643, 0.12, 0.97  # log odds of .7 and .4, and bounds
 
 
-def occupancy(points, size: float):
-    """(obs_id, cx, cy, cz, p): evidence of hits and of the cells that rays from the origin pass.
+def sensor_origins(spark, d):
+    """(obs_id, ox, oy, oz): where each observation's first pose stands (as W4 says of the latest one of a place)."""
+    first = V.transforms(spark, d).groupBy("obs_id").agg(F.min_by(F.struct("tx", "ty", "tz"), "view_no").alias("t"))
+    return first.select("obs_id", *(F.col(f"t.t{k}").alias(f"o{k}") for k in "xyz"))
 
-    A ray tells of each cell that it crosses once. The sum is clamped once, so that
-    the order of rays does not matter.
-    """
-    crossed = points.select("obs_id", *(G.cell(k, size).alias(f"h{k}") for k in "xyz"), F.explode(G.crossed_cells(*(F.col(k) for k in "xyz"), size)).alias("c"))
-    misses = crossed.where("c.cx <> hx or c.cy <> hy or c.cz <> hz").select("obs_id", "c.cx", "c.cy", "c.cz", F.lit(MISS).alias("e"))
-    hits = points.select("obs_id", *(G.cell(k, size).alias(f"c{k}") for k in "xyz"), F.lit(HIT).alias("e"))
-    odds = hits.unionByName(misses).groupBy("obs_id", "cx", "cy", "cz").agg(F.sum("e").alias("e"))
-    return odds.withColumn("p", F.greatest(F.lit(LOW), F.least(F.lit(HIGH), 1 - 1 / (1 + F.exp("e")))))
 
+def occupancy(spark, d, size: float):
+    """(obs_id, cx, cy, cz, p): evidence of hits and of the cells that rays from the sensor pass."""
+    seen = V.points(spark, d).join(sensor_origins(spark, d), "obs_id", "left")
+    return rays.occupancy(rays.evidence(seen, size, BY), HIT, MISS, LOW, HIGH)
 
-def crossed_sql(size: str) -> str:
-    """legs: the cells on the line to each point, in order (step); the same planes met, in SQL."""
-    cuts = " || ".join(f"[k * {size}::double / abs({v}) for k in range(1, cast(floor(abs({v}) / {size}::double) as bigint) + 1)]" for v in "xyz")
-    cells = ", ".join(f"cast(floor({v} * ((t0 + t1) / 2) / {size}::double) as bigint) as c{v}" for v in "xyz")
-    return f"""cuts as (select *, list_sort(list_distinct([0.0::double, 1.0::double] || {cuts})) as ts from points),
+
+def crossed_sql(source: str, size: str) -> str:
+    """legs: the cells on the lines (ox, oy, oz) to (ex, ey, ez) of ``source`` in order (step): the same planes met, in SQL."""
+    size = f"{size}::double"
+    low, high = (f"cast({f}(floor(o{{0}} / {size}), floor(e{{0}} / {size})) as bigint) + 1" for f in ("least", "greatest"))
+    cuts = " || ".join(f"[(k * {size} - o{v}) / (e{v} - o{v}) for k in range({low.format(v)}, {high.format(v)})]" for v in "xyz")
+    cells = ", ".join(f"cast(floor((o{v} + (e{v} - o{v}) * ((t0 + t1) / 2)) / {size}) as bigint) as c{v}" for v in "xyz")
+    return f"""cuts as (select *, list_sort([0.0::double, 1.0::double] || {cuts}) as ts from {source}),
 legs as (select *, {cells} from (select *, ts[step] as t0, ts[step + 1] as t1 from (select *, unnest(range(1, len(ts))) as step from cuts)) where t1 - t0 > 1e-9)"""
 
 
 _CELLS = ", ".join(f"cast(floor({k} / 0.53::double) as bigint) as h{k}" for k in "xyz")
-_OCC = f"""{crossed_sql('0.53')}, occ as (select obs_id, cx, cy, cz, greatest({LOW}, least({HIGH}, 1 - 1 / (1 + exp(sum(e))))) as p
-from (select obs_id, hx as cx, hy as cy, hz as cz, {HIT!r}::double as e from (select *, {_CELLS} from points) union all select obs_id, cx, cy, cz, {MISS!r}::double from (select *, {_CELLS} from legs) where cx <> hx or cy <> hy or cz <> hz) group by all)"""
+_ORIGINS = "origins as (select obs_id, arg_min(tx, view_no) as ox, arg_min(ty, view_no) as oy, arg_min(tz, view_no) as oz from transforms group by 1)"
+_OCC = f"""{_ORIGINS}, lines as (select p.*, {_CELLS}, ox, oy, oz, x as ex, y as ey, z as ez from points p join origins using (obs_id)),
+{crossed_sql("lines", "0.53")}, occ as (select obs_id, cx, cy, cz, greatest({LOW}, least({HIGH}, 1 - 1 / (1 + exp(sum(e))))) as p
+from (select obs_id, hx as cx, hy as cy, hz as cz, {HIT!r}::double as e from (select *, {_CELLS} from points)
+union all select obs_id, cx, cy, cz, {MISS!r}::double from legs where cx <> hx or cy <> hy or cz <> hz) group by all)"""
 
 
-@query("a22_occupancy", V.sql(f", {_OCC} select obs_id, cx, cy, cz, {q4('p')} as p from occ", "points").replace("\n, ", ",\n").replace("", ""))
+@query("a22_occupancy", tidy(V.sql(f", {_OCC} select obs_id, cx, cy, cz, {q4('p')} as p from occ", "points", "transforms")))
 def a22(spark, d):
-    return occupancy(V.points(spark, d), 0.53).select("obs_id", "cx", "cy", "cz", r4("p").alias("p"))
+    return occupancy(spark, d, 0.53).select("obs_id", "cx", "cy", "cz", r4("p").alias("p"))
 
 
 _GRID = "grid as (select obs_id, cx, cy, case when max(p) > 0.5003 then 100 else 0 end as val from occ where cz between 0 and 3 group by all)"
@@ -253,9 +257,13 @@ def dense(grid, size: int):
     return cells.join(grid, ["obs_id", "cx", "cy"], "left").withColumn("val", F.coalesce("val", F.lit(-1)))
 
 
-@query("a23_grid_2d", V.sql(f", {_OCC}, {_GRID} select obs_id, c.cx, c.cy, coalesce(val, -1) as val from (select obs_id, x.i as cx, y.i as cy from (select distinct obs_id from grid), range(20) x(i), range(20) y(i)) c left join grid using (obs_id, cx, cy)", "points").replace("\n, ", ",\n"))
+_DENSE = """select obs_id, c.cx, c.cy, coalesce(val, -1) as val
+from (select obs_id, x.i as cx, y.i as cy from (select distinct obs_id from grid), range(20) x(i), range(20) y(i)) c left join grid using (obs_id, cx, cy)"""
+
+
+@query("a23_grid_2d", tidy(V.sql(f", {_OCC}, {_GRID} {_DENSE}", "points", "transforms")))
 def a23(spark, d):
-    return dense(grid_2d(occupancy(V.points(spark, d), 0.53), 0, 3), 20)
+    return dense(grid_2d(occupancy(spark, d, 0.53), 0, 3), 20)
 
 
 _VOX = f"vox as (select distinct obs_id, {VOXEL.format('0.53')} from points)"

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from placelens.functions import geometry as G
-from placelens.operators import tables as T
-from placelens.plans.aggregates import _PAIR, crossed_sql, pair_scores
+from placelens.operators import rays as rays_op, tables as T
+from placelens.plans.aggregates import _PAIR, VOXEL, crossed_sql, pair_scores, tidy
 from placelens.plans.joins import _HIST, frame_pairs, frame_scores, histograms, matched_sql
 from placelens.plans.projections import CAM, POLYGON, POSE, _EDGES, inside_polygon
 from placelens.plans.registry import q4, query, r4
@@ -77,22 +77,19 @@ def m5(spark, d):
     return choose_pose(frame_pairs(spark, d), 150, 0.004).select("src", "pose", r4("gain").alias("gain"))
 
 
-def ray_clip(o, v, lo, hi):
-    """Entry distance and length of a ray in a box by slabs; null where it misses."""
-    near = F.greatest(F.lit(0.0), *(F.least((a - F.col(p)) / F.col(q), (b - F.col(p)) / F.col(q)) for p, q, a, b in zip(o, v, lo, hi)))
-    far = F.least(*(F.greatest((a - F.col(p)) / F.col(q), (b - F.col(p)) / F.col(q)) for p, q, a, b in zip(o, v, lo, hi)))
-    return {"entry": F.when(near < far, near), "length": F.when(near < far, far - near)}
-
-
 _RAY = "select obs_id, pt_idx, x - 2.53 as vx, y - 4.07 as vy, z - 1.03 as vz from points"
 _SLAB = lambda f: ", ".join(f"{f}((1.01 - 2.53) / vx, (4.02 - 2.53) / vx)".replace("vx", f"v{k}").replace("2.53", o).replace("1.01", a).replace("4.02", b) for k, o, a, b in (("x", "2.53", "3.01", "4.52"), ("y", "4.07", "1.03", "6.04"), ("z", "1.03", "-0.52", "1.51")))
 
 
+#: Lowest and highest corner of the box in which planning looks for gain.
+BOX = (3.01, 1.03, -0.52), (4.52, 6.04, 1.51)
+
+
 @query("m6_rays_clip", V.sql(f"select obs_id, pt_idx, {q4('near')} as entry, {q4('far - near')} as length from (select obs_id, pt_idx, greatest(0.0, {_SLAB('least')}) as near, least({_SLAB('greatest')}) as far from ({_RAY})) where near < far", "points"))
 def m6(spark, d):
     """Rays from a sensor to every point, clipped to a box."""
     rays = V.points(spark, d).select("obs_id", "pt_idx", (F.col("x") - 2.53).alias("vx"), (F.col("y") - 4.07).alias("vy"), (F.col("z") - 1.03).alias("vz")).withColumns({"ox": F.lit(2.53), "oy": F.lit(4.07), "oz": F.lit(1.03)})
-    clip = ray_clip(("ox", "oy", "oz"), ("vx", "vy", "vz"), (3.01, 1.03, -0.52), (4.52, 6.04, 1.51))
+    clip = rays_op.clip(rays_op.FROM, ("vx", "vy", "vz"), *BOX)
     return rays.withColumns(clip).where("entry is not null").select("obs_id", "pt_idx", r4("entry").alias("entry"), r4("length").alias("length"))
 
 
@@ -104,43 +101,49 @@ def m7(spark, d):
     return o.select("waypoint", "u", "v", r4(F.col("cx") + (F.col("u") - 317.0) / 528.0).alias("x"), r4(F.col("cy") + (F.col("v") - 245.0) / 525.0).alias("y"))
 
 
-def view_gain(rays, voxels, size: float):
-    """(obs_id, view_no, gain): entropy that a view's rays can remove.
-
-    A ray (from the origin) visits the voxels it crosses in order; a voxel adds its
-    entropy times the chance that all before it are free. Unknown voxels have p = 0.5.
-    """
-    visited = rays.select("obs_id", "view_no", "pt_idx", F.posexplode(G.crossed_cells(*(F.col(k) for k in "xyz"), size)).alias("step", "c")).select("obs_id", "view_no", "pt_idx", "step", "c.*")
-    seen = visited.join(voxels, ["obs_id", "cx", "cy", "cz"], "left").withColumn("p", F.coalesce("p", F.lit(0.5)))
-    line = seen.groupBy("obs_id", "view_no", "pt_idx").agg(F.array_sort(F.collect_list(F.struct("step", "p"))).alias("ps"))
-
-    def walk(acc, e):
-        p = e["p"]
-        entropy = -(p * F.log2(p) + (1 - p) * F.log2(1 - p))
-        return F.struct((acc["free"] * (1 - p)).alias("free"), (acc["gain"] + acc["free"] * entropy).alias("gain"))
-
-    gain = F.aggregate("ps", F.struct(F.lit(1.0).alias("free"), F.lit(0.0).alias("gain")), walk, lambda a: a["gain"])
-    return line.groupBy("obs_id", "view_no").agg(F.sum(gain).alias("gain"))
+#: Chance that a cell lets the next one be seen.
+TRANSPARENCY = 0.95
 
 
-_VOX_P = "vox as (select obs_id, cast(floor(x / 0.97) as bigint) cx, cast(floor(y / 0.97) as bigint) cy, cast(floor(z / 0.97) as bigint) cz, least(0.97, 0.2 + 0.1 * count(*)) as p from points group by all)"
-_WALK = f"""{_VOX_P}, {crossed_sql('0.97')}, seen as (select r.obs_id, r.view_no, r.pt_idx, step as k, coalesce(p, 0.5) as p from legs r
-left join vox v on v.obs_id = r.obs_id and v.cx = r.cx and v.cy = r.cy and v.cz = r.cz),
-gains as (select obs_id, view_no, sum(-(p * log2(p) + (1 - p) * log2(1 - p)) * coalesce(free, 1.0)) as gain from (select *, product(1 - p) over (partition by obs_id, pt_idx order by k rows between unbounded preceding and 1 preceding) as free from seen) group by all)"""
+def gain_sql() -> str:
+    """gains: the two recursions over the cells of each ray, as lists (seen, p, before, n, gain)."""
+    h = lambda p: f"case when {p} <= 0 or {p} >= 1 then 0 else -({p} * ln({p}) + (1 - {p}) * ln(1 - {p})) end"
+    near = ", ".join(f"case when v{k} = 0 then case when o{k} between {a} and {b} then '-inf'::double else 'inf'::double end else least(({a} - o{k}) / v{k}, ({b} - o{k}) / v{k}) end" for k, a, b in zip("xyz", *BOX))
+    far = ", ".join(f"case when v{k} = 0 then case when o{k} between {a} and {b} then 'inf'::double else '-inf'::double end else greatest(({a} - o{k}) / v{k}, ({b} - o{k}) / v{k}) end" for k, a, b in zip("xyz", *BOX))
+    predicted = f"({TRANSPARENCY}::double ** (a[4] + 1) * a[1] + 1e-8::double * (1 - a[1]))"
+    seen = "((1 - a[3]) * w / ((1 - a[3]) * w + a[3] * (1 - w)))"
+    guess = "((0.5 + s / 2) * a[2] + (0.5 - s / 2) * (1 - a[2]))"
+    return f"""vox as (select obs_id, {VOXEL.format('0.97')}, least(0.97, 0.2 + 0.1 * count(*)) as p from points group by all),
+rays as (select p.obs_id, p.view_no, pt_idx, tx as ox, ty as oy, tz as oz, x - tx as vx, y - ty as vy, z - tz as vz from points p join transforms using (obs_id, view_no)),
+clipped as (select *, greatest(0.0::double, {near}) as near, least({far}) as far from rays),
+lines as (select *, near + (far - near) as reach, near / (near + (far - near)) as inside, {", ".join(f"o{k} + v{k} * (near + (far - near)) as e{k}" for k in "xyz")} from clipped where near < far and far < 'inf'::double),
+{crossed_sql("lines", "0.97")},
+cells as (select r.obs_id, r.view_no, pt_idx, list([coalesce(p, 0.5), case when t1 - inside > 1e-9 then 1.0 else 0.0 end]::double[] order by step) as cs
+  from legs r left join vox v on v.obs_id = r.obs_id and v.cx = r.cx and v.cy = r.cy and v.cz = r.cz group by all),
+walked as (select obs_id, view_no, list_reduce(cs, lambda a, e: list_transform([{predicted}], lambda w: list_transform([{seen}], lambda s: list_transform([{guess}], lambda g:
+    list_transform([case when e[1] * g + (1 - e[1]) * (1 - g) = 0 then 1 else e[1] * g / (e[1] * g + (1 - e[1]) * (1 - g)) end], lambda p:
+      [s, p, e[1], a[4] + 1, a[5] + e[2] * (({h('e[1]')}) - ({h('p')}))]::double[])[1])[1])[1])[1], [1, 0, 0.5, 0, 0]::double[])[5] as gain from cells),
+gains as (select obs_id, view_no, sum(gain) as gain from walked group by all)"""
 
 
 def gains(spark, d):
+    """Gain of every view that has a pose: rays go from there through each of its points."""
     p = V.points(spark, d)
     vox = p.groupBy("obs_id", *(G.cell(k, 0.97).alias(f"c{k}") for k in "xyz")).agg(F.least(F.lit(0.97), 0.2 + 0.1 * F.count("*")).alias("p"))
-    return view_gain(p, vox, 0.97)
+    posed = p.join(V.transforms(spark, d), ["obs_id", "view_no"])
+    along = {f"v{k}": F.col(k) - F.col(f"t{k}") for k in "xyz"} | {f"o{k}": F.col(f"t{k}") for k in "xyz"}
+    return rays_op.view_gain(posed.withColumns(along), vox, 0.97, *BOX, ["obs_id"], ["view_no"], "pt_idx", TRANSPARENCY)
 
 
-@query("m8_view_gain", V.sql(f", {_WALK} select obs_id, view_no, {q4('gain')} as gain from gains", "points").replace("\n, ", ",\n"))
+@query("m8_view_gain", tidy(V.sql(f", {gain_sql()} select obs_id, view_no, {q4('gain')} as gain from gains", "points", "transforms")))
 def m8(spark, d):
     return gains(spark, d).select("obs_id", "view_no", r4("gain").alias("gain"))
 
 
-@query("m9_next_view", V.sql(f", {_WALK} select obs_id, arg_max(view_no, {{'g': round(gain, 6), 'v': -view_no}}) as view_no from gains where view_no <> 1 and gain > 0 group by 1", "points").replace("\n, ", ",\n"))
+_NEXT = "select obs_id, arg_max(view_no, {'g': round(gain, 6), 'v': -view_no}) as view_no from gains where view_no <> 1 and gain > 0 group by 1"
+
+
+@query("m9_next_view", tidy(V.sql(f", {gain_sql()} {_NEXT}", "points", "transforms")))
 def m9(spark, d):
     """The largest positive gain among the views not used yet (view 1 is)."""
     g = gains(spark, d).where("view_no <> 1 and gain > 0")
