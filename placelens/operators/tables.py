@@ -87,21 +87,28 @@ def depth_mean(frames: DataFrame, by: list[str]) -> DataFrame:
 def suppress_overlapping(results: DataFrame, by: list[str], score: str, key: str, members: str) -> DataFrame:
     """Greedy in score order per group: a result that shares a member with a better kept one is dropped.
 
-    Set-based rounds: in each, results without a better live rival are kept, and
-    their rivals leave. Groups are a query's few results, the number of rounds is
-    bounded by the longest chain of rivals.
+    Smaller scores are better, ties go to the smaller key, null scores come last. Null
+    groups and keys are values like any other, equal rows stand or fall together, and a
+    result without members has no rival. Set-based rounds: in each, results without a
+    better live rival are kept and leave with their rivals, so that the best of every
+    group leaves in each round, and the longest chain of rivals bounds their number.
     """
-    from placelens.scratch import materialize
+    from placelens.scratch import discard, materialize
 
-    live = materialize(results.select(*by, score, key, members), "live")
+    # structs are never null themselves, so that nulls in them meet
+    place = F.struct(F.col(score).isNull().alias("last"), F.col(score).alias("score"), F.col(key).alias("key"))
+    live = materialize(results.select(F.struct(*by).alias("_g"), place.alias("_r"), F.col(members).alias("_in")), "live")
     kept = None
     while not live.isEmpty():
-        flat = live.select(*by, score, key, F.explode(members).alias("_m"))
-        best = flat.groupBy(*by, "_m").agg(F.min(F.struct(score, key)).alias("_b"))
-        losing = flat.join(best, [*by, "_m"]).where(F.struct(score, key) != F.col("_b"))
-        winners = materialize(live.join(losing.select(*by, key).distinct(), [*by, key], "left_anti"), "winners")
+        flat = live.select("_g", "_r", F.explode("_in").alias("_m")).select(F.struct("_g", "_m").alias("_at"), "_g", "_r").distinct()
+        best = flat.groupBy("_at").agg(F.min("_r").alias("_b"))
+        losing = flat.join(best, "_at").where(F.col("_r") > F.col("_b")).select("_g", "_r").distinct()
+        winners = materialize(live.join(losing, ["_g", "_r"], "left_anti"), "winners")
         kept = winners if kept is None else kept.unionByName(winners)
-        taken = winners.select(*by, F.explode(members).alias("_m")).distinct()
-        hit = flat.join(taken, [*by, "_m"], "left_semi").select(*by, key).distinct()
-        live = materialize(live.join(hit, [*by, key], "left_anti"), "live")
-    return results.select(*by, score, key).limit(0) if kept is None else kept.select(*by, score, key)
+        taken = winners.select("_g", F.explode("_in").alias("_m")).select(F.struct("_g", "_m").alias("_at")).distinct()
+        gone = flat.join(taken, "_at", "left_semi").select("_g", "_r").unionByName(winners.select("_g", "_r")).distinct()
+        last, live = live, materialize(live.join(gone, ["_g", "_r"], "left_anti"), "live")
+        discard(last)
+    if kept is None:
+        return results.select(*by, score, key)
+    return kept.select(*(F.col(f"_g.{c}").alias(c) for c in by), F.col("_r.score").alias(score), F.col("_r.key").alias(key))

@@ -111,6 +111,23 @@ def test_suppression_is_greedy(spark):
     assert {(r.g, r.key) for r in got.collect()} == want
 
 
+def test_suppression_ends_on_nulls_ties_and_empty_members(spark):
+    rows = [
+        (None, 1, 1, [1, 2]), (None, 2, 2, [2, 3]), (None, 3, 3, [3]), ("a", 5, 1, []), ("a", 5, 2, None), ("a", 5, None, [7]), ("a", 5, 3, [7, 8]), ("a", 5, 4, [8]),
+        ("a", None, 9, [8, 9]), ("b", 1, 1, [1]), ("b", 1, 1, [1]), ("b", 2, 1, [1]), ("b", 3, 6, [None, 4]), ("b", 4, 5, [None]),
+    ]
+    df = spark.createDataFrame(rows, "g string, score int, key int, parts array<int>")
+    got = sorted(map(str, tables.suppress_overlapping(df, ["g"], "score", "key", "parts").collect()))
+    kept, used = [], set()
+    for g, score, key, parts in sorted(rows, key=lambda r: (str(r[0]), r[1] is None, r[1] or 0, r[2] is not None, r[2] or 0)):
+        here = {(g, m) for m in parts or []}
+        if not here & used or (g, score, key) in kept:
+            kept.append((g, score, key))
+            used |= here
+    assert got == sorted(f"Row(g={g!r}, score={s}, key={k})" for g, s, k in kept)
+    assert tables.suppress_overlapping(df.limit(0), ["g"], "score", "key", "parts").collect() == []
+
+
 def test_tree_covers_all_descriptors(spark):
     rnd = random.Random(6)
     e = spark.createDataFrame([(k, k % 5, [rnd.gauss(k % 4, 0.1) for _ in range(4)]) for k in range(80)], "vec_id long, source_id int, vec array<double>")
