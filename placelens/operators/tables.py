@@ -112,3 +112,14 @@ def suppress_overlapping(results: DataFrame, by: list[str], score: str, key: str
     if kept is None:
         return results.select(*by, score, key)
     return kept.select(*(F.col(f"_g.{c}").alias(c) for c in by), F.col("_r.score").alias(score), F.col("_r.key").alias(key))
+
+
+#: Tasks that the rows of one key are dealt to.
+SALTS = 16
+
+
+def salted_join(rows: DataFrame, few: DataFrame, key: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """``rows`` joined with ``few``, which has one row a key: rows of one key are dealt to ``salts`` tasks, each with a copy of the key's row."""
+    salted = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    copies = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [key, "__salt"], how).drop("__salt")

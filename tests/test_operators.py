@@ -5,6 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from placelens.functions import geometry as G
 from placelens.operators import graph, spatial, tables, vocabulary
 
@@ -128,6 +130,15 @@ def test_suppression_ends_on_nulls_ties_and_empty_members(spark):
     assert tables.suppress_overlapping(df.limit(0), ["g"], "score", "key", "parts").collect() == []
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_salted_joins_are_joins(spark, how):
+    rows = spark.createDataFrame([("hot", k) for k in range(500)] + [("b", 1), ("c", 2), (None, 3)], "k string, v int").repartition(3)
+    few = spark.createDataFrame([("hot", "x"), ("b", "y"), ("d", "z")], "k string, w string")
+    got, want = tables.salted_join(rows, few, "k", how), rows.join(few, "k", how)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_tree_covers_all_descriptors(spark):
     rnd = random.Random(6)
     e = spark.createDataFrame([(k, k % 5, [rnd.gauss(k % 4, 0.1) for _ in range(4)]) for k in range(80)], "vec_id long, source_id int, vec array<double>")
