@@ -149,10 +149,11 @@ def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = FOLDS) -> Model:
-    """The model of at most ``sample`` labelled rows outside the held-out fold."""
+    """The model of at most ``sample`` labelled rows outside the held-out fold, one an id: of its texts that of the smallest hash."""
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
     chosen = marks.where(~held_out(F.col("doc_id"), folds)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    labelled = byte_texts(documents).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
+    labelled = byte_texts(documents).join(F.broadcast(chosen), "doc_id")
+    labelled = labelled.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.first("quality").alias("quality"))
 
     def run(batches):
         for batch in batches:

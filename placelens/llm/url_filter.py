@@ -20,6 +20,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from placelens.operators.graph import components
+from placelens.operators.tables import salted_join
 from placelens.scratch import materialize
 
 
@@ -85,11 +86,38 @@ def node(host: Column, path: Column, query: Column) -> Column:
     return F.concat(host, F.when(path == "", "/").otherwise(path), query)
 
 
+# Named character references that stand for what urls are made of.
+REFERENCES = {
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "Tab": "\t", "NewLine": "\n", "excl": "!", "num": "#", "dollar": "$", "percnt": "%", "lpar": "(", "rpar": ")", "ast": "*",
+    "plus": "+", "comma": ",", "period": ".", "sol": "/", "colon": ":", "semi": ";", "equals": "=", "quest": "?", "commat": "@", "lsqb": "[", "rsqb": "]", "lowbar": "_", "bsol": "\\", "vert": "|",
+}
+# Some names count without a semicolon, unless a name or a value goes on behind them.
+REFERENCE = rf"&(#[0-9]+|#[xX][0-9A-Fa-f]+|(?:{'|'.join(REFERENCES)})(?=;)|(?:amp|lt|gt|quot|nbsp)(?![=A-Za-z0-9;]));?"
+
+
+def decoded(text: Column) -> Column:
+    """``text`` with its character references, decimal, hexadecimal and named, replaced; numbers of no character become U+FFFD."""
+
+    def one(name: Column) -> Column:
+        hexadecimal = F.lower(name).startswith("#x")
+        digits = F.regexp_replace(name, "^#[xX]?0*", "")
+        # seven digits at most, so that the number has room
+        number = F.when(F.length(digits) > 7, F.lit(-1)).when(hexadecimal, F.conv(digits, 16, 10).try_cast("int")).otherwise(digits.try_cast("int"))
+        fits = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        char = F.when(fits, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        named = F.create_map(*(F.lit(x) for pair in REFERENCES.items() for x in pair))
+        return F.when(name.startswith("#"), char).otherwise(F.try_element_at(named, name))
+
+    gaps = F.split(text, REFERENCE, -1)
+    found = F.concat(F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1)), one), F.array(F.lit("")))
+    return F.when(text.contains("&"), F.array_join(F.zip_with(gaps, found, lambda a, b: F.concat(a, b)), "")).otherwise(text)
+
+
 def attribute(tag: Column, name: str) -> Column:
     """The first value of an attribute without its quotes; else null."""
     names, values = (F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(k)) for k in (1, 2))
     value = F.get(values, F.array_position(F.transform(names, F.lower), name).cast("int") - 1)
-    return F.regexp_replace(F.regexp_replace(value, r"""(?s)^(["'])(.*)\1$""", "$2"), "&amp;", "&")
+    return decoded(F.regexp_replace(value, r"""(?s)^(["'])(.*)\1$""", "$2"))
 
 
 def target_of(tag: Column) -> Column:
@@ -153,7 +181,9 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, redirects: DataFram
     """
     url = F.col("url").cast("string")
     base = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), query_of(url).alias("query"), "html")
-    base = base.withColumn("src", node(F.col("host"), F.col("path"), F.col("query")))
+    # pages without a host are no node, and must not meet in one key
+    nowhere = F.concat(F.lit("#"), F.monotonically_increasing_id().cast("string"))
+    base = base.withColumn("src", F.when(F.col("host") == "", nowhere).otherwise(node(F.col("host"), F.col("path"), F.col("query"))))
     edges = links(base)
     if redirects is not None:
         ends = [node(*(part(F.col(c).cast("string")) for part in (host_of, path_of, query_of))).alias(c) for c in ("src", "dst")]
@@ -161,13 +191,17 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, redirects: DataFram
     edges = materialize(edges.where("src <> dst").distinct(), "links")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     judged = base.select("page_id", "host", "path", "src", rule.alias("rule"), verdict.alias("own"))
-    alias = components(edges).withColumnsRenamed({"node": "src"})
-    # nodes that only links name are judged as well: their rules count for their aliases
-    at = F.substring_index("src", "/", 1)
-    _, named = rule_of(at, F.expr("substring_index(substring(src, length(substring_index(src, '/', 1)) + 1), '?', 1)"), rules)
-    known = alias.select("component", named.alias("own")).where("own is not null")
-    group = known.groupBy("component").agg(F.min("own").alias("group"))  # allow sorts before block
-    handed = alias.join(group, "component").select("src", "group")
-    out = judged.join(handed, "src", "left")
+    if edges.isEmpty():
+        out = judged.withColumn("group", F.lit(None).cast("string"))
+    else:
+        alias = components(edges).withColumnsRenamed({"node": "src"})
+        # nodes that only links name are judged as well: their rules count for their aliases
+        at = F.substring_index("src", "/", 1)
+        _, named = rule_of(at, F.expr("substring_index(substring(src, length(substring_index(src, '/', 1)) + 1), '?', 1)"), rules)
+        known = alias.select("component", named.alias("own")).where("own is not null")
+        group = known.groupBy("component").agg(F.min("own").alias("group"))  # allow sorts before block
+        # one component may hold most nodes, one url most pages
+        handed = salted_join(alias, group, "component").select("src", "group")
+        out = salted_join(judged, handed, "src", "left")
     source = F.when(F.col("own").isNotNull(), "rule").when(F.col("group").isNotNull(), "alias").otherwise("default")
     return out.select("page_id", "host", "path", "rule", F.coalesce("own", "group", F.lit("allow")).alias("verdict"), source.alias("source"))

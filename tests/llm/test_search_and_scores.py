@@ -336,6 +336,45 @@ def test_url_links_of_whole_pages(spark):
     assert {r.page_id for r in U.judge(df.withColumn("url", F.concat(F.lit("http://h"), "page_id", F.lit(".info/a")))).where("verdict = 'block' and source = 'alias'").collect()} == {0, 1, 2, 3, 4, 20}
 
 
+@pytest.mark.parametrize(
+    "href",
+    [
+        "https&#58;//example.net/de/8", "https:&#x2F;&#X2f;example.net/de/8", "https&colon;&sol;&sol;example&period;net&#47de&#x2F;8", "&Tab;https://ex&NewLine;ample.net/de/8",
+        "https&#0000058;//example.net/de/8", "https://example.net/de/8&num;a&amp;b",
+    ],
+)
+def test_url_links_with_character_references(spark, href):
+    pages = spark.createDataFrame([(1, "http://a.info/x", f'<link rel="canonical" href="{href}">'), (2, "http://b.info/x", "canonical")], "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in U.judge(pages).collect()} == {1: "block", 2: "allow"}
+
+
+def test_character_references(spark):
+    cases = {
+        "a&amp;b&amp=c&ampd": "a&b&amp=c&ampd", "&#65;&#x42;&#67 D": "ABC D", "&#0;&#xD800;&#x110000;&#99999999999999999999;": "\ufffd" * 4, "&nosuch;&sol;&sol": "&nosuch;/&sol",
+        "&#x1F600;": "\U0001f600", "&": "&", "": "", "&lt&gt;&quot;&apos;": "<>\"'",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    from pyspark.sql import functions as F
+
+    assert {r.t: r.d for r in df.select("t", U.decoded(F.col("t")).alias("d")).collect()} == cases
+
+
+def test_pages_without_host_and_hot_urls_keep_their_rows(spark):
+    rows = [(k, None, None) for k in range(50)] + [(100 + k, "http://a.info/x", '<link rel="canonical" href="http://example.net/de/8">') for k in range(50)]
+    got = U.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.verdict) for r in got) == [(k, "allow") for k in range(50)] + [(100 + k, "block") for k in range(50)]
+
+
+def test_one_row_an_id_is_fitted(spark):
+    rows = [(1, f"text {k % 7} of one id") for k in range(300)] + [(k, f"some other text {k}") for k in range(2, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(k, k % 2) for k in range(1, 30)], "doc_id long, quality int")
+    model = Q.fit(docs, marks, sample=10)
+    assert len(model.labels) <= 10
+    again = Q.fit(docs.repartition(5), marks.unionByName(marks), sample=10)
+    assert (model.labels == again.labels).all() and (model.vectors == again.vectors).all()
+
+
 def test_url_oracle(spark, sf):
     con = duckdb.connect()
     con.sql(f"create view pages as select * from '{sf}/pages.parquet'")
