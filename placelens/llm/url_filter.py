@@ -114,20 +114,19 @@ def decoded(text: Column) -> Column:
 
 
 def attribute(tag: Column, name: str) -> Column:
-    """The first value of an attribute without its quotes; else null."""
+    """The first value of an attribute without its quotes, as written; else null."""
     names, values = (F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(k)) for k in (1, 2))
     value = F.get(values, F.array_position(F.transform(names, F.lower), name).cast("int") - 1)
-    return decoded(F.regexp_replace(value, r"""(?s)^(["'])(.*)\1$""", "$2"))
+    return F.regexp_replace(value, r"""(?s)^(["'])(.*)\1$""", "$2")
 
 
 def target_of(tag: Column) -> Column:
-    """Where a canonical link or a meta refresh leads; else null."""
+    """(refresh, written): what a canonical link or a meta refresh says of where it leads; written is null for other tags."""
     rel = F.split(F.lower(attribute(tag, "rel")), r"\s+")
-    content = attribute(tag, "content")
-    refresh = F.concat(*(F.regexp_extract(content, REFRESH, k) for k in (1, 2, 3)))
     canonical = F.lower(tag).startswith("<link") & F.array_contains(rel, "canonical")
     refreshes = F.lower(tag).startswith("<meta") & (F.lower(F.trim(attribute(tag, "http-equiv"))) == "refresh")
-    return F.when(canonical, attribute(tag, "href")).when(refreshes, refresh)
+    written = F.when(canonical, attribute(tag, "href")).when(refreshes, attribute(tag, "content"))
+    return F.struct(F.lower(tag).startswith("<meta").alias("refresh"), written.alias("written"))
 
 
 def without_dots(path: Column) -> Column:
@@ -165,8 +164,12 @@ def links(pages: DataFrame) -> DataFrame:
     own = ("host", "path", "query")
     tags = found.select(*own, "src", F.filter(F.regexp_extract_all(html, F.lit(TAGS), F.lit(2)), lambda t: t != "").alias("tags"))
     base = F.get(F.filter(F.transform(F.filter("tags", lambda t: F.lower(t).startswith("<base")), lambda t: attribute(t, "href")), lambda h: h.isNotNull()), F.lit(0))
-    targets = F.filter(F.transform("tags", target_of), lambda t: t.isNotNull())
-    seen = tags.select(*own, "src", base.alias("base"), F.explode(targets).alias("target"))
+    targets = F.filter(F.transform("tags", target_of), lambda t: t["written"].isNotNull())
+    seen = tags.select(*own, "src", base.alias("base"), F.explode(targets).alias("t"))
+    # written out, as what follows names base and value many times and the optimizer would repeat all of the above each time
+    seen = materialize(seen.select(*own, "src", decoded(F.col("base")).alias("base"), "t.refresh", decoded(F.col("t.written")).alias("value")), "targets")
+    address = F.concat(*(F.regexp_extract("value", REFRESH, k) for k in (1, 2, 3)))
+    seen = seen.select(*own, "src", "base", F.when(F.col("refresh"), address).otherwise(F.col("value")).alias("target"))
     at = [F.coalesce(F.when(F.col("base").isNotNull(), b), F.col(c)).alias(c) for b, c in zip(resolve(F.col("base"), *map(F.col, own)), own)]
     seen = seen.select("src", "target", *at)
     ends = seen.select("src", "target", *(c.alias(k) for c, k in zip(resolve(F.col("target"), *map(F.col, own)), own))).where("target <> '' and host <> ''")
