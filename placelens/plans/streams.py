@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from placelens.operators import spatial as S, vocabulary as B
-from placelens.plans.joins import _SEEN, BY, R2, cloud
+from placelens.plans.joins import _SEEN, BY, R2, cloud, distance
 from placelens.plans.projections import binned
 from placelens.plans.registry import q4, query, r4
 from placelens.plans.retrieval import DEPTH, given_tree, voc
 from placelens.plans.windows import _near
 from placelens.sources import views as V
-from placelens.streaming import jobs as J
+from placelens.streaming import jobs as J, maps as M
 
 
 @query("t1_sync_frames", V.sql("select a.event_id, arg_min(b.event_id, {'g': abs(epoch_us(a.stamp) - epoch_us(b.stamp)), 'i': b.event_id}) as b_event_id from wobj_obs a join wobj_obs b on a.name = b.name and a.kind = 'view' and b.kind = 'click' and abs(epoch_us(a.stamp) - epoch_us(b.stamp)) <= 7200::bigint * 1000000 group by 1", "wobj_obs"))
@@ -27,43 +27,84 @@ def t2(spark, d):
     return found.select("name", "sweep", "position", "frames", r4("median").alias("median"))
 
 
-def updated_map(old, sweep):
-    """A static map after a sweep: points that the sweep sees past go, points that it adds come.
-
-    A map point without a sweep point near it goes only when it stands in front of
-    what the sweep shows in its direction; behind that, or where the sweep shows
-    nothing, it may be hidden and stays. Both have obs_id, pt_idx, x, y, z.
-    """
-    gone = S.cloud_difference(old, sweep, R2, BY)
-    front = S.occlusion(binned(gone), binned(sweep), BY, 61).where("side = 'front'").select("obs_id", "pt_idx")
-    kept = old.join(front, ["obs_id", "pt_idx"], "left_anti")
-    return kept.unionByName(S.cloud_difference(sweep, old, R2, BY))
-
-
-_FAR = f"""seen as ({_SEEN}), far as (select obs_id, tbin, pbin, max(r) as other from seen where view_no = 1 group by all), front as (select obs_id, pt_idx from seen join far using (obs_id, tbin, pbin) where view_no = 0 and r < other),
-updated as (select obs_id, pt_idx, view_no from points a where view_no = 0 and not ({_near(0, 1)} and exists (select 1 from front f where f.obs_id = a.obs_id and f.pt_idx = a.pt_idx)) union all select obs_id, pt_idx, view_no from points a where {_near(1, 0)})"""
+_FAR = f"seen as ({_SEEN}), far as (select obs_id, tbin, pbin, max(r) as other from seen where view_no = 1 group by all)"
 
 
-def update_maps(spark, d, store, state=None):
-    """The stream of arriving observations; each is matched with the map of its place (here its own), which it updates."""
-    view = lambda k: cloud(spark, d, k).select("obs_id", "pt_idx", "x", "y", "z")
+#: Places dropped after the first hour, and begun anew after the second.
+DROPPED, RENEWED = ["WP1", "WP2", "WP5"], ["WP3", "WP4"]
 
-    def step(batch, number):
-        arrived = batch.select(F.col("s_suppkey").alias("obs_id"))
-        pick = lambda p: p.join(arrived, "obs_id", "left_semi")
-        known = store.newest("obs_id", number)
-        old = pick(view(0)) if known is None else pick(known).unionByName(pick(view(0)).join(known.select("obs_id").distinct(), "obs_id", "left_anti"))
-        store.write(updated_map(old, pick(view(1))), number)
 
-    J.run_batches(J.read_stream(spark, d, "supplier"), step, state)
+def sweep_messages(spark, d, resets=()):
+    """Each supplier's place is swept once an hour (its views 0 to 2), in one stream with the resets named.
 
-
-@query("t3_update_metaroom_stream", V.sql(f", {_FAR} select obs_id, pt_idx from updated", "points").replace("\n, ", ",\n"))
+    Every fifth robot loses its waypoint after its first sweep, so that centroids decide; its third sweep is an hour late
+    and at the next place. Every fourth sends a sweep (3) whose points are missing.
+    """
+    s, view = F.col("s_suppkey"), F.col("view")
+    lost = (s % 5 == 0) & (view > 0)
+    hour = F.when(lost & (view == 2), 3).otherwise(view)
+    at = lambda hours: F.timestamp_seconds(F.lit(1_704_067_200) + 3600 * hours)
+    each = J.read_stream(spark, d, "supplier", 10_000).select("s_suppkey", F.explode(F.sequence(F.lit(0), F.when(s % 4 == 0, 3).otherwise(2))).alias("view"))
+    sweeps = each.select(
+        F.lit("sweep").alias("kind"), (s * 4 + view).cast("long").alias("sweep_id"), F.when(~lost, F.concat(F.lit("WP"), s.cast("string"))).alias("waypoint"), at(hour).alias("stamp"),
+        F.when(lost & (view == 2), (s + 1) * 3.0 + 0.2).otherwise(s * 3.0 + view * 0.4).alias("cx"), F.lit(0.0).alias("cy"), F.lit(0.0).alias("cz"),
+        F.lit(None).cast("array<string>").alias("ids"), F.lit(None).cast("boolean").alias("initialize"),
+    )
+    calls = {"drop": (0, 0.5, DROPPED, False), "renew": (1, 1.5, RENEWED, True), "all": (2, 1.5, [], True)}
+    for name in resets:
+        region, hours, ids, initialize = calls[name]
+        one = J.read_stream(spark, d, "region", 10_000).where(F.col("r_regionkey") == region)
+        sweeps = sweeps.unionByName(
+            one.select(F.lit("reset").alias("kind"), at(F.lit(hours)).alias("stamp"), F.array(*map(F.lit, ids)).cast("array<string>").alias("ids"), F.lit(initialize).alias("initialize")), allowMissingColumns=True
+        )
+    return sweeps
+
+
+def sweep_points(spark, d):
+    """Points of the sweeps handed in."""
+    every = V.points(spark, d).select((F.col("obs_id") * 4 + F.col("view_no")).alias("sweep_id"), "pt_idx", "x", "y", "z")
+    return lambda sweeps: every.join(sweeps.select("sweep_id"), "sweep_id", "left_semi")
+
+
+def map_updates(spark, d, resets=()):
+    """The maps after all sweeps and resets, and their statuses."""
+    updates = M.MapUpdates(M.MapStore(spark), sweep_points(spark, d), R2, binned)
+    J.run_batches(sweep_messages(spark, d, resets), updates)
+    return updates
+
+
+def _maps(tag: str, dropped=(), renewed=()) -> str:
+    """SQL of the maps m3 after sweeps (turns 0 to 3) and resets; ``renewed`` None begins all anew."""
+    listed = lambda names: ", ".join(f"'{n}'" for n in names) or "''"
+    alone = "s_suppkey % 5 = 0 and view = 2 and s_suppkey = (select max(s_suppkey) from supplier)"
+    left = f"s_suppkey % 5 = 0 and view = 1 and 'WP' || s_suppkey in ({listed(dropped)})"
+    place = f"case when {alone} or {left} then 'at:' || (s_suppkey * 4 + view) when s_suppkey % 5 = 0 and view = 2 then 'WP' || (s_suppkey + 1) else 'WP' || s_suppkey end"
+    met = lambda a, b: " and ".join((f"{a}.place = {b}.place", f"{distance(a, b)} <= {R2}"))
+    kept = "place, obs_id, pt_idx, x, y, z, r, tbin, pbin"
+
+    def step(new: str, old: str, turn: int) -> str:
+        return f"""far{tag}{turn} as (select place, tbin, pbin, max(r) as other from swept{tag} where turn = {turn} and r is not null group by all),
+{new} as materialized (select {kept} from {old} a where exists (select 1 from swept{tag} b where b.turn = {turn} and {met('a', 'b')}) or not exists (select 1 from far{tag}{turn} f where f.place = a.place and f.tbin = a.tbin and f.pbin = a.pbin and a.r < f.other)
+union all select {kept} from swept{tag} a where turn = {turn} and not exists (select 1 from {old} b where {met('a', 'b')}))"""
+
+    again = "true" if renewed is None else f"place in ({listed(renewed)})"
+    return f"""visits{tag} as (select s_suppkey as s, view, {place} as place, case when s_suppkey % 5 = 0 and view = 2 then 3 else view end as turn from supplier, (values (0), (1), (2)) v(view)),
+swept{tag} as materialized (select place, turn, obs_id, pt_idx, x, y, z, seen.r, tbin, pbin from points join visits{tag} on obs_id = s and view_no = view left join seen using (obs_id, view_no, pt_idx)),
+begun{tag} as (select {kept} from swept{tag} where turn = 0 and place not in ({listed(dropped)})),
+{step(f'one{tag}', f'begun{tag}', 1)},
+reset{tag} as (select * from one{tag} where not ({again}) union all select {kept} from swept{tag} where turn = 1 and {again}),
+{step(f'two{tag}', f'reset{tag}', 2)},
+{step(f'm3{tag}', f'two{tag}', 3)}"""
+
+
+def _maps_sql(body: str, *parts: str) -> str:
+    return V.sql(f", seen as ({_SEEN}), {', '.join(parts)} {body}", "points").replace("\n, ", ",\n")
+
+
+@query("t3_update_metaroom_stream", _maps_sql("select place, obs_id, pt_idx from m3", _maps("")))
 def t3(spark, d):
-    """Each arriving sweep is matched with its map, compared both ways, tested for occlusion, and updates the map."""
-    store = J.Batches(spark, "metaroom")
-    update_maps(spark, d, store)
-    return store.newest("obs_id").select("obs_id", "pt_idx")
+    """Each arriving sweep is matched with the map of its place, compared both ways, tested for occlusion, and updates the map."""
+    return map_updates(spark, d).store.maps().select("place", F.floor(F.col("sweep_id") / 4).alias("obs_id"), "pt_idx")
 
 
 @query("t4_newest_clusters_mode", V.sql(f""", {_FAR} select obs_id, count(*) as n, count(*) filter (front) as front from (select obs_id, exists (select 1 from seen s join far using (obs_id, tbin, pbin) where s.view_no = 2 and s.obs_id = a.obs_id and s.pt_idx = a.pt_idx and r < other) as front from points a where {_near(2, 1)}) group by 1""", "points").replace("\n, ", ",\n"))
@@ -83,27 +124,14 @@ def t4(spark, d):
     return store.newest("obs_id").select("obs_id", "n", "front")
 
 
-def reset_maps(maps, sweeps, ids: list[str], initialize: bool):
-    """Maps (waypoint, since) with those of ``ids`` (empty: all) dropped, and begun anew with the latest sweep if asked."""
-    named = (lambda df: df.where(F.col("waypoint").isin(*ids))) if ids else (lambda df: df)
-    left = maps.join(named(maps).select("waypoint"), "waypoint", "left_anti")
-    if not initialize:
-        return left
-    return left.unionByName(named(sweeps).groupBy("waypoint").agg(F.max("start_ts").alias("since")))
+_RESETS = (_maps("_some", DROPPED, RENEWED), _maps("_all", renewed=None))
 
 
-@query("t5_reset_metaroom", V.sql("""select kind, waypoint, since from (select 'some' as kind, waypoint, case when waypoint in ('WP1', 'WP2') then max(start_ts) else min(start_ts) end as since from observations group by 2
-union all select 'dropped', waypoint, min(start_ts) from observations where waypoint not in ('WP3', 'WP4') group by 2 union all select 'all', waypoint, max(start_ts) from observations group by 2)""", "observations"))
+@query("t5_reset_metaroom", _maps_sql("select 'some' as kind, place, obs_id, pt_idx from m3_some union all select 'all', place, obs_id, pt_idx from m3_all", *_RESETS))
 def t5(spark, d):
-    """Two maps begun anew, two dropped, and all (no names given) begun anew."""
-    o = V.observations(spark, d)
-    maps = o.groupBy("waypoint").agg(F.min("start_ts").alias("since"))
-    cases = (("some", ["WP1", "WP2"], True), ("dropped", ["WP3", "WP4"], False), ("all", [], True))
-    out = None
-    for kind, ids, initialize in cases:
-        one = reset_maps(maps, o, ids, initialize).select(F.lit(kind).alias("kind"), "waypoint", "since")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Map points after sweeps among which maps are dropped, and two begun anew; or all (no names given) begun anew."""
+    each = {kind: map_updates(spark, d, calls).store.maps().withColumn("kind", F.lit(kind)) for kind, calls in (("some", ("drop", "renew")), ("all", ("all",)))}
+    return each["some"].unionByName(each["all"]).select("kind", "place", F.floor(F.col("sweep_id") / 4).alias("obs_id"), "pt_idx")
 
 
 @query("t6_transform_buffer", V.sql("select a.event_id, arg_max(b.event_id, {'s': b.stamp, 'e': b.event_id}) as pose from wobj_obs a join (select distinct name, stamp, event_id from wobj_obs where kind = 'view') b on a.name = b.name and b.stamp between a.stamp - interval 2 hours and a.stamp where a.kind = 'click' group by 1", "wobj_obs"))
@@ -154,9 +182,10 @@ def t9(spark, d):
     return J.run_to(fresh).groupBy("name").agg(F.count("*").alias("n"))
 
 
-@query("t10_status_events", V.sql("select event_id, case when kind = 'error' then 'error' else 'finished' end as status from wobj_obs", "wobj_obs"))
+@query("t10_status_events", V.sql("select s_suppkey * 4 + view as sweep_id, case when exists (select 1 from points where obs_id = s_suppkey and view_no = view) then 'finished' else 'error' end || '_processing_observation' as status from supplier, (values (0), (1), (2), (3)) v(view) where view < 3 or s_suppkey % 4 = 0", "points"))
 def t10(spark, d):
-    return J.run_to(J.events(spark, d).select("event_id", F.when(F.col("kind") == "error", "error").otherwise("finished").alias("status")))
+    """What the map updates tell about each sweep, written by the same micro-batches as the maps."""
+    return map_updates(spark, d).status()
 
 
 @query("t11_streaming_sessions", V.sql("select name, sum(new)::bigint as n from (select name, case when lag(stamp) over w is null or epoch_us(stamp) - epoch_us(lag(stamp) over w) > 14400::bigint * 1000000 then 1 else 0 end as new from wobj_obs window w as (partition by name order by stamp)) group by 1", "wobj_obs"))
