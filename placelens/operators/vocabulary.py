@@ -7,6 +7,11 @@ the children of node n are n * k + 1 to n * k + k.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from placelens.scratch import discard, materialize
@@ -81,6 +86,72 @@ def assign_paths(descriptors: DataFrame, nodes: DataFrame, depth: int, keep: tup
     return out
 
 
+def word_distances(descriptors: DataFrame, words: DataFrame, bound: float | None, key: str = "vec_id", most: int = BROADCAST_NODES) -> DataFrame:
+    """(key, word, d): all words closer than ``bound`` to each descriptor, or (None) the closest one, ties by word.
+
+    ``words`` are node_id and centroid. A vocabulary of up to ``most`` words goes to the
+    tasks at once, a larger one in slices of about that size, each of which is a pass
+    over the descriptors; the closest word is then that of all slices. Descriptors and
+    words that are null, hold nulls or numbers that are not finite, or differ in length
+    have no distance.
+    """
+    spark = descriptors.sparkSession
+    kind = descriptors.schema[key].dataType.simpleString()
+    whole = lambda v: F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = descriptors.where(whole("vec")).select(key, "vec")
+    words = words.where(whole("centroid")).select(F.col("node_id").cast("long").alias("node_id"), F.col("centroid").cast("array<double>").alias("centroid"))
+    slices = -(-words.count() // most)
+
+    def met(part: DataFrame) -> DataFrame:
+        held = spark.sparkContext.broadcast([(r["node_id"], np.array(r["centroid"])) for r in part.orderBy("node_id").collect()])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+                for size in np.unique(sizes):
+                    at = np.flatnonzero(sizes == size)
+                    vecs = np.array(batch.column(1).take(pa.array(at)).flatten()).astype(np.float64).reshape(len(at), size)
+                    out, near, name = [], np.full(len(at), np.inf), np.zeros(len(at), np.int64)
+                    for word, centre in held.value:
+                        if len(centre) != size:
+                            continue
+                        d = np.sqrt(np.square(vecs - centre).sum(axis=1))
+                        if bound is None:
+                            closer = d < near  # words come in order, so the first of equals stays
+                            near[closer], name[closer] = d[closer], word
+                        else:
+                            hit = np.flatnonzero(d < bound)
+                            out.append((hit, np.full(len(hit), word, np.int64), d[hit]))
+                    if bound is None:
+                        hit = np.flatnonzero(np.isfinite(near))
+                        out = [(hit, name[hit], near[hit])]
+                    for hit, word, d in out:
+                        if len(hit):
+                            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at[hit])), pa.array(word), pa.array(d)], [key, "word", "d"])
+
+        return rows.mapInArrow(run, f"{key} {kind}, word long, d double")
+
+    if slices <= 1:
+        return met(words)
+    found = reduce(DataFrame.unionByName, (met(words.where(F.pmod(F.xxhash64("node_id"), F.lit(slices)) == k)) for k in range(slices)))
+    if bound is not None:
+        return found
+    return found.groupBy(key).agg(F.min(F.struct("d", "word")).alias("m")).select(key, "m.word", "m.d")
+
+
+def soft_matches(a: DataFrame, b: DataFrame, words: DataFrame, bound: float = 0.40, by: tuple[str, ...] = ("pair",), key: str = "vec_id") -> DataFrame:
+    """(by, key, b_key, word, d): keypoints of ``b`` whose closest word is among those closer than ``bound`` to one of ``a``.
+
+    Both have ``by`` (which frames meet), key and vec; d is the distance of a's keypoint to
+    the word they share. Each descriptor's words are told once, however many frames its frame meets.
+    """
+    near = word_distances(a.select(key, "vec").dropDuplicates([key]), words, bound, key)
+    best = word_distances(b.select(key, "vec").dropDuplicates([key]), words, None, key).drop("d")
+    left = a.select(*by, key).join(near, key)
+    right = b.select(*by, key).join(best, key).withColumnRenamed(key, f"b_{key}")
+    return left.join(right, [*by, "word"]).select(*by, key, f"b_{key}", "word", "d")
+
+
 def postings(paths: DataFrame, source: str = "source_id") -> DataFrame:
     """Term frequency of each node in each source; inner nodes hold their leaves' sum."""
     return paths.groupBy("node_id", "depth", F.col(source).alias("source_id")).agg(F.count("*").alias("tf"))

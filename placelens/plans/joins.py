@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from placelens.functions import geometry as G
-from placelens.operators import spatial as S, tables as T
+from placelens.operators import spatial as S, tables as T, vocabulary as B
 from placelens.plans.projections import POSE, SMALL_CAM, binned, in_frustum, _BINS, _FRUSTUM
 from placelens.plans.registry import q4, query, r4
 from placelens.sources import views as V
@@ -195,12 +195,21 @@ def j19(spark, d):
     return pairs.withColumn("cost", cost).withColumn("f", best("pt_idx", "b_pt_idx")).withColumn("g", best("b_pt_idx", "pt_idx")).where("f = 1 and g = 1").select("obs_id", "pt_idx", "b_pt_idx")
 
 
-@query("j20_bow_candidates", V.sql("""select a.obs_id, a.pt_idx, b.pt_idx as b_pt_idx from words a join words b on a.obs_id = b.obs_id and a.word = b.word where a.view_no = 0 and b.view_no = 1 and abs(a.x - b.x) < 0.403""", "points").replace("\nselect", ", words as materialized (select obs_id, view_no, pt_idx, x, r // 16 * 256 + g // 16 * 16 + b // 16 as word from points)\nselect", 1))
+#: The given vectors lie farther apart than image features, whose bound is 0.40.
+SOFT = 1.3
+_WORD_D = "sqrt(list_sum(list_transform(list_zip(d.vec, n.vec), lambda t: (t[1]::double - t[2]::double) * (t[1]::double - t[2]::double))))"
+
+
+@query("j20_bow_candidates", V.sql(f""", near as materialized (select d.vec_id, d.source_id, n.vec_id as word, {_WORD_D} as d from descriptors d join descriptors n on n.vec_id between 1 and 20),
+best as materialized (select vec_id, source_id, arg_min(word, {{'d': d, 'w': word}}) as word from near group by all)
+select a.source_id, a.vec_id, b.vec_id as b_vec_id, word, {q4('a.d')} as d from near a join best b using (word) where b.source_id = (a.source_id + 1) % 50 and a.d < {SOFT}""", "descriptors").replace("\n, ", ",\n"))
 def j20(spark, d):
-    """Points that share a word (a coarse colour) and lie close along x."""
-    word = [F.floor(F.col(k) / 16).alias(f"w{k}") for k in "rgb"]
-    a, b = cloud(spark, d, 0).select("obs_id", "pt_idx", "x", *word), cloud(spark, d, 1).select("obs_id", F.col("pt_idx").alias("b_pt_idx"), F.col("x").alias("bx"), *word)
-    return a.join(b, ["obs_id", "wr", "wg", "wb"]).where("abs(x - bx) < 0.403").select("obs_id", "pt_idx", "b_pt_idx")
+    """Keypoints of each frame and the next that share a word: the next one's closest of twenty, any near one of the frame's own."""
+    e = V.descriptors(spark, d)
+    words = e.where("vec_id between 1 and 20").select(F.col("vec_id").alias("node_id"), F.col("vec").alias("centroid"))
+    later = e.withColumn("source_id", F.pmod(F.col("source_id") - 1, F.lit(50)).cast("int"))
+    found = B.soft_matches(e, later, words, SOFT, ("source_id",))
+    return found.select("source_id", "vec_id", "b_vec_id", "word", r4("d").alias("d"))
 
 
 _CENTRES = "c as (select obs_id, cast(floor(pt_idx / 20) as bigint) as seg, avg(x) x, avg(y) y, avg(z) z from points group by all)"
@@ -269,12 +278,37 @@ def j24(spark, d):
     return T.top(found, ["waypoint"], 10, F.desc("start_ts"), F.asc("obs_id")).select("waypoint", "obs_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("j25_object_pairs", V.sql(f", o as (select obs_id, label, avg(x) - 1.5 as x, avg(y) - 2.5 as y from label_points group by all) select a.obs_id, a.label as a, b.label as b, {q4('b.x - a.x')} as dx, {q4('b.y - a.y')} as dy from o a join o b on a.obs_id = b.obs_id and a.label <> b.label", "label_points").replace("\n, ", ",\n"))
+_VIEWER = """scene as (select obs_id, (obs_id % 7) * 0.5::double as vx, (obs_id % 5) * 0.5::double as vy, 1.2::double as vz, avg(x) as mx, avg(y) as my from label_points group by 1),
+turned as (select *, (mx - vx) / sqrt((mx - vx) * (mx - vx) + (my - vy) * (my - vy)) as c, (my - vy) / sqrt((mx - vx) * (mx - vx) + (my - vy) * (my - vy)) as s from scene),
+o as (select obs_id, label, c * (x - vx) + s * (y - vy) as x, c * (y - vy) - s * (x - vx) as y, z - vz as z from (select obs_id, label, avg(x) as x, avg(y) as y, avg(z) as z from label_points group by all) join turned using (obs_id))"""
+
+
+def viewed(objects, viewpoints, by):
+    """Poses (``pose``, 12 numbers) of objects in the frame of their scene's viewpoint (``viewpoint``)."""
+    both = objects.join(viewpoints, by)
+    return both.withColumn("pose", G.compose(G.inverse(F.col("viewpoint")), F.col("pose"))).drop("viewpoint")
+
+
+def object_pairs(objects, by, name):
+    """Ordered pairs of different objects of a scene with the places of both: what relations between them are told from."""
+    at = [F.col("pose")[i].alias(k) for i, k in ((3, "x"), (7, "y"), (11, "z"))]
+    side = lambda p: objects.select(*by, F.col(name).alias(p), F.struct(*at).alias(f"at_{p}"))
+    return side("a").join(side("b"), by).where("a <> b")
+
+
+@query("j25_object_pairs", V.sql(f", {_VIEWER} select a.obs_id, a.label as a, b.label as b, {q4('a.x')} as ax, {q4('a.y')} as ay, {q4('b.x')} as bx, {q4('b.y')} as by, {q4('b.z - a.z')} as dz from o a join o b on a.obs_id = b.obs_id and a.label <> b.label", "label_points").replace("\n, ", ",\n"))
 def j25(spark, d):
-    """Ordered pairs of a scene's objects, seen from a viewpoint."""
-    o = V.label_points(spark, d).groupBy("obs_id", "label").agg((F.avg("x") - 1.5).alias("x"), (F.avg("y") - 2.5).alias("y"))
-    a, b = o.toDF("obs_id", "a", "ax", "ay"), o.toDF("obs_id", "b", "bx", "by")
-    return a.join(b, "obs_id").where("a <> b").select("obs_id", "a", "b", r4(F.col("bx") - F.col("ax")).alias("dx"), r4(F.col("by") - F.col("ay")).alias("dy"))
+    """Objects of each scene in the frame of a viewer that looks at the scene's middle."""
+    p = V.label_points(spark, d)
+    pose = lambda c, s, x, y, z: F.array(*(k if not isinstance(k, float) else F.lit(k) for k in (c, -s, F.lit(0.0), x, s, c, F.lit(0.0), y, 0.0, 0.0, 1.0, z)))
+    middle = p.groupBy("obs_id").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    own = middle.withColumns({"vx": F.col("obs_id") % 7 * 0.5, "vy": F.col("obs_id") % 5 * 0.5})
+    dx, dy = F.col("mx") - F.col("vx"), F.col("my") - F.col("vy")
+    n = F.sqrt(dx * dx + dy * dy)
+    viewpoints = own.select("obs_id", pose(dx / n, dy / n, F.col("vx"), F.col("vy"), F.lit(1.2)).alias("viewpoint"))
+    objects = p.groupBy("obs_id", "label").agg(*(F.avg(k).alias(k) for k in "xyz")).select("obs_id", "label", pose(F.lit(1.0), F.lit(0.0), *map(F.col, "xyz")).alias("pose"))
+    pairs = object_pairs(viewed(objects, viewpoints, BY), BY, "label")
+    return pairs.select("obs_id", "a", "b", *(r4(F.col(f"at_{o}.{k}")).alias(f"{o}{k}") for o in "ab" for k in "xy"), r4(F.col("at_b.z") - F.col("at_a.z")).alias("dz"))
 
 
 @query("j26_previous_observation", V.sql("select obs_id, lag(obs_id) over (partition by waypoint order by start_ts, obs_id) as previous from observations", "observations"))

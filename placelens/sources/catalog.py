@@ -42,8 +42,32 @@ def write_pcd(points: DataFrame, root: str) -> None:
     cloud.select("obs_id", F.concat(head, F.lit("\n"), "body").alias("value")).write.partitionBy("obs_id").mode("overwrite").text(root)
 
 
+def unpacked(data: bytes, size: int) -> bytes:
+    """Bytes of LZF data: runs as they are (control byte below 32), else copies of what came 1 to 8192 bytes before."""
+    out, at = bytearray(), 0
+    while at < len(data):
+        control, at = data[at], at + 1
+        if control < 32:
+            out += data[at : at + control + 1]
+            at += control + 1
+            continue
+        length = control >> 5
+        if length == 7:
+            length, at = length + data[at], at + 1
+        back, at, length = (control & 31) * 256 + data[at] + 1, at + 1, length + 2
+        if back > len(out):
+            raise ValueError("compressed data refers to bytes before its start")
+        while length > 0:  # a copy may reach into itself
+            piece = out[-back:][:length]
+            out += piece
+            length -= len(piece)
+    if len(out) != size:
+        raise ValueError(f"compressed data holds {len(out)} bytes where its header says {size}")
+    return bytes(out)
+
+
 def parse_pcd(content: bytes) -> dict[str, np.ndarray]:
-    """The columns of a PCD file, as its header names them; text and plain binary data."""
+    """The columns of a PCD file, as its header names them; text, binary and compressed binary data."""
     head, at = {}, 0
     while "DATA" not in head:
         end = content.index(b"\n", at)
@@ -56,6 +80,14 @@ def parse_pcd(content: bytes) -> dict[str, np.ndarray]:
     if head["DATA"] == ["binary"]:
         table = np.frombuffer(content, row, n, at)
         return {f: table[f] for f in row.names}
+    if head["DATA"] == ["binary_compressed"]:
+        packed, size = (int.from_bytes(content[k : k + 4], "little") for k in (at, at + 4))
+        flat, out, k = unpacked(content[at + 8 : at + 8 + packed], size), {}, 0
+        for f in row.names:  # column after column, where plain binary data goes row by row
+            kind, shape = row[f].subdtype or (row[f], ())
+            out[f] = np.frombuffer(flat, kind, n * (shape[0] if shape else 1), k).reshape(n, *shape)
+            k += n * row[f].itemsize
+        return out
     if head["DATA"] != ["ascii"]:
         raise ValueError(f"PCD data of kind {head['DATA']} is not supported")
     flat = np.array(content[at:].split(), "S32").reshape(n, -1)

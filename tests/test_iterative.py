@@ -87,6 +87,75 @@ def test_pcd_headers(spark):
     assert [r[5:] for r in got] == [(None, None, None), (1, 2, 3), (1, 2, 3)]
 
 
+def packed(data: bytes) -> bytes:
+    """LZF data by plain search: the longest earlier copy of three or more bytes, else runs of up to 32."""
+    out, run, at = bytearray(), bytearray(), 0
+
+    def flush():
+        for k in range(0, len(run), 32):
+            out.extend([len(run[k : k + 32]) - 1, *run[k : k + 32]])
+        run.clear()
+
+    while at < len(data):
+        length, back = 0, 0
+        for start in range(max(0, at - 8192), at):
+            k = 0
+            while at + k < len(data) and k < 264 and data[start + k] == data[at + k]:
+                k += 1
+            if k > length:
+                length, back = k, at - start - 1
+        if length < 3:
+            run.append(data[at])
+            at += 1
+            continue
+        flush()
+        n = length - 2
+        out.extend([(min(n, 7) << 5) | back >> 8, *([n - 7] if n >= 7 else []), back & 255])
+        at += length
+    flush()
+    return bytes(out)
+
+
+def test_pcd_compressed(spark):
+    rnd = np.random.default_rng(2)
+    root = f"{shared_dir(spark)}/pcd-packed".removeprefix("file:")
+    os.makedirs(f"{root}/obs_id=3", exist_ok=True)
+    n = 200
+    x, y, z = np.repeat(np.arange(20, dtype="<f4"), 10), np.zeros(n, "<f4"), rnd.random(n).astype("<f4")
+    two, rgb = rnd.integers(0, 9, (n, 2)).astype("<u2"), np.full(n, 0x0A0B0C, "<u4")
+    flat = b"".join(v.tobytes() for v in (x, y, two, z, rgb))
+    head = f"VERSION .7\nFIELDS x y normal z rgb\nSIZE 4 4 2 4 4\nTYPE F F U F U\nCOUNT 1 1 2 1 1\nWIDTH {n}\nHEIGHT 1\nPOINTS {n}\nDATA binary_compressed\n"
+    body = packed(flat)
+    assert len(body) < len(flat) and C.unpacked(body, len(flat)) == flat
+    with open(f"{root}/obs_id=3/cloud.pcd", "wb") as f:
+        f.write(head.encode() + struct.pack("<II", len(body), len(flat)) + body)
+    got = sorted(tuple(r) for r in rows(C.ingest_pcd(spark, root)))
+    assert got == [(3, k + 1, float(x[k]), 0.0, float(z[k]), 10, 11, 12) for k in range(n)]
+    with pytest.raises(ValueError):
+        C.unpacked(body, len(flat) + 1)
+    with pytest.raises(ValueError):
+        C.unpacked(bytes([32, 5]), 3)
+
+
+def test_soft_words(spark):
+    """Near and closest words, also of a vocabulary in slices, against plain distances; odd vectors have none."""
+    rnd = np.random.default_rng(6)
+    vecs = rnd.standard_normal((80, 4)).round(1)
+    words = np.vstack([rnd.standard_normal((30, 4)).round(1), vecs[:2], vecs[:1]])  # the last repeats another
+    odd = [(100, None), (101, [1.0, None, 0.0, 0.0]), (102, [float("nan")] * 4), (103, [1.0]), (104, [])]
+    e = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vecs)] + odd, "vec_id long, vec array<double>")
+    w = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(words)] + [(99, None)], "node_id long, centroid array<double>")
+    d = np.sqrt(np.square(vecs[:, None] - words[None]).sum(axis=2))
+    for most in (1000, 7):
+        near = {(r.vec_id, r.word) for r in rows(B.word_distances(e, w, 1.5, most=most))}
+        assert near == {(int(a), int(b)) for a, b in zip(*np.nonzero(d < 1.5))}
+        best = {r.vec_id: r.word for r in rows(B.word_distances(e, w, None, most=most))}
+        assert best == {k: int(row.argmin()) for k, row in enumerate(d)}
+    frame = e.withColumn("pair", F.lit(1))
+    got = sorted((r.vec_id, r.b_vec_id) for r in rows(B.soft_matches(frame, frame, w, 1.5)))
+    assert got == sorted((a, b) for a in range(80) for b in range(80) if d[a, d[b].argmin()] < 1.5)
+
+
 def test_f12_planes(spark):
     rnd = np.random.default_rng(3)
     flat = [(1, 1, k, float(x), float(y), float(0.5 * x - y)) for k, (x, y) in enumerate(rnd.random((60, 2)))]
