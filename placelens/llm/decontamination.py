@@ -4,9 +4,10 @@ Method: test items are indexed by their words; the BM25 weight of a word in an i
 is divided by the item's score for itself, so that one threshold fits all items.
 Every document is cut into passages of twice the longest item, half overlapping, so
 that each item-long stretch lies whole in one. Every passage is a query. Sums of
-block maxima first tell, for all passages of a batch at once, where an item may
-reach the threshold; block-max WAND then retrieves all items above it for those
-passages. A retrieved item counts when both its question and its answer share
+block maxima of the rarer words first tell, for all passages of a batch at once, in
+which block of items one may reach the threshold (a cell); block-max WAND then goes
+on from cell to cell: the maxima of all words of the passage in that block leave
+most cells out, and the items of the others are scored. A retrieved item counts when both its question and its answer share
 enough words with the passage, in runs of ``length`` words. Words are named by
 64-bit hashes.
 
@@ -25,7 +26,6 @@ texts are read.
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from math import fsum
 
 import numpy as np
@@ -40,6 +40,10 @@ OVERLAP = 0.5
 RUN = 5
 K1, B = 1.2, 0.75
 BLOCK = 4
+#: Share of the threshold that the words left out of the first bound may bring together.
+ESSENTIAL = 0.9
+#: Entries of a bound or score that are held at once.
+HELD = 2_000_000
 GROUP_BYTES = 64_000_000
 WORD_BYTES = 36
 
@@ -49,6 +53,18 @@ def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
+def chunks(of: np.ndarray, sizes: np.ndarray):
+    """Ranges of entries whose sizes add up to HELD or little more; those of one name (sorted) stay together."""
+    ends = np.append(np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)) if len(of) else np.zeros(0, np.int64)
+    done = np.concatenate([[0], np.cumsum(sizes)])
+    a = 0
+    while a < len(of):
+        k = int(np.searchsorted(done[ends], done[a] + HELD))
+        b = int(ends[min(k, len(ends) - 1)])
+        yield a, b
+        a = b
+
+
 class Index:
     """Inverted index of items in flat arrays: postings sorted by item, in blocks of items with their maxima.
 
@@ -61,6 +77,11 @@ class Index:
         self.ids = [i[0] for i in items]
         self.words = [i[1] for i in items]
         self.question = [i[2] for i in items]
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        self.width = np.minimum(run, self.size)
+        own_runs = [run_hashes(w, int(k)) for w, k in zip(self.words, self.width)]
+        self.runs = np.concatenate([np.zeros(0, U), *own_runs])
+        self.run_start = np.cumsum([0, *(len(r) for r in own_runs)])
         term, item, score, frequency = [np.zeros(0, U)], [np.zeros(0, np.int32)], [np.zeros(0)], [np.zeros(0, np.int64)]
         for k, (_, words, _, distinct, df) in enumerate(items):
             order = np.argsort(distinct)
@@ -72,12 +93,11 @@ class Index:
             score.append(own / fsum(own))
             frequency.append(df)
         term, item, score, frequency = (np.concatenate(x) for x in (term, item, score, frequency))
-        # rarest words first, so that a bound on the term's number tells common words
+        # rarest words first
         order = np.lexsort((item, term, frequency))
         term, self.item, self.score = term[order], item[order], score[order]
         at = runs(term)
         self.start = np.append(at, len(term))
-        self.bound = np.maximum.reduceat(self.score, at) if len(at) else self.score
         self.by_hash = np.argsort(term[at])
         self.hashes = term[at][self.by_hash]
         number = np.repeat(np.arange(len(at)), np.diff(self.start))
@@ -85,16 +105,24 @@ class Index:
         self.block = self.item[block] // BLOCK
         self.block_bound = np.maximum.reduceat(self.score, block) if len(block) else self.score
         self.block_start = np.searchsorted(block, self.start)
-        # the most common words, as many as cannot bring half the threshold together
-        common, self.rare = np.zeros(len(items)), len(at)
-        while self.rare:
-            a, b = self.start[self.rare - 1 : self.rare + 1]
-            if (common[self.item[a:b]] + self.score[a:b]).max() > threshold / 2:
-                break
-            common[self.item[a:b]] += self.score[a:b]
-            self.rare -= 1
+        self.block_item = np.append(block, len(self.item))
+        self.block_key = number[block] * max(1, -(-len(items) // BLOCK)) + self.block
+        # of each item the most common words, as many as cannot bring ESSENTIAL of the threshold together, are left out of
+        # the first bound; what they may bring is added whole
         self.blocks = -(-len(items) // BLOCK)
-        self.common = np.array([common[b * BLOCK : (b + 1) * BLOCK].max() for b in range(self.blocks)])
+        order = np.lexsort((-number, self.item))
+        heads = runs(self.item[order])
+        gone = np.cumsum(self.score[order])
+        gone -= np.repeat(gone[heads] - self.score[order][heads], np.diff(np.append(heads, len(order))))
+        left_out = np.zeros(len(order), bool)
+        left_out[order] = gone <= threshold * ESSENTIAL
+        common = np.bincount(self.item[left_out], self.score[left_out], self.blocks * BLOCK)
+        self.common = common.reshape(self.blocks, BLOCK).max(axis=1) if self.blocks else common
+        number, item, score = number[~left_out], self.item[~left_out], self.score[~left_out]
+        block = runs(number, item // BLOCK)
+        self.first_block = item[block] // BLOCK
+        self.first_bound = np.maximum.reduceat(score, block) if len(block) else score
+        self.first_start = np.searchsorted(number[block], np.arange(len(at) + 1))
 
     def terms_of(self, words: np.ndarray) -> np.ndarray:
         """Numbers of the words that are terms; -1 for others."""
@@ -103,69 +131,77 @@ class Index:
         at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
         return np.where(self.hashes[at] == words, self.by_hash[at], -1)
 
-    def promising(self, terms: np.ndarray, passage: np.ndarray) -> np.ndarray:
-        """Passages in which the block maxima of some block reach the threshold; a pair for each word."""
-        rare = (terms >= 0) & (terms < self.rare)
-        pair = np.unique(passage[rare] * max(1, self.rare) + terms[rare])
-        of, term = pair // max(1, self.rare), pair % max(1, self.rare)
-        n = self.block_start[term + 1] - self.block_start[term]
-        at = spans(self.block_start[term], n)
-        cell, inverse = np.unique(np.repeat(of, n) * self.blocks + self.block[at], return_inverse=True)
-        total = np.bincount(inverse, self.block_bound[at], len(cell)) + self.common[cell % self.blocks]
-        return np.unique(cell[total >= self.threshold - 1e-9] // self.blocks)
+    def promising(self, of: np.ndarray, term: np.ndarray) -> np.ndarray:
+        """Cells (passage * blocks + block) in which the block maxima reach the threshold; a pair for each distinct word of a passage."""
+        n = self.first_start[term + 1] - self.first_start[term]
+        out = [np.zeros(0, np.int64)]
+        for a, b in chunks(of, n):
+            at = spans(self.first_start[term[a:b]], n[a:b])
+            cell, inverse = np.unique(np.repeat(of[a:b], n[a:b]) * self.blocks + self.first_block[at], return_inverse=True)
+            total = np.bincount(inverse, self.first_bound[at], len(cell)) + self.common[cell % self.blocks]
+            out.append(cell[total >= self.threshold - 1e-9])
+        return np.concatenate(out)
 
     def retrieve(self, terms: list[int]) -> list[tuple[int, float]]:
-        """Block-max WAND: all (item, score) of a passage's distinct terms with at least the threshold."""
+        """All (item, score) of one passage's distinct terms with at least the threshold."""
+        term = np.unique(np.array(terms, np.int64))
+        return [x[1:] for x in self.retrieve_all(np.zeros(len(term), np.int64), term)]
+
+    def retrieve_all(self, of: np.ndarray, term: np.ndarray) -> list[tuple[int, int, float]]:
+        """Block-max WAND: all (passage, item, score) with at least the threshold; a pair for each distinct word of a passage, sorted."""
         least, out = self.threshold - 1e-9, []
-        heads = [[int(self.item[self.start[t]]), int(self.start[t]), t] for t in terms]  # item, place, term
-        while heads:
-            heads.sort()
-            total, pivot = 0.0, -1
-            for k, (_, _, t) in enumerate(heads):
-                total += self.bound[t]
-                if total >= least:
-                    pivot = k
-                    break
-            if pivot < 0:
-                break
-            item = heads[pivot][0]
-            while pivot + 1 < len(heads) and heads[pivot + 1][0] == item:
-                pivot += 1
-            block = item // BLOCK
-            if sum(self._block_bound(heads[k][2], block) for k in range(pivot + 1)) < least:
-                # nothing in this block before the next list's item
-                to = (block + 1) * BLOCK if pivot + 1 == len(heads) else min((block + 1) * BLOCK, heads[pivot + 1][0])
-                self._advance(heads, range(pivot + 1), max(to, item + 1))
-            elif heads[0][0] == item:
-                score = fsum(self.score[p] for _, p, _ in heads[: pivot + 1])
+        cells = self.promising(of, term)
+        first = np.searchsorted(of, cells // self.blocks)
+        n = np.searchsorted(of, cells // self.blocks, "right") - first
+        for a, b in chunks(np.arange(len(cells)), n):
+            which = np.repeat(np.arange(a, b), n[a:b])
+            key = term[spans(first[a:b], n[a:b])] * self.blocks + cells[which] % self.blocks
+            at = np.minimum(np.searchsorted(self.block_key, key), len(self.block_key) - 1)
+            met = self.block_key[at] == key
+            which, at = which[met], at[met]
+            bound = np.bincount(which - a, self.block_bound[at], b - a)
+            good = bound[which - a] >= least
+            which, at = which[good], at[good]
+            size = self.block_item[at + 1] - self.block_item[at]
+            place = spans(self.block_item[at], size)
+            slot = np.repeat(which - a, size) * BLOCK + self.item[place] % BLOCK
+            total = np.bincount(slot, self.score[place], (b - a) * BLOCK)
+            won = total[slot] >= least - 1e-9
+            slot, place = slot[won], place[won]
+            order = np.argsort(slot, kind="stable")
+            slot, place = slot[order], place[order]
+            ends = np.append(runs(slot), len(slot))
+            for x, y in zip(ends[:-1], ends[1:]):
+                score = fsum(self.score[place[x:y]])
                 if score >= least:
-                    out.append((item, score))
-                self._advance(heads, range(pivot + 1), item + 1)
-            else:
-                self._advance(heads, [k for k in range(pivot + 1) if heads[k][0] < item], item)
-            heads = [h for h in heads if h[0] >= 0]
+                    out.append((int(cells[a + slot[x] // BLOCK] // self.blocks), int(self.item[place[x]]), score))
         return out
 
-    def _block_bound(self, term: int, block: int) -> float:
-        end = self.block_start[term + 1]
-        at = bisect_left(self.block, block, int(self.block_start[term]), int(end))
-        return float(self.block_bound[at]) if at < end and self.block[at] == block else 0.0
-
-    def _advance(self, heads: list[list[int]], which, to: int) -> None:
-        for k in which:
-            h = heads[k]
-            end = int(self.start[h[2] + 1])
-            h[1] = bisect_left(self.item, to, h[1], end)
-            h[0] = int(self.item[h[1]]) if h[1] < end else -1
-
-    def overlaps(self, item: int, passage: np.ndarray) -> tuple[float, float]:
-        """Shares of the question's and the answer's words in runs that the passage has too."""
-        words, n = self.words[item], self.question[item]
-        k = min(self.run, len(words))
-        shared = np.flatnonzero(np.isin(run_hashes(words, k), run_hashes(passage, k)))
-        covered = np.zeros(len(words), bool)
-        covered[(shared[:, None] + np.arange(k)).ravel()] = True
-        return (float(covered[:n].mean()) if n else 1.0), (float(covered[n:].mean()) if n < len(words) else 1.0)
+    def overlaps(self, items: np.ndarray, begin: np.ndarray, end: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shares of each item's question and answer words in runs that its passage, flat[begin:end], has too; sorted by begin."""
+        out = np.ones((2, len(items)))
+        for k in np.unique(self.width[items]).tolist():
+            mine = np.flatnonzero(self.width[items] == k)
+            hashes = run_hashes(flat, k)
+            for x, y in chunks(begin[mine], self.size[items[mine]] + end[mine] - begin[mine]):
+                pair = mine[x:y]
+                item, passage = items[pair], np.unique(begin[pair], return_inverse=True)[1]
+                one = np.append(runs(begin[pair]), len(pair))[:-1]
+                n = np.maximum(0, end[pair][one] - begin[pair][one] - k + 1)
+                held = np.sort(marked(hashes[spans(begin[pair][one], n)], np.repeat(np.arange(len(one)), n)))
+                size = self.size[item]
+                asked = self.runs[spans(self.run_start[item], size - k + 1)]
+                key = marked(asked, np.repeat(passage, size - k + 1))
+                at = np.minimum(np.searchsorted(held, key), max(0, len(held) - 1))
+                shared = held[at] == key if len(held) else np.zeros(len(key), bool)
+                word = np.cumsum(size) - size
+                start = spans(word, size - k + 1)[shared]
+                cover = np.bincount(start, minlength=size.sum() + 1) - np.bincount(start + k, minlength=size.sum() + 1)
+                done = np.append(0, np.cumsum(np.cumsum(cover)[:-1] > 0))
+                middle = word + np.array(self.question)[item]
+                for which, a, b in ((0, word, middle), (1, middle, word + size)):
+                    out[which, pair] = np.where(b > a, (done[b] - done[a]) / np.maximum(1, b - a), 1.0)
+        return out[0], out[1]
 
     def search(self, texts: list[bytes]) -> list[tuple[int, int, float, float, float]]:
         """(text, item, score, question overlap, answer overlap) of all contaminated texts."""
@@ -179,21 +215,27 @@ class Index:
         within = spans(np.zeros(len(sizes), np.int64), sizes)
         late = np.repeat(first, sizes) + within // step
         early = late[within >= step] - 1
-        found = self.promising(np.concatenate([terms, terms[within >= step]]), np.concatenate([late, early]))
+        passage, term = np.concatenate([late, early]), np.concatenate([terms, terms[within >= step]])
+        many = len(self.hashes) + 1
+        pair = np.unique(passage[term >= 0] * many + term[term >= 0])
         begin = np.cumsum(sizes) - sizes
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
-        for p in found.tolist():
-            text = int(np.searchsorted(first, p, "right")) - 1
-            a = int(begin[text]) + (p - int(first[text])) * step
-            b = min(a + 2 * step, int(begin[text] + sizes[text]))
-            own = np.unique(terms[a:b])
-            for item, score in self.retrieve(own[own >= 0].tolist()):
-                q, r = self.overlaps(item, flat[a:b])
-                if q >= self.overlap and r >= self.overlap:
-                    best[text, item] = max(best.get((text, item), (0.0, 0.0, 0.0)), (score, q, r))
+        found = sorted(self.retrieve_all(pair // many, pair % many))
+        p, items = (np.array([x[k] for x in found], np.int64) for k in (0, 1))
+        text = np.searchsorted(first, p, "right") - 1
+        a = begin[text] + (p - first[text]) * step
+        b = np.minimum(a + 2 * step, begin[text] + sizes[text])
+        for t, item, x, q, r in zip(text.tolist(), items.tolist(), found, *(v.tolist() for v in self.overlaps(items, a, b, flat))):
+            if q >= self.overlap and r >= self.overlap:
+                best[t, item] = max(best.get((t, item), (0.0, 0.0, 0.0)), (x[2], q, r))
         return [(text, self.ids[item], *x) for (text, item), x in sorted(best.items())]
 
 
+def marked(hashes: np.ndarray, passage: np.ndarray) -> np.ndarray:
+    """Hashes that tell in which passage a run stands."""
+    return mix(hashes + (passage.astype(U) + U(1)) * U(0xD6E8FEB86659FD93))
+
+
 def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """A hash of each run of ``k`` words."""
     n = max(0, len(words) - k + 1)
