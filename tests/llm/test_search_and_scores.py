@@ -85,6 +85,31 @@ def test_wand_finds_what_full_scoring_finds(spark, sf):
         assert {i for i, s in score.items() if s >= B.THRESHOLD} == {i for i, _ in index.retrieve(own[own >= 0].tolist())}
 
 
+def test_retrieval_with_many_items_and_small_memory(monkeypatch):
+    """Items over one skewed vocabulary, some of a single word or equal: the same rows as full scores, in chunks too."""
+    rnd = np.random.default_rng(8)
+    names = B.word_hashes(" ".join(f"w{k}" for k in range(400)).encode())
+    draw = lambda n: names[np.minimum(399, rnd.zipf(1.3, n) - 1)]
+    texts = [draw(int(rnd.integers(1, 30))) for _ in range(300)]
+    texts += [np.repeat(names[:1], 9), names[5:6], *texts[:20]]
+    df = collections.Counter(int(w) for t in texts for w in np.unique(t))
+    items = [(k, t, len(t) // 2, np.unique(t), np.array([df[int(w)] for w in np.unique(t)])) for k, t in enumerate(texts)]
+    index = B.Index(items, len(items), float(np.mean([len(t) for t in texts])), 30, B.THRESHOLD, B.OVERLAP, B.RUN)
+    passages = [np.unique(index.terms_of(np.concatenate([draw(40), t[: len(t) * 3 // 4]]))) for t in texts[:120]]
+    want = set()
+    for p, own in enumerate(passages):
+        score = np.zeros(len(items))
+        for t in own[own >= 0].tolist():
+            score[index.item[index.start[t] : index.start[t + 1]]] += index.score[index.start[t] : index.start[t + 1]]
+        want |= {(p, int(i)) for i in np.flatnonzero(score >= B.THRESHOLD - 1e-9)}
+    own = [p[p >= 0] for p in passages]
+    of, term = np.repeat(np.arange(len(own)), [len(p) for p in own]), np.concatenate(own)
+    assert len(want) > 100
+    for held in (B.HELD, 50):
+        monkeypatch.setattr(B, "HELD", held)
+        assert {x[:2] for x in index.retrieve_all(of, term)} == want
+
+
 def index_words(words_):
     return B.word_hashes(" ".join(words_).encode())
 
