@@ -14,10 +14,17 @@ from placelens.sources import views as V
 from placelens.streaming import jobs as J, maps as M
 
 
-@query("t1_sync_frames", V.sql("select a.event_id, arg_min(b.event_id, {'g': abs(epoch_us(a.stamp) - epoch_us(b.stamp)), 'i': b.event_id}) as b_event_id from wobj_obs a join wobj_obs b on a.name = b.name and a.kind = 'view' and b.kind = 'click' and abs(epoch_us(a.stamp) - epoch_us(b.stamp)) <= 7200::bigint * 1000000 group by 1", "wobj_obs"))
+_DAY = "86400000000::bigint"
+
+
+@query("t1_sync_frames", V.sql(f""", best as (select a.event_id, b.kind, arg_min(b.event_id, {{'g': abs(epoch_us(a.stamp) - epoch_us(b.stamp)), 'i': b.event_id}}) as partner
+from wobj_obs a join wobj_obs b on a.name = b.name and a.kind = 'view' and b.kind in ('click', 'purchase', 'signup') and abs(epoch_us(a.stamp) - epoch_us(b.stamp)) <= {_DAY}
+where (epoch_us(a.stamp) // (2 * {_DAY}) + 1) * 2 * {_DAY} + {_DAY} <= (select max(epoch_us(stamp)) // 1000 * 1000 from wobj_obs) - 10 * {_DAY} group by all)
+select event_id, max(partner) filter (kind = 'click') as click, max(partner) filter (kind = 'purchase') as purchase, max(partner) filter (kind = 'signup') as signup from best group by 1 having count(*) = 3""", "wobj_obs").replace("\n, ", ",\n"))
 def t1(spark, d):
-    a, b = J.events(spark, d).where("kind = 'view'"), J.events(spark, d).where("kind = 'click'")
-    return J.nearest_pairs(J.run_to(J.synchronised(a, b, "2 hours", "100 days")))
+    """Sets of four kinds within a day of each view, told once the stream is ten days past them."""
+    sets = J.matched_sets(J.events(spark, d, 10_000), "view", ["click", "purchase", "signup"], 86_400, "10 days")
+    return J.run_to(sets).select("event_id", "click", "purchase", "signup")
 
 
 @query("t2_assemble_sweep")

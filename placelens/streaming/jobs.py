@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from placelens.scratch import shared_dir
@@ -21,9 +21,9 @@ def read_stream(spark: SparkSession, sf_dir: str, table: str, files: int = 1) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{sf_dir}/{table}.parqu[e]t")
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events(spark: SparkSession, sf_dir: str, files: int = 1) -> DataFrame:
     """name, stamp (timestamp), event_id, kind, value from the events stream."""
-    e = read_stream(spark, sf_dir, "events")
+    e = read_stream(spark, sf_dir, "events", files)
     return e.select(F.concat(F.lit("obj"), F.col("user_id").cast("string")).alias("name"), F.col("ts").cast("timestamp").alias("stamp"), "event_id", F.col("event_type").alias("kind"), "value")
 
 
@@ -61,18 +61,30 @@ def sessions(stream: DataFrame, gap: str, watermark: str) -> DataFrame:
     return stream.withWatermark("stamp", watermark).groupBy("name", window).agg(F.count("*").alias("n"), F.max("stamp").alias("stop")).select("name", F.col("session_window.start").alias("start"), "stop", "n")
 
 
-def synchronised(left: DataFrame, right: DataFrame, slack: str, watermark: str) -> DataFrame:
-    """Pairs of messages of one name within a slack of each other."""
-    a = left.withWatermark("stamp", watermark).alias("a")
-    b = right.select("name", F.col("stamp").alias("b_stamp"), F.col("event_id").alias("b_event_id")).withWatermark("b_stamp", watermark).alias("b")
-    near = F.expr(f"a.name = b.name and b_stamp between stamp - interval {slack} and stamp + interval {slack}")
-    return a.join(b, near).select("a.name", "stamp", "event_id", "b_stamp", "b_event_id")
+def matched_sets(stream: DataFrame, pivot: str, others: list[str], slack_s: int, watermark: str) -> DataFrame:
+    """(name, stamp, event_id, one id for each of ``others``): for each pivot message the closest message of every other kind.
 
-
-def nearest_pairs(pairs: DataFrame) -> DataFrame:
-    """Of a message's partners the closest, ties by id."""
-    gap = F.abs(F.unix_micros("b_stamp") - F.unix_micros("stamp"))
-    return pairs.groupBy("event_id").agg(F.min_by("b_event_id", F.struct(gap, "b_event_id")).alias("b_event_id"))
+    Partners are at most the slack away, ties by id; a pivot that lacks one makes no set.
+    Messages of a name stand in windows of four slacks, two slacks apart, so that each
+    pivot has all of its partners in the one window whose middle half it is in. A window
+    is told when the watermark has passed its end, and forgotten: the state holds the
+    messages of open windows, and a busy name is spread over its windows.
+    """
+    micros = slack_s * 1_000_000
+    w = F.window("stamp", f"{4 * slack_s} seconds", f"{2 * slack_s} seconds", f"-{slack_s} seconds")
+    message = F.struct(F.unix_micros("stamp").alias("at"), "event_id", "stamp")
+    of = lambda kind: F.collect_list(F.when(F.col("kind") == kind, message))
+    lists = stream.withWatermark("stamp", watermark).groupBy("name", w.alias("w")).agg(of(pivot).alias("_pivots"), *(of(k).alias(f"_{k}") for k in others))
+    middle = lambda m: (m["at"] >= F.unix_micros("w.start") + micros) & (m["at"] < F.unix_micros("w.end") - micros)
+    each = lists.withColumn("p", F.explode(F.filter("_pivots", middle)))
+
+    def closest(kind: str) -> Column:
+        gap = lambda m: F.abs(m["at"] - F.col("p.at"))
+        near = F.filter(f"_{kind}", lambda m: gap(m) <= micros)
+        return F.array_min(F.transform(near, lambda m: F.struct(gap(m).alias("gap"), m["event_id"].alias("event_id"))))["event_id"]
+
+    sets = each.select("name", "p.stamp", "p.event_id", *(closest(k).alias(k) for k in others))
+    return sets.dropna(subset=others)
 
 
 def lookups(queries: DataFrame, poses: DataFrame, keep: str, watermark: str) -> DataFrame:
