@@ -54,5 +54,5 @@ def discard(df: DataFrame) -> None:
 
 
 def partitions(spark: SparkSession) -> int:
-    """Number of shuffle partitions of the session, which follows the data's size."""
+    """Number of shuffle partitions that the session sets; it does not follow the size of the data by itself."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
