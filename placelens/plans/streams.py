@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from placelens.functions import geometry as G
 from placelens.operators import spatial as S, vocabulary as B
 from placelens.plans.joins import _SEEN, BY, R2, cloud, distance
 from placelens.plans.projections import binned
@@ -11,7 +12,7 @@ from placelens.plans.registry import q4, query, r4
 from placelens.plans.retrieval import DEPTH, given_tree, voc
 from placelens.plans.windows import _near
 from placelens.sources import views as V
-from placelens.streaming import jobs as J, maps as M
+from placelens.streaming import jobs as J, maps as M, state as K
 
 
 _DAY = "86400000000::bigint"
@@ -27,10 +28,26 @@ def t1(spark, d):
     return J.run_to(sets).select("event_id", "click", "purchase", "signup")
 
 
-@query("t2_assemble_sweep")
+#: Seconds without a message after which an open sweep is given up.
+SILENCE = 5 * 86_400
+
+
+def _sweeps_sql(start: str, stop: str, positions: int, where: str = "true") -> str:
+    """sweeps (name, sweep, position, frames, median): each start begins a run of messages, whose first stop or silence ends it."""
+    return f""", past as (select * from wobj_obs where {where}),
+told as (select name, event_id, kind, value, epoch_us(stamp) as us from past where epoch_us(stamp) <= ((select epoch_ms(max(stamp)) from past) - 86400000) * 1000),
+runs as (select *, us - lag(us) over w > {SILENCE}000000::bigint as silent, count(*) filter (kind = '{start}') over w as run, row_number() over w as i from told window w as (partition by name order by us, event_id)),
+ends as (select name, run, min(i) as stop, arg_min(coalesce(silent, false), i) as lost from runs where run > 0 and (kind = '{stop}' or silent and kind <> '{start}') group by all),
+done as (select name, run, stop, row_number() over (partition by name order by run) - 1 as sweep from ends where not lost),
+sweeps as (select name, cast(sweep as int) as sweep, cast(event_id % {positions} as int) as position, cast(count(*) as int) as frames, list_sort(list(value))[cast(count(*) // 2 as int) + 1] as median
+from runs join done using (name, run) where kind <> '{start}' and i < stop and value is not null group by all)"""
+
+
+@query("t2_assemble_sweep", V.sql(f"{_sweeps_sql('signup', 'purchase', 3)} select name, sweep, position, frames, {q4('median')} as median from sweeps", "wobj_obs").replace("\n, ", ",\n"))
 def t2(spark, d):
-    """signup opens a sweep, purchase finishes it; frames at one of three positions become their median."""
-    found = J.run_to(J.assembled(J.events(spark, d), "signup", "purchase", "100 days", 3))
+    """signup opens a sweep, purchase finishes it; frames at one of three positions become their median, once the stream is a day past them."""
+    with J.rocksdb(spark):
+        found = J.run_to(K.assembled(J.events(spark, d), "signup", "purchase", 3, "1 day", SILENCE))
     return found.select("name", "sweep", "position", "frames", r4("median").alias("median"))
 
 
@@ -141,17 +158,38 @@ def t5(spark, d):
     return each["some"].unionByName(each["all"]).select("kind", "place", F.floor(F.col("sweep_id") / 4).alias("obs_id"), "pt_idx")
 
 
-@query("t6_transform_buffer", V.sql("select a.event_id, arg_max(b.event_id, {'s': b.stamp, 'e': b.event_id}) as pose from wobj_obs a join (select distinct name, stamp, event_id from wobj_obs where kind = 'view') b on a.name = b.name and b.stamp between a.stamp - interval 2 hours and a.stamp where a.kind = 'click' group by 1", "wobj_obs"))
+_KEEP = 43_200
+_LATEST = """arg_max(b.event_id, {{'s': b.stamp, 'e': b.event_id}}) filter (b.kind = '{0}') as {1}, arg_max(b.value, {{'s': b.stamp, 'e': b.event_id}}) filter (b.kind = '{0}') as {1}_value"""
+
+
+@query("t6_transform_buffer", V.sql(f""", found as (select a.event_id, {_LATEST.format('view', 'base')}, {_LATEST.format('purchase', 'camera')}
+from wobj_obs a join wobj_obs b on a.name = b.name and b.kind in ('view', 'purchase') and epoch_us(b.stamp) between epoch_us(a.stamp) - {_KEEP}000000::bigint and epoch_us(a.stamp)
+where a.kind = 'click' and (epoch_us(a.stamp) // {4 * _KEEP}000000::bigint + 1) * {4 * _KEEP}000::bigint <= (select epoch_ms(max(stamp)) from wobj_obs where kind in ('click', 'view', 'purchase')) - 86400000 group by 1)
+select event_id, base, camera, {q4('base_value + cos(base % 63 * 0.1) * camera_value')} as x, {q4('sin(base % 63 * 0.1) * camera_value')} as y from found where base is not null and camera is not null""", "wobj_obs").replace("\n, ", ",\n"))
 def t6(spark, d):
-    """The latest pose (view) for each query (click) in a buffer of two hours."""
-    e = J.events(spark, d)
-    return J.latest_poses(J.run_to(J.lookups(e.where("kind = 'click'"), J.events(spark, d).where("kind = 'view'"), "2 hours", "100 days")))
+    """For each query (click) the camera's pose in the map, from the latest pose of the base (view) and of the camera on it (purchase) in a buffer of twelve hours.
+
+    The base stands at (value, 0), turned by its id; the camera value ahead of it.
+    """
+    with J.rocksdb(spark):
+        found = J.run_to(K.transform_buffer(J.events(spark, d), ["view", "purchase"], "click", _KEEP, 4, "1 day"))
+    each = found.select("event_id", F.col("poses")[0].alias("base"), F.col("poses")[1].alias("camera"), F.col("values")[0].alias("at"), F.col("values")[1].alias("ahead"))
+    turn = F.col("base") % 63 * 0.1
+    c, s, zero, one = F.cos(turn), F.sin(turn), F.lit(0.0), F.lit(1.0)
+    base = F.array(c, -s, zero, F.col("at"), s, c, zero, zero, zero, zero, one, zero)
+    camera = F.array(one, zero, zero, F.col("ahead"), zero, one, zero, zero, zero, zero, one, zero)
+    pose = each.withColumn("m", G.compose(base, camera))
+    return pose.select("event_id", "base", "camera", r4(F.col("m")[3]).alias("x"), r4(F.col("m")[7]).alias("y"))
+
+
+_VIEWING = _sweeps_sql("signup", "error", 1, "kind in ('signup', 'view', 'error')")
 
 
-@query("t7_collect_views")
+@query("t7_collect_views", V.sql(f"{_VIEWING} select name, sweep, frames as views from sweeps", "wobj_obs").replace("\n, ", ",\n"))
 def t7(spark, d):
     """Views between a signup (start of viewing) and an error (its end), per selected object."""
-    found = J.run_to(J.assembled(J.events(spark, d).where("kind in ('signup', 'view', 'error')"), "signup", "error", "100 days", 1))
+    with J.rocksdb(spark):
+        found = J.run_to(K.assembled(J.events(spark, d).where("kind in ('signup', 'view', 'error')"), "signup", "error", 1, "1 day", SILENCE))
     return found.select("name", "sweep", F.col("frames").alias("views"))
 
 

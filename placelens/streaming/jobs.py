@@ -7,12 +7,12 @@ files at hand are read and writes to the shared folder.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from placelens.scratch import shared_dir
+from placelens.streaming.state import ROCKS
 
 
 def read_stream(spark: SparkSession, sf_dir: str, table: str, files: int = 1) -> DataFrame:
@@ -31,6 +31,18 @@ def folder(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def rocksdb(spark: SparkSession):
+    """Queries started within keep their state in RocksDB, which stateful processors need."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def run_to(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what there is; append and update go to Parquet, complete replaces it."""
     spark = stream.sparkSession
@@ -87,64 +99,6 @@ def matched_sets(stream: DataFrame, pivot: str, others: list[str], slack_s: int,
     return sets.dropna(subset=others)
 
 
-def lookups(queries: DataFrame, poses: DataFrame, keep: str, watermark: str) -> DataFrame:
-    """Pairs of queries and poses of one name that are at most ``keep`` older: the buffer forgets older poses."""
-    a = queries.withWatermark("stamp", watermark).alias("a")
-    b = poses.select("name", F.col("stamp").alias("b_stamp"), F.col("event_id").alias("b_event_id")).withWatermark("b_stamp", watermark).alias("b")
-    held = F.expr(f"a.name = b.name and b_stamp between stamp - interval {keep} and stamp")
-    return a.join(b, held).select("a.name", "stamp", "event_id", "b_stamp", "b_event_id")
-
-
-def latest_poses(found: DataFrame) -> DataFrame:
-    """Of the poses that a query finds the latest, ties by the larger id."""
-    return found.groupBy("event_id").agg(F.max_by("b_event_id", F.struct("b_stamp", "b_event_id")).alias("pose"))
-
-
-def newest_only(stream: DataFrame, keep: str) -> DataFrame:
-    """A buffer that forgets what is older than ``keep``: repeats within it are dropped."""
-    return stream.withWatermark("stamp", keep).dropDuplicatesWithinWatermark(["name", "kind", "stamp"])
-
-
-SWEEP = "name string, sweep int, position int, frames int, median double"
-OPEN = "sweep int, opened boolean, positions array<int>, values array<double>"
-
-
-def assembled(stream: DataFrame, start: str, stop: str, watermark: str, positions: int) -> DataFrame:
-    """Rows for each position of each finished sweep of a name: its frames between the start and stop messages, and their upper median.
-
-    A message's position is its event_id modulo ``positions``. The state holds the open
-    sweep's frames only, which the sweep's length bounds. A start while a sweep is
-    open begins it anew; a stop without a start is ignored. A sweep whose stop is
-    missing for a day after the last message is given up.
-    """
-
-    def step(key, frames, state: GroupState):
-        sweep, opened, at, values = state.get if state.exists else (0, False, [], [])
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values(["stamp", "event_id"])
-        at, values, out = list(at), list(values), []
-        for kind, value, number in zip(rows["kind"], rows["value"], rows["event_id"]):
-            if kind == start:
-                opened, at, values = True, [], []
-            elif kind == stop and opened:
-                seen = pd.DataFrame({"position": at, "value": values}).groupby("position")["value"]
-                out += [(key[0], sweep, int(p), len(v), float(sorted(v)[len(v) // 2])) for p, v in seen]
-                sweep, opened, at, values = sweep + 1, False, [], []
-            elif opened:
-                at.append(int(number % positions))
-                values.append(float(value))
-        state.update((sweep, opened, at, values))
-        last = max(int(rows["stamp"].max().timestamp() * 1000), state.getCurrentWatermarkMs())
-        state.setTimeoutTimestamp(last + 86_400_000)
-        if out:
-            yield pd.DataFrame(out, columns=["name", "sweep", "position", "frames", "median"])
-
-    rows = stream.withWatermark("stamp", watermark)
-    return rows.groupBy("name").applyInPandasWithState(step, SWEEP, OPEN, "append", GroupStateTimeout.EventTimeTimeout)
-
-
 class Batches:
     """A table in a folder that each micro-batch adds its own part to; a repeated batch replaces its part."""
 

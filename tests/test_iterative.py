@@ -35,34 +35,6 @@ def test_w7_patrols(spark, sf):
     assert got == want
 
 
-def sweeps(events, start, stop, positions):
-    by_name, out = collections.defaultdict(list), {}
-    for e in events:
-        by_name[e.name].append(e)
-    for name, own in by_name.items():
-        n, current = 0, None
-        for e in sorted(own, key=lambda e: (e.stamp, e.event_id)):
-            if e.kind == start:
-                current = collections.defaultdict(list)
-            elif e.kind == stop and current is not None:
-                for p, v in current.items():
-                    out[name, n, p] = (len(v), sorted(v)[len(v) // 2])
-                n, current = n + 1, None
-            elif current is not None:
-                current[e.event_id % positions].append(e.value)
-    return out
-
-
-def test_t2_and_t7_sweeps(spark, sf):
-    events = rows(V.wobj_obs(spark, sf))
-    want = sweeps(events, "signup", "purchase", 3)
-    got = {(r.name, r.sweep, r.position): (r.frames, r["median"]) for r in rows(catalog.QUERIES["t2_assemble_sweep"](spark, sf))}
-    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-3 for k in want)
-    want = sweeps([e for e in events if e.kind in ("signup", "view", "error")], "signup", "error", 1)
-    got = {(r.name, r.sweep, 0): r.views for r in rows(catalog.QUERIES["t7_collect_views"](spark, sf))}
-    assert got == {k: v[0] for k, v in want.items()}
-
-
 def test_batches_replace_what_is_repeated(spark):
     store = J.Batches(spark, "again")
     one = spark.createDataFrame([(1, "a"), (2, "a")], "k int, v string")
