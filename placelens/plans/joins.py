@@ -242,13 +242,6 @@ on a.u = b.u and a.v = b.v and b.frame_id - a.frame_id in (1, -1) and a.mask = 1
 _SCORES = f"{_PAIRS}, scores as (select src, dst, sum(case when abs(res) < 0.2003 then w else 0.0 end) as score, sum(case when res > 0.2003 then w else 0.0 end) as occ from pairs group by all)"
 
 
-def matched_sql(shift: str, name: str) -> str:
-    """Pixels of neighbouring frames that share a place, frames moved along their view by ``shift``."""
-    moved = f"(select *, depth * 0.001 + {shift} as z from pixels where depth > 0)"
-    return f"""{name} as (select a.frame_id as src, b.frame_id as dst, a.z as za, b.z as zb, (b.z - a.z) / (a.z * a.z + b.z * b.z) as res, 1 - abs(a.nx) / 2 as w from {moved} a join {moved} b
-on a.u = b.u and a.v = b.v and b.frame_id - a.frame_id in (1, -1) and a.mask = 1)"""
-
-
 def frame_pairs(spark, d, shift: str = "0"):
     """(src, dst, za, zb, w): pixels of neighbouring frames that share a place, frames moved along their view."""
     p = V.pixels(spark, d).where("depth > 0").withColumn("z", F.col("depth") * 0.001 + F.expr(shift))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from math import cos, sin
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from placelens.functions import geometry as G
-from placelens.operators import rays as rays_op, tables as T
+from placelens.operators import poses as P, rays as rays_op, tables as T
 from placelens.plans.aggregates import _PAIR, VOXEL, crossed_sql, pair_scores, tidy
-from placelens.plans.joins import _HIST, frame_pairs, frame_scores, histograms, matched_sql
+from placelens.plans.joins import _HIST, histograms
 from placelens.plans.projections import CAM, POLYGON, POSE, _EDGES, inside_polygon
 from placelens.plans.registry import q4, query, r4
 from placelens.scratch import materialize
@@ -39,42 +42,90 @@ def m3(spark, d):
     return pair_scores(spark, d).groupBy(F.floor(F.col("i") / 10).alias("model")).agg(r4(F.sum("total")).alias("total"))
 
 
-#: A second set of poses: each frame is moved along its view.
-MOVED = "(frame_id % 3 - 1) * 0.11"
-_TOTALS = f"{matched_sql('0', 'old')}, {matched_sql(MOVED, 'new')}, " + ", ".join(f"t_{k} as (select src // 10 as model, sum(case when abs(res) < 0.2003 then w when res > 0.2003 then -w else 0.0 end) as total from {k} group by 1)" for k in ("old", "new"))
+#: Camera of the given pixels, whose images are 64 x 48.
+SMALL = (52.8, 52.5, 31.7, 24.5)
+
+#: Candidate poses: 50 along the view, 50 sideways, 50 turns about the upright axis; the middle one of each moves nothing.
+STEPS = 0.0120771, 0.0200917, 0.0101327
+POSES, UNMOVED = 150, 25
+
+
+def candidate_poses() -> np.ndarray:
+    """(POSES, 12)"""
+    out = np.zeros((POSES, 3, 4))
+    out[:, range(3), range(3)] = 1.0
+    for k in range(POSES):
+        step = (k % 50 - 25) * STEPS[k // 50]
+        if k < 50:
+            out[k, 2, 3] = step
+        elif k < 100:
+            out[k, 0, 3] = step
+        else:
+            out[k, 0, 0] = out[k, 2, 2] = cos(step)
+            out[k, 0, 2], out[k, 2, 0] = sin(step), -sin(step)
+    return out.reshape(POSES, 12)
+
+
+def images(spark, d):
+    """(frame_id, u, v, z, w, masked): pixels that have a depth."""
+    p = V.pixels(spark, d).where("depth > 0")
+    return p.select("frame_id", "u", "v", (F.col("depth") * 0.001).alias("z"), (1 - F.abs("nx") / 2).alias("w"), (F.col("mask") == 1).alias("masked"))
+
+
+def neighbours(frames):
+    """(src, dst): each frame and the ones before and after it."""
+    return frames.select(F.col("frame_id").alias("src"), F.explode(F.array(F.col("frame_id") - 1, F.col("frame_id") + 1)).alias("dst"))
 
 
-@query("m4_accept_if_better", V.sql(f", {_TOTALS} select model, n.total >= o.total as accepted, {q4('greatest(o.total, n.total)')} as total from t_old o join t_new n using (model)", "pixels").replace("\n, ", ",\n"))
+_IMAGE = "image as (select frame_id, u, v, depth * 0.001 as z, 1 - abs(nx) / 2 as w, mask = 1 as masked from pixels where depth > 0)"
+_WORTH = "case when abs((b.z - pz) / (pz * pz + b.z * b.z)) < 0.2003 then a.w when (b.z - pz) / (pz * pz + b.z * b.z) > 0.2003 then -a.w else 0.0 end"
+_HITS = "pz > 0 and b.u = floor(px * 52.8::double / pz + 31.7::double + 0.5) and b.v = floor(y * 52.5::double / pz + 24.5::double + 0.5)"
+_SPACE = "select frame_id, w, (u - 31.7::double) * z / 52.8::double as x, (v - 24.5::double) * z / 52.5::double as y, z from image where masked"
+_TURN = "turns as (select frame_id, (frame_id % 5 - 2) * 0.0303::double as t, (frame_id % 3 - 1) * 0.0511::double as sx, (frame_id % 4 - 1) * 0.0407::double as sz from image group by all)"
+_TOTALS = f"""{_IMAGE}, {_TURN}, space as ({_SPACE}),
+ends as (select a.frame_id as src, b.frame_id as dst, a.t as ta, b.t as tb, a.sx - b.sx as sx, a.sz - b.sz as sz from turns a join turns b on abs(a.frame_id - b.frame_id) = 1),
+moved as (select src, dst, w, x as px, y, z as pz, 'old' as kind from space join ends on src = frame_id union all
+select src, dst, w, cos(tb) * (cos(ta) * x + sin(ta) * z + sx) - sin(tb) * (-sin(ta) * x + cos(ta) * z + sz), y, sin(tb) * (cos(ta) * x + sin(ta) * z + sx) + cos(tb) * (-sin(ta) * x + cos(ta) * z + sz), 'new' from space join ends on src = frame_id),
+met as (select src // 10 as model, sum(case when kind = 'old' then worth else 0 end) as before, sum(case when kind = 'new' then worth else 0 end) as after from (select src, kind, {_WORTH} as worth from moved a join image b on b.frame_id = a.dst and {_HITS}) group by 1)"""
+
+
+def frame_poses(frames):
+    """(frame_id, m): a second set of poses, in which each frame is turned and moved a little."""
+    f = F.col("frame_id")
+    t, zero, one = (f % 5 - 2) * 0.0303, F.lit(0.0), F.lit(1.0)
+    m = F.array(F.cos(t), zero, F.sin(t), (f % 3 - 1) * 0.0511, zero, one, zero, zero, -F.sin(t), zero, F.cos(t), (f % 4 - 1) * 0.0407)
+    return frames.select("frame_id", m.alias("m"))
+
+
+@query("m4_accept_if_better", V.sql(f", {_TOTALS} select model, coalesce(after, 0) >= coalesce(before, 0) as accepted, {q4('greatest(coalesce(before, 0), coalesce(after, 0))')} as total from (select distinct frame_id // 10 as model from image) left join met using (model)", "pixels").replace("\n, ", ",\n"))
 def m4(spark, d):
-    """Of two sets of poses of the frames the new one stays when its total is not lower."""
-    total = lambda shift, name: frame_scores(spark, d, shift).groupBy(F.floor(F.col("src") / 10).alias("model")).agg(F.sum(F.col("score") - F.col("occ")).alias(name))
-    t = total("0", "before").join(total(MOVED, "after"), "model")
+    """Of two sets of poses of the frames (none moved; each turned and moved) the second stays when its total is not lower."""
+    image = images(spark, d)
+    frames = image.select("frame_id").distinct()
+    posed = frame_poses(frames)
+    ends = neighbours(frames).join(posed.toDF("src", "a"), "src").join(posed.toDF("dst", "b"), "dst").select("src", "dst", G.compose(G.inverse(F.col("b")), F.col("a")).alias("m"))
+    unmoved = ends.select("src", "dst", F.array(*(F.lit(float(i % 5 == 0)) for i in range(12))).alias("m"))
+    model = F.floor(F.col("src") / 10).alias("model")
+    total = lambda poses, name: P.posed_scores(image, poses, SMALL).groupBy(model).agg(F.sum(F.col("score") - F.col("occ")).alias(name))
+    models = frames.select(F.floor(F.col("frame_id") / 10).alias("model")).distinct()
+    t = models.join(total(unmoved, "before"), "model", "left").join(total(ends, "after"), "model", "left").fillna(0.0, ["before", "after"])
     return t.select("model", (F.col("after") >= F.col("before")).alias("accepted"), r4(F.greatest("before", "after")).alias("total"))
 
 
-def choose_pose(pairs, candidates: int, step: float):
-    """(src, pose, gain): of poses that move a frame along its view, the one that improves agreement less occlusion most.
+_CANDIDATES = f"""cands as (select k, case when k < 50 then step else 0 end as sz, case when k between 50 and 99 then step else 0 end as sx, case when k > 99 then cos(step) else 1 end as c, case when k > 99 then sin(step) else 0 end as s
+from (select k, (k % 50 - 25) * case k // 50 when 0 then {STEPS[0]}::double when 1 then {STEPS[1]}::double else {STEPS[2]}::double end as step from range({POSES}) r(k)))"""
 
-    ``pairs`` has src, za, zb and w of the pixels that meet. Without an improvement
-    the pose is null. Ties go to the first candidate.
-    """
-    move = (F.col("k") - candidates // 2) * F.lit(step)
-    tried = pairs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(candidates - 1)).cast("array<long>"))).withColumn("zk", F.col("za") + move)
-    res = (F.col("zb") - F.col("zk")) / (F.col("zk") * F.col("zk") + F.col("zb") * F.col("zb"))
-    worth = F.when(F.abs(res) < 0.2003, F.col("w")).when(res > 0.2003, -F.col("w")).otherwise(0.0)
-    total = tried.groupBy("src", "k").agg(F.sum(worth).alias("total"))
-    best = total.groupBy("src").agg(F.max(F.struct("total", (-F.col("k")).alias("o"))).alias("m"), F.max(F.when(F.col("k") == candidates // 2, F.col("total"))).alias("before"))
-    better = F.col("m.total") > F.col("before")
-    return best.select("src", F.when(better, -F.col("m.o")).alias("pose"), F.when(better, F.col("m.total") - F.col("before")).otherwise(0.0).alias("gain"))
-
-
-@query("m5_choose_pose", V.sql(f""", {matched_sql('0', 'old')}, tried as (select src, k, za + (k - 75) * 0.004::double as zk, zb, w from old, range(150) r(k)),
-total as (select src, k, sum(case when abs((zb - zk) / (zk * zk + zb * zb)) < 0.2003 then w when (zb - zk) / (zk * zk + zb * zb) > 0.2003 then -w else 0.0 end) as total from tried group by all),
-best as (select src, arg_max(k, {{'t': total, 'k': -k}}) as k, max(total) as most, max(total) filter (k = 75) as before from total group by 1)
-select src, case when most > before then cast(k as bigint) end as pose, {q4('case when most > before then most - before else 0.0 end')} as gain from best""", "pixels").replace("\n, ", ",\n"))
+
+@query("m5_choose_pose", V.sql(f""", {_IMAGE}, {_CANDIDATES}, tried as (select frame_id as src, k, w, c * x + s * z + sx as px, y, -s * x + c * z + sz as pz from ({_SPACE}), cands),
+met as (select src, k, sum({_WORTH}) as total from tried a join image b on abs(b.frame_id - a.src) = 1 and {_HITS} group by all),
+total as (select src, k, coalesce(total, 0) as total from (select distinct frame_id as src from image where masked) cross join cands left join met using (src, k)),
+best as (select src, arg_max(k, {{'t': total, 'k': -k}}) as k, max(total) as most, max(total) filter (k = {UNMOVED}) as before from total group by 1)
+select src, case when most > before then k end as pose, {q4('case when most > before then most - before else 0.0 end')} as gain from best""", "pixels").replace("\n, ", ",\n"))
 def m5(spark, d):
     """The best of 150 candidate poses of each frame against its neighbours."""
-    return choose_pose(frame_pairs(spark, d), 150, 0.004).select("src", "pose", r4("gain").alias("gain"))
+    image = images(spark, d)
+    scores = P.hypothesis_scores(image, neighbours(image.select("frame_id").distinct()), candidate_poses(), SMALL)
+    return P.best_pose(scores, ["src"], UNMOVED).select("src", "pose", r4("gain").alias("gain"))
 
 
 _RAY = "select obs_id, pt_idx, x - 2.53 as vx, y - 4.07 as vy, z - 1.03 as vz from points"
