@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from placelens.functions import geometry as G
-from placelens.operators import poses as P, rays as rays_op, tables as T
+from placelens.operators import fusion as U, poses as P, rays as rays_op
 from placelens.plans.aggregates import _PAIR, VOXEL, crossed_sql, pair_scores, tidy
 from placelens.plans.joins import _HIST, histograms
 from placelens.plans.projections import CAM, POLYGON, POSE, _EDGES, inside_polygon
@@ -247,46 +247,36 @@ def m12(spark, d):
     """One part merges both models, parts equal to the models change nothing, others split them."""
     f = F.col("frame_id")
     p = V.pixels(spark, d).select(F.floor(f / 4).alias("pair"), F.floor(f % 4 / 2).alias("model"), F.floor((f * 7 + F.col("depth")) % 5 / 3).alias("part"))
-    n = p.groupBy("pair", "model").agg(F.countDistinct("part").alias("n")).groupBy("pair").agg(F.max("n").alias("n"))
-    parts = p.groupBy("pair").agg(F.countDistinct("part").alias("parts")).join(n, "pair")
-    return parts.select("pair", F.when(F.col("parts") == 1, "merge").when(F.col("n") == 1, "keep").otherwise("split").alias("outcome"), "parts")
+    return U.fusion_outcome(p)
 
 
 NEAREST, LEAST = 150, 0.3003
 
 
-def similar_models(counts, nearest: int, least: float):
-    """(model, other): for each model the best of its ``nearest`` candidates, if their histograms share more than ``least``.
+#: Agreement less occlusion that two models need in their best pose; the given images are sparse.
+AGREEMENT = 15.0
 
-    ``counts`` has model, bin and n. Models meet over equal bins, each model's bin once.
+
+def agreeing(spark, d):
+    """Which pairs of models merge: the best of 150 poses of the one against the other decides whether they are one part or two.
+
+    A model's image holds the nearest pixel of its members. Models are taken whole, so
+    that a pair is merged or kept; it is never split.
     """
-    size = counts.groupBy("model").agg(F.sum("n").alias("total"))
-    h = counts.join(size, "model").select("model", "bin", (F.col("n") / F.col("total")).alias("w"))
-    s = h.join(h.select(F.col("model").alias("other"), "bin", F.col("w").alias("v")), "bin").where("model <> other")
-    s = s.groupBy("model", "other").agg(F.round(F.sum(F.least("w", "v")), 6).alias("score"))
-    best = T.top(s, ["model"], nearest, F.desc("score"), F.asc("other")).where(F.col("score") > least)
-    return best.groupBy("model").agg(F.max_by("other", F.struct("score", -F.col("other"))).alias("other"))
-
-
-def fusion_round(counts, nearest: int = NEAREST, least: float = LEAST):
-    """(model, other), model < other: the models that are each other's best candidate merge in this round."""
-    best = similar_models(counts, nearest, least)
-    back = best.select(F.col("other").alias("model"), F.col("model").alias("other"))
-    return best.where("model < other").join(back, ["model", "other"], "left_semi").select("model", "other")
-
-
-def fuse(counts, nearest: int = NEAREST, least: float = LEAST):
-    """(member, model): rounds until no two models are each other's best candidate; changed models are tried again."""
-    label = materialize(counts.select(F.col("model").alias("member"), "model").distinct(), "models")
-    now = materialize(counts, "histograms")
-    while True:
-        step = materialize(fusion_round(now, nearest, least), "merges")
-        if step.isEmpty():
-            return label
-        moved = step.select(F.col("other").alias("model"), F.col("model").alias("into"))
-        follow = lambda df: df.join(moved, "model", "left").withColumn("model", F.coalesce("into", "model")).drop("into")
-        label = materialize(follow(label).select("member", "model"), "models")
-        now = materialize(follow(now).groupBy("model", "bin").agg(F.sum("n").alias("n")), "histograms")
+    image = materialize(images(spark, d), "images")
+    poses = candidate_poses()
+
+    def accepted(pairs, label):
+        near = image.join(label.withColumnRenamed("member", "frame_id"), "frame_id").groupBy("model", "u", "v").agg(F.min(F.struct("z", "w", "masked")).alias("p"))
+        rendered = materialize(near.select(F.col("model").alias("frame_id"), "u", "v", "p.*"), "rendered")
+        ends = pairs.select(F.col("model").alias("src"), F.col("other").alias("dst"))
+        best = P.best_pose(P.hypothesis_scores(rendered, ends, poses, SMALL), ["src", "dst"], UNMOVED)
+        one = F.col("total") > AGREEMENT
+        each = F.explode(F.array(*(F.struct(F.col(k).alias("model"), F.when(one, F.col("src")).otherwise(F.col(k)).alias("part")) for k in ("src", "dst")))).alias("e")
+        outcome = U.fusion_outcome(best.select(F.struct("src", "dst").alias("pair"), each).select("pair", "e.model", "e.part"))
+        return outcome.where("outcome = 'merge'").select(F.col("pair.src").alias("model"), F.col("pair.dst").alias("other"))
+
+    return accepted
 
 
 def model_counts(spark, d):
@@ -299,10 +289,10 @@ best as (select obs_id, arg_max(other, {{'s': score, 'o': -other}}) as other fro
 select a.obs_id as model, a.other from best a join best b on a.other = b.obs_id and b.other = a.obs_id where a.obs_id < a.other""", "points").replace("\n, ", ",\n"))
 def m13(spark, d):
     """One round over all models: the changes to apply."""
-    return fusion_round(model_counts(spark, d))
+    return U.mutual(U.similar_models(model_counts(spark, d), NEAREST, LEAST))
 
 
 @query("m13_fuse_models")
 def m13_all(spark, d):
-    """All rounds: the model that each observation ends in."""
-    return fuse(model_counts(spark, d))
+    """All rounds: the model that each observation ends in, where poses decide about merging."""
+    return U.fuse(model_counts(spark, d), LEAST, agreeing(spark, d))

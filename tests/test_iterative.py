@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from placelens.operators import graph as N, vocabulary as B
+from placelens.operators import fusion as U, graph as N, poses as P, vocabulary as B
 from placelens.plans import catalog, models as M, retrieval as R
 from placelens.scratch import shared_dir
 from placelens.sources import catalog as C, views as V
@@ -199,25 +199,73 @@ def test_v13_and_v14_groups(spark, sf):
         assert [s for _, s, _ in sorted(found)] == [s for s, _ in want]
 
 
-def test_m13_fuses_until_nothing_changes(spark, sf):
-    counts = collections.defaultdict(collections.Counter)
-    for r in rows(M.model_counts(spark, sf)):
-        counts[r.model][r.bin] += r.n
+def fused(counts, least, accepted=lambda a, b: True):
+    """All pairs are compared again in each round."""
+    counts = {m: collections.Counter(c) for m, c in counts.items()}
     label = {m: m for m in counts}
     while True:
         share = lambda a, b: round(sum(min(n / sum(a.values()), b[k] / sum(b.values())) for k, n in a.items() if k in b), 6)
         best = {}
         for a in counts:
-            found = sorted((-share(counts[a], counts[b]), b) for b in counts if b != a)
-            if found and -found[0][0] > M.LEAST:
+            found = sorted((-share(counts[a], counts[b]), b) for b in counts if b != a and accepted(a, b))
+            if found and -found[0][0] > least:
                 best[a] = found[0][1]
         merges = [(a, b) for a, b in best.items() if a < b and best.get(b) == a]
         if not merges:
-            break
+            return label
         for a, b in merges:
             counts[a] += counts.pop(b)
             label = {m: a if x == b else x for m, x in label.items()}
-    assert {r.member: r.model for r in rows(catalog.QUERIES["m13_fuse_models"](spark, sf))} == label
+
+
+def test_m13_searches_only_what_changed(spark):
+    rng = np.random.default_rng(4)
+    rows_ = [(int(m), int(b), int(rng.integers(1, 6))) for m in range(24) for b in {0, *(m // 3 * 5 + rng.integers(0, 9, 6)).tolist()}]
+    counts = collections.defaultdict(collections.Counter)
+    for m, b, n in rows_:
+        counts[m][b] += n
+    want = fused(counts, 0.35, lambda a, b: (a + b) % 3 > 0)
+    table = spark.createDataFrame(rows_, "model long, bin long, n long").coalesce(1)
+    some, every = [], []
+    accepted = lambda pairs, _: pairs.where("(model + other) % 3 > 0")
+    got = {everything: {r.member: r.model for r in rows(U.fuse(table, 0.35, accepted, everything, n))} for everything, n in ((False, some), (True, every))}
+    assert got[False] == got[True] == want and len(set(want.values())) < 20
+    assert len(some) == len(every) > 2 and sum(some) < sum(every)
+
+
+def test_m13_poses_decide(spark, sf):
+    counts = collections.defaultdict(collections.Counter)
+    for r in rows(M.model_counts(spark, sf)):
+        counts[r.model][r.bin] += r.n
+    pairs = spark.createDataFrame([(a, b) for a in counts for b in counts if a < b], "model long, other long")
+    label = spark.createDataFrame([(a, a) for a in counts], "member long, model long")
+    kept = M.agreeing(spark, sf)(pairs, label).count()
+    assert 0 < kept < pairs.count()  # both answers occur
+    alone = fused(counts, M.LEAST)
+    got = {r.member: r.model for r in rows(catalog.QUERIES["m13_fuse_models"](spark, sf))}
+    assert got.keys() == alone.keys() and all(got[m] <= m for m in got)
+
+
+def pixels_of(spark, seed, n):
+    rng = np.random.default_rng(seed)
+    seen = {(f, int(rng.integers(0, 64)), int(rng.integers(0, 48))) for f in range(3) for _ in range(n)}
+    table = [(f, u, v, float(rng.integers(5, 40)) / 20, float(rng.choice([0.5, 1.0])), bool(rng.integers(0, 4))) for f, u, v in sorted(seen)]
+    return spark.createDataFrame(table, "frame_id long, u int, v int, z double, w double, masked boolean")
+
+
+def test_all_hypotheses_of_a_pair_agree_with_one_at_a_time(spark):
+    image, poses = pixels_of(spark, 3, 400), M.candidate_poses()
+    pairs = spark.createDataFrame([(0, 1), (1, 0), (2, 1), (7, 1), (0, 9)], "src long, dst long")
+    got = {(r.src, r.dst, r.k): (r.score, r.occ) for r in rows(P.hypothesis_scores(image, pairs, poses, M.SMALL))}
+    assert {k[:2] for k in got} <= {(0, 1), (1, 0), (2, 1), (0, 9)} and all(v == (0, 0) for k, v in got.items() if k[1] == 9)
+    ks = [0, 25, 31, 60, 99, 100, 149]
+    each = spark.createDataFrame([(a, b, poses[k].tolist(), k) for a, b in ((0, 1), (1, 0), (2, 1)) for k in ks], "src long, dst long, m array<double>, k int")
+    met = 0
+    for k in ks:
+        one = {(r.src, r.dst): (r.score, r.occ) for r in rows(P.posed_scores(image, each.where(F.col("k") == k), M.SMALL))}
+        met += len(one)
+        assert {p: got[(*p, k)] for p in one} == one
+    assert met > 15
 
 
 def test_trees_and_words(spark, sf):
