@@ -100,7 +100,7 @@ def fuse(counts: DataFrame, least: float, accepted: Callable[[DataFrame, DataFra
         moved = merges.select(F.col("other").alias("model"), F.col("model").alias("into"))
         changed = merges.select("model").unionByName(moved.select("model"))
         lost = best.join(changed.withColumnRenamed("model", "other"), "other", "left_semi").select("model")
-        work = materialize(merges.select("model").unionByName(lost).join(moved, "model", "left_anti").distinct(), "work")
+        work = merges.select("model").unionByName(lost).join(moved, "model", "left_anti").distinct()
         best = best.join(moved, "model", "left_anti")
         follow = lambda df: df.join(moved, "model", "left").withColumn("model", F.coalesce("into", "model")).drop("into")
         label = materialize(follow(label).select("member", "model"), "labels")

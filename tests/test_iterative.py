@@ -242,10 +242,17 @@ def test_m13_poses_decide(spark, sf):
     kept = M.agreeing(spark, sf)(pairs, label).count()
     assert 0 < kept < pairs.count()  # both answers occur
     alone = fused(counts, M.LEAST)
-    got = {r.member: r.model for r in rows(catalog.QUERIES["m13_fuse_models"](spark, sf))}
+    got = {r.member: r.model for r in rows(U.fuse(M.model_counts(spark, sf), M.LEAST, M.agreeing(spark, sf)))}
     assert got.keys() == alone.keys() and all(got[m] <= m for m in got)
 
 
+def test_m13_fuses_until_nothing_changes(spark, sf):
+    counts = collections.defaultdict(collections.Counter)
+    for r in rows(M.model_counts(spark, sf)):
+        counts[r.model][r.bin] += r.n
+    assert {r.member: r.model for r in rows(catalog.QUERIES["m13_fuse_models"](spark, sf))} == fused(counts, M.LEAST)
+
+
 def pixels_of(spark, seed, n):
     rng = np.random.default_rng(seed)
     seen = {(f, int(rng.integers(0, 64)), int(rng.integers(0, 48))) for f in range(3) for _ in range(n)}
