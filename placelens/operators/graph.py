@@ -28,11 +28,12 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     now = materialize(pair.where("not a and not b and u <> v").select("u", "v").distinct(), "edges")
     before = _state(now)
     for _ in range(MOST_ROUNDS):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # one exchange each serves the minimum and the join; no side is broadcast, as its files tell little of its size
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))).repartition("u")
         near = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(near, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(near.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).repartition("u")
         root = large.groupBy("u").agg(F.min("v").alias("m"))
-        down = large.join(root, "u")
+        down = large.join(root.hint("merge"), "u")
         small = down.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(root.select("u", F.col("m").alias("v"))).distinct()
         last, now = now, materialize(small, "edges")
         discard(last)
@@ -103,13 +104,13 @@ def euclidean_clusters(points: DataFrame, tolerance: float, least: int, most: in
     fine = {f"f{k}": cell(k, edge) for k in "xyz"}
     placed = points.select(*by, "pt_idx", "x", "y", "z").withColumns(fine)
     node = placed.groupBy(*by, "fx", "fy", "fz").agg(F.min("pt_idx").alias("node"))
-    placed = materialize(placed.join(node, [*by, "fx", "fy", "fz"]).select(*by, "pt_idx", "x", "y", "z", "node"), "placed")
+    placed = materialize(placed.join(node.hint("merge"), [*by, "fx", "fy", "fz"]).select(*by, "pt_idx", "x", "y", "z", "node"), "placed")
     links = pairs_within(placed, placed, tolerance, by).where("node < b_node").select(*by, "node", F.col("b_node").alias("other")).distinct()
     keyed = links.select(F.struct(*by, F.col("node").alias("n")).alias("a"), F.struct(*by, F.col("other").alias("n")).alias("b"))
     label = components(keyed, "a", "b").select(*(F.col(f"node.{k}").alias(k) for k in by), F.col("node.n").alias("node"), F.col("component.n").alias("c"))
-    out = placed.join(label, [*by, "node"], "left").select(*by, "pt_idx", F.coalesce("c", "node").alias("cluster"))
+    out = placed.join(label.hint("merge"), [*by, "node"], "left").select(*by, "pt_idx", F.coalesce("c", "node").alias("cluster"))
     size = out.groupBy(*by, "cluster").agg(F.count("*").alias("size")).where(F.col("size").between(least, most))
-    return out.join(size, [*by, "cluster"]).select(*by, "pt_idx", "cluster", "size")
+    return out.join(size.hint("merge"), [*by, "cluster"]).select(*by, "pt_idx", "cluster", "size")
 
 
 def reject_planar(clusters: DataFrame, by: list[str], distance: float, share: float, hypotheses: int) -> DataFrame:

@@ -25,29 +25,38 @@ def with_cells(df: DataFrame, size: float, neighbours: bool = False, prefix: str
     return df
 
 
+def in_reach(df: DataFrame, size: float, radius: float, prefix: str = "c") -> DataFrame:
+    """A row for each cell that the ball around a point may touch: with cells of twice the radius 2 to 8 of them, mostly."""
+    pad = radius * 1.000001  # more than rounding takes away; a cell too many brings no pair twice
+    for k in AXES:
+        df = df.withColumn(f"{prefix}{k}", F.explode(F.sequence(cell(F.col(k) - pad, size), cell(F.col(k) + pad, size))))
+    return df
+
+
 def pairs_within(a: DataFrame, b: DataFrame, radius: float, by: list[str], strict: bool = False) -> DataFrame:
     """(a.*, b.* prefixed b_, d2) of points with equal ``by`` at most (strictly: less than) a radius apart.
 
-    The b side, which should be the smaller one, is repeated in the 27 cells around
-    each point. Cells join by hash, so no side is compared with all of the other.
+    The b side, which should be the smaller one, is repeated in the cells in reach of
+    each point. Cells join by shuffle, so no side is compared with all of the other, and
+    none is broadcast: the planner takes the repeated side for as small as its files.
     """
-    left = with_cells(a, radius).alias("a")
-    right = with_cells(b, radius, neighbours=True).alias("b")
+    left = with_cells(a, 2 * radius).alias("a")
+    right = in_reach(b, 2 * radius, radius).alias("b")
     on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*by, "cx", "cy", "cz"]]
     d2 = squared("a", "b")
     hit = d2 < radius * radius if strict else d2 <= radius * radius
-    joined = left.join(right, on).where(hit)
+    joined = left.join(right.hint("merge"), on).where(hit)
     return joined.select(*[F.col(f"a.{k}") for k in a.columns], *[F.col(f"b.{k}").alias(f"b_{k}") for k in b.columns if k not in by], d2.alias("d2"))
 
 
 def _met(a: DataFrame, b: DataFrame, radius: float, by: list[str], strict: bool, how: str) -> DataFrame:
-    """Rows of ``a`` with (semi) or without (anti) a point of ``b`` in reach: a point has one cell, ``b`` the 27 around
+    """Rows of ``a`` with (semi) or without (anti) a point of ``b`` in reach: a point has one cell, ``b`` those in reach of
     each of its points, so that one join decides, and the first hit ends a point's search."""
-    left = with_cells(a, radius, prefix="_c").alias("a")
-    right = with_cells(b.select(*by, *AXES), radius, neighbours=True, prefix="_c").alias("b")
+    left = with_cells(a, 2 * radius, prefix="_c").alias("a")
+    right = in_reach(b.select(*by, *AXES), 2 * radius, radius, prefix="_c").alias("b")
     on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*by, "_cx", "_cy", "_cz"]]
     d2 = squared("a", "b")
-    return left.join(right, [*on, d2 < radius * radius if strict else d2 <= radius * radius], how).select(*a.columns)
+    return left.join(right.hint("merge"), [*on, d2 < radius * radius if strict else d2 <= radius * radius], how).select(*a.columns)
 
 
 def cloud_difference(a: DataFrame, b: DataFrame, squared_threshold: float, by: list[str]) -> DataFrame:
@@ -129,4 +138,4 @@ def occlusion(removed: DataFrame, added: DataFrame, by: list[str], bins: int) ->
     """
     far = added.where("tbin is not null").groupBy(*by, "tbin", "pbin").agg(F.max(F.struct("range", "pt_idx")).alias("m")).select(*by, "tbin", "pbin", F.col("m.range").alias("other"))
     side = F.when(F.col("range") < F.col("other"), "front").otherwise("behind")
-    return removed.join(far, [*by, "tbin", "pbin"]).withColumn("side", side)
+    return removed.join(far.hint("merge"), [*by, "tbin", "pbin"]).withColumn("side", side)

@@ -51,8 +51,8 @@ def g2(spark, d):
 @query("g3_dynamic_clusters")
 def g3(spark, d):
     """New points of view 0 against view 1, clustered; far and planar clusters go."""
-    new = S.cloud_difference(cloud(spark, d, 0), cloud(spark, d, 1), R2, BY)
-    found = materialize(N.euclidean_clusters(new, R, 3, 10_000, BY).join(new.select("obs_id", "pt_idx", "x", "y", "z"), ["obs_id", "pt_idx"]), "clusters")
+    new = materialize(S.cloud_difference(cloud(spark, d, 0), cloud(spark, d, 1), R2, BY), "new")
+    found = materialize(N.euclidean_clusters(new, R, 3, 10_000, BY).join(new.select("obs_id", "pt_idx", "x", "y", "z").hint("merge"), ["obs_id", "pt_idx"]), "clusters")
     near = S.centroid(found, ["obs_id", "cluster"]).where("sqrt(mx * mx + my * my + mz * mz) <= 7.0013").select("obs_id", "cluster")
     kept = found.join(near, ["obs_id", "cluster"], "left_semi")
     solid = N.reject_planar(kept, ["obs_id", "cluster"], 0.02, 0.9, 10)
