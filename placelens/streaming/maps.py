@@ -165,7 +165,7 @@ def updated(old: DataFrame, sweep: DataFrame, squared: float, seen: Callable[[Da
     by, key = ["place"], ["place", "sweep_id", "pt_idx"]
     gone = S.cloud_difference(old, sweep, squared, by)
     front = S.occlusion(seen(gone), seen(sweep), by, bins).where("side = 'front'").select(*key)
-    return old.join(front, key, "left_anti").unionByName(S.cloud_difference(sweep, old, squared, by))
+    return old.join(front.hint("merge"), key, "left_anti").unionByName(S.cloud_difference(sweep, old, squared, by))
 
 
 class MapUpdates:

@@ -35,3 +35,13 @@ def test_clusters_broadcast_no_points(spark, tmp_path):
     p = spark.read.parquet(str(tmp_path / "p"))
     for df in (S.pairs_within(p, p, 0.47, ["g"]), S.cloud_difference(p, p, 0.2209, ["g"]), graph.euclidean_clusters(p, 0.47, 1, 1000, ["g"])):
         assert "Broadcast" not in plan(df)
+
+
+def test_map_update_broadcasts_no_points(spark, sf, tmp_path):
+    from placelens.plans.projections import binned
+    from placelens.streaming import maps
+
+    _, points = cloud(spark, 200, 4)
+    points.select(F.col("g").cast("string").alias("place"), F.col("i").alias("sweep_id"), F.col("i").alias("pt_idx"), "x", "y", "z").write.parquet(str(tmp_path / "m"))
+    p = spark.read.parquet(str(tmp_path / "m"))
+    assert "BroadcastHashJoin" not in plan(maps.updated(p, p, 0.2209, binned))
