@@ -56,10 +56,13 @@ def j5(spark, d):
     """By waypoint; rooms without one by the distance of their centroids. The first match in catalog order."""
     o = V.observations(spark, d).withColumn("id", F.when(~F.col("waypoint").isin("WP3", "WP7"), F.col("waypoint"))).select("obs_id", "id", "start_ts", "run_no", *(F.col(f"c{k}").alias(k) for k in "xyz"))
     rooms, meta = o.where("run_no = 1"), o.where("run_no = 0")
-    named = rooms.join(meta.select("id", F.col("start_ts").alias("t"), F.col("obs_id").alias("m")), "id").select("obs_id", "t", "m")
-    placed = S.pairs_within(rooms.where("id is null").select("obs_id", "x", "y", "z"), meta.select("obs_id", "start_ts", "x", "y", "z"), 1.53, [], strict=True)
-    both = named.unionByName(placed.select("obs_id", F.col("b_start_ts").alias("t"), F.col("b_obs_id").alias("m")))
-    return both.groupBy("obs_id").agg(F.min(F.struct("t", "m")).alias("m")).select("obs_id", F.col("m.m").alias("metaroom"))
+    first, spot = F.min(F.struct("start_ts", "obs_id")).alias("m"), ["x", "y", "z"]
+    named = rooms.join(meta.groupBy("id").agg(first), "id").select("obs_id", "m")
+    # rooms and maps at one spot meet once: only the first map of a spot counts
+    unnamed = rooms.where("id is null")
+    met = S.pairs_within(unnamed.select(*spot).distinct(), meta.groupBy(*spot).agg(first), 1.53, [], strict=True).groupBy(*spot).agg(F.min("b_m").alias("m"))
+    both = named.unionByName(unnamed.join(met, spot).select("obs_id", "m"))
+    return both.groupBy("obs_id").agg(F.min("m").alias("m")).select("obs_id", F.col("m.obs_id").alias("metaroom"))
 
 
 _SEEN = _BINS.replace("select obs_id, pt_idx, r,", "select obs_id, view_no, pt_idx, r,").replace("(select obs_id, pt_idx, x -", "(select obs_id, view_no, pt_idx, x -")

@@ -129,7 +129,8 @@ def p12(spark, d):
 def p13(spark, d):
     w = Window.partitionBy("obs_id")
     rank = F.row_number().over(w.orderBy(F.abs(F.col("x") - 2.52), "pt_idx"))
-    return V.points(spark, d).select(*KEY, F.when(rank <= F.floor(F.count("*").over(w) * 0.7), 1.0).otherwise(0.0).alias("weight"))
+    # seven tenths in whole numbers: 0.7 times a count may fall short of its whole
+    return V.points(spark, d).withColumn("n", F.count("*").over(w)).select(*KEY, F.when(rank <= F.expr("7 * n div 10"), 1.0).otherwise(0.0).alias("weight"))
 
 
 _ANGLES = """select event_id, p as position, case when p < 51 then -160 + (case when (p // 17) % 2 = 0 then p % 17 else 16 - p % 17 end) * 20 end as pan, case when p < 51 then -30 + (p // 17) * 30 end as tilt from (select event_id, event_id % 60 as p from events)"""

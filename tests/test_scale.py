@@ -45,3 +45,47 @@ def test_map_update_broadcasts_no_points(spark, sf, tmp_path):
     points.select(F.col("g").cast("string").alias("place"), F.col("i").alias("sweep_id"), F.col("i").alias("pt_idx"), "x", "y", "z").write.parquet(str(tmp_path / "m"))
     p = spark.read.parquet(str(tmp_path / "m"))
     assert "BroadcastHashJoin" not in plan(maps.updated(p, p, 0.2209, binned))
+
+
+def rows_of(spark, sf, path, table):
+    """A folder of the given tables in which ``table`` is replaced."""
+    import os
+
+    for f in os.listdir(sf):
+        if f != f"{table}.parquet":
+            os.symlink(f"{sf}/{f}", f"{path}/{f}")
+    return spark.read.parquet(f"{sf}/{table}.parquet")
+
+
+def test_trimmed_weights_count_in_whole_numbers(spark, sf, tmp_path):
+    from placelens.plans import catalog
+
+    short = next(n for n in range(10, 10_000, 10) if int(n * 0.7) != n * 7 // 10)
+    one = rows_of(spark, sf, tmp_path, "lineitem").limit(1).crossJoin(spark.range(short))
+    one.withColumn("l_orderkey", F.col("id").cast("long")).drop("id").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert catalog.QUERIES["p13_trimmed_weight"](spark, str(tmp_path)).agg(F.sum("weight")).first()[0] == short * 7 // 10
+
+
+def test_rooms_of_a_spot_meet_once(spark, sf, tmp_path, monkeypatch):
+    from placelens.plans import catalog, joins
+
+    o = rows_of(spark, sf, tmp_path, "orders")
+    rooms = o.limit(1).crossJoin(spark.range(400)).withColumn("o_orderkey", F.col("id") * 70).withColumn("o_custkey", F.when(F.col("id") % 2 == 0, 183).otherwise(63).cast(o.schema["o_custkey"].dataType))
+    rooms.drop("id").write.parquet(f"{tmp_path}/orders.parquet")
+    pairs, met = [], joins.S.pairs_within
+    monkeypatch.setattr(joins.S, "pairs_within", lambda *a, **k: (out := met(*a, **k), pairs.append(out.count()))[0])
+    got = catalog.QUERIES["j5_match_place"](spark, str(tmp_path)).collect()
+    v = joins.V.observations(spark, str(tmp_path))
+    assert len(got) == v.where("run_no = 1").count() and pairs == [1]
+
+
+def test_eigenvalues_against_numpy(spark):
+    """a13: its largest eigenvalues stay under the bound in frames that its SQL calls over it (sign of the product of the three outer terms)."""
+    import numpy as np
+
+    from placelens.plans import aggregates as A
+
+    m = [[284.0, 19.0, 17.0], [19.0, 864.0, -17.0], [17.0, -17.0, 441.0]]
+    row = spark.createDataFrame([(m[0][0], m[0][1], m[0][2], m[1][1], m[1][2], m[2][2])], "xx double, xy double, xz double, yy double, yz double, zz double")
+    got = row.select(*A.symmetric_eigenvalues(*(F.col(k) for k in row.columns))).first()
+    assert np.allclose(sorted(got), np.linalg.eigvalsh(np.array(m))) and max(got) < A.A13_MOST
