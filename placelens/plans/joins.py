@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from placelens.functions import geometry as G
-from placelens.operators import spatial as S, tables as T, vocabulary as B
+from placelens.operators import histograms as H, spatial as S, tables as T, vocabulary as B
 from placelens.plans.projections import POSE, SMALL_CAM, binned, in_frustum, _BINS, _FRUSTUM
 from placelens.plans.registry import q4, query, r4
+from placelens.scratch import materialize
 from placelens.sources import views as V
 
 R = 0.47
@@ -178,9 +179,8 @@ def histograms(spark, d):
 
 @query("j18_histogram_search", V.sql(f", {_HIST}, s as (select a.obs_id, b.obs_id as other, {q4('sum(least(a.w, b.w))')} as score from h a join h b using (bin) where a.obs_id <> b.obs_id and a.obs_id % 20 = 0 group by all) select obs_id, other, score, rank from (select *, row_number() over (partition by obs_id order by score desc, other) as rank from s) where rank <= 5", "points").replace("\n, ", ",\n"))
 def j18(spark, d):
-    h = histograms(spark, d)
-    q = h.where("obs_id % 20 = 0")
-    s = q.join(h.select(F.col("obs_id").alias("other"), "bin", F.col("w").alias("v")), "bin").where("obs_id <> other").groupBy("obs_id", "other").agg(r4(F.sum(F.least("w", "v"))).alias("score"))
+    h = materialize(histograms(spark, d).withColumnRenamed("obs_id", "id"), "histograms")
+    s = H.overlaps(h.where("id % 20 = 0"), h, 4, most=5, tilt=1e-9).withColumnRenamed("id", "obs_id")
     return T.top(s, ["obs_id"], 5, F.desc("score"), F.asc("other")).select("obs_id", "other", "score", F.col("rank").cast("long").alias("rank"))
 
 

@@ -89,3 +89,31 @@ def test_eigenvalues_against_numpy(spark):
     row = spark.createDataFrame([(m[0][0], m[0][1], m[0][2], m[1][1], m[1][2], m[2][2])], "xx double, xy double, xz double, yy double, yz double, zz double")
     got = row.select(*A.symmetric_eigenvalues(*(F.col(k) for k in row.columns))).first()
     assert np.allclose(sorted(got), np.linalg.eigvalsh(np.array(m))) and max(got) < A.A13_MOST
+
+
+@pytest.mark.parametrize("block", [16, 2048])
+def test_histograms_meet_in_blocks(spark, block):
+    from placelens.operators import histograms as H
+
+    rng = random.Random(5)
+    rows = [(i, b, rng.randint(1, 4) / 8) for i in range(90) for b in rng.sample(range(40), rng.randint(1, 6))]
+    h = spark.createDataFrame(rows, "id long, bin int, w double")
+    w = {}
+    for i, b, v in rows:
+        w.setdefault(i, {})[b] = v
+    score = {(i, j): sum(min(w[i][b], w[j][b]) for b in w[i] if b in w[j]) for i in w for j in w if i != j and set(w[i]) & set(w[j])}
+    told = lambda df: {(r.id, r.other): r.score for r in df.collect()}
+    assert told(H.overlaps(h, h, 6, block=block)) == score
+    over = {p: s for p, s in score.items() if s > 0.25}
+    assert told(H.overlaps(h, h, 6, 0.25, block=block)) == over
+    best = told(H.overlaps(h.where("id % 3 = 0"), h, 6, 0.25, most=2, both=True, block=block))
+    assert best.items() <= over.items()
+    for i in w:
+        ends = sorted((-s, j) for (q, j), s in over.items() if q == i) if i % 3 == 0 else sorted((-s, q) for (q, j), s in over.items() if j == i and q % 3 == 0)
+        assert {(i, j) if i % 3 == 0 else (j, i) for _, j in ends[:2]} <= best.keys()
+
+
+def test_histogram_search_shuffles_no_pairs(spark, sf):
+    from placelens.plans import catalog
+
+    assert "FlatMapCoGroups" in plan(catalog.QUERIES["j18_histogram_search"](spark, sf))
