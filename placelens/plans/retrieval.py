@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from placelens.operators import tables as T, vocabulary as B
+from placelens.operators import histograms as H, tables as T, vocabulary as B
 from placelens.plans.graphs import _LABEL, labels, rec
 from placelens.plans.joins import _HIST, histograms
 from placelens.plans.registry import q4, query, r4
@@ -295,8 +295,8 @@ def search(name: str, store: DataFrame, queries: DataFrame, n: int) -> DataFrame
     v; of the first store the smallest ids win.
     """
     if name == "histogram":
-        h = store.select(F.col("obs_id").alias("other"), "bin", F.col("w").alias("v"))
-        s = queries.select(F.col("obs_id").alias("query_id"), "bin", "w").join(h, "bin").groupBy("query_id", "other").agg((-F.sum(F.least("w", "v"))).alias("score"))
+        named = lambda h: h.select(F.col("obs_id").alias("id"), "bin", "w")
+        s = H.overlaps(named(queries), named(store), 6, most=n).select(F.col("id").alias("query_id"), "other", (-F.col("score")).alias("score"))
     elif name == "vocabulary":
         s = B.score(queries, store).withColumnsRenamed({"source_id": "other"})
     elif name == "first":
