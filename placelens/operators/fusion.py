@@ -4,39 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from placelens.operators import tables as T
+from placelens.operators import histograms as H
 from placelens.scratch import discard, materialize
 
 
-def bin_order(counts: DataFrame) -> DataFrame:
-    """(bin, spread): in how many models each bin occurs."""
-    return counts.groupBy("bin").agg(F.countDistinct("model").alias("spread"))
-
-
-def weighted(counts: DataFrame, order: DataFrame) -> DataFrame:
-    """(model, bin, w, rest): a bin's share of its model, and the share of it and all bins that more models have."""
+def weighted(counts: DataFrame) -> DataFrame:
+    """(model, bin, w): a bin's share of its model."""
     size = counts.groupBy("model").agg(F.sum("n").alias("total"))
-    h = counts.join(size, "model").join(order, "bin").select("model", "bin", "spread", (F.col("n") / F.col("total")).alias("w"))
-    common_first = Window.partitionBy("model").orderBy(F.desc("spread"), F.desc("bin"))
-    return h.withColumn("rest", F.sum("w").over(common_first)).select("model", "bin", "w", "rest")
+    return counts.join(size, "model").select("model", "bin", (F.col("n") / F.col("total")).alias("w"))
 
 
-def similar(h: DataFrame, least: float, work: DataFrame | None = None) -> DataFrame:
+def similar(h: DataFrame, least: float, work: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """(model, other, score): for the models of ``work`` (all without it) those whose histograms share more than ``least``.
 
-    The rarest bin that two models share bounds their score by what either holds from
-    there on, so that models meet over their rarer bins only: the commonest, which
-    together hold no more than the threshold, bring no pair. A pair is then scored over
-    all bins, once.
+    With ``most`` at least the best so many of each model and of each other; blocks of
+    models are compared as a whole, so that no pairs are shuffled but those told.
     """
-    rare = h.where(F.col("rest") > least - 1e-6).select("model", "bin")
-    mine = rare.join(work, "model", "left_semi") if work is not None else rare
-    met = mine.join(rare.withColumnRenamed("model", "other"), "bin").where("model <> other").select("model", "other").distinct()
-    own = met.join(h.select("model", "bin", "w"), "model")
-    both = own.join(h.select(F.col("model").alias("other"), "bin", F.col("w").alias("v")), ["other", "bin"])
-    return both.groupBy("model", "other").agg(F.round(F.sum(F.least("w", "v")), 6).alias("score")).where(F.col("score") > least)
+    named = h.withColumnRenamed("model", "id")
+    mine = named.join(work.select(F.col("model").alias("id")), "id", "left_semi") if work is not None else named
+    return H.overlaps(mine, named, 6, least, most, both=work is not None).withColumnRenamed("id", "model")
 
 
 def best_of(pairs: DataFrame) -> DataFrame:
@@ -47,8 +35,9 @@ def best_of(pairs: DataFrame) -> DataFrame:
 
 def similar_models(counts: DataFrame, nearest: int, least: float) -> DataFrame:
     """(model, other): for each model the best of its ``nearest`` candidates, if their histograms share more than ``least``."""
-    h = materialize(weighted(counts, bin_order(counts)), "histograms")
-    return best_of(T.top(similar(h, least), ["model"], nearest, F.desc("score"), F.asc("other"))).select("model", "other")
+    h = materialize(weighted(counts), "histograms")
+    # the best of the nearest is the best of all
+    return best_of(similar(h, least, most=min(nearest, 1))).select("model", "other")
 
 
 def mutual(best: DataFrame) -> DataFrame:
@@ -77,7 +66,6 @@ def fuse(counts: DataFrame, least: float, accepted: Callable[[DataFrame, DataFra
     the number of searches of each round. Every round is written to the shared folder.
     """
     now = materialize(counts.select("model", "bin", "n"), "counts")
-    order = materialize(bin_order(now), "bins")
     label = materialize(now.select(F.col("model").alias("member"), "model").distinct(), "labels")
     work, best = label.select("model").distinct(), None
     while True:
@@ -85,9 +73,9 @@ def fuse(counts: DataFrame, least: float, accepted: Callable[[DataFrame, DataFra
             work = label.select("model").distinct()
         if searched is not None:
             searched.append(work.count())
-        h = materialize(weighted(now, order), "histograms")
+        h = materialize(weighted(now), "histograms")
         ends = F.least("model", "other").alias("model"), F.greatest("model", "other").alias("other")
-        found = materialize(similar(h, least, work).select(*ends, "score").distinct(), "found")
+        found = materialize(similar(h, least, work, None if accepted else 1).select(*ends, "score").distinct(), "found")
         if accepted:
             found = materialize(found.join(accepted(found.select("model", "other"), label), ["model", "other"], "left_semi"), "accepted")
         pairs = found.unionByName(found.select(F.col("other").alias("model"), F.col("model").alias("other"), "score"))
