@@ -273,11 +273,15 @@ _VOX = f"vox as (select distinct obs_id, {VOXEL.format('0.53')} from points)"
 def a24(spark, d):
     """Voxels with an occupied one among their 26 neighbours."""
     v = S.voxels(V.points(spark, d), 0.53, BY)
+    # blocks of four voxels a side: a voxel reaches 1 to 8 of them, its neighbours are sought in its own
+    block = lambda e: F.floor(e / 4).cast("long")
     near = v.select("obs_id", *(F.col(f"c{k}").alias(f"o{k}") for k in "xyz"))
     for k in "xyz":
-        near = near.withColumn(f"c{k}", F.explode(F.sequence(F.col(f"o{k}") - 1, F.col(f"o{k}") + 1)))
-    near = near.where("cx <> ox or cy <> oy or cz <> oz").select("obs_id", "cx", "cy", "cz").distinct()
-    return v.join(near, ["obs_id", "cx", "cy", "cz"], "left_semi")
+        near = near.withColumn(f"b{k}", F.explode(F.sequence(block(F.col(f"o{k}") - 1), block(F.col(f"o{k}") + 1))))
+    placed = v.withColumns({f"b{k}": block(F.col(f"c{k}")) for k in "xyz"}).alias("v")
+    on = [F.col(f"v.{k}") == F.col(f"n.{k}") for k in ("obs_id", "bx", "by", "bz")]
+    beside = F.expr("abs(cx - ox) <= 1 and abs(cy - oy) <= 1 and abs(cz - oz) <= 1 and (cx <> ox or cy <> oy or cz <> oz)")
+    return placed.join(near.alias("n").hint("merge"), [*on, beside], "left_semi").drop("bx", "by", "bz")
 
 
 @query("a25_unobserved_cells", V.sql(f", {_VOX} select obs_id, 10 * 19 * 4 - count(*) as unobserved from vox where cx between 0 and 9 and cy between 0 and 18 and cz between 0 and 3 group by 1", "points").replace("\n, ", ",\n"))

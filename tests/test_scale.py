@@ -117,3 +117,10 @@ def test_histogram_search_shuffles_no_pairs(spark, sf):
     from placelens.plans import catalog
 
     assert "FlatMapCoGroups" in plan(catalog.QUERIES["j18_histogram_search"](spark, sf))
+
+
+def test_speckle_filter_aggregates_no_copies(spark, sf):
+    from placelens.plans import catalog
+
+    # the distinct voxels of both sides only, none of the copies around them
+    assert plan(catalog.QUERIES["a24_speckle_filter"](spark, sf)).count("HashAggregate") <= 4
