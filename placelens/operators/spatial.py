@@ -7,6 +7,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from placelens.functions.geometry import cell
 
 AXES = ("x", "y", "z")
+#: Columns of a point's cell; a point has one, in which it meets all points in reach.
+CELL = ("cx", "cy", "cz")
+#: Edge of a cell in radii: the smaller, the more copies of a point are shuffled (8 at 2, 4.6 at 3), the larger, the more pairs are compared.
+EDGE = 3
 
 
 def squared(a: str, b: str) -> Column:
@@ -26,34 +30,37 @@ def with_cells(df: DataFrame, size: float, neighbours: bool = False, prefix: str
 
 
 def in_reach(df: DataFrame, size: float, radius: float, prefix: str = "c") -> DataFrame:
-    """A row for each cell that the ball around a point may touch: with cells of twice the radius 2 to 8 of them, mostly."""
+    """A row for each cell that the ball around a point may touch: with cells wider than the ball up to 8 of them."""
     pad = radius * 1.000001  # more than rounding takes away; a cell too many brings no pair twice
     for k in AXES:
         df = df.withColumn(f"{prefix}{k}", F.explode(F.sequence(cell(F.col(k) - pad, size), cell(F.col(k) + pad, size))))
     return df
 
 
-def pairs_within(a: DataFrame, b: DataFrame, radius: float, by: list[str], strict: bool = False) -> DataFrame:
+def pairs_within(a: DataFrame, b: DataFrame, radius: float, by: list[str], strict: bool = False, cells: bool = False) -> DataFrame:
     """(a.*, b.* prefixed b_, d2) of points with equal ``by`` at most (strictly: less than) a radius apart.
 
+    With ``cells`` also the cell of the a point (CELL). All pairs of an a point are in the
+    task of its cell, so what is grouped by its key and the cell is not shuffled again.
+
     The b side, which should be the smaller one, is repeated in the cells in reach of
     each point. Cells join by shuffle, so no side is compared with all of the other, and
     none is broadcast: the planner takes the repeated side for as small as its files.
     """
-    left = with_cells(a, 2 * radius).alias("a")
-    right = in_reach(b, 2 * radius, radius).alias("b")
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*by, "cx", "cy", "cz"]]
+    left = with_cells(a, EDGE * radius).alias("a")
+    right = in_reach(b, EDGE * radius, radius).alias("b")
+    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*by, *CELL]]
     d2 = squared("a", "b")
     hit = d2 < radius * radius if strict else d2 <= radius * radius
     joined = left.join(right.hint("merge"), on).where(hit)
-    return joined.select(*[F.col(f"a.{k}") for k in a.columns], *[F.col(f"b.{k}").alias(f"b_{k}") for k in b.columns if k not in by], d2.alias("d2"))
+    return joined.select(*[F.col(f"a.{k}") for k in [*a.columns, *(CELL if cells else ())]], *[F.col(f"b.{k}").alias(f"b_{k}") for k in b.columns if k not in by], d2.alias("d2"))
 
 
 def _met(a: DataFrame, b: DataFrame, radius: float, by: list[str], strict: bool, how: str) -> DataFrame:
     """Rows of ``a`` with (semi) or without (anti) a point of ``b`` in reach: a point has one cell, ``b`` those in reach of
     each of its points, so that one join decides, and the first hit ends a point's search."""
-    left = with_cells(a, 2 * radius, prefix="_c").alias("a")
-    right = in_reach(b.select(*by, *AXES), 2 * radius, radius, prefix="_c").alias("b")
+    left = with_cells(a, EDGE * radius, prefix="_c").alias("a")
+    right = in_reach(b.select(*by, *AXES), EDGE * radius, radius, prefix="_c").alias("b")
     on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*by, "_cx", "_cy", "_cz"]]
     d2 = squared("a", "b")
     return left.join(right.hint("merge"), [*on, d2 < radius * radius if strict else d2 <= radius * radius], how).select(*a.columns)
@@ -70,16 +77,17 @@ def cloud_intersection(a: DataFrame, b: DataFrame, squared_threshold: float, by:
 
 
 def nearest(a: DataFrame, b: DataFrame, radius: float, by: list[str], key: str = "pt_idx", attributes: tuple[str, ...] = ()) -> DataFrame:
-    """(by, key, b_key, d2, b's attributes): the nearest b point within the radius; ties by b's key."""
-    pairs = pairs_within(a, b, radius, by)
+    """(by, key, b_key, d2, b's attributes): the nearest b point within the radius; ties by b's key. A key names one point of ``a``."""
+    pairs = pairs_within(a.select(*by, key, *AXES), b.select(*by, key, *AXES, *attributes), radius, by, cells=True)
     best = F.min(F.struct("d2", f"b_{key}", *[f"b_{k}" for k in attributes])).alias("m")
-    return pairs.groupBy(*by, key).agg(best).select(*by, key, "m.*")
+    return pairs.groupBy(*by, *CELL, key).agg(best).select(*by, key, "m.*")
 
 
 def radius_count(a: DataFrame, radius: float, least: int, by: list[str], key: str = "pt_idx") -> DataFrame:
     """Points with at least ``least`` points (themselves included) within the radius, and their number."""
-    n = pairs_within(a, a, radius, by).groupBy(*by, key).agg(F.count("*").alias("n_near")).where(F.col("n_near") >= least)
-    return a.join(n, [*by, key])
+    p = a.select(*by, key, *AXES)
+    n = pairs_within(p, p, radius, by, cells=True).groupBy(*by, *CELL, key).agg(F.count("*").alias("n_near")).where(F.col("n_near") >= least)
+    return a.join(n.drop(*CELL), [*by, key])
 
 
 def transfer_once(near: DataFrame, by: list[str], key: str = "pt_idx") -> DataFrame:

@@ -83,9 +83,11 @@ from (select *, {_NORMAL} from points) a join (select *, {_NORMAL} from points)
 qualify row_number() over (partition by a.obs_id, a.view_no, a.pt_idx, b.view_no order by {distance('a', 'b')}, b.pt_idx) = 1) group by all""", "points"))
 def g5(spark, d):
     """Mean convexity over the points of a segment and their nearest ones in another; pairs with almost equal normals are flat."""
-    p = V.points(spark, d).select("obs_id", "view_no", "pt_idx", "x", "y", "z", (F.col("pt_idx") % 3 - 1).cast("double").alias("nx"), (F.col("pt_idx") % 5 - 2).cast("double").alias("ny"))
-    near = S.pairs_within(p, p, R, BY).where("view_no < b_view_no").groupBy("obs_id", F.col("view_no").alias("i"), F.col("b_view_no").alias("j"), "pt_idx")
-    pairs = near.agg(F.min(F.struct("d2", "b_pt_idx", "x", "y", "nx", "ny", "b_x", "b_y", "b_nx", "b_ny")).alias("m")).select("obs_id", "i", "j", "m.*")
+    p = V.points(spark, d).select("obs_id", "view_no", "pt_idx", "x", "y", "z")
+    near = S.pairs_within(p, p, R, BY, cells=True).where("view_no < b_view_no").groupBy("obs_id", *S.CELL, F.col("view_no").alias("i"), F.col("b_view_no").alias("j"), "pt_idx")
+    pairs = near.agg(F.min(F.struct("d2", "b_pt_idx", "x", "y", "b_x", "b_y")).alias("m")).select("obs_id", "i", "j", "pt_idx", "m.*")
+    normal = lambda k: {f"{k}nx": (F.col(f"{k}pt_idx") % 3 - 1).cast("double"), f"{k}ny": (F.col(f"{k}pt_idx") % 5 - 2).cast("double")}
+    pairs = pairs.withColumns(normal("") | normal("b_"))
     cosine = F.expr("(nx * b_nx + ny * b_ny + 1) / sqrt((nx * nx + ny * ny + 1) * (b_nx * b_nx + b_ny * b_ny + 1))")
     c = -((F.col("b_x") - F.col("x")) * (F.col("b_nx") - F.col("nx")) + (F.col("b_y") - F.col("y")) * (F.col("b_ny") - F.col("ny")))
     return pairs.groupBy("obs_id", "i", "j").agg(r4(F.avg(F.when(cosine > 0.92387953, 0.0).otherwise(c))).alias("convexness"))
