@@ -126,7 +126,8 @@ _COVER = f"""select l.obs_id, l.label, p.view_no, count(distinct l.pt_idx) as hi
 @query("j11_segments_covering", V.sql(f"select obs_id, label, view_no, {q4('hit / n')} as share from ({_COVER}) join (select obs_id, label, count(*) n from label_points group by all) using (obs_id, label) where hit / n > 0.1", "points", "label_points"))
 def j11(spark, d):
     objects, segments = V.label_points(spark, d), V.points(spark, d).select("obs_id", "view_no", "pt_idx", "x", "y", "z")
-    hits = S.pairs_within(objects, segments, R, BY).where("pt_idx <> b_pt_idx").select("obs_id", "label", F.col("b_view_no").alias("view_no"), "pt_idx").distinct()
+    # all hits of an object's point are in its cell, where they are told once
+    hits = S.pairs_within(objects, segments, R, BY, cells=True).where("pt_idx <> b_pt_idx").select("obs_id", *S.CELL, "label", F.col("b_view_no").alias("view_no"), "pt_idx").distinct()
     n = objects.groupBy("obs_id", "label").agg(F.count("*").alias("n"))
     share = hits.groupBy("obs_id", "label", "view_no").agg(F.count("*").alias("hit")).join(n, ["obs_id", "label"]).withColumn("share", F.col("hit") / F.col("n"))
     return share.where("share > 0.1").select("obs_id", "label", "view_no", r4("share").alias("share"))
@@ -192,10 +193,13 @@ from points a join points b on a.obs_id = b.obs_id and a.view_no = 0 and b.view_
 def j19(spark, d):
     """Costs of colour (differing bits) and place; pairs that are each other's best."""
     code = lambda p: F.col(f"{p}r") * 65536 + F.col(f"{p}g") * 256 + F.col(f"{p}b")
-    pairs = S.pairs_within(cloud(spark, d, 0), cloud(spark, d, 1), R, BY)
+    one = lambda view: cloud(spark, d, view).select("obs_id", "pt_idx", "x", "y", "z", "r", "g", "b")
     cost = 0.5 * F.bit_count(code("").bitwiseXOR(code("b_"))) / 24 + 0.5 * F.col("d2")
-    best = lambda k, o: F.row_number().over(Window.partitionBy("obs_id", k).orderBy("cost", o))
-    return pairs.withColumn("cost", cost).withColumn("f", best("pt_idx", "b_pt_idx")).withColumn("g", best("b_pt_idx", "pt_idx")).where("f = 1 and g = 1").select("obs_id", "pt_idx", "b_pt_idx")
+    pairs = S.pairs_within(one(0), one(1), R, BY, cells=True).withColumn("cost", cost)
+    # a point's first choice shows in its cell; of each b point only the best of a task is shuffled
+    first = F.row_number().over(Window.partitionBy("obs_id", *S.CELL, "pt_idx").orderBy("cost", "b_pt_idx")) == 1
+    best = pairs.withColumn("first", first).groupBy("obs_id", "b_pt_idx").agg(F.min(F.struct("cost", "pt_idx", "first")).alias("m"))
+    return best.where("m.first").select("obs_id", "m.pt_idx", "b_pt_idx")
 
 
 #: The given vectors lie farther apart than image features, whose bound is 0.40.
