@@ -41,6 +41,8 @@ SHARPNESS = 8.0
 THRESHOLD = 0.3
 FOLDS = 5
 MEMO = 100_000
+#: Rows that are scaled at once, so that no second table of the fitted rows stands in the driver.
+STRIP = 256
 #: Buckets of each family of terms: words, shapes, pairs of shapes, repeats and sizes.
 FAMILIES = (1024, 256, 512, 32)
 #: Lengths of the families' parts of a text's vector.
@@ -82,11 +84,13 @@ def counts(text: bytes) -> np.ndarray:
 
 def weighted(rows: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Log counts times idf, each family scaled to its weight."""
-    x = np.log1p(rows) * idf
+    x = np.log1p(rows)
+    x *= idf
     at = 0
     for n, weight in zip(FAMILIES, WEIGHTS):
-        part = x[:, at : at + n]
-        part *= weight / np.maximum(np.sqrt((part * part).sum(axis=1, keepdims=True)), 1e-12)
+        for first in range(0, len(x), STRIP):
+            part = x[first : first + STRIP, at : at + n]
+            part *= weight / np.maximum(np.sqrt((part * part).sum(axis=1, keepdims=True)), 1e-12)
         at += n
     return x
 
@@ -159,14 +163,17 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: in
         for batch in batches:
             found = [counts(t) for t in batch.column(1).to_pylist()]
             terms = [np.flatnonzero(x) for x in found]
-            lists = [pa.array([t.tolist() for t in terms], pa.list_(pa.int32())), pa.array([x[t].tolist() for x, t in zip(found, terms)], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), *lists], ["doc_id", "quality", "terms", "counts"])
+            packed = [pa.array([t.astype("<i4").tobytes() for t in terms], pa.binary()), pa.array([x[t].astype("<f8").tobytes() for x, t in zip(found, terms)], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), *packed], ["doc_id", "quality", "terms", "counts"])
 
-    rows = sorted(labelled.mapInArrow(run, "doc_id long, quality int, terms array<int>, counts array<double>").collect(), key=lambda r: (r.doc_id, r.terms, r.counts))
+    # counts come as bytes: as lists of numbers they take several times the table that they are written to
+    rows = sorted(labelled.mapInArrow(run, "doc_id long, quality int, terms binary, counts binary").collect(), key=lambda r: r.doc_id)
     dense = np.zeros((len(rows), sum(FAMILIES)))
     for k, r in enumerate(rows):
-        dense[k, r.terms] = r.counts
-    return Model(dense, [r.quality for r in rows])
+        dense[k, np.frombuffer(r.terms, "<i4")] = np.frombuffer(r.counts, "<f8")
+    marks = [r.quality for r in rows]
+    del rows
+    return Model(dense, marks)
 
 
 def classify(documents: DataFrame, model: Model, threshold: float = THRESHOLD, folds: int = FOLDS) -> DataFrame:

@@ -411,3 +411,18 @@ def test_url_oracle(spark, sf):
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_columns(spark, sf, name):
     assert queries.QUERIES[name](spark, sf).columns[0] in ("doc_id", "vec_id", "page_id")
+
+
+def test_weights_make_no_second_table():
+    import tracemalloc
+
+    import numpy as np
+
+    from placelens.llm import quality_classifier as Q
+
+    rows = np.random.default_rng(3).integers(0, 3, (3000, sum(Q.FAMILIES))).astype(float)
+    tracemalloc.start()
+    Q.weighted(rows, np.ones(rows.shape[1]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1.2 * rows.nbytes
