@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window, functions as F
 
 from placelens.scratch import discard, materialize
 
 #: Rounds after which an edge table that still changes counts as a defect.
 MOST_ROUNDS = 60
+#: Edges of an unfinished group that a task holds.
+CARRIED = 200_000
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -46,10 +53,78 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node that each of n nodes reaches by the edges (a, b)."""
+    root = np.arange(n)
+    while True:
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        if not apart.any():
+            return root
+        np.minimum.at(root, np.maximum(ra, rb)[apart], np.minimum(ra, rb)[apart])
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+
+
+def _star(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The edges of a batch (.., src, dst) as stars: each node beside the smallest that it reaches within the batch."""
+    batch = batch.filter(pc.not_equal(batch.column("src"), batch.column("dst")))  # nulls are filtered too
+    group = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns[:-2]:
+        codes = column.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        group = np.unique(group * (codes.max(initial=0) + 1) + codes, return_inverse=True)[1]
+    ends = np.concatenate([batch.column("src").to_numpy(zero_copy_only=False), batch.column("dst").to_numpy(zero_copy_only=False)])
+    node, code = np.unique(ends, return_inverse=True)
+    key, first, at = np.unique(np.concatenate([group, group]) * max(1, len(node)) + code, return_index=True, return_inverse=True)
+    root = _roots(at[: batch.num_rows], at[batch.num_rows :], len(key))
+    leaf = np.flatnonzero(root != np.arange(len(key)))
+    row = first[leaf] % max(1, batch.num_rows)
+    own = batch.take(pa.array(row))
+    return pa.RecordBatch.from_arrays([*own.columns[:-2], pa.array(ends[first[root[leaf]]], pa.int64()), pa.array(ends[first[leaf]], pa.int64())], names=batch.schema.names)
+
+
+def stars(edges: DataFrame, ordered: bool = False) -> DataFrame:
+    """Fewer edges (.., src, dst) with the same components: those of a batch become stars, repeats and circles go. Nothing is shuffled.
+
+    Of ``ordered`` edges, by group, the last group of a batch goes on in the next one, up to ``CARRIED`` edges.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            star = _star(pa.concat_batches([held, batch]) if held is not None else batch)
+            last = [c.slice(len(c) - 1) for c in batch.columns[:-2]]
+            same = np.full(star.num_rows, ordered)
+            for column, value in zip(star.columns, last):
+                code = pa.concat_arrays([column, value]).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                same &= code[:-1] == code[-1]
+            if same.sum() > CARRIED:
+                same[:] = False
+            yield star.filter(pa.array(~same))
+            held = star.filter(pa.array(same))
+        if held is not None:
+            yield held
+
+    return edges.mapInArrow(run, edges.schema)
+
+
+def components_by(edges: DataFrame, by: list[str], src: str = "src", dst: str = "dst") -> DataFrame:
+    """(by, node, component): ``components`` of each group of edges between whole numbers.
+
+    Edges become stars where they stand and, brought together by group, once more, so
+    that few rounds are left; a large group is split by the planner, its stars meet in the rounds.
+    """
+    whole = edges.select(*by, F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst"))
+    near = stars(stars(whole).hint("rebalance", *by).sortWithinPartitions(*by), True)
+    keyed = near.select(F.struct(*by, F.col("src").alias("n")).alias("a"), F.struct(*by, F.col("dst").alias("n")).alias("b"))
+    return components(keyed, "a", "b").select(*(F.col(f"node.{k}").alias(k) for k in by), F.col("node.n").alias("node"), F.col("component.n").alias("component"))
+
+
 def largest_component(edges: DataFrame, by: list[str], src: str = "src", dst: str = "dst") -> DataFrame:
     """(by, node): the nodes of each group's largest component, ties by the smallest node."""
-    keyed = edges.select(F.struct(*by, F.col(src).alias("n")).alias("a"), F.struct(*by, F.col(dst).alias("n")).alias("b"))
-    label = components(keyed, "a", "b").select(*(F.col(f"node.{k}").alias(k) for k in by), F.col("node.n").alias("node"), F.col("component.n").alias("component"))
+    label = components_by(edges, by, src, dst)
     size = label.groupBy(*by, "component").agg(F.count("*").alias("size"))
     best = size.groupBy(*by).agg(F.min_by("component", F.struct(-F.col("size"), "component")).alias("component"))
     return label.join(best, [*by, "component"], "left_semi").select(*by, "node")
@@ -72,10 +147,9 @@ def contract_edges(edges: DataFrame, by: list[str], threshold: float, least: flo
     now, label = materialize(merged_graph(edges, edges.select(*by, F.col("src").alias("node"), F.col("src").alias("component")).limit(0), by), "merged"), None
     for _ in range(MOST_ROUNDS):
         strong = now.where((F.col("links") > least) & (F.col("w") / F.col("links") > threshold))
-        keyed = strong.select(F.struct(*by, F.col("src").alias("n")).alias("a"), F.struct(*by, F.col("dst").alias("n")).alias("b"))
-        if keyed.isEmpty():
+        if strong.isEmpty():
             break
-        one = components(keyed, "a", "b").select(*(F.col(f"node.{k}").alias(k) for k in by), F.col("node.n").alias("node"), F.col("component.n").alias("component"))
+        one = components_by(strong, by)
         if label is None:
             label = materialize(one, "labels")
         else:
@@ -94,20 +168,19 @@ def euclidean_clusters(points: DataFrame, tolerance: float, least: int, most: in
     """(by, pt_idx, cluster): components of the radius graph with their number of points in limits.
 
     Points in one cell whose diagonal is within the tolerance belong together, so
-    they stand as one node; only pairs of cells are linked, each by its first
-    pair of points in reach.
+    they stand as one node. Pairs of points in reach link their cells and become stars
+    in the task in which they meet, so that pairs are not shuffled.
     """
     from placelens.functions.geometry import cell
     from placelens.operators.spatial import pairs_within
 
     edge = tolerance / 3**0.5 * 0.999
     fine = {f"f{k}": cell(k, edge) for k in "xyz"}
-    placed = points.select(*by, "pt_idx", "x", "y", "z").withColumns(fine)
-    node = placed.groupBy(*by, "fx", "fy", "fz").agg(F.min("pt_idx").alias("node"))
-    placed = materialize(placed.join(node.hint("merge"), [*by, "fx", "fy", "fz"]).select(*by, "pt_idx", "x", "y", "z", "node"), "placed")
-    links = pairs_within(placed, placed, tolerance, by).where("node < b_node").select(*by, "node", F.col("b_node").alias("other")).distinct()
-    keyed = links.select(F.struct(*by, F.col("node").alias("n")).alias("a"), F.struct(*by, F.col("other").alias("n")).alias("b"))
-    label = components(keyed, "a", "b").select(*(F.col(f"node.{k}").alias(k) for k in by), F.col("node.n").alias("node"), F.col("component.n").alias("c"))
+    node = F.min("pt_idx").over(Window.partitionBy(*by, "fx", "fy", "fz")).alias("node")
+    placed = materialize(points.select(*by, "pt_idx", "x", "y", "z").withColumns(fine).select(*by, "pt_idx", "x", "y", "z", node), "placed")
+    ends = placed.select(*by, "x", "y", "z", "node")
+    links = pairs_within(ends, ends, tolerance, by).where("node < b_node")
+    label = components_by(links, by, "node", "b_node").withColumnRenamed("component", "c")
     out = placed.join(label.hint("merge"), [*by, "node"], "left").select(*by, "pt_idx", F.coalesce("c", "node").alias("cluster"))
     size = out.groupBy(*by, "cluster").agg(F.count("*").alias("size")).where(F.col("size").between(least, most))
     return out.join(size.hint("merge"), [*by, "cluster"]).select(*by, "pt_idx", "cluster", "size")

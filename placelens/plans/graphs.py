@@ -21,11 +21,6 @@ def segment_edges(spark, d):
     return S.pairs_within(c, c, 0.4513, BY).where("seg < b_seg").select("obs_id", F.col("seg").alias("src"), F.col("b_seg").alias("dst"), (1 / (1 + F.col("d2"))).alias("w"))
 
 
-def keyed(spark, d):
-    e = segment_edges(spark, d)
-    return e.select(F.struct("obs_id", F.col("src").alias("n")).alias("a"), F.struct("obs_id", F.col("dst").alias("n")).alias("b"))
-
-
 _LABEL = f"""{_EDGES}, twice as (select obs_id, src, dst from edges union select obs_id, dst, src from edges),
 reach as (select obs_id, src, dst from twice union select r.obs_id, r.src, b.dst from reach r join twice b on b.obs_id = r.obs_id and b.src = r.dst), label as (select obs_id, src as node, least(src, min(dst)) as component from reach group by obs_id, src)"""
 
@@ -35,7 +30,7 @@ def rec(body: str, *views: str) -> str:
 
 
 def labels(spark, d):
-    return N.components(keyed(spark, d), "a", "b").select(F.col("node.obs_id").alias("obs_id"), F.col("node.n").alias("node"), F.col("component.n").alias("component"))
+    return N.components_by(segment_edges(spark, d), BY)
 
 
 @query("g1_euclidean_clusters")

@@ -1,12 +1,13 @@
 """What is shuffled: pairs of points meet once, and what a task can settle alone stays there."""
 
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from placelens.operators import spatial as S
+from placelens.operators import graph as N, spatial as S
 from tests.test_scale import plan
 
 
@@ -26,3 +27,22 @@ def test_a_point_has_few_copies(spark):
     edges = {float(e) for e in re.findall(r"/ (\d+\.\d+)", at)}
     assert len(edges) == 1
     assert S.in_reach(p, edges.pop(), 0.47).groupBy("i").count().agg(F.avg("count")).first()[0] < 6
+
+
+@pytest.mark.parametrize("carried", [N.CARRIED, 0])
+def test_components_of_groups_end_after_a_round(spark, monkeypatch, carried):
+    """Chains in random order, groups over several batches, a null group, loops, repeats and null ends."""
+    rng = random.Random(8)
+    rows = [(g, i, i + 1) for g in (None, 1, 2) for i in range(3000) if i % 1000 != 999] + [(1, 5, 5), (2, None, 7), (2, 8, None), (1, 0, 1), (3, -2, 4)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g long, src long, dst long").repartition(3)
+    monkeypatch.setattr(N, "CARRIED", carried)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 500)
+    rounds = []
+    monkeypatch.setattr(N, "materialize", lambda t, tag, met=N.materialize: (rounds.append(tag), met(t, tag))[1])
+    try:
+        got = {(r.g, r.node): r.component for r in N.components_by(df, ["g"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(g, i): i // 1000 * 1000 for g in (None, 1, 2) for i in range(3000)} | {(3, -2): -2, (3, 4): -2}
+    assert not carried or len(rounds) == 2
