@@ -186,18 +186,48 @@ def euclidean_clusters(points: DataFrame, tolerance: float, least: int, most: in
     return out.join(size.hint("merge"), [*by, "cluster"]).select(*by, "pt_idx", "cluster", "size")
 
 
+def _smallest(rows: DataFrame, n: int) -> DataFrame:
+    """Rows (.., e) of (.., e, o) that may be among the ``n`` of smallest o[h] of their group for some h: in each batch those that are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            group, m = np.zeros(batch.num_rows, np.int64), batch.num_rows
+            for column in batch.columns[:-2]:
+                codes = column.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                group = np.unique(group * (codes.max(initial=0) + 1) + codes, return_inverse=True)[1]
+            kept = np.zeros(m, bool)
+            for o in batch.column("o").flatten().to_numpy().reshape(m, -1).T if m else ():
+                order = np.lexsort((o, group))
+                at = np.arange(m) - np.searchsorted(group[order], group[order])
+                # what ties with the last one stays
+                bound = np.full(group.max() + 1, np.iinfo(np.int64).max)
+                bound[group[order[at == n - 1]]] = o[order[at == n - 1]]
+                kept |= o <= bound[group]
+            yield batch.select(batch.schema.names[:-1]).filter(pa.array(kept))
+
+    return rows.mapInArrow(run, rows.drop("o").schema)
+
+
 def reject_planar(clusters: DataFrame, by: list[str], distance: float, share: float, hypotheses: int) -> DataFrame:
     """(by): clusters (by, pt_idx, x, y, z) of which no plane through three of their points holds more than ``share``.
 
-    The three points of each hypothesis are those of smallest hash, so that runs repeat.
+    The three points of each hypothesis are those of smallest hash, so that runs repeat;
+    batches leave at most three a hypothesis, whatever a cluster's size.
     """
-    seed = clusters.select(*by, "pt_idx", "x", "y", "z", F.explode(F.sequence(F.lit(0), F.lit(hypotheses - 1))).alias("h"))
-    three = seed.groupBy(*by, "h").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("pt_idx", "h").alias("o"), "x", "y", "z"))), 1, 3).alias("p")).where(F.size("p") == 3)
-    p = F.col("p")
+    own = F.struct("pt_idx", "x", "y", "z").alias("e")
+    seed = _smallest(clusters.select(*by, own, F.array(*(F.xxhash64("pt_idx", F.lit(h)) for h in range(hypotheses))).alias("o")), 3).groupBy(*by).agg(F.collect_list("e").alias("of"))
+    ranked = lambda e: F.struct(F.xxhash64(e["pt_idx"], F.col("h")).alias("o"), e["x"].alias("x"), e["y"].alias("y"), e["z"].alias("z"))
+    each = seed.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(hypotheses - 1))))
+    three = each.select(*by, "h", F.slice(F.array_sort(F.transform("of", ranked)), 1, 3).alias("p")).where(F.size("p") == 3)
+    p = [F.get("p", F.lit(i)) for i in range(3)]
     u = {k: p[1][k] - p[0][k] for k in "xyz"}
     v = {k: p[2][k] - p[0][k] for k in "xyz"}
     n = {"a": u["y"] * v["z"] - u["z"] * v["y"], "b": u["z"] * v["x"] - u["x"] * v["z"], "c": u["x"] * v["y"] - u["y"] * v["x"]}
     plane = three.select(*by, "h", *(e.alias(k) for k, e in n.items()), *(p[0][k].alias(f"o{k}") for k in "xyz")).withColumn("l", F.sqrt(F.expr("a * a + b * b + c * c"))).where("l > 0")
-    off = F.abs((F.col("x") - F.col("ox")) * F.col("a") + (F.col("y") - F.col("oy")) * F.col("b") + (F.col("z") - F.col("oz")) * F.col("c")) / F.col("l")
-    best = clusters.join(plane, by).groupBy(*by, "h").agg(F.avg((off <= distance).cast("int")).alias("s")).groupBy(*by).agg(F.max("s").alias("s"))
+    # a cluster's planes stand in one row, so that its points are not multiplied by them
+    planes = plane.groupBy(*by).agg(F.collect_list(F.struct("a", "b", "c", "ox", "oy", "oz", "l")).alias("planes"))
+    off = lambda q: F.abs((F.col("x") - q["ox"]) * q["a"] + (F.col("y") - q["oy"]) * q["b"] + (F.col("z") - q["oz"]) * q["c"]) / q["l"]
+    shares = [F.avg((off(F.get("planes", F.lit(i))) <= distance).cast("int")).alias(f"s{i}") for i in range(hypotheses)]
+    s = F.array_max(F.array(*(f"s{i}" for i in range(hypotheses))))
+    best = clusters.select(*by, "x", "y", "z").join(planes.hint("merge"), by).groupBy(*by).agg(*shares).select(*by, s.alias("s"))
     return clusters.select(*by).distinct().join(best, by, "left").where(F.coalesce("s", F.lit(0.0)) <= share).select(*by)

@@ -46,3 +46,16 @@ def test_components_of_groups_end_after_a_round(spark, monkeypatch, carried):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == {(g, i): i // 1000 * 1000 for g in (None, 1, 2) for i in range(3000)} | {(3, -2): -2, (3, 4): -2}
     assert not carried or len(rounds) == 2
+
+
+def test_planar_rejection_shuffles_no_hypotheses(spark, sf):
+    """Points meet their cluster's planes once, not once for each of the twenty."""
+    at = plan(__spark_entry__.queries()["f12_reject_planar"](spark, sf))
+    assert not re.findall(r"Exchange hashpartitioning\([^)]*[( ]h#[^)]*\)", at)
+
+
+def test_few_points_of_a_cluster_are_gathered(spark):
+    df = spark.range(4000).coalesce(1).select((F.col("id") % 2).alias("g"), F.struct("id").alias("e"), F.array(*(F.xxhash64("id", F.lit(h)) for h in range(4))).alias("o"))
+    got = N._smallest(df, 3).select("g", "e.id").collect()
+    want = {(r.g, r.id) for h in range(4) for g in (0, 1) for r in df.where(F.col("g") == g).orderBy(F.col("o")[h]).limit(3).select("g", "e.id").collect()}
+    assert len(got) <= 24 and want == {(r.g, r.id) for r in got}
