@@ -63,11 +63,12 @@ def fuse(counts: DataFrame, least: float, accepted: Callable[[DataFrame, DataFra
     best candidate did. All others keep their best candidate unless a searched model
     beats it, so that no pair is judged again while neither changes. ``everything``
     searches all models in each round instead, with the same result. ``searched`` gets
-    the number of searches of each round. Every round is written to the shared folder.
+    the number of searches of each round. Every round is written to the shared folder,
+    and what the next one does not need is deleted there.
     """
     now = materialize(counts.select("model", "bin", "n"), "counts")
     label = materialize(now.select(F.col("model").alias("member"), "model").distinct(), "labels")
-    work, best = label.select("model").distinct(), None
+    work, best, stale = label.select("model").distinct(), None, []
     while True:
         if everything:
             work = label.select("model").distinct()
@@ -76,14 +77,22 @@ def fuse(counts: DataFrame, least: float, accepted: Callable[[DataFrame, DataFra
         h = materialize(weighted(now), "histograms")
         ends = F.least("model", "other").alias("model"), F.greatest("model", "other").alias("other")
         found = materialize(similar(h, least, work, None if accepted else 1).select(*ends, "score").distinct(), "found")
+        spent = [h, found]
         if accepted:
             found = materialize(found.join(accepted(found.select("model", "other"), label), ["model", "other"], "left_semi"), "accepted")
+            spent.append(found)
         pairs = found.unionByName(found.select(F.col("other").alias("model"), F.col("model").alias("other"), "score"))
         if best is not None:
             pairs = pairs.unionByName(best.join(work, "model", "left_anti"))
-        best = materialize(best_of(pairs), "best")
-        merges = materialize(mutual(best), "merges")
+        chosen = materialize(best_of(pairs), "best")
+        # the work list and the best candidates so far stood on the tables of the round before
+        for table in [*spent, *stale]:
+            discard(table)
+        best, merges = chosen, materialize(mutual(chosen), "merges")
+        stale = [chosen, merges]
         if merges.isEmpty():
+            for table in [*stale, now]:
+                discard(table)
             return label
         moved = merges.select(F.col("other").alias("model"), F.col("model").alias("into"))
         changed = merges.select("model").unionByName(moved.select("model"))
@@ -91,7 +100,7 @@ def fuse(counts: DataFrame, least: float, accepted: Callable[[DataFrame, DataFra
         work = merges.select("model").unionByName(lost).join(moved, "model", "left_anti").distinct()
         best = best.join(moved, "model", "left_anti")
         follow = lambda df: df.join(moved, "model", "left").withColumn("model", F.coalesce("into", "model")).drop("into")
-        label = materialize(follow(label).select("member", "model"), "labels")
+        before, label = label, materialize(follow(label).select("member", "model"), "labels")
         last, now = now, materialize(follow(now).groupBy("model", "bin").agg(F.sum("n").alias("n")), "counts")
         discard(last)
-        discard(h)
+        discard(before)

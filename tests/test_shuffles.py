@@ -59,3 +59,15 @@ def test_few_points_of_a_cluster_are_gathered(spark):
     got = N._smallest(df, 3).select("g", "e.id").collect()
     want = {(r.g, r.id) for h in range(4) for g in (0, 1) for r in df.where(F.col("g") == g).orderBy(F.col("o")[h]).limit(3).select("g", "e.id").collect()}
     assert len(got) <= 24 and want == {(r.g, r.id) for r in got}
+
+
+def test_fusion_leaves_only_its_labels(spark, monkeypatch, tmp_path):
+    """Tables of rounds do not pile up in the shared folder."""
+    from placelens import scratch
+    from placelens.operators import fusion as U
+
+    rows = [(m, b, 1) for m in range(12) for b in (m // 4 * 10, m // 2 * 100 + 7, m // 4 * 10 + 1)]
+    monkeypatch.setattr(scratch, "shared_dir", lambda _: str(tmp_path))
+    got = {r.member: r.model for r in U.fuse(spark.createDataFrame(rows, "model long, bin int, n long"), 0.3).collect()}
+    assert got == {m: m // 4 * 4 for m in range(12)}
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir() if p.is_dir()] == ["labels"]
