@@ -172,7 +172,7 @@ def t6(spark, d):
     The base stands at (value, 0), turned by its id; the camera value ahead of it.
     """
     with J.rocksdb(spark):
-        found = J.run_to(K.transform_buffer(J.events(spark, d), ["view", "purchase"], "click", _KEEP, 4, "1 day"))
+        found = J.run_to(K.transform_buffer(J.events(spark, d, 10_000), ["view", "purchase"], "click", _KEEP, 4, "1 day"))
     each = found.select("event_id", F.col("poses")[0].alias("base"), F.col("poses")[1].alias("camera"), F.col("values")[0].alias("at"), F.col("values")[1].alias("ahead"))
     turn = F.col("base") % 63 * 0.1
     c, s, zero, one = F.cos(turn), F.sin(turn), F.lit(0.0), F.lit(1.0)

@@ -1,4 +1,4 @@
-"""Stateful processors of streams, whose timers forget what no answer can need any more.
+"""Streams with state that forget what no answer can need any more: by windows, or by a stateful processor's timers.
 
 Both wait for the watermark before they answer, so that the order and the batches in
 which messages arrive do not change a row. State lives in RocksDB, below the query's
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -19,52 +20,41 @@ def _joined(batches, columns: list[str]) -> pd.DataFrame:
     return pd.concat([b[columns] for b in batches], ignore_index=True)
 
 
-class TransformBuffer(StatefulProcessor):
-    """Poses and lookups of one name and span of time: two lists, and a timer at the span's end."""
-
-    POSE = "link int, at long, event_id long, value double"
-    ASKED = "at long, event_id long"
-    ANSWER = "name string, event_id long, poses array<long>, values array<double>"
-
-    def __init__(self, links: int, keep: int, span: int) -> None:
-        self.links, self.keep, self.span = links, keep, span
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.poses, self.asked = handle.getListState("poses", self.POSE), handle.getListState("asked", self.ASKED)
-
-    def handleInputRows(self, key, rows, timerValues):
-        new = _joined(rows, ["link", "at", "event_id", "value"])
-        pose = new["link"] >= 0
-        if pose.any():
-            self.poses.appendList([(int(n), int(t), int(e), None if pd.isna(v) else float(v)) for n, t, e, v in new[pose].itertuples(index=False)])
-        if not pose.all():
-            self.asked.appendList([(int(t), int(e)) for t, e in new.loc[~pose, ["at", "event_id"]].itertuples(index=False)])
-        self.handle.registerTimer((int(key[1]) + 1) * self.span // 1000)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        asked, poses = list(self.asked.get()), list(self.poses.get())
-        self.asked.clear()
-        self.poses.clear()
-        answer = self.answered(key[0], asked, poses)
-        if len(answer):
-            yield answer
-
-    def answered(self, name, asked: list[tuple], poses: list[tuple]) -> pd.DataFrame:
-        """For each lookup the latest pose of every link that is at most ``keep`` older, ties by the larger id."""
-        at = np.array([a for a, _ in asked], np.int64)
-        found, known = [], np.ones(len(asked), bool)
-        for link in range(self.links):
-            own = sorted((t, e, v) for n, t, e, v in poses if n == link)
-            times = np.array([t for t, _, _ in own], np.int64)
-            last = np.searchsorted(times, at, "right") - 1
-            known &= (last >= 0) & (len(own) > 0)
-            if len(own):
-                known &= times[np.maximum(last, 0)] >= at - self.keep
-            found.append((own, last))
-        rows = [(name, asked[i][1], [own[last[i]][1] for own, last in found], [own[last[i]][2] for own, last in found]) for i in np.flatnonzero(known)]
-        return pd.DataFrame(rows, columns=["name", "event_id", "poses", "values"])
+ANSWER = "name string, event_id long, poses array<long>, values array<double>"
+
+
+def answered(links: int, keep: int):
+    """Kernel over rows (name, messages): for each lookup the latest pose of every link that is at most ``keep`` older, ties by the larger id."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("messages")
+            size = np.diff(lists.offsets.to_numpy())
+            row = np.repeat(np.arange(len(size)), size)
+            each = lists.flatten()
+            link, at, number = (each.field(c).to_numpy() for c in ("link", "at", "event_id"))
+            value = each.field("value").to_numpy(zero_copy_only=False)
+            missing = each.field("value").is_null().to_numpy(zero_copy_only=False)
+            asked = np.flatnonzero(link < 0)
+            found, known = [], np.ones(len(asked), bool)
+            for n in range(links):
+                # poses and lookups in order of time, poses first: a lookup's pose is the last one before it
+                own = np.concatenate([np.flatnonzero(link == n), asked])
+                poses = len(own) - len(asked)
+                order = np.lexsort((np.where(missing, -np.inf, value)[own], number[own], np.arange(len(own)) >= poses, at[own], row[own]))
+                last = np.empty(len(own), np.int64)
+                last[order] = np.maximum.accumulate(np.where(order < poses, np.arange(len(own)), -1))
+                last = last[poses:]
+                pose = own[order[np.maximum(last, 0)]]
+                known &= (last >= 0) & (row[pose] == row[asked]) & (at[pose] >= at[asked] - keep)
+                found.append(pose)
+            pose = np.stack([f[known] for f in found], axis=1).ravel()
+            starts = pa.array(np.arange(0, len(pose) + 1, links, dtype=np.int32))
+            ids, values = pa.array(number[pose]), pa.array(value[pose], pa.float64(), mask=missing[pose])
+            columns = [batch.column("name").take(pa.array(row[asked[known]])), pa.array(number[asked[known]]), pa.ListArray.from_arrays(starts, ids), pa.ListArray.from_arrays(starts, values)]
+            yield pa.RecordBatch.from_arrays(columns, ["name", "event_id", "poses", "values"])
+
+    return run
 
 
 def transform_buffer(stream: DataFrame, links: list[str], lookup: str, keep_s: int = 10, spans: int = 64, watermark: str = "10 seconds") -> DataFrame:
@@ -73,19 +63,20 @@ def transform_buffer(stream: DataFrame, links: list[str], lookup: str, keep_s: i
     ``stream`` has name, stamp, event_id, kind and value; ``links`` name the kinds that
     a chain of transforms is made of, from the root on. A lookup that misses a link has
     no answer; other kinds, and messages without a stamp or an id, are ignored. Time is cut into spans of
-    ``spans`` buffers, and a pose stands in the next span too if it is still in the
-    buffer there: a busy name is thus spread over its spans, a key holds the messages
-    of one span, and all of them are forgotten when the watermark passes its end.
+    ``spans`` buffers, whose windows begin one buffer earlier, so that a pose stands in the next span too if it is
+    still in the buffer there: a busy name is thus spread over its spans, a key holds the messages
+    of one span, and all of them are forgotten when the watermark passes its end. Keys are many and small,
+    so their lists are kept by Spark's aggregation, and lookups of a whole batch of keys are answered together.
     """
     keep = keep_s * 1_000_000
     span = keep * spans
     kind = F.coalesce(*(F.when(F.col("kind") == k, i) for i, k in enumerate(links)), F.when(F.col("kind") == lookup, -1))
-    at = F.unix_micros("stamp")
-    of = lambda t: F.floor(t / F.lit(span)).cast("long")
-    both = F.when(F.col("link") >= 0, F.array_distinct(F.array(of(F.col("at")), of(F.col("at") + keep)))).otherwise(F.array(of(F.col("at"))))
-    rows = stream.withColumns({"link": kind, "at": at}).where("link is not null and at is not null and event_id is not null").withWatermark("stamp", watermark)
-    keyed = rows.select("name", F.explode(both).alias("span"), "stamp", "link", "at", "event_id", F.col("value").cast("double").alias("value"))
-    return keyed.groupBy("name", "span").transformWithStateInPandas(TransformBuffer(len(links), keep, span), TransformBuffer.ANSWER, "append", "eventTime")
+    rows = stream.withColumns({"link": kind, "at": F.unix_micros("stamp")}).where("link is not null and at is not null and event_id is not null").withWatermark("stamp", watermark)
+    w = F.window("stamp", f"{span + keep} microseconds", f"{span} microseconds", f"-{keep % span} microseconds")
+    placed = rows.select("name", w.alias("w"), F.struct("link", "at", "event_id", F.col("value").cast("double").alias("value")).alias("m"))
+    due = placed.where((F.col("m.link") >= 0) | (F.col("m.at") >= F.unix_micros("w.start") + keep))
+    lists = due.groupBy("name", "w").agg(F.collect_list("m").alias("messages")).select("name", "messages")
+    return lists.mapInArrow(answered(len(links), keep), ANSWER)
 
 
 class SweepAssembly(StatefulProcessor):

@@ -4,9 +4,12 @@ import collections
 import datetime as dt
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from placelens.plans import streams
 from placelens.streaming import jobs as J, state as K
 
 START = dt.datetime(2024, 1, 1)
@@ -91,3 +94,38 @@ def test_buffer_forgets(spark, tmp_path):
     # 300 s arrive with each file, of which at most a span, the watermark's delay and a buffer stay behind it
     told = spark.read.parquet(out).agg(F.max("event_id")).first()[0]
     assert told > 1150 and kept[-1] < 100, kept
+
+
+def test_lookups_of_many_keys_are_answered_together(spark):
+    """One call answers a batch of 3,000 keys (a call, and state, for each key took most of the time), as plain loops do."""
+    rng = random.Random(8)
+    lists = [[{"link": rng.choice([-1, 0, 1]), "at": rng.randrange(40), "event_id": 100 * k + n, "value": rng.choice([None, 1.0, 2.5])} for n in range(rng.randrange(9))] for k in range(3000)]
+    kind = pa.list_(pa.struct([("link", pa.int32()), ("at", pa.int64()), ("event_id", pa.int64()), ("value", pa.float64())]))
+    names = [None if k % 7 == 0 else f"n{k}" for k in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(names), pa.array(lists, kind)], ["name", "messages"])
+    (found,) = K.answered(2, 10)(iter([batch]))
+    want = set()
+    for name, messages in zip(names, lists):
+        for a in (m for m in messages if m["link"] < 0):
+            own = [[m for m in messages if m["link"] == n and a["at"] - 10 <= m["at"] <= a["at"]] for n in (0, 1)]
+            if all(own):
+                last = [max(o, key=lambda m: (m["at"], m["event_id"])) for o in own]
+                want.add((name, a["event_id"], tuple(m["event_id"] for m in last), tuple(m["value"] for m in last)))
+    got = [(r["name"], r["event_id"], tuple(r["poses"]), tuple(r["values"])) for r in found.to_pylist()]
+    assert len(want) > 100 and len(got) == len(want) and set(got) == want
+    empty = batch.slice(0, 0)
+    assert next(K.answered(2, 10)(iter([empty]))).num_rows == 0 and np.array_equal(next(K.answered(2, 10)(iter([batch.slice(900, 1200)])))["event_id"], [r[1] for r in got if 90000 <= r[1] < 210000])
+
+
+def halves(spark, sf, tmp_path) -> str:
+    """The events in two files that both reach over the whole time."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    for k in range(2):
+        e.where(F.col("user_id") % 2 == k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("query", [streams.t6])
+def test_files_that_overlap_in_time_are_not_late(spark, sf, tmp_path, query):
+    want, got = (sorted(map(tuple, query(spark, d).collect())) for d in (sf, halves(spark, sf, tmp_path)))
+    assert want and got == want
