@@ -31,15 +31,24 @@ def write_catalog(df: DataFrame, root: str) -> None:
 
 # Fixed value: the header of a cloud file.
 PCD_HEADER = "VERSION .7|FIELDS x y z rgb|SIZE 8 8 8 4|TYPE F F F U|COUNT 1 1 1 1|WIDTH {n}|HEIGHT 1|VIEWPOINT 0 0 0 1 0 0 0|POINTS {n}|DATA ascii"
+#: Observations that share a folder.
+FOLDER_CLOUDS = 1000
 
 
 def write_pcd(points: DataFrame, root: str) -> None:
-    """One PCD text file for each observation; a cloud is a file by nature. Colours are one number, red first."""
+    """One PCD text file for each observation; a cloud is a file by nature. Colours are one number, red first.
+
+    A comment in its first line names the observation. Folders hold ``FOLDER_CLOUDS``
+    of them, since making and listing one for each file takes longer than its points.
+    Tasks move their own files when they end (the second commit algorithm), not the driver.
+    """
     colour = F.col("r") * 65536 + F.col("g") * 256 + F.col("b")
     line = F.concat_ws(" ", *(F.col(k).cast("string") for k in "xyz"), colour.cast("string"))
     cloud = points.groupBy("obs_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pt_idx", line.alias("l")))), lambda e: e["l"]), "\n").alias("body"), F.count("*").alias("n"))
     head = F.replace(F.replace(F.lit(PCD_HEADER), F.lit("{n}"), F.col("n").cast("string")), F.lit("|"), F.lit("\n"))
-    cloud.select("obs_id", F.concat(head, F.lit("\n"), "body").alias("value")).write.partitionBy("obs_id").mode("overwrite").text(root)
+    name = F.concat(F.lit("# obs_id="), F.coalesce(F.col("obs_id").cast("string"), F.lit("")), F.lit("\n"))
+    files = cloud.select(F.floor(F.col("obs_id") / FOLDER_CLOUDS).alias("folder"), F.concat(name, head, F.lit("\n"), "body").alias("value"))
+    files.write.partitionBy("folder").option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2").mode("overwrite").text(root)
 
 
 def unpacked(data: bytes, size: int) -> bytes:
@@ -106,14 +115,15 @@ def colours(columns: dict[str, np.ndarray]) -> np.ndarray | None:
 def ingest_pcd(spark: SparkSession, root: str, pattern: str = "*.{txt,pcd}") -> DataFrame:
     """points(obs_id, pt_idx, x, y, z, r, g, b) of all PCD files below a folder; one bulk job.
 
-    Files without colours have null ones.
+    A file's first line or its folder names the observation (``obs_id=``), others are of
+    observation -1. Files without colours have null ones.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path", "content")
 
     def run(batches):
         for batch in batches:
             for path, content in zip(*(c.to_pylist() for c in batch.columns)):
-                obs, columns = re.search(r"obs_id=(-?\d+)/", path), parse_pcd(content)
+                obs, columns = re.match(rb"# obs_id=(-?\d+)\n", content) or re.search(r"obs_id=(-?\d+)/", path), parse_pcd(content)
                 n, packed = len(columns["x"]), colours(columns)
                 rgb = [pa.nulls(n, pa.int32()) if packed is None else pa.array((packed >> k & 255).astype(np.int32)) for k in (16, 8, 0)]
                 xyz = [pa.array(columns[k].astype(np.float64)) for k in "xyz"]

@@ -59,6 +59,16 @@ def test_pcd_headers(spark):
     assert [r[5:] for r in got] == [(None, None, None), (1, 2, 3), (1, 2, 3)]
 
 
+def test_clouds_share_folders(spark):
+    """A file for each observation, but not a folder: those are made and listed one by one."""
+    root = f"{shared_dir(spark)}/pcd-many".removeprefix("file:")
+    want = [(obs, k, obs / 8, k / 4, -1.5, obs % 200, k, 255) for obs in (*range(60), -7, 123_456) for k in range(1, 1 + abs(obs) % 5 + 1)]
+    C.write_pcd(spark.createDataFrame(want, "obs_id long, pt_idx long, x double, y double, z double, r int, g int, b int"), root)
+    files = [f"{at}/{f}" for at, _, names in os.walk(root) for f in names if f.endswith(".txt")]
+    assert len(files) == 62 and len({os.path.dirname(f) for f in files}) == 3
+    assert sorted(tuple(r) for r in rows(C.ingest_pcd(spark, root))) == sorted(want)
+
+
 def packed(data: bytes) -> bytes:
     """LZF data by plain search: the longest earlier copy of three or more bytes, else runs of up to 32."""
     out, run, at = bytearray(), bytearray(), 0
