@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 #: Largest scaled difference of depth that agrees; beyond it the moved pixel hides what is behind.
 AGREES = 0.2003
 
+#: Moved pixels that a task holds at once; candidates are tried together up to that.
+TRIED_AT_ONCE = 1 << 15
+
 SCORES = "src long, dst long, k int, score double, occ double"
 
 
@@ -37,6 +40,33 @@ def posed_scores(pixels: DataFrame, poses: DataFrame, cam: tuple[float, float, f
     return met.groupBy("src", "dst").agg(worth(F.abs("res") < AGREES).alias("score"), worth(F.col("res") > AGREES).alias("occ"))
 
 
+class Pixels:
+    """Places of pixels (whole u and v, each pair once) in an image, found by a table over its rectangle or, where that is sparse, by search."""
+
+    def __init__(self, u: np.ndarray, v: np.ndarray) -> None:
+        u, v = u.astype(np.int64), v.astype(np.int64)
+        self.low = (u.min(), v.min()) if len(u) else (0, 0)
+        self.size = (int(u.max()) - int(u.min()) + 1, int(v.max()) - int(v.min()) + 1) if len(u) else (0, 0)
+        key = (u - self.low[0]) * self.size[1] + (v - self.low[1])
+        self.dense = self.size[0] * self.size[1] <= max(1 << 16, 16 * len(u))
+        if self.dense:
+            self.places = np.full(self.size[0] * self.size[1] + 1, -1)
+            self.places[key] = np.arange(len(u))
+        else:
+            self.order = np.argsort(key, kind="stable")
+            self.keys = key[self.order]
+
+    def find(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Places of the pixels (u, v), which may be any floats; -1 where there is none."""
+        u, v = u - self.low[0], v - self.low[1]
+        inside = (u >= 0) & (u < self.size[0]) & (v >= 0) & (v < self.size[1])
+        key = np.where(inside, u, self.size[0]).astype(np.int64) * self.size[1] + np.where(inside, v, 0).astype(np.int64)
+        if self.dense:
+            return self.places[key]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(inside & (self.keys[at] == key), self.order[at], -1)
+
+
 def hypothesis_scores(pixels: DataFrame, pairs: DataFrame, candidates: np.ndarray, cam: tuple[float, float, float, float]) -> DataFrame:
     """(src, dst, k, score, occ): ``posed_scores`` of every candidate pose (rows of 12 numbers) of every pair (src, dst).
 
@@ -51,24 +81,21 @@ def hypothesis_scores(pixels: DataFrame, pairs: DataFrame, candidates: np.ndarra
         if not left.num_rows:
             return pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64()), "k": pa.array([], pa.int32()), "score": pa.array([], pa.float64()), "occ": pa.array([], pa.float64())})
         u, v, z, w = (left.column(c).to_numpy() for c in ("u", "v", "z", "w"))
-        keys = (right.column("u").to_numpy().astype(np.int64) << 32) + right.column("v").to_numpy()
-        order = np.argsort(keys, kind="stable")
-        keys, depth = keys[order], right.column("z").to_numpy()[order]
+        pixel = Pixels(right.column("u").to_numpy(), right.column("v").to_numpy())
+        depth = right.column("z").to_numpy()
         x, y = (u - cx) * z / fx, (v - cy) * z / fy
         score, occ = np.zeros(len(candidates)), np.zeros(len(candidates))
-        for k, m in enumerate(candidates if len(keys) else ()):
-            px, py, pz = (m[4 * i] * x + m[4 * i + 1] * y + m[4 * i + 2] * z + m[4 * i + 3] for i in range(3))
-            front = np.flatnonzero(pz > 0)
-            pz = pz[front]
-            pu, pv = np.floor(px[front] * fx / pz + cx + 0.5), np.floor(py[front] * fy / pz + cy + 0.5)
-            inside = (np.abs(pu) < 1 << 30) & (pv >= 0) & (pv < 1 << 30)
-            front, pz = front[inside], pz[inside]
-            key = (pu[inside].astype(np.int64) << 32) + pv[inside].astype(np.int64)
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            met = keys[at] == key
-            za, zb, own = pz[met], depth[at[met]], w[front[met]]
+        some = max(1, TRIED_AT_ONCE // len(x))
+        for k in range(0, len(candidates) if len(depth) else 0, some):
+            m = candidates[k : k + some, :, None]
+            px, py, pz = (m[:, 4 * i] * x + m[:, 4 * i + 1] * y + m[:, 4 * i + 2] * z + m[:, 4 * i + 3] for i in range(3))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                at = pixel.find(np.floor(px * fx / pz + cx + 0.5), np.floor(py * fy / pz + cy + 0.5))
+            of, n = np.nonzero((at >= 0) & (pz > 0))
+            za, zb, own = pz[of, n], depth[at[of, n]], w[n]
             res = (zb - za) / (za * za + zb * zb)
-            score[k], occ[k] = own[np.abs(res) < AGREES].sum(), own[res > AGREES].sum()
+            for total, met in ((score, np.abs(res) < AGREES), (occ, res > AGREES)):
+                total[k : k + some] = np.bincount(of, np.where(met, own, 0.0), len(m))
         n = len(candidates)
         ends = {c: pa.array(np.full(n, left.column(c)[0].as_py(), np.int64)) for c in ("src", "dst")}
         return pa.table({**ends, "k": pa.array(np.arange(n, dtype=np.int32)), "score": pa.array(score), "occ": pa.array(occ)})

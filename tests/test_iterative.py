@@ -59,6 +59,20 @@ def test_pcd_headers(spark):
     assert [r[5:] for r in got] == [(None, None, None), (1, 2, 3), (1, 2, 3)]
 
 
+def test_pixels_are_found_by_table_or_search():
+    """All candidates of a block ask at once (one by one they took four times as long); a sparse image is searched."""
+    rng = np.random.default_rng(3)
+    for reach in (20, 1 << 30):
+        u, v = rng.integers(-reach, reach, (2, 300))
+        u, v = np.unique(np.stack([u, v]), axis=1)
+        image = P.Pixels(u, v)
+        assert image.dense == (reach == 20)
+        places = {(a, b): k for k, (a, b) in enumerate(zip(u.tolist(), v.tolist()))}
+        asked = np.concatenate([np.stack([u, v]), rng.integers(-25, 25, (2, 500)), [[np.nan, np.inf, -np.inf, 1e300], [0, 0, np.nan, 1]]], axis=1)
+        want = [places.get((a, b), -1) for a, b in asked.T.tolist()]
+        assert image.find(*asked.reshape(2, 1, -1))[0].tolist() == want and image.find(*asked).max() >= 0
+
+
 def test_clouds_share_folders(spark):
     """A file for each observation, but not a folder: those are made and listed one by one."""
     root = f"{shared_dir(spark)}/pcd-many".removeprefix("file:")
