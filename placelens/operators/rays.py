@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 #: Cuts of a line shorter than this share of it do not count: they are where planes meet.
 SHORTEST = 1e-9
 #: Rows of partial counts that a task holds before it hands them on.
-HELD_ROWS = 500_000
+HELD_ROWS = 100_000
+#: Lines that a task cuts at once; their cells are counted before the next ones are cut.
+CUT_LINES = 2_000
 
 #: Cells along an edge of the blocks by which rays are dealt to tasks.
 BLOCK_CELLS = 16
@@ -85,7 +87,7 @@ def evidence(points: DataFrame, size: float, by: list[str]) -> DataFrame:
 
     def run(batches):
         held, rows = [], 0
-        for batch in batches:
+        for batch in (b.slice(k, CUT_LINES) for b in batches for k in range(0, b.num_rows, CUT_LINES)):
             keys = pa.Table.from_batches([batch]).select(by)
             start, end = _points(batch, FROM), _points(batch, ("x", "y", "z"))
             here = np.isfinite(end).all(1)
@@ -95,11 +97,13 @@ def evidence(points: DataFrame, size: float, by: list[str]) -> DataFrame:
             home = np.floor(end[own] / size).astype(np.int64)
             passed = (cells != np.floor(end[seen[of]] / size).astype(np.int64)).any(1)
             rays = (keys.take(pa.array(own)), home, 1, 0), (keys.take(pa.array(seen[of[passed]])), cells[passed], 0, 1)
+            cut = []
             for table, at, hit, miss in rays:
                 for name, values in zip((*CELL, "hits", "misses"), (*at.T, np.full(len(at), hit), np.full(len(at), miss)), strict=True):
                     table = table.append_column(name, pa.array(values))
-                held.append(table)
-                rows += len(at)
+                cut.append(table)
+            held.append(counted(cut))
+            rows += held[-1].num_rows
             if rows > HELD_ROWS:
                 held = [counted(held)]
                 rows = held[0].num_rows
@@ -109,9 +113,10 @@ def evidence(points: DataFrame, size: float, by: list[str]) -> DataFrame:
         if held:
             yield from counted(held).to_batches(max_chunksize=50_000)
 
-    # rays that end in one block of cells mostly cross the same ones, so that counts of a task are few; a large group has many blocks
+    # rays that end in one block of cells mostly cross the same ones, so that counts of a task are few; a large group has many blocks.
+    # They follow one another in the task, which therefore needs to hold few counts at a time
     block = [F.floor(F.col(k) / (BLOCK_CELLS * size)) for k in "xyz"]
-    part = points.select(*by, *FROM, "x", "y", "z").repartition(*(F.col(c) for c in by), *block).mapInArrow(run, f"{_ddl(points, by)}, cx long, cy long, cz long, hits long, misses long")
+    part = points.select(*by, *FROM, "x", "y", "z").repartition(*(F.col(c) for c in by), *block).sortWithinPartitions(*by, *block).mapInArrow(run, f"{_ddl(points, by)}, cx long, cy long, cz long, hits long, misses long")
     return part.groupBy(*by, *CELL).agg(F.sum("hits").alias("hits"), F.sum("misses").alias("misses"))
 
 

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from placelens.operators import rays
@@ -64,6 +65,24 @@ def test_evidence_is_the_same_however_it_is_held(spark, monkeypatch):
     assert sorted(map(tuple, rays.evidence(points, 0.5, ["g"]).collect())) == whole
 
 
+def test_a_task_cuts_and_holds_few_rays(spark, monkeypatch):
+    """However large a batch is, and in whatever order its groups came: a group's rays follow one another."""
+    rng = np.random.default_rng(4)
+    n = 3 * rays.CUT_LINES
+    points = spark.range(n).selectExpr("cast(id % 30 as int) as g", *(f"rand({k}) * 5 as {c}" for k, c in enumerate(("ox", "oy", "oz", "x", "y", "z"))))
+    kind, caught, cut = type(points), [], []
+    whole = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda df, run, ddl: (caught.append((df, run)), whole(df, run, ddl))[1])
+    rays.evidence(points, 0.5, ["g"])
+    (given, run), crossings = caught[0], rays.crossings
+    for part in given.rdd.glom().map(lambda p: [r.g for r in p]).collect():
+        assert part == sorted(part)
+    monkeypatch.setattr(rays, "crossings", lambda a, b, size: (cut.append(len(a)), crossings(a, b, size))[1])
+    batch = pa.RecordBatch.from_arrays([pa.array(rng.integers(0, 9, n)), *(pa.array(rng.uniform(0, 5, n)) for _ in range(6))], ["g", "ox", "oy", "oz", "x", "y", "z"])
+    out = pa.Table.from_batches(list(run(iter([batch]))))
+    assert max(cut) <= rays.CUT_LINES and sum(cut) == n and sum(out["hits"].to_pylist()) == n
+
+
 def gain_by_steps(p, counts, a, blind=1e-8):
     h = lambda q: 0.0 if q <= 0 or q >= 1 else -q * math.log(q) - (1 - q) * math.log(1 - q)
     seen, now, before, gain = 1.0, 0.0, 0.5, 0.0
