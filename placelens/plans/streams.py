@@ -47,7 +47,7 @@ from runs join done using (name, run) where kind <> '{start}' and i < stop and v
 def t2(spark, d):
     """signup opens a sweep, purchase finishes it; frames at one of three positions become their median, once the stream is a day past them."""
     with J.rocksdb(spark):
-        found = J.run_to(K.assembled(J.events(spark, d), "signup", "purchase", 3, "1 day", SILENCE))
+        found = J.run_to(K.assembled(J.events(spark, d, 10_000), "signup", "purchase", 3, "1 day", SILENCE))
     return found.select("name", "sweep", "position", "frames", r4("median").alias("median"))
 
 

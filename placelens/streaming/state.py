@@ -80,64 +80,91 @@ def transform_buffer(stream: DataFrame, links: list[str], lookup: str, keep_s: i
 
 
 class SweepAssembly(StatefulProcessor):
-    """Messages of one name in order of time: what waits for the watermark, the open sweep's frames by position, its number."""
+    """Messages of a bucket of names, each in order of time: what waits for the watermark; of each name its open sweep's frames and its number.
 
-    WAITING = "at long, event_id long, kind int, value double"
-    OPEN = "sweep int, opened boolean, last long"
+    Calls for state cost more than the messages of one name, so a bucket's wait in one
+    list, and only names that have a message due, or fall silent, are written anew.
+    """
+
+    WAITING = "name string, at long, event_id long, kind int, value double"
+    NAME = "name string"
+    OPEN = "sweep int, opened boolean, last long, positions array<int>, values array<double>"
     ROWS = "name string, sweep int, position int, frames int, median double"
     START, STOP, FRAME = 0, 1, 2
 
     def __init__(self, positions: int, silence: int) -> None:
         self.positions, self.silence = positions, silence
+        self.now, self.told = None, set()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", self.WAITING)
-        self.frames = handle.getMapState("frames", "position int", "values array<double>")
-        self.sweep = handle.getValueState("sweep", self.OPEN)
+        self.sweeps = handle.getMapState("sweeps", self.NAME, self.OPEN)
 
     def handleInputRows(self, key, rows, timerValues):
-        new = _joined(rows, ["at", "event_id", "kind", "value"])
-        self.waiting.appendList([(int(t), int(e), int(k), None if pd.isna(v) else float(v)) for t, e, k, v in new.itertuples(index=False)])
+        new = _joined(rows, ["name", "at", "event_id", "kind", "value"])
+        columns = (new[c].tolist() for c in ("name", "at", "event_id", "kind", "value"))
+        self.waiting.appendList([(n, t, e, k, None if v != v else v) for n, t, e, k, v in zip(*columns)])
         self.handle.registerTimer(int(new["at"].min()) // 1000 + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        every = list(self.waiting.get())
-        due, later = sorted(m for m in every if m[0] <= now), [m for m in every if m[0] > now]
-        sweep, opened, last = self.sweep.get() if self.sweep.exists() else (0, False, 0)
-        frames = {k[0]: list(v[0]) for k, v in self.frames.iterator()} if opened else {}
-        held, out = set(frames), []
+        if now != self.now:
+            self.now, self.told = now, set()
+        if key in self.told:  # one of the bucket's timers has done all that is due at this watermark
+            return
+        self.told.add(key)
+        due, later, out, silent = {}, [], [], []
+        for name, at, number, kind, value in self.waiting.get():
+            if at <= now:
+                due.setdefault(name, []).append((at, number, kind, value))
+            else:
+                later.append((name, at, number, kind, value))
+        held = {k[0]: tuple(v) for k, v in self.sweeps.iterator()}
+        for name in due.keys() | {n for n, (_, opened, last, *_) in held.items() if opened and now - last > self.silence}:
+            before = held.get(name)
+            after, found = self.moved(name, before or (0, False, 0, [], []), sorted(due.get(name, ()), key=lambda m: (m[:3], m[3] is not None, m[3])), now)
+            out += found
+            if after == (0, False, 0, [], []):
+                if before:
+                    self.sweeps.removeKey((name,))
+            elif after != before:
+                self.sweeps.updateValue((name,), after)
+            held[name] = after
+        self.waiting.clear()
+        if later:
+            self.waiting.appendList(later)
+            self.handle.registerTimer(min(at for _, at, *_ in later) // 1000 + 1)
+        lasts = [last for _, opened, last, *_ in held.values() if opened]
+        if lasts:
+            self.handle.registerTimer((min(lasts) + self.silence) // 1000 + 1)
+        if out:
+            yield pd.DataFrame(out, columns=["name", "sweep", "position", "frames", "median"])
+
+    def moved(self, name, state: tuple, due: list[tuple], now: int) -> tuple[tuple, list[tuple]]:
+        """State of a name after its messages that are due, and rows of the sweeps that they finish."""
+        sweep, opened, last, places, values = state
+        frames, out = {}, []
+        for place, value in zip(places, values):
+            frames.setdefault(place, []).append(value)
         for at, number, kind, value in due:
             if opened and at - last > self.silence:
                 opened, frames = False, {}
             if kind == self.START:
                 opened, frames = True, {}
             elif kind == self.STOP and opened:
-                out += [(key[0], sweep, p, len(v), sorted(v)[len(v) // 2]) for p, v in sorted(frames.items())]
+                out += [(name, sweep, p, len(v), sorted(v)[len(v) // 2]) for p, v in sorted(frames.items())]
                 sweep, opened, frames = sweep + 1, False, {}
             elif kind == self.FRAME and opened and value is not None:
                 frames.setdefault(number % self.positions, []).append(value)
-            last = max(last, at)
-        if opened and now - last > self.silence:
-            opened, frames = False, {}
-        for gone in held - set(frames):
-            self.frames.removeKey((gone,))
-        for position, values in frames.items():
-            self.frames.updateValue((position,), (values,))
-        self.sweep.update((sweep, opened, last))
-        self.waiting.clear()
-        if later:
-            self.waiting.appendList(later)
-            self.handle.registerTimer(min(later)[0] // 1000 + 1)
-        if opened:
-            self.handle.registerTimer((last + self.silence) // 1000 + 1)
-        if out:
-            yield pd.DataFrame(out, columns=["name", "sweep", "position", "frames", "median"])
+            last = at
+        if not opened or now - last > self.silence:
+            return (sweep, False, 0, [], []), out
+        return (sweep, True, last, [p for p, v in frames.items() for _ in v], [x for v in frames.values() for x in v]), out
 
 
-def assembled(stream: DataFrame, start: str, stop: str, positions: int, watermark: str, silence_s: int = 86_400) -> DataFrame:
+def assembled(stream: DataFrame, start: str, stop: str, positions: int, watermark: str, silence_s: int = 86_400, buckets: int = 4096) -> DataFrame:
     """Rows for each position of each finished sweep of a name: its frames between the start and stop messages, and their upper median.
 
     A message's position is its event_id modulo ``positions``; frames without a value,
@@ -145,9 +172,11 @@ def assembled(stream: DataFrame, start: str, stop: str, positions: int, watermar
     begins it anew, a stop without a start is ignored, and a sweep is given up when a
     name is silent for longer than ``silence_s``: a timer then forgets its frames. The
     state of a name holds the messages that the watermark has not passed, and the open
-    sweep's frames.
+    sweep's frames. Names are dealt to ``buckets`` keys by their hash: a call for state serves all names of
+    one, and a bucket must fit a task, as a name must.
     """
     kind = F.when(F.col("kind") == start, SweepAssembly.START).when(F.col("kind") == stop, SweepAssembly.STOP).otherwise(SweepAssembly.FRAME)
     rows = stream.where("stamp is not null and event_id is not null").withWatermark("stamp", watermark)
-    keyed = rows.select("name", "stamp", F.unix_micros("stamp").alias("at"), "event_id", kind.alias("kind"), F.col("value").cast("double").alias("value"))
-    return keyed.groupBy("name").transformWithStateInPandas(SweepAssembly(positions, silence_s * 1_000_000), SweepAssembly.ROWS, "append", "eventTime")
+    bucket = F.pmod(F.xxhash64("name"), F.lit(buckets)).alias("bucket")
+    keyed = rows.select(bucket, "name", "stamp", F.unix_micros("stamp").alias("at"), "event_id", kind.alias("kind"), F.col("value").cast("double").alias("value"))
+    return keyed.groupBy("bucket").transformWithStateInPandas(SweepAssembly(positions, silence_s * 1_000_000), SweepAssembly.ROWS, "append", "eventTime")

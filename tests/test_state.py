@@ -82,6 +82,15 @@ def test_sweeps_do_not_depend_on_batches(spark, tmp_path):
     assert swept(rows, 3, 1e9, 1e9) != want  # silence and the watermark both matter
 
 
+def test_names_share_a_bucket(spark, tmp_path):
+    """All names in one key, whose state serves them together, as each alone."""
+    rows = [r for r in messages(7, 240, 3) if r[3] in ("open", "close", "frame")]
+    with J.rocksdb(spark):
+        found = J.run_to(K.assembled(written(spark, tmp_path, rows, 3), "open", "close", 3, "4 seconds", 30, buckets=1)).collect()
+    want = swept(rows, 3, 30, max(r[1] for r in rows) - 4)
+    assert len({w[0] for w in want}) > 2 and {tuple(r) for r in found} == want and len(found) == len(want)
+
+
 def test_buffer_forgets(spark, tmp_path):
     """The state holds the messages of spans that the watermark has not passed, however long the stream."""
     rows = [("a", float(k), k, ("map", "base", "ask")[k % 3], 1.0) for k in range(1200)]
@@ -117,15 +126,15 @@ def test_lookups_of_many_keys_are_answered_together(spark):
     assert next(K.answered(2, 10)(iter([empty]))).num_rows == 0 and np.array_equal(next(K.answered(2, 10)(iter([batch.slice(900, 1200)])))["event_id"], [r[1] for r in got if 90000 <= r[1] < 210000])
 
 
-def halves(spark, sf, tmp_path) -> str:
-    """The events in two files that both reach over the whole time."""
+def thirds(spark, sf, tmp_path) -> str:
+    """The events in three files that all reach over the whole time."""
     e = spark.read.parquet(f"{sf}/events.parquet")
-    for k in range(2):
-        e.where(F.col("user_id") % 2 == k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    for k in range(3):
+        e.where(F.col("event_id") % 3 == k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("query", [streams.t6])
+@pytest.mark.parametrize("query", [streams.t2, streams.t6])
 def test_files_that_overlap_in_time_are_not_late(spark, sf, tmp_path, query):
-    want, got = (sorted(map(tuple, query(spark, d).collect())) for d in (sf, halves(spark, sf, tmp_path)))
+    want, got = (sorted(map(tuple, query(spark, d).collect())) for d in (sf, thirds(spark, sf, tmp_path)))
     assert want and got == want
