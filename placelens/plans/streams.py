@@ -189,7 +189,7 @@ _VIEWING = _sweeps_sql("signup", "error", 1, "kind in ('signup', 'view', 'error'
 def t7(spark, d):
     """Views between a signup (start of viewing) and an error (its end), per selected object."""
     with J.rocksdb(spark):
-        found = J.run_to(K.assembled(J.events(spark, d).where("kind in ('signup', 'view', 'error')"), "signup", "error", 1, "1 day", SILENCE))
+        found = J.run_to(K.assembled(J.events(spark, d, 10_000).where("kind in ('signup', 'view', 'error')"), "signup", "error", 1, "1 day", SILENCE))
     return found.select("name", "sweep", F.col("frames").alias("views"))
 
 

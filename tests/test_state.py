@@ -134,7 +134,7 @@ def thirds(spark, sf, tmp_path) -> str:
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("query", [streams.t2, streams.t6])
+@pytest.mark.parametrize("query", [streams.t2, streams.t6, streams.t7])
 def test_files_that_overlap_in_time_are_not_late(spark, sf, tmp_path, query):
     want, got = (sorted(map(tuple, query(spark, d).collect())) for d in (sf, thirds(spark, sf, tmp_path)))
     assert want and got == want
