@@ -149,8 +149,8 @@ def near_words(words: DataFrame, replaced: Scheme = REPLACED, inserted: Scheme =
     a = every.where("role <> 1").select("key", F.col("word").alias("a"), F.col("n").alias("n_a"))
     b = every.where("role <> 0").select("key", "role", F.col("word").alias("b"), F.col("n").alias("n_b"))
     one_edit = F.levenshtein(F.col("a"), F.col("b"), 1) == 1
-    # words of one length meet in both orders, one of which is enough
-    met = a.join(b, (a["key"] == b["key"]) & ((b["role"] == 1) | (F.col("a") < F.col("b"))) & one_edit)
+    # words of one length meet in both orders, one of which is enough; Spark would take the 24 signatures of a word for one row
+    met = a.join(b.hint("merge"), (a["key"] == b["key"]) & ((b["role"] == 1) | (F.col("a") < F.col("b"))) & one_edit)
     pair = met.select("a", "b", "n_a", "n_b").distinct()
     ends = F.array(
         F.struct(F.col("a").alias("word"), F.col("b").alias("other"), F.col("n_a").alias("n_word"), F.col("n_b").alias("n_other")),
@@ -164,17 +164,18 @@ def with_roots(forms: DataFrame) -> DataFrame:
 
     Each round every open link is replaced by the link of its target, so that its
     length doubles. A link leads to a word of at least twice the count, so links
-    have no cycles and at most 64 steps.
+    have no cycles and at most 64 steps. All words are on both sides of each join, so
+    that neither is broadcast, however small their files are.
     """
     now = materialize(forms.select("word", F.coalesce("form", "word").alias("root"), F.col("form").isNotNull().alias("open")), "roots")
     for _ in range(MOST_ROUNDS):
         if now.where("open").isEmpty():
             break
         target = now.select(F.col("word").alias("root"), F.col("root").alias("next"), F.col("open").alias("on"))
-        moved = now.where("open").join(target, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.coalesce("on", F.lit(False)).alias("open"))
+        moved = now.where("open").join(target.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.coalesce("on", F.lit(False)).alias("open"))
         last, now = now, materialize(now.where("not open").unionByName(moved), "roots")
         discard(last)
-    return forms.join(now.select("word", "root"), "word")
+    return forms.join(now.select("word", "root").hint("merge"), "word")
 
 
 def spelling_variants(documents: DataFrame, least_letters: int = 5, least_count: int = 3, ratio: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,7 +187,7 @@ def spelling_variants(documents: DataFrame, least_letters: int = 5, least_count:
     words = materialize(counted_words(documents, least_letters, least_count, id_col, text_col), "words")
     best = F.min_by(F.struct("other", "n_other"), F.struct(-F.col("n_other"), F.col("other")))
     near = near_words(words).groupBy(F.col("word").alias("w")).agg(F.count("*").alias("n_near"), best.alias("best"))
-    joined = words.join(near, words["word"] == near["w"], "left")
+    joined = words.join(near.hint("merge"), words["word"] == near["w"], "left")
     counts = F.col("best.n_other") >= ratio * F.col("n")
     forms = joined.select(
         "word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(counts, F.col("best.other")).alias("form"), F.when(counts, F.col("best.n_other")).alias("form_n")

@@ -93,6 +93,15 @@ def test_links_are_followed_to_the_last(spark):
     assert {r.word: r.root for r in spelling_variants.with_roots(forms).collect()} == dict.fromkeys("abcdef", "a") | {"g": "g"}
 
 
+def test_words_are_not_broadcast(spark, monkeypatch):
+    """Small files of words may hold millions of signatures, which the driver cannot gather."""
+    plans, met = [], spelling_variants.materialize
+    monkeypatch.setattr(spelling_variants, "materialize", lambda df, tag: (plans.append(df), met(df, tag))[1])
+    plans.append(spelling_variants.spelling_variants(documents(spark, misspelt(1, 400))))
+    every = [df._jdf.queryExecution().executedPlan().toString() for df in plans]
+    assert sum("SortMergeJoin" in p for p in every) >= 3 and not any("Broadcast" in p for p in every)
+
+
 def test_no_documents_no_variants(spark):
     assert spelling_variants.spelling_variants(documents(spark, [])).collect() == []
 
