@@ -27,6 +27,11 @@ def similar(h: DataFrame, least: float, work: DataFrame | None = None, most: int
     return H.overlaps(mine, named, 6, least, most, both=work is not None).withColumnRenamed("id", "model")
 
 
+def candidates(h: DataFrame, least: float, most: int) -> DataFrame:
+    """(model, others, scores): the ``most`` best of each model, in order."""
+    return H.nearest(h.withColumnRenamed("model", "id"), 6, least, most).withColumnRenamed("id", "model")
+
+
 def best_of(pairs: DataFrame) -> DataFrame:
     """(model, other, score): the best candidate of each model, ties to the smaller one."""
     best = pairs.groupBy("model").agg(F.max(F.struct("score", (-F.col("other")).alias("o"))).alias("m"))
@@ -37,7 +42,7 @@ def similar_models(counts: DataFrame, nearest: int, least: float) -> DataFrame:
     """(model, other): for each model the best of its ``nearest`` candidates, if their histograms share more than ``least``."""
     h = materialize(weighted(counts), "histograms")
     # the best of the nearest is the best of all
-    return best_of(similar(h, least, most=min(nearest, 1))).select("model", "other")
+    return candidates(h, least, min(nearest, 1)).select("model", F.col("others")[0].alias("other"))
 
 
 def mutual(best: DataFrame) -> DataFrame:

@@ -124,3 +124,29 @@ def test_speckle_filter_aggregates_no_copies(spark, sf):
 
     # the distinct voxels of both sides only, none of the copies around them
     assert plan(catalog.QUERIES["a24_speckle_filter"](spark, sf)).count("HashAggregate") <= 4
+
+
+def test_fusion_round_shuffles_histograms_once(spark, sf):
+    """No copy of a histogram for each block of the others."""
+    from placelens.plans import catalog
+
+    at = plan(catalog.QUERIES["m13_fusion_round"](spark, sf))
+    assert "FlatMapCoGroups" not in at and "explode" not in at and "CartesianProduct" in at
+
+
+@pytest.mark.parametrize("block,part", [(16, 32), (1024, 8192)])
+@pytest.mark.parametrize("most", [1, 3, 200])
+def test_nearest_histograms_are_those_of_all_pairs(spark, block, part, most):
+    """Many ties; ids 90 to 95 are alike, and 96 shares nothing with the others."""
+    from placelens.operators import histograms as H
+
+    rng = random.Random(6)
+    w = {i: {b: rng.randint(1, 4) / 8 for b in rng.sample(range(40), rng.randint(1, 6))} for i in range(90)}
+    w |= {i: {7: 1 / 3, 9: 2 / 3} for i in range(90, 96)} | {96: {70000: 1.0}}
+    h = spark.createDataFrame([(i, b, v) for i, bins in w.items() for b, v in bins.items()], "id long, bin int, w double")
+    want = {}
+    for i in w:
+        score = {j: round(sum(min(v, w[j][b]) for b, v in w[i].items() if b in w[j]), 6) for j in w if i != j and w[i].keys() & w[j].keys()}
+        if over := sorted((-s, j) for j, s in score.items() if s > 0.25)[:most]:
+            want[i] = [(j, -s) for s, j in over]
+    assert {r.id: list(zip(r.others, r.scores)) for r in H.nearest(h, 6, 0.25, most, block, part).collect()} == want
