@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from placelens.operators import histograms as H
+from placelens.operators import histograms as H, rounds as R
 from placelens.scratch import discard, materialize
 
 
@@ -58,6 +58,30 @@ def fusion_outcome(assigned: DataFrame) -> DataFrame:
     return parts.select("pair", F.when(F.col("parts") == 1, "merge").when(F.col("n") == 1, "keep").otherwise("split").alias("outcome"), "parts")
 
 
+#: Candidates of each model that a task of many rounds begins with.
+LISTED = 8
+
+
+def fuse_in_task(now: DataFrame, label: DataFrame, bins: int, points: int, least: float) -> DataFrame:
+    """``fuse`` without ``accepted``: all models are searched at once, then rounds run in one task, for as long as what it holds serves it."""
+    done = False
+    while not done:
+        h = materialize(weighted(now), "histograms")
+        lists = materialize(candidates(h, least, LISTED), "candidates")
+        models = label.select("model").distinct().count()
+        ends = materialize(R.together(now, lists, models, bins, points, least, LISTED), "ends")
+        done = ends.where("not done").isEmpty()
+        moved = ends.where("model <> into").select("model", "into")
+        follow = lambda df: df.join(moved, "model", "left").withColumn("model", F.coalesce("into", "model")).drop("into")
+        before, label = label, materialize(follow(label).select("member", "model"), "labels")
+        last = now
+        if not done:
+            now = materialize(follow(now).groupBy("model", "bin").agg(F.sum("n").alias("n")), "counts")
+        for table in (h, lists, ends, before, last):
+            discard(table)
+    return label
+
+
 def fuse(counts: DataFrame, least: float, accepted: Callable[[DataFrame, DataFrame], DataFrame] | None = None, everything: bool = False, searched: list[int] | None = None) -> DataFrame:
     """(member, model): what each model of (model, bin, n) ends in.
 
@@ -69,10 +93,15 @@ def fuse(counts: DataFrame, least: float, accepted: Callable[[DataFrame, DataFra
     beats it, so that no pair is judged again while neither changes. ``everything``
     searches all models in each round instead, with the same result. ``searched`` gets
     the number of searches of each round. Every round is written to the shared folder,
-    and what the next one does not need is deleted there.
+    and what the next one does not need is deleted there. Where nothing but histograms
+    decides, and their counts fit a task, rounds run there.
     """
     now = materialize(counts.select("model", "bin", "n"), "counts")
     label = materialize(now.select(F.col("model").alias("member"), "model").distinct(), "labels")
+    if accepted is None and not everything and searched is None:
+        bins, points = now.agg(F.countDistinct("bin"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        if label.count() * bins <= R.CELLS:
+            return fuse_in_task(now, label, bins, points, least)
     work, best, stale = label.select("model").distinct(), None, []
     while True:
         if everything:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from placelens.operators import fusion as U, graph as N, poses as P, vocabulary as B
+from placelens.operators import fusion as U, graph as N, poses as P, rounds as D, vocabulary as B
 from placelens.plans import catalog, models as M, retrieval as R
 from placelens.scratch import shared_dir
 from placelens.sources import catalog as C, views as V
@@ -277,6 +277,56 @@ def test_m13_fuses_until_nothing_changes(spark, sf):
     assert {r.member: r.model for r in rows(catalog.QUERIES["m13_fuse_models"](spark, sf))} == fused(counts, M.LEAST)
 
 
+def random_models(rng, kind):
+    n, bins = int(rng.integers(2, 40)), int(rng.integers(2, 24))
+    near = rng.integers(0, 8, (4, bins))[rng.integers(0, 4, n)] + rng.integers(0, 2, (n, bins))
+    some = [rng.integers(0, 4, (n, bins)), rng.multinomial(60, np.ones(bins) / bins, size=n), near, (rng.random((n, bins)) < 0.2) * rng.integers(1, 3, (n, bins))][kind]
+    return some[some.sum(axis=1) > 0].astype(np.int32)
+
+
+@pytest.mark.parametrize("kind", range(4))
+def test_m13_rounds_in_a_task_are_those_of_all_pairs(kind):
+    """Lists of few candidates, and ends before the last round, after which all are searched again."""
+    rng = np.random.default_rng(kind)
+    early = 0
+    for _ in range(40):
+        n = first = random_models(rng, kind)
+        least, listed, ids, label, done = float(rng.choice([0.0, 0.3003, 0.5, 0.7])), int(rng.choice([1, 2, 8])), np.arange(len(n)), np.arange(len(n)), False
+        while not done:
+            w = n / n.sum(axis=1, keepdims=True)
+            others, scores = np.full((len(n), listed), -1), np.full((len(n), listed), -np.inf)
+            for i in range(len(n)):
+                s = np.minimum(w, w[i]).sum(axis=1)
+                best = sorted((-round(s[j], 6), j) for j in range(len(n)) if j != i and s[j] > 0 and round(s[j], 6) > least)[:listed]
+                others[i, : len(best)], scores[i, : len(best)] = [j for _, j in best], [-v for v, _ in best]
+            rounds = D.Rounds(n.copy(), others, scores, least, *((1 << 22, 1 << 26) if rng.random() < 0.5 else (int(rng.integers(1, 8)) * len(n), int(rng.integers(1, 400)))))
+            done, ends = rounds.run(), rounds.ends()
+            early += not done
+            label = ids[ends[np.searchsorted(ids, label)]]
+            kept, merged = np.unique(ends), np.zeros_like(n)
+            np.add.at(merged, ends, n)
+            n, ids = merged[kept], ids[kept]
+        assert dict(enumerate(label.tolist())) == fused({m: {b: int(v) for b, v in enumerate(row) if v} for m, row in enumerate(first)}, least)
+    assert early
+
+
+def test_m13_one_model_takes_in_the_others_one_by_one(spark, monkeypatch):
+    """There are nearly as many rounds as models, but not a search and a table for each."""
+    rng = np.random.default_rng(2)
+    rows_ = [(int(m) * 7 - 50, int(b), int(n)) for m, row in enumerate(rng.multinomial(300, np.ones(40) / 40, size=60)) for b, n in enumerate(row) if n]
+    counts = collections.defaultdict(collections.Counter)
+    for m, b, n in rows_:
+        counts[m][b] += n
+    tags, met = [], U.materialize
+    monkeypatch.setattr(U, "materialize", lambda df, tag: (tags.append(tag), met(df, tag))[1])
+    table = spark.createDataFrame(rows_, "model long, bin int, n long")
+    assert {r.member: r.model for r in rows(U.fuse(table, 0.82))} == fused(counts, 0.82)
+    assert tags.count("histograms") == 1
+    monkeypatch.setattr(D, "HELD", 300)  # the task ends early
+    assert {r.member: r.model for r in rows(U.fuse(table, 0.82))} == fused(counts, 0.82)
+    assert 2 < tags.count("histograms") < 20
+
+
 def pixels_of(spark, seed, n):
     rng = np.random.default_rng(seed)
     seen = {(f, int(rng.integers(0, 64)), int(rng.integers(0, 48))) for f in range(3) for _ in range(n)}
